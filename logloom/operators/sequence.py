@@ -27,19 +27,21 @@ def role_in(*roles: str) -> Column:
 def add_owner(rows: DataFrame) -> DataFrame:
     """``owner``: seq of the record a call row belongs to; ``creates``: the row adds a record.
 
-    A result belongs to the latest tool call with its call id, else to the first
+    ``owner_start`` is the start time of that record. A result belongs to the latest tool call with its call id, else to the first
     row that carried the id. A tool call adds a record every time.
     """
     in_call = role_in(*CALL_ROLES) & F.col("call").isNotNull()
     rows = scan(
         rows,
-        latest("__called", F.when(in_call & role_in("T"), F.col("seq"))),
-        earliest("__first", F.when(in_call, F.col("seq"))),
+        latest("__called", F.when(in_call & role_in("T"), F.struct("seq", "start_ms"))),
+        earliest("__first", F.when(in_call, F.struct("seq", "start_ms"))),
         by=("session", "call"), contiguous=False,
     )
-    known = F.coalesce("__called", "__first")
-    return rows.withColumn(
-        "owner", F.when(in_call, known).when(role_in(*CALL_ROLES), F.col("seq"))
+    known = F.when(in_call, F.coalesce("__called", "__first")).when(
+        role_in(*CALL_ROLES), F.struct("seq", "start_ms")
+    )
+    return rows.withColumns(
+        {"owner": known["seq"], "owner_start": known["start_ms"]}
     ).withColumn(
         "creates",
         role_in("M", "IM", "IU", "U", "A", "P")

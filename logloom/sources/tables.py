@@ -9,10 +9,11 @@ from logloom.operators.carry import MAX_ROWS, ledger, scan, total
 
 
 def epoch_ms(column: str) -> Column:
-    """Epoch milliseconds of a zone-less UTC timestamp, whatever the session time zone."""
-    return F.expr(
-        f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} AS TIMESTAMP_NTZ))"
+    """Epoch milliseconds of a zone-less UTC timestamp, rounded half to even."""
+    micros = F.expr(
+        f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} AS TIMESTAMP_NTZ))"
     )
+    return F.bround(micros / 1000).cast("long")
 
 
 def event_ledger(spark: SparkSession, sf_dir: str, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -44,14 +45,26 @@ def event_ledger(spark: SparkSession, sf_dir: str, max_rows: int = MAX_ROWS) ->
         F.when(role.isin("T", "R"), (F.col("k") % 10).cast("string")).alias("call"),
         ((role == "R") & (F.col("k") % 4 == 0)).alias("failed"),
         F.when(role == "K", F.col("amount")).alias("amount"),
-    )
+    ).withColumns({"start_ms": F.col("ts_ms"), "end_ms": F.col("ts_ms")})
 
 
 def with_samples(rows: DataFrame) -> DataFrame:
-    """Token samples of the event ledger: last usage and the cumulative snapshot."""
-    counted = F.when((F.col("role") == "K") & (F.col("k") % 5 != 0), F.col("amount"))
-    rows = scan(rows, total("cumulative", counted))
-    return rows.withColumn("cumulative", F.when(F.col("role") == "K", F.col("cumulative")))
+    """Token samples of the event ledger.
+
+    The last usage has all five counters. The snapshot carries a total that grows
+    unless k%5=0 and, on k%6=0, an output counter; k%9=8 rows carry no snapshot.
+    """
+    sample, k, amount = F.col("role") == "K", F.col("k"), F.col("amount")
+    rows = scan(rows, total("cumulative", F.when(sample & (k % 5 != 0), amount)))
+    values = {
+        "last_input": amount, "last_cached_input": F.floor(amount / 3).cast("long"),
+        "last_output": k, "last_reasoning_output": F.floor(k / 4).cast("long"),
+        "last_total": amount + k, "cum_total": F.col("cumulative"),
+        "cum_output": F.when(k % 6 == 0, k), "has_total": k % 9 != 8,
+    }
+    return rows.withColumns(
+        {name: F.when(sample, value) for name, value in values.items()}
+    ).drop("cumulative")
 
 
 def conversation_ledger(spark: SparkSession, sf_dir: str, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -65,5 +78,8 @@ def conversation_ledger(spark: SparkSession, sf_dir: str, max_rows: int = MAX_RO
         F.lit(None).cast("string").alias("eid"),
         F.lit(None).cast("string").alias("call"),
         F.lit(False).alias("failed"),
+        F.lit(None).cast("long").alias("ts_ms"),
+        F.lit(None).cast("long").alias("start_ms"),
+        F.lit(None).cast("long").alias("end_ms"),
     )
     return ledger(rows, ["position"], max_rows)
