@@ -379,10 +379,10 @@ def queries() -> dict[str, str]:
             ids AS (SELECT id AS name, arg_max(stem, modified_ms) AS stem FROM ov GROUP BY id
                     UNION ALL SELECT stem, stem FROM ov),
             p AS (
-              SELECT selector, count(DISTINCT stem) AS files, min(stem) AS only
+              SELECT selector, count(DISTINCT stem) AS files, min(stem) AS sole
               FROM s JOIN ids ON starts_with(name, selector) GROUP BY selector)
-            SELECT s.selector, coalesce(x.stem, CASE WHEN files = 1 THEN only END) AS stem,
-                   CASE WHEN coalesce(x.stem, CASE WHEN files = 1 THEN only END) IS NOT NULL THEN 'found'
+            SELECT s.selector, coalesce(x.stem, CASE WHEN files = 1 THEN sole END) AS stem,
+                   CASE WHEN coalesce(x.stem, CASE WHEN files = 1 THEN sole END) IS NOT NULL THEN 'found'
                         WHEN files > 1 THEN 'ambiguous' ELSE 'not_found' END AS outcome
             FROM s LEFT JOIN x ON x.selector = s.selector LEFT JOIN p ON p.selector = s.selector""",
         "record_search": f"""WITH c AS (

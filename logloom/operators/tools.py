@@ -22,16 +22,19 @@ def first_where(value: Column, condition: Column) -> Column:
     return F.min_by(value, F.when(condition, F.col("seq")))
 
 
-def fold_results(rows: DataFrame) -> DataFrame:
-    """One row per tool record (session, owner) with status, times, output and error.
+def with_fold_columns(rows: DataFrame) -> DataFrame:
+    return with_defaults(rows, "duration_ms", "authoritative", "output", "label", "specific",
+                         "persisted_start")
+
+
+def fold_columns() -> list[Column]:
+    """Aggregates that fold the results of one tool record, in any row order.
 
     An end event is authoritative over a plain output: its duration wins whenever
     one was given and its first output stays. An error stays once it was seen.
     A record whose first row is an end event without start and duration measured
     no interval, so that row gives no duration.
     """
-    rows = with_defaults(rows, "duration_ms", "authoritative", "output", "label", "specific",
-                         "persisted_start")
     ends = role_in(*RESULT_ROLES)
     strong = F.coalesce("authoritative", F.lit(False))
     unmeasured = (
@@ -44,32 +47,46 @@ def fold_results(rows: DataFrame) -> DataFrame:
     measured = ends & F.col("duration_ms").isNotNull()
     has_output = ends & F.col("output").isNotNull()
     message = F.when(strong, END_ERROR).otherwise(RESULT_ERROR)
-    folded = rows.filter(role_in(*CALL_ROLES)).groupBy("session", "owner").agg(
-        F.first("call").alias("call"),
+    return [
         F.count_if(ends).alias("results"),
-        F.max("owner_start").alias("started_ms"),
-        last_where(F.col("end_ms"), ends & F.col("end_ms").isNotNull()).alias("completed_ms"),
+        last_where(F.col("end_ms"), ends & F.col("end_ms").isNotNull()).alias("finished_ms"),
         F.coalesce(
             last_where(F.col("duration_ms"), measured), last_where(elapsed, elapsed.isNotNull())
-        ).alias("duration_ms"),
+        ).alias("took_ms"),
         F.coalesce(
             first_where(F.col("output"), has_output & strong),
             last_where(F.col("output"), has_output),
-        ).alias("output"),
+        ).alias("result_output"),
         first_where(message, failed).alias("error"),
         F.bool_or(failed).alias("failed"),
         # an end event renames the record, but a generic name never replaces a specific one
         last_where(F.col("label"), ends & strong & F.col("specific")).alias("__named"),
         last_where(F.col("label"), ends & strong & F.col("label").isNotNull()).alias("__any"),
         first_where(F.struct("label", "specific"), F.col("label").isNotNull()).alias("__own"),
+    ]
+
+
+def with_status(folded: DataFrame) -> DataFrame:
+    """Label and status of folded tool records."""
+    label = F.coalesce(
+        "__named", F.when(~F.col("__own.specific"), F.col("__any")), F.col("__own.label")
+    )
+    status = F.when(F.col("failed"), "error").when(F.col("results") > 0, "complete").otherwise("running")
+    return folded.withColumns({"tool_label": label, "tool_status": status}).drop(
+        "__named", "__any", "__own"
+    )
+
+
+def fold_results(rows: DataFrame) -> DataFrame:
+    """One row per tool record (session, owner) with status, times, output and error."""
+    folded = with_fold_columns(rows).filter(role_in(*CALL_ROLES)).groupBy("session", "owner").agg(
+        F.first("call").alias("call"), F.max("owner_start").alias("started_ms"), *fold_columns()
     )
-    folded = folded.withColumn(
-        "label",
-        F.coalesce("__named", F.when(~F.col("__own.specific"), F.col("__any")), F.col("__own.label")),
-    ).drop("__named", "__any", "__own")
-    return folded.withColumn(
-        "status",
-        F.when(F.col("failed"), "error").when(F.col("results") > 0, "complete").otherwise("running"),
+    return (
+        with_status(folded).withColumnsRenamed({
+            "finished_ms": "completed_ms", "took_ms": "duration_ms", "result_output": "output",
+            "tool_label": "label", "tool_status": "status",
+        })
     )
 
 

@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 from logloom.operators.carry import latest, scan
 from logloom.operators.defaults import COUNTERS, with_defaults
-from logloom.operators.sequence import ITEM_ROLES, role_in
-from logloom.operators.tools import first_where, fold_results, last_where, tool_totals
-from logloom.operators.usage import attach_samples, capped_sum
+from logloom.operators.sequence import CALL_ROLES, ITEM_ROLES, role_in
+from logloom.operators.tools import (
+    first_where,
+    fold_columns,
+    last_where,
+    tool_totals,
+    with_fold_columns,
+    with_status,
+)
+from logloom.operators.usage import capped_sum
 
 
 def add_model(rows: DataFrame) -> DataFrame:
@@ -105,12 +112,40 @@ def turns(rows: DataFrame) -> DataFrame:
     )
 
 
+def folded_records(rows: DataFrame, *fields: str) -> DataFrame:
+    """One row per record: its own fields (struct ``own``) and the folded rows that finish it.
+
+    The results of a call and the end of a compaction carry the seq of the record
+    they finish, so a single aggregate on (session, record) does it; nothing is
+    joined and every part combines before the shuffle.
+    """
+    if "paired" not in rows.columns:
+        rows = rows.withColumn("paired", F.lit(None).cast("long"))
+    own = F.col("creates") & F.coalesce(F.col("owner") == F.col("seq"), F.lit(True))
+    key = F.coalesce("owner", "paired", F.when(F.col("creates"), F.col("seq")))
+    paired = F.col("paired").isNotNull()
+    grouped = (
+        with_fold_columns(rows).withColumn("record", key).filter(F.col("record").isNotNull())
+        .groupBy("session", "record")
+        .agg(
+            F.max_by(F.struct("seq", "role", "turn", "step", "index", "call", "start_ms", "end_ms",
+                              "persisted_start", *fields),
+                     F.when(own, F.col("seq"))).alias("own"),
+            *fold_columns(),
+            last_where(F.struct("role", "start_ms", "end_ms", "persisted_start", *fields), paired)
+            .alias("pair"),
+        )
+    )
+    return with_status(grouped)
+
+
 def tool_records(rows: DataFrame) -> DataFrame:
-    """Tool records with their place in the session: joined on the unique record row."""
-    places = rows.filter(F.col("creates")).select(
-        "session", F.col("seq").alias("owner"), "turn", "step", "index"
+    """Tool records with their place in the session."""
+    return folded_records(rows).filter(F.col("own.role").isin(*CALL_ROLES)).select(
+        "session", F.col("record").alias("owner"), "own.call", "own.turn", "own.step", "own.index",
+        "results", F.col("tool_status").alias("status"), F.col("own.start_ms").alias("started_ms"),
+        F.col("finished_ms").alias("completed_ms"), F.col("took_ms").alias("duration_ms"), "error",
     )
-    return fold_results(rows).join(places, ["session", "owner"])
 
 
 def session_stats(rows: DataFrame) -> DataFrame:
@@ -130,7 +165,3 @@ def session_stats(rows: DataFrame) -> DataFrame:
         "compactions", "first_ms", "last_ms",
     )
 
-
-def record_usage(rows: DataFrame) -> DataFrame:
-    """Usage per record row: see :func:`logloom.operators.usage.attach_samples`."""
-    return attach_samples(rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import text as tx
@@ -23,35 +23,20 @@ def _sampled(spark: SparkSession, sf_dir: str, max_rows: int = MAX_ROWS) -> Data
     return usage.add_samples(sequence(with_samples(event_ledger(spark, sf_dir, max_rows))))
 
 
-def _label() -> Column:
-    return (
-        F.when(role_in("M"), "Assistant")
-        .when(role_in("T"), F.concat(F.lit("tool "), "call"))
-        .otherwise("Tool result")
-    )
-
-
 def _records(rows: DataFrame) -> DataFrame:
-    """Record rows of the event ledger; tool rows get their folded results by the unique row key."""
-    records = rows.filter("creates").select(
-        "session", "seq", "event_id", "turn", "step", "index", "call",
-        F.when(role_in("M"), "assistant").otherwise("tool").alias("kind"),
-        _label().alias("event"),
-        F.col("ts_ms").alias("__point_ms"),
-    )
-    folded = fold_results(rows).select(
-        "session", F.col("owner").alias("seq"), "status", "duration_ms", "completed_ms", "error"
-    )
-    joined = records.join(folded, ["session", "seq"], "left")
-    is_tool = F.col("kind") == "tool"
-    status = F.coalesce("status", F.lit("complete"))
-    return joined.select(
-        "session", "index", "event_id", "turn", "step", "kind", "event", "call",
-        F.when(is_tool, F.concat_ws(" · ", "event", status)).otherwise(F.col("event")).alias("summary"),
-        status.alias("status"),
-        F.col("__point_ms").alias("started_ms"),
-        F.when(is_tool, F.col("completed_ms")).otherwise(F.col("__point_ms")).alias("completed_ms"),
-        "duration_ms", "error",
+    """Record rows of the event ledger with the folded results of each call."""
+    own, is_tool = F.col("own"), F.col("own.role") != "M"
+    event = F.when(own["role"] == "M", "Assistant").when(
+        own["role"] == "T", F.concat(F.lit("tool "), own["call"])
+    ).otherwise("Tool result")
+    status = F.when(is_tool, F.col("tool_status")).otherwise("complete")
+    return gold.folded_records(rows, "event_id").select(
+        "session", "own.index", "own.event_id", "own.turn", "own.step",
+        F.when(is_tool, "tool").otherwise("assistant").alias("kind"), event.alias("event"), "own.call",
+        F.when(is_tool, F.concat_ws(" · ", event, status)).otherwise(event).alias("summary"),
+        status.alias("status"), F.col("own.start_ms").alias("started_ms"),
+        F.when(is_tool, F.col("finished_ms")).otherwise(F.col("own.start_ms")).alias("completed_ms"),
+        F.when(is_tool, F.col("took_ms")).alias("duration_ms"), "error",
     )
 
 
@@ -117,13 +102,14 @@ def tool_correlation(spark, sf_dir, max_rows=MAX_ROWS):
 
 
 def tool_fold(spark, sf_dir, max_rows=MAX_ROWS):
-    rows = _rows(spark, sf_dir, max_rows)
-    places = rows.filter("creates").select("session", "seq", "event_id")
-    return (
-        gold.tool_records(rows)
-        .join(places.withColumnRenamed("seq", "owner"), ["session", "owner"])
-        .select("session", "event_id", "call", "turn", "step", "index", "results", "status",
-                "started_ms", "completed_ms", "duration_ms", "error")
+    return _records_of_tools(_rows(spark, sf_dir, max_rows))
+
+
+def _records_of_tools(rows: DataFrame) -> DataFrame:
+    return gold.folded_records(rows, "event_id").filter("own.role <> 'M'").select(
+        "session", "own.event_id", "own.call", "own.turn", "own.step", "own.index", "results",
+        F.col("tool_status").alias("status"), F.col("own.start_ms").alias("started_ms"),
+        F.col("finished_ms").alias("completed_ms"), F.col("took_ms").alias("duration_ms"), "error",
     )
 
 
