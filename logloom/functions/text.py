@@ -26,15 +26,19 @@ def collapse(text: Column) -> Column:
 
 def shorten(text: Column, limit: int = SUMMARY_LIMIT) -> Column:
     """Collapsed text of at most ``limit`` characters, cut with an ellipsis."""
-    flat = collapse(text)
+    return clip(collapse(text), limit)
+
+
+def clip(flat: Column, limit: int) -> Column:
+    """Collapsed text cut to ``limit`` characters."""
     cut = F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("…"))
     return F.when(F.length(flat) <= limit, flat).otherwise(cut)
 
 
 def some_text(text: Column, limit: int = SUMMARY_LIMIT) -> Column:
     """Shortened text, null when nothing is left."""
-    short = shorten(text, limit)
-    return F.when(short != "", short)
+    flat = collapse(text)
+    return F.when(flat != "", clip(flat, limit))
 
 
 def bounded(text: Column, limit: int = DETAIL_LIMIT) -> Column:

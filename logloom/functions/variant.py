@@ -59,8 +59,8 @@ def whole(value: Column, path: str) -> Column:
 
 def number(value: Column, path: str) -> Column:
     kind = F.schema_of_variant(field(value, path))
-    numeric = (kind == "BIGINT") | (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL")
-    return F.when(numeric, F.try_variant_get(value, "$." + path, "double"))
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"),
+                  F.try_variant_get(value, "$." + path, "double"))
 
 
 def array(value: Column, path: str) -> Column:
@@ -151,12 +151,12 @@ def count_parts(value: Column, path: str, kinds: tuple[str, ...]) -> Column:
     return F.coalesce(F.size(parts), F.lit(0))
 
 
-def reports_error(value: Column) -> Column:
-    """Failure markers of a tool output: isError, success=false or Err, inside Ok wrappers.
+def string_of(value: Column) -> Column:
+    return F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
 
-    A string is read as JSON first; text that is not JSON reports nothing.
-    """
-    parsed = F.when(_is(value, "STRING"), strict_parse(F.try_variant_get(value, "$", "string"))).otherwise(value)
+
+def reports_error(parsed: Column) -> Column:
+    """Failure markers of a parsed tool output: isError, success=false or Err, inside Ok wrappers."""
     levels = []
     for wrapper in ("Ok." * n for n in range(UNWRAP_LEVELS)):
         levels += [

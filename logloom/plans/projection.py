@@ -69,33 +69,32 @@ def _case(*branches: tuple[str | tuple[str, ...], Column], otherwise: Column | N
 
 
 def add_shape(entries: DataFrame) -> DataFrame:
-    """Payload, item and shape of every admitted entry."""
-    entry = F.col("entry")
-    payload = vx.field(entry, "payload")
-    rows = entries.select(
-        *[c for c in entries.columns if c != "entry"],
-        vx.text(entry, "type").alias("kind_in"),
-        F.when(vx.is_object(payload), payload).otherwise(F.parse_json(F.lit("{}"))).alias("p"),
-        stamp(entry, "timestamp").alias("ts_ms"),
-        vx.whole(entry, "ordinal").alias("ordinal"),
-        vx.field(entry, "ordinal").isNotNull().alias("has_ordinal"),
-    )
+    """Payload ``p``, its item, and the shape of every admitted entry."""
+    entry, p = F.col("entry"), F.col("p")
+    rows = entries.withColumns({
+        "kind_in": vx.text(entry, "type"), "p": vx.field(entry, "payload"),
+        "__time_n": vx.number(entry, "timestamp"), "__time_t": vx.text(entry, "timestamp"),
+        "ordinal": vx.whole(entry, "ordinal"),
+        "has_ordinal": F.coalesce(vx.field(entry, "ordinal").isNotNull(), F.lit(False)),
+    }).drop("entry")
+    rows = rows.withColumns({
+        "ts_ms": _stamp("__time"), "type_in": vx.text(p, "type"),
+        "item": F.when(F.col("kind_in") == "event_msg", vx.field(p, "item")),
+        "speaker": F.when(F.col("kind_in") == "response_item", vx.text(p, "role")),
+    }).drop("__time_n", "__time_t")
     rows = rows.withColumns({
-        "type_in": vx.text(F.col("p"), "type"),
-        "item": F.when(F.col("kind_in") == "event_msg", vx.field(F.col("p"), "item")),
+        "item_type": tx.snake_case(vx.text(F.col("item"), "type")),
+        "has_item": vx.is_object(F.col("item")),
     })
-    item_type = tx.snake_case(vx.text(F.col("item"), "type"))
     item_shape = (
-        F.when(~vx.is_object(F.col("item")), "bad_item")
-        .when(item_type.isin(*ITEMS), F.concat(F.lit("item:"), item_type))
+        F.when(~F.col("has_item"), "bad_item")
+        .when(F.col("item_type").isin(*ITEMS), F.concat(F.lit("item:"), "item_type"))
         .otherwise("item:?")
     )
-    response = (
-        F.when(
-            (F.col("type_in") == "message")
-            & ~F.coalesce(vx.text(F.col("p"), "role") == "assistant", F.lit(False)), None)
-        .when(F.col("type_in").isNotNull(),
-              F.coalesce(_lookup(RESPONSES, F.col("type_in")), F.lit("other_response")))
+    other_speaker = (F.col("type_in") == "message") & ~F.col("speaker").eqNullSafe("assistant")
+    response = F.when(other_speaker, None).when(
+        F.col("type_in").isNotNull(),
+        F.coalesce(_lookup(RESPONSES, F.col("type_in")), F.lit("other_response")),
     )
     shape = (
         F.when(F.col("kind_in") == "session_meta", "meta")
@@ -106,49 +105,91 @@ def add_shape(entries: DataFrame) -> DataFrame:
         .when(F.col("kind_in") == "compacted", "checkpoint")
         .when(F.col("kind_in") == "inter_agent_communication", "agent_comm")
     )
-    # a shell or tool-search call is over already when its status says so
-    status = F.lower(F.coalesce(tx.some_text(vx.text(F.col("p"), "status"), 80), F.lit("in_progress")))
-    rows = rows.withColumn("shape", shape)
-    return rows.withColumn(
-        "done_call", F.when(F.col("shape").isin("shell", "finder"), status.isin(*OPEN_ENDED))
-    )
-
-
-def stamp(value: Column, path: str) -> Column:
-    """A time given as ISO text or as a Unix number."""
-    return F.coalesce(
-        tm.ms_of_number(vx.number(value, path)), tm.ms_of_text(vx.text(value, path))
-    )
-
-
-def _duration(value: Column, path: str) -> Column:
-    """A duration given as {secs, nanos} or as seconds."""
-    nanos = vx.field(value, path + ".nanos")
-    parts = tm.ms_of_parts(vx.whole(value, path + ".secs"), vx.whole(value, path + ".nanos"))
-    valid = nanos.isNull() | vx.whole(value, path + ".nanos").isNotNull()
-    return F.coalesce(F.when(valid, parts), tm.ms_of_seconds(vx.number(value, path)))
-
-
-def _rounded(value: Column, path: str) -> Column:
-    return tm.ms_field(vx.number(value, path))
+    return rows.withColumn("shape", F.coalesce(shape, F.lit(""))).withColumn(
+        "src", F.when(F.col("shape").startswith("item:"), F.col("item")).otherwise(p)
+    ).drop("kind_in", "speaker", "has_item")
+
+
+def _stamp(name: str) -> Column:
+    """A time given as a Unix number (``name_n``) or as ISO text (``name_t``)."""
+    return F.coalesce(tm.ms_of_number(F.col(name + "_n")), tm.ms_of_text(F.col(name + "_t")))
+
+
+# Scalar fields read from an entry (column name: path, longest shown text). Short texts
+# have white space collapsed; the others are taken as they are.
+_SHORT = {
+    "s_status": ("status", 80), "s_kind": ("kind", 100), "s_phase": ("phase", 80),
+    "s_agent_path": ("agent_path", 200), "s_thread": ("agent_thread_id", 100),
+    "s_action": ("action.type", 80), "s_namespace": ("namespace", 100), "s_name": ("name", 160),
+    "s_tool": ("tool", 160), "s_server": ("server", 100), "s_execution": ("execution", 160),
+    "s_author": ("author", 200), "s_recipient": ("recipient", 200), "s_model": ("model", 200),
+    "s_effort": ("effort", 80), "s_mode": ("collaboration_mode.mode", 80),
+    "s_mode_kind": ("collaboration_mode_kind", 80), "s_call_server": ("invocation.server", 100),
+    "s_call_tool": ("invocation.tool", 160),
+}
+_TEXTS = {
+    "t_call_id": "call_id", "t_id": "id", "t_event_id": "event_id", "t_item_id": "item_id",
+    "t_message": "message", "t_text": "text", "t_content": "content",
+}
+_PAYLOAD_TEXTS = {
+    "t_turn": "turn_id", "t_passed_turn": "internal_chat_message_metadata_passthrough.turn_id",
+    "t_reason": "reason", "t_reason_message": "reason.message",
+    "t_error": "error", "t_error_message": "error.message",
+    "t_begun_t": "started_at", "t_ended_t": "completed_at",
+}
+_NUMBERS = {
+    "t_begun_n": "started_at", "t_ended_n": "completed_at", "n_done": "completed_at_ms",
+    "n_begun": "started_at_ms", "n_duration_ms": "duration_ms", "n_ttft": "time_to_first_token_ms",
+    "n_occurred": "occurred_at_ms",
+}
 
 
-def _status(value: Column, default: str) -> Column:
-    return F.lower(F.coalesce(tx.some_text(vx.text(value, "status"), 80), F.lit(default)))
+def _read_scalars(rows: DataFrame) -> DataFrame:
+    """Every scalar field as a column of its own, so that each JSON path is read once."""
+    p, src = F.col("p"), F.col("src")
+    rows = rows.withColumns({
+        **{name: tx.collapse(vx.text(src, path)) for name, (path, _) in _SHORT.items()},
+        **{name: vx.text(src, path) for name, path in _TEXTS.items()},
+        **{name: vx.text(p, path) for name, path in _PAYLOAD_TEXTS.items()},
+        **{name: vx.number(p, path) for name, path in _NUMBERS.items()},
+        "n_seconds": vx.number(src, "duration"), "n_sleep": vx.number(src, "durationMs"),
+        "i_secs": vx.whole(src, "duration.secs"), "i_nanos": vx.whole(src, "duration.nanos"),
+        "has_nanos": vx.field(src, "duration.nanos").isNotNull(),
+        "b_success": vx.flag(src, "success"), "has_error": vx.given(src, "error"),
+        "has_failure": vx.given(src, "failure"),
+        "i_rolled": F.when(F.col("shape") == "rollback", vx.whole(p, "num_turns")),
+        "__probe": _case(("output", vx.field(p, "output")),
+                         (("mcp_end", "item:mcp_tool_call"), vx.field(src, "result"))),
+    })
+    rows = rows.withColumns({
+        **{name: F.when(F.col(name) != "", tx.clip(F.col(name), limit))
+           for name, (_, limit) in _SHORT.items()},
+        "__probe_text": vx.string_of(F.col("__probe")),
+        "t_begun": _stamp("t_begun"), "t_ended": _stamp("t_ended"),
+    }).withColumn("__closed", vx.closed(F.col("__probe_text")))
+    rows = rows.withColumn("__parsed", F.when(
+        F.col("__probe_text").isNotNull(), vx.opened(F.col("__probe_text"), F.col("__closed"))
+    ).otherwise(F.col("__probe")))
+    return rows.withColumns({
+        "status": F.lower("s_status"),
+        "says_error": F.when(F.col("__parsed").isNotNull(), vx.reports_error(F.col("__parsed"))),
+        "duration_read": F.coalesce(
+            F.when(~F.col("has_nanos") | F.col("i_nanos").isNotNull(),
+                   tm.ms_of_parts(F.col("i_secs"), F.col("i_nanos"))),
+            tm.ms_of_seconds(F.col("n_seconds"))),
+    }).drop("__probe", "__probe_text", "__closed", "__parsed")
 
 
-def _search_label(value: Column) -> Column:
-    action = tx.some_text(vx.text(value, "action.type"), 80)
-    return F.when(action.isNotNull(), F.concat(F.lit("Web search · "), action)).otherwise("Web search")
+def _search_label() -> Column:
+    return F.concat_ws(" · ", F.lit("Web search"), "s_action")
 
 
-def _dotted(group: Column, name: Column) -> Column:
-    return F.when(group.isNotNull(), F.concat(group, F.lit("."), name)).otherwise(name)
+def _assistant() -> Column:
+    return F.concat_ws(" · ", F.lit("Assistant"), "s_phase")
 
 
-def _assistant(value: Column) -> Column:
-    phase = tx.some_text(vx.text(value, "phase"), 80)
-    return F.when(phase.isNotNull(), F.concat(F.lit("Assistant · "), phase)).otherwise("Assistant")
+def _named(group: str, name: str, default: str) -> Column:
+    return F.concat_ws(".", F.col(group), F.coalesce(F.col(name), F.lit(default)))
 
 
 def _subset(value: Column, *keys: str) -> Column:
@@ -158,347 +199,370 @@ def _subset(value: Column, *keys: str) -> Column:
     return F.to_json(F.map_from_entries(kept))
 
 
-def _first_text(value: Column, *paths: str) -> Column:
-    found = [F.when(vx.text(value, p) != "", vx.text(value, p)) for p in paths]
-    return F.coalesce(*found)
+def _filled(column: str) -> Column:
+    return F.when(F.col(column) != "", F.col(column))
 
 
-def add_fields(rows: DataFrame) -> DataFrame:
-    """All ledger columns of a shaped entry."""
-    p, it, ts = F.col("p"), F.col("item"), F.col("ts_ms")
-    item_all = ("item:?", *["item:" + i for i in ITEMS])
-    t = lambda v, path, n: tx.some_text(vx.text(v, path), n)
+_ENDS = ("mcp_end", "patch_end", "search_end", "image_end")
+_CALLS = ("call", "shell", "finder", "search", "image")
+_ITEM_SHAPES = ("item:?", *["item:" + i for i in ITEMS])
+_REVIEW_ITEMS = ("item:entered_review_mode", "item:exited_review_mode")
+_COMPACTIONS = ("compaction", "checkpoint", "compacted", "item:context_compaction")
 
-    # times
-    done_at, begun_at = _rounded(p, "completed_at_ms"), _rounded(p, "started_at_ms")
-    done_at = F.coalesce(F.when(done_at > 0, done_at), ts)
-    begun_at = F.when(begun_at > 0, begun_at)
-    long_ended = _duration(p, "duration")
-    given_start = stamp(p, "started_at")
-    end_at = F.coalesce(stamp(p, "completed_at"), ts)
-    finished_calls = F.when(F.col("done_call"), ts)
-    ends = ("mcp_end", "patch_end", "search_end", "image_end")
 
-    role = _case(
-        ("meta", F.lit("X")), ("context", F.lit("X")), ("start", F.lit("S")),
-        (("end", "abort"), F.lit("C")), ("tokens", F.lit("K")),
+def _add_roles(rows: DataFrame) -> DataFrame:
+    """Role, kind, label, call id and turn id."""
+    finished = F.coalesce(F.col("status").isin(*OPEN_ENDED), F.lit(False))
+    rows = rows.withColumn("role", _case(
+        ("start", F.lit("S")), (("end", "abort"), F.lit("C")), ("tokens", F.lit("K")),
         (("user", "subagent", "review", "compaction", "agent_comm"), F.lit("U")),
         (("reasoning", "message"), F.lit("M")), ("call", F.lit("T")),
-        (("shell", "finder"), F.when(F.col("done_call"), "TT").otherwise("T")),
-        (("finder_output", "output"), F.lit("R")),
-        (("search", "image", *ends), F.lit("TT")),
+        (("shell", "finder"), F.when(finished, "TT").otherwise("T")),
+        (("finder_output", "output"), F.lit("R")), (("search", "image", *_ENDS), F.lit("TT")),
         ("checkpoint", F.lit("P")), ("compacted", F.lit("CC")), ("agent_message", F.lit("A")),
         (("item:agent_message", "item:plan", "item:reasoning"), F.lit("IM")),
         ("item:context_compaction", F.lit("IC")), ("item:?", F.lit("IX")),
-        (TOOL_ITEMS, F.lit("IT")), (item_all, F.lit("IU")),
+        (TOOL_ITEMS, F.lit("IT")), (_ITEM_SHAPES, F.lit("IU")),
         otherwise=F.lit("X"),
-    )
-    kind = _case(
-        (("user", "item:user_message", "item:hook_prompt"), F.lit("user")),
-        (("reasoning", "item:reasoning"), F.lit("reasoning")),
-        (("message", "review", "item:agent_message", "item:plan", "item:entered_review_mode",
-          "item:exited_review_mode"), F.lit("assistant")),
-        (("subagent", "agent_message", "agent_comm", "item:sub_agent_activity"), F.lit("subagent")),
-        (("compaction", "checkpoint", "compacted", "item:context_compaction"), F.lit("compaction")),
-        (("call", "shell", "finder", "finder_output", "output", "search", "image", *ends, *TOOL_ITEMS),
-         F.lit("tool")),
-    )
-    raw_call = _first_text(p, "call_id", "id")
-    call = _case(
-        (("call", "shell", "finder", "search", "image"), tx.identifier(raw_call)),
-        (("finder_output", "output", *ends), tx.identifier(vx.text(p, "call_id"))),
-        (TOOL_ITEMS, tx.identifier(vx.text(it, "id"))),
-    )
-    mcp_tool = F.coalesce(t(p, "invocation.tool", 160), F.lit("MCP tool"))
-    extension = F.coalesce(t(it, "kind", 100), F.lit("extension"))
-    activity = lambda v: F.coalesce(t(v, "kind", 80), F.lit("activity"))
-    label = _case(
-        (("user", "item:user_message"), F.lit("User")), ("item:hook_prompt", F.lit("Hook prompt")),
-        (("reasoning", "item:reasoning"), F.lit("Reasoning")),
-        ("message", _assistant(p)), ("item:agent_message", _assistant(it)),
-        ("item:plan", F.lit("Plan")),
-        ("call", _dotted(t(p, "namespace", 100), F.coalesce(t(p, "name", 160), F.lit("tool")))),
-        ("shell", F.lit("Local shell")),
-        ("finder", F.coalesce(t(p, "execution", 160), F.lit("Tool search"))),
-        ("finder_output", F.lit("Tool search result")), ("output", F.lit("Tool result")),
-        (("search", "search_end"), _search_label(p)), ("item:web_search", _search_label(it)),
-        (("image", "image_end", "item:image_generation"), F.lit("Image generation")),
-        (("compaction", "checkpoint", "compacted", "item:context_compaction"), F.lit("Compaction")),
-        ("mcp_end", _dotted(t(p, "invocation.server", 100), mcp_tool)),
-        (("patch_end", "item:file_change"), F.lit("Apply patch")),
-        ("subagent", F.concat(F.lit("Subagent · "), activity(p))),
-        ("item:sub_agent_activity", F.concat(F.lit("Subagent · "), activity(it))),
-        (("review", "item:entered_review_mode", "item:exited_review_mode"), F.lit("Review mode")),
-        ("agent_message", F.lit("Agent message")), ("agent_comm", F.lit("Agent communication")),
-        ("item:command_execution", F.lit("Command")),
-        ("item:dynamic_tool_call", _dotted(t(it, "namespace", 100),
-                                           F.coalesce(t(it, "tool", 160), F.lit("dynamic tool")))),
-        ("item:collab_agent_tool_call", F.coalesce(t(it, "tool", 160), F.lit("Agent tool"))),
-        ("item:image_view", F.lit("View image")),
-        ("item:mcp_tool_call", _dotted(t(it, "server", 100),
-                                       F.coalesce(t(it, "tool", 160), F.lit("MCP tool")))),
-        ("item:extension", F.when(extension == "clock.sleep", "Sleep")
-         .when(extension == "web.search", _search_label(it))
-         .when(extension == "image_gen.generation", "Image generation").otherwise("Extension")),
-    )
+    ))
+    extension = F.coalesce("s_kind", F.lit("extension"))
+    subagent = F.concat(F.lit("Subagent · "), F.coalesce(F.substring("s_kind", 1, 80), F.lit("activity")))
+    return rows.withColumns({
+        "extension": F.when(F.col("shape") == "item:extension", extension),
+        "legacy_only": F.col("shape").isin(*LEGACY_ONLY),
+        "kind": _case(
+            (("user", "item:user_message", "item:hook_prompt"), F.lit("user")),
+            (("reasoning", "item:reasoning"), F.lit("reasoning")),
+            (("message", "review", "item:agent_message", "item:plan", *_REVIEW_ITEMS),
+             F.lit("assistant")),
+            (("subagent", "agent_message", "agent_comm", "item:sub_agent_activity"), F.lit("subagent")),
+            (_COMPACTIONS, F.lit("compaction")),
+            ((*_CALLS, "finder_output", "output", *_ENDS, *TOOL_ITEMS), F.lit("tool")),
+        ),
+        "call": tx.identifier(_case(
+            (_CALLS, F.coalesce(_filled("t_call_id"), _filled("t_id"))),
+            (("finder_output", "output", *_ENDS), F.col("t_call_id")), (TOOL_ITEMS, F.col("t_id")),
+        )),
+        "eid": tx.identifier(_case(
+            (("start", "end", "abort", *_ITEM_SHAPES), F.col("t_turn")),
+            ("agent_message", F.col("t_passed_turn")),
+        )),
+        "label": _case(
+            (("user", "item:user_message"), F.lit("User")), ("item:hook_prompt", F.lit("Hook prompt")),
+            (("reasoning", "item:reasoning"), F.lit("Reasoning")),
+            (("message", "item:agent_message"), _assistant()), ("item:plan", F.lit("Plan")),
+            ("call", _named("s_namespace", "s_name", "tool")),
+            ("shell", F.lit("Local shell")),
+            ("finder", F.coalesce("s_execution", F.lit("Tool search"))),
+            ("finder_output", F.lit("Tool search result")), ("output", F.lit("Tool result")),
+            (("search", "search_end", "item:web_search"), _search_label()),
+            (("image", "image_end", "item:image_generation"), F.lit("Image generation")),
+            (_COMPACTIONS, F.lit("Compaction")),
+            ("mcp_end", _named("s_call_server", "s_call_tool", "MCP tool")),
+            (("patch_end", "item:file_change"), F.lit("Apply patch")),
+            (("subagent", "item:sub_agent_activity"), subagent),
+            (("review", *_REVIEW_ITEMS), F.lit("Review mode")),
+            ("agent_message", F.lit("Agent message")), ("agent_comm", F.lit("Agent communication")),
+            ("item:command_execution", F.lit("Command")),
+            ("item:dynamic_tool_call", _named("s_namespace", "s_tool", "dynamic tool")),
+            ("item:collab_agent_tool_call", F.coalesce("s_tool", F.lit("Agent tool"))),
+            ("item:image_view", F.lit("View image")),
+            ("item:mcp_tool_call", _named("s_server", "s_tool", "MCP tool")),
+            ("item:extension", F.when(extension == "clock.sleep", "Sleep")
+             .when(extension == "web.search", _search_label())
+             .when(extension == "image_gen.generation", "Image generation").otherwise("Extension")),
+        ),
+    })
+
+
+def _add_texts(rows: DataFrame) -> DataFrame:
+    """Body and summary text, record id parts, warnings."""
+    src = F.col("src")
     body = _case(
-        ("user", vx.text(p, "message")), ("item:user_message", vx.content_text(it, "content")),
-        ("reasoning", vx.summary_parts(p, "summary")),
-        ("item:reasoning", vx.summary_parts(it, "summary_text")),
-        (("message", "agent_message"), vx.content_text(p, "content")),
-        ("item:agent_message", vx.content_text(it, "content")), ("item:plan", vx.text(it, "text")),
-        ("agent_comm", vx.text(p, "content")), ("checkpoint", vx.text(p, "message")),
+        (("user", "checkpoint"), F.col("t_message")), ("item:plan", F.col("t_text")),
+        (("message", "agent_message", "item:agent_message", "item:user_message"),
+         vx.content_text(src, "content")),
+        ("reasoning", vx.summary_parts(src, "summary")),
+        ("item:reasoning", vx.summary_parts(src, "summary_text")),
+        ("agent_comm", F.col("t_content")),
     )
-    body = F.when(body != "", body)
-    path_of = lambda v: F.coalesce(t(v, "agent_path", 200), F.lit("subagent"))
-    entered = F.when(F.col("type_in").startswith("entered") | F.col("shape").startswith("item:entered"),
-                     "Entered review mode").otherwise("Exited review mode")
-    summary = _case(
-        (("user", "item:user_message"), F.coalesce(body, F.lit("User message"))),
+    rows = rows.withColumn("body", body).withColumn("body", _filled("body"))
+    agent = F.concat_ws(" · ", F.coalesce("s_agent_path", F.lit("subagent")),
+                        F.coalesce(F.substring("s_kind", 1, 80), F.lit("activity")))
+    entered = F.when(F.coalesce("item_type", "type_in").startswith("entered"), "Entered review mode")
+    text = _case(
+        (("user", "item:user_message"), F.coalesce("body", F.lit("User message"))),
         ("item:hook_prompt", F.lit("Internal hook prompt")),
-        ("reasoning", F.coalesce(body, F.lit(ENCRYPTED))),
-        (("message", "item:agent_message", "item:plan", "item:reasoning"), F.coalesce(body, label)),
-        ("subagent", F.concat(path_of(p), F.lit(" · "), activity(p))),
-        ("item:sub_agent_activity", F.concat(path_of(it), F.lit(" · "), activity(it))),
-        (("compaction", "checkpoint", "compacted", "item:context_compaction"),
-         F.lit("Context compacted")),
-        (("review", "item:entered_review_mode", "item:exited_review_mode"), entered),
-        ("agent_message", F.coalesce(body, F.lit("Inter-agent message"))),
-        ("agent_comm", F.coalesce(body, F.lit("Inter-agent communication"))),
-    )
-    failed_item = _status(it, "completed").isin(*ITEM_FAILED)
-    no = F.lit(False)
-    untrue = lambda v, path: ~F.coalesce(vx.flag(v, path), F.lit(True))
-    truthy_error = vx.given(it, "error") & ~F.coalesce(
-        F.to_json(vx.field(it, "error")).isin('""', "false", "0", "[]", "{}"), no)
-    failed = _case(
-        (("shell", "finder"), F.col("done_call") & (_status(p, "completed") != "completed")),
-        ("finder_output", _status(p, "completed").isin(*OUTPUT_FAILED)),
-        (("search", "image"), ~_status(p, "completed").isin(*SUCCEEDED)),
-        ("output", vx.reports_error(vx.field(p, "output"))),
-        ("mcp_end", untrue(p, "success") | vx.reports_error(vx.field(p, "result"))),
-        ("patch_end", untrue(p, "success") | _status(p, "completed").isin(*PATCH_FAILED)),
-        ("image_end", ~_status(p, "completed").isin(*SUCCEEDED) | vx.given(p, "failure")),
-        ("item:dynamic_tool_call", failed_item | untrue(it, "success") | truthy_error),
-        ("item:image_generation", failed_item | (_status(it, "completed") != "completed")),
-        ("item:mcp_tool_call", failed_item | vx.given(it, "error")
-         | vx.reports_error(vx.field(it, "result"))),
-        ("item:extension", failed_item
-         | ((extension == "image_gen.generation") & vx.given(it, "failure"))),
-        (TOOL_ITEMS, failed_item),
-        otherwise=no,
-    )
-    input_text = _case(
-        ("user", body), ("item:user_message", body),
-        ("item:hook_prompt", vx.json_text(vx.field(it, "fragments"))),
-        ("call", F.coalesce(vx.json_text(vx.field(p, "arguments")),
-                            F.when(vx.field(p, "arguments").isNull(), vx.json_text(vx.field(p, "input"))))),
-        (("shell", "search"), vx.json_text(vx.field(p, "action"))),
-        ("finder", vx.json_text(vx.field(p, "arguments"))),
-        (("image", "image_end"), _subset(p, "revised_prompt")),
-        ("mcp_end", vx.json_text(vx.field(p, "invocation.arguments"))),
-        ("patch_end", vx.json_text(vx.field(p, "changes"))),
-        ("search_end", _subset(p, "query", "action")),
-        ("item:command_execution", _subset(it, "command", "cwd", "source")),
-        (("item:dynamic_tool_call", "item:mcp_tool_call"), vx.json_text(vx.field(it, "arguments"))),
-        ("item:collab_agent_tool_call",
-         _subset(it, "prompt", "model", "reasoning_effort", "receiver_thread_ids")),
-        ("item:web_search", _subset(it, "query", "action")),
-        ("item:image_view", _subset(it, "path")), ("item:image_generation", _subset(it, "revised_prompt")),
-        ("item:file_change", vx.json_text(vx.field(it, "changes"))),
-        ("item:extension", F.when(extension == "clock.sleep", _subset(it, "durationMs"))
-         .when(extension == "web.search", _subset(it, "query", "action"))
-         .when(extension == "image_gen.generation", _subset(it, "revisedPrompt"))
-         .otherwise(_subset(it, "kind"))),
-    )
-    output = _case(
-        (("reasoning", "message", "agent_message", "agent_comm", "checkpoint", "item:agent_message",
-          "item:plan", "item:reasoning"), body),
-        ("finder_output", vx.json_text(vx.field(p, "tools"))),
-        ("image", vx.json_text(vx.field(p, "result"))),
-        ("output", vx.json_text(vx.field(p, "output"))),
-        ("mcp_end", vx.json_text(vx.field(p, "result"))),
-        ("patch_end", _subset(p, "stdout", "stderr", "status")),
-        ("search_end", vx.json_text(vx.field(p, "results"))),
-        ("image_end", _subset(p, "result", "saved_path", "failure")),
-        ("review", _subset(p, "target", "user_facing_hint", "review_output")),
-        (("item:entered_review_mode", "item:exited_review_mode"),
-         _subset(it, "target", "user_facing_hint", "review_output")),
-        ("item:command_execution", _subset(it, "stdout", "stderr", "aggregated_output", "exit_code")),
-        ("item:dynamic_tool_call", _subset(it, "content_items", "error")),
-        ("item:collab_agent_tool_call", vx.json_text(vx.field(it, "agents_states"))),
-        ("item:web_search", vx.json_text(vx.field(it, "results"))),
-        ("item:image_generation", _subset(it, "result", "saved_path")),
-        ("item:file_change", _subset(it, "stdout", "stderr")),
-        ("item:mcp_tool_call", F.coalesce(vx.json_text(vx.field(it, "result")),
-                                          vx.json_text(vx.field(it, "error")))),
-        ("item:extension", F.when(extension == "web.search", vx.json_text(vx.field(it, "results")))
-         .when(extension == "image_gen.generation", _subset(it, "result", "savedPath", "failure"))
-         .when(extension != "clock.sleep", F.to_json(it))),
-    )
-    agent = lambda v: F.to_json(F.struct(
-        path_of(v).alias("agentPath"), t(v, "agent_thread_id", 100).alias("agentThreadId"),
-        activity(v).alias("activity")))
-    recipients = F.filter(
-        F.transform(vx.array(p, "other_recipients"),
-                    lambda r: F.when(F.schema_of_variant(r) == "STRING",
-                                     tx.shorten(F.try_variant_get(r, "$", "string"), 200))),
-        lambda r: r.isNotNull())
-    protocol = F.to_json(F.struct(F.col("type_in").alias("protocolType")))
-    sizes = lambda v, path: F.coalesce(F.size(vx.array(v, path)), F.lit(0))
-    metadata = _case(
-        ("user", F.to_json(F.struct(sizes(p, "images").alias("images"), sizes(p, "audio").alias("audio")))),
-        ("item:user_message", F.to_json(F.struct(
-            vx.count_parts(it, "content", vx.IMAGE_PARTS).alias("images"),
-            vx.count_parts(it, "content", vx.AUDIO_PARTS).alias("audio")))),
-        ("reasoning", F.to_json(F.struct(vx.given(p, "encrypted_content").alias("encrypted")))),
-        ("message", F.to_json(F.struct(t(p, "phase", 80).alias("phase")))),
-        ("item:agent_message", F.to_json(F.struct(t(it, "phase", 80).alias("phase")))),
-        ("subagent", agent(p)), ("item:sub_agent_activity", agent(it)),
-        (("agent_message",), F.to_json(F.struct(
-            t(p, "author", 200).alias("author"), t(p, "recipient", 200).alias("recipient")))),
-        ("agent_comm", F.to_json(F.struct(
-            t(p, "author", 200).alias("author"), t(p, "recipient", 200).alias("recipient"),
-            F.slice(F.coalesce(recipients, F.array().cast("array<string>")), 1, 20).alias("otherRecipients"),
-            F.coalesce(vx.flag(p, "trigger_turn"), no).alias("triggerTurn")))),
-        (("call", "shell", "finder", "search", "image", *ends), protocol),
-        ("item:extension", F.to_json(F.struct(F.lit("extension").alias("protocolType"),
-                                              extension.alias("extensionKind")))),
-        (TOOL_ITEMS, F.to_json(F.struct(F.substring(F.col("shape"), 6, 100).alias("protocolType")))),
-        otherwise=F.lit("{}"),
-    )
-    # record ids: a given id under its prefix, else a prefix with the entry number
-    given_id = _case(
-        (("reasoning", "message", "compaction", "agent_message", "agent_comm"), _first_text(p, "id")),
-        (("call", "shell", "finder", "search", "image", "finder_output", "output", *ends), call),
-        ("subagent", _first_text(p, "event_id")), ("review", _first_text(p, "item_id")),
-        (item_all, _first_text(it, "id")),
-    )
-    id_prefix = _case(
-        (("call", "shell", "finder", "search", "image", *ends), F.lit("tool-")),
-        (("finder_output", "output"), F.lit("tool-result-")), ("subagent", F.lit("subagent-")),
-        otherwise=F.lit(""),
-    )
-    number_prefix = _case(
-        ("user", F.lit("user-")), ("reasoning", F.lit("reasoning-")), ("message", F.lit("assistant-")),
-        (("call", "shell", "finder", "search", "image", *ends), F.lit("tool-")),
-        (("finder_output", "output"), F.lit("tool-result-")),
-        (("compaction", "checkpoint", "compacted"), F.lit("compaction-")),
-        ("subagent", F.lit("subagent-")), ("review", F.lit("review-")),
-        ("agent_message", F.lit("agent-message-")), ("agent_comm", F.lit("agent-communication-")),
-        (item_all, F.lit("item-")),
-    )
-    rolled = vx.whole(p, "num_turns")
-    rolled = F.when(rolled.between(0, tm.MAX_SAFE), rolled)
-    warning = _case(
-        ("bad_item", F.lit("malformed_item_completed")),
-        ("item:?", F.lit("unsupported_turn_item")),
-        ("other_response", F.lit("unsupported_response_item")),
-        ("rollback", F.when(rolled.isNull(), "malformed_thread_rollback").otherwise("thread_rolled_back")),
-    )
-    warning_detail = _case(
-        ("item:?", F.coalesce(tx.snake_case(vx.text(it, "type")), F.lit("<missing>"))),
-        ("other_response", F.col("type_in")), ("rollback", rolled.cast("string")),
+        ("reasoning", F.coalesce("body", F.lit(ENCRYPTED))),
+        (("message", "item:agent_message", "item:plan", "item:reasoning"), F.coalesce("body", "label")),
+        (("subagent", "item:sub_agent_activity"), agent), (_COMPACTIONS, F.lit("Context compacted")),
+        (("review", *_REVIEW_ITEMS), F.coalesce(entered, F.lit("Exited review mode"))),
+        ("agent_message", F.coalesce("body", F.lit("Inter-agent message"))),
+        ("agent_comm", F.coalesce("body", F.lit("Inter-agent communication"))),
     )
+    rolled = F.when(F.col("i_rolled").between(0, tm.MAX_SAFE), F.col("i_rolled"))
+    rows = rows.withColumns({
+        "summary_text": tx.collapse(text),
+        "user_text": F.when(F.col("shape").isin("user", "item:user_message"), F.col("body")),
+        # record ids: a given id under its prefix, else a prefix with the entry number
+        "given_id": _case(
+            (("reasoning", "message", "compaction", "agent_message", "agent_comm", *_ITEM_SHAPES),
+             _filled("t_id")),
+            ((*_CALLS, "finder_output", "output", *_ENDS), F.col("call")),
+            ("subagent", _filled("t_event_id")), ("review", _filled("t_item_id")),
+        ),
+        "id_prefix": _case(
+            ((*_CALLS, *_ENDS), F.lit("tool-")), (("finder_output", "output"), F.lit("tool-result-")),
+            ("subagent", F.lit("subagent-")), otherwise=F.lit(""),
+        ),
+        "number_prefix": _case(
+            ("user", F.lit("user-")), ("reasoning", F.lit("reasoning-")),
+            ("message", F.lit("assistant-")), ((*_CALLS, *_ENDS), F.lit("tool-")),
+            (("finder_output", "output"), F.lit("tool-result-")),
+            (("compaction", "checkpoint", "compacted"), F.lit("compaction-")),
+            ("subagent", F.lit("subagent-")), ("review", F.lit("review-")),
+            ("agent_message", F.lit("agent-message-")), ("agent_comm", F.lit("agent-communication-")),
+            (_ITEM_SHAPES, F.lit("item-")),
+        ),
+        "warning": _case(
+            ("bad_item", F.lit("malformed_item_completed")), ("item:?", F.lit("unsupported_turn_item")),
+            ("other_response", F.lit("unsupported_response_item")),
+            ("rollback", F.when(rolled.isNull(), "malformed_thread_rollback")
+             .otherwise("thread_rolled_back")),
+        ),
+        "warning_detail": _case(
+            ("item:?", F.coalesce(F.when(F.col("item_type") != "", F.col("item_type")),
+                                  F.lit("<missing>"))),
+            ("other_response", F.col("type_in")), ("rollback", rolled.cast("string")),
+        ),
+    })
+    return rows.withColumns({
+        "summary_text": tx.clip(F.col("summary_text"), tx.SUMMARY_LIMIT),
+        "specific": ~F.lower("label").isin(*GENERIC_TOOLS),
+    })
 
-    def counter(path):
-        value = vx.whole(p, path)
-        return F.when(value.between(0, tm.MAX_SAFE), value)
-
-    window = vx.whole(p, "info.model_context_window")
-    start_window = vx.whole(p, "model_context_window")
-    positive = lambda x: F.when(x.between(1, tm.MAX_SAFE), x)
-    error_of = lambda key: F.coalesce(vx.text(p, key), vx.text(p, key + ".message"))
-    return rows.select(
-        *[c for c in rows.columns if c not in ("p", "item", "kind_in", "done_call")],
-        role.alias("role"), F.col("shape").isin(*LEGACY_ONLY).alias("legacy_only"),
-        kind.alias("kind"), call.alias("call"),
-        _case((("start", "end", "abort", *item_all), tx.identifier(vx.text(p, "turn_id"))),
-              ("agent_message", tx.identifier(
-                  vx.text(p, "internal_chat_message_metadata_passthrough.turn_id")))).alias("eid"),
-        _case(
-            ("start", F.coalesce(given_start, ts)),
-            (("end", "abort"), F.coalesce(given_start, end_at, ts)),
-            (item_all, F.coalesce(begun_at, done_at)),
-            (ends, F.when(long_ended.isNotNull(), F.greatest(ts - long_ended, F.lit(0))).otherwise(ts)),
-            ("subagent", F.coalesce(_rounded(p, "occurred_at_ms"), ts)),
+
+def _add_outcome(rows: DataFrame) -> DataFrame:
+    """Times, durations, failure and turn fields."""
+    ts, status, no = F.col("ts_ms"), F.col("status"), F.lit(False)
+    untrue = F.coalesce(~F.col("b_success"), no)
+    says = F.coalesce("says_error", no)
+    done = F.coalesce(F.when(tm.ms_field(F.col("n_done")) > 0, tm.ms_field(F.col("n_done"))), ts)
+    begun = F.when(tm.ms_field(F.col("n_begun")) > 0, tm.ms_field(F.col("n_begun")))
+    ended = F.coalesce("t_ended", ts)
+    took = F.col("duration_read")
+    occurred = F.coalesce(tm.ms_field(F.col("n_occurred")), ts)
+    bad_item = F.coalesce(status.isin(*ITEM_FAILED), no)
+    unsuccessful = ~F.coalesce(status.isin(*SUCCEEDED), F.lit(True))
+    empty_error = F.coalesce(F.to_json(vx.field(F.col("src"), "error")).isin(
+        '""', "false", "0", "[]", "{}"), no)
+    rows = rows.withColumns({
+        "start_ms": _case(
+            ("start", F.coalesce("t_begun", ts)), (("end", "abort"), F.coalesce("t_begun", ended)),
+            (_ITEM_SHAPES, F.coalesce(begun, done)), ("subagent", occurred),
+            (_ENDS, F.when(took.isNotNull() & ts.isNotNull(), F.greatest(ts - took, F.lit(0)))
+             .otherwise(ts)),
             otherwise=ts,
-        ).alias("start_ms"),
-        _case((("end", "abort"), end_at), (item_all, done_at),
-              ("subagent", F.coalesce(_rounded(p, "occurred_at_ms"), ts)), otherwise=ts).alias("end_ms"),
-        _case((("start", "end", "abort"), given_start), (item_all, begun_at),
-              (("search", "image"), ts), (("shell", "finder"), finished_calls)).alias("persisted_start"),
-        _case(
-            (("end", "abort"), _rounded(p, "duration_ms")), (ends, long_ended),
-            ("item:extension", F.when(extension == "clock.sleep", _rounded(it, "durationMs"))
-             .otherwise(_duration(it, "duration"))),
-            (TOOL_ITEMS, _duration(it, "duration")),
-        ).alias("duration_ms"),
-        _case((("end", "abort"), _rounded(p, "time_to_first_token_ms"))).alias("ttft_ms"),
-        (F.col("shape") == "abort").alias("aborted"),
-        _case(("end", vx.given(p, "error"))).alias("errored"),
-        _case(("abort", error_of("reason")), ("end", error_of("error"))).alias("error_text"),
-        label.alias("label"), ~F.lower(label).isin(*GENERIC_TOOLS).alias("specific"),
-        summary.alias("summary_text"), F.coalesce(failed, no).alias("failed"),
-        role.isin("TT", "IT").alias("authoritative"),
-        input_text.alias("input"), output.alias("output"), metadata.alias("metadata"),
-        given_id.alias("given_id"), id_prefix.alias("id_prefix"), number_prefix.alias("number_prefix"),
-        F.when(F.col("shape").isin("user", "item:user_message"), body).alias("user_text"),
-        warning.alias("warning"), warning_detail.alias("warning_detail"),
-        _case((("context", "start"), t(p, "model", 200))).alias("model"),
-        _case(("context", t(p, "effort", 80))).alias("effort"),
-        _case(("context", F.when(vx.is_object(vx.field(p, "collaboration_mode")),
-                                 t(p, "collaboration_mode.mode", 80))
-               .otherwise(t(p, "collaboration_mode_kind", 80))),
-              ("start", t(p, "collaboration_mode_kind", 80))).alias("collaboration"),
-        (F.col("shape") == "context").alias("in_context"),
-        _case(("tokens", vx.field(p, "info.total_token_usage").isNotNull())).alias("has_total"),
-        *[_case(("tokens", counter(f"info.last_token_usage.{c}_tokens"))).alias(f"last_{c}") for c in COUNTERS],
-        *[_case(("tokens", counter(f"info.total_token_usage.{c}_tokens"))).alias(f"cum_{c}") for c in COUNTERS],
-        _case(("tokens", positive(window)), ("start", positive(start_window))).alias("context_window"),
-        *[_case(("tokens", _quota(p, w))).alias(f"quota_{w}") for w in ("primary", "secondary")],
-        _case(("meta", _metadata(p))).alias("meta"),
-    ).drop("type_in")
-
-
-def _quota(p: Column, window: str) -> Column:
-    used, minutes = vx.number(p, f"rate_limits.{window}.used_percent"), vx.whole(
-        p, f"rate_limits.{window}.window_minutes")
-    valid = used.between(0, 100) & minutes.between(1, tm.MAX_SAFE)
-    return F.when(valid, F.struct(
+        ),
+        "end_ms": _case((("end", "abort"), ended), (_ITEM_SHAPES, done), ("subagent", occurred),
+                        otherwise=ts),
+        "persisted_start": _case(
+            (("start", "end", "abort"), F.col("t_begun")), (_ITEM_SHAPES, begun),
+            (("search", "image"), ts), (("shell", "finder"), F.when(F.col("role") == "TT", ts)),
+        ),
+        "duration_ms": _case(
+            (("end", "abort"), tm.ms_field(F.col("n_duration_ms"))), (_ENDS, took),
+            ("item:extension", F.when(F.col("extension") == "clock.sleep",
+                                      tm.ms_field(F.col("n_sleep"))).otherwise(took)),
+            (TOOL_ITEMS, took),
+        ),
+        "failed": F.coalesce(_case(
+            (("shell", "finder"), (F.col("role") == "TT") & (status != "completed")),
+            ("finder_output", status.isin(*OUTPUT_FAILED)), (("search", "image"), unsuccessful),
+            ("output", says), ("mcp_end", untrue | says),
+            ("patch_end", untrue | F.coalesce(status.isin(*PATCH_FAILED), no)),
+            ("image_end", unsuccessful | F.col("has_failure")),
+            ("item:dynamic_tool_call", bad_item | untrue | (F.col("has_error") & ~empty_error)),
+            ("item:image_generation", bad_item | F.coalesce(status != "completed", no)),
+            ("item:mcp_tool_call", bad_item | F.col("has_error") | says),
+            ("item:extension", bad_item | F.coalesce(
+                (F.col("extension") == "image_gen.generation") & F.col("has_failure"), no)),
+            (TOOL_ITEMS, bad_item),
+        ), no),
+        "authoritative": F.col("role").isin("TT", "IT"),
+        "ttft_ms": _case((("end", "abort"), tm.ms_field(F.col("n_ttft")))),
+        "aborted": F.col("shape") == "abort",
+        "errored": _case(("end", F.col("has_error"))),
+        "error_text": _case(("abort", F.coalesce("t_reason", "t_reason_message")),
+                            ("end", F.coalesce("t_error", "t_error_message"))),
+        "model": _case((("context", "start"), F.col("s_model"))),
+        "effort": _case(("context", F.col("s_effort"))),
+        "collaboration": _case(("context", F.coalesce("s_mode", "s_mode_kind")),
+                               ("start", F.col("s_mode_kind"))),
+        "in_context": F.col("shape") == "context",
+    })
+    return rows
+
+
+def _add_samples(rows: DataFrame) -> DataFrame:
+    """Token counters, context window, quota windows and session metadata."""
+    p = F.col("p")
+    is_tokens = F.col("shape") == "tokens"
+    rows = rows.withColumns({
+        **{f"last_{c}": F.when(is_tokens, vx.whole(p, f"info.last_token_usage.{c}_tokens"))
+           for c in COUNTERS},
+        **{f"cum_{c}": F.when(is_tokens, vx.whole(p, f"info.total_token_usage.{c}_tokens"))
+           for c in COUNTERS},
+        "has_total": F.when(is_tokens, vx.field(p, "info.total_token_usage").isNotNull()),
+        "context_window": _case(("tokens", vx.whole(p, "info.model_context_window")),
+                                ("start", vx.whole(p, "model_context_window"))),
+        **{f"q_used_{w}": F.when(is_tokens, vx.number(p, f"rate_limits.{w}.used_percent"))
+           for w in ("primary", "secondary")},
+        **{f"q_minutes_{w}": F.when(is_tokens, vx.whole(p, f"rate_limits.{w}.window_minutes"))
+           for w in ("primary", "secondary")},
+        **{f"q_reset_{w}_n": F.when(is_tokens, vx.number(p, f"rate_limits.{w}.resets_at"))
+           for w in ("primary", "secondary")},
+        **{f"q_reset_{w}_t": F.when(is_tokens, vx.text(p, f"rate_limits.{w}.resets_at"))
+           for w in ("primary", "secondary")},
+        "meta": F.when(F.col("shape") == "meta", _metadata(p)),
+    })
+    counters = [f"{kind}_{c}" for kind in ("last", "cum") for c in COUNTERS]
+    return rows.withColumns({
+        **{c: F.when(F.col(c).between(0, tm.MAX_SAFE), F.col(c)) for c in counters},
+        "context_window": F.when(F.col("context_window").between(1, tm.MAX_SAFE), F.col("context_window")),
+        **{f"quota_{w}": _quota(w) for w in ("primary", "secondary")},
+    })
+
+
+def _quota(w: str) -> Column:
+    used, minutes = F.col(f"q_used_{w}"), F.col(f"q_minutes_{w}")
+    return F.when(used.between(0, 100) & minutes.between(1, tm.MAX_SAFE), F.struct(
         used.alias("used_percent"), minutes.alias("window_minutes"),
-        stamp(p, f"rate_limits.{window}.resets_at").alias("resets_ms"),
+        _stamp(f"q_reset_{w}").alias("resets_ms"),
     ))
 
 
 def _metadata(p: Column) -> Column:
     """Allowed session metadata only: no instructions, no remotes, no raw payload."""
-    t = lambda path, n: tx.some_text(vx.text(p, path), n)
+    short = lambda path, n: tx.some_text(vx.text(p, path), n)
     commit = vx.text(p, "git.commit_hash")
     source_keys = F.map_keys(F.try_variant_get(p, "$.source", "map<string,variant>"))
     source = F.lower(F.coalesce(
         vx.text(p, "source"), F.when(F.size(source_keys) == 1, F.element_at(source_keys, 1))))
-    base = vx.field(p, "history_base")
     return F.struct(
         tx.identifier(vx.text(p, "id")).alias("id"),
         tx.identifier(vx.text(p, "session_id")).alias("session_id"),
         vx.text(p, "id").alias("raw_id"),
-        vx.text(p, "cwd").alias("cwd"), t("originator", 120).alias("originator"),
+        vx.text(p, "cwd").alias("cwd"), short("originator", 120).alias("originator"),
         F.when(source.isin(*tx.SOURCE_KINDS), source).alias("source_kind"),
-        t("parent_thread_id", 100).alias("parent_thread_id"), t("agent_path", 200).alias("agent_path"),
-        t("git.branch", 200).alias("git_branch"),
+        short("parent_thread_id", 100).alias("parent_thread_id"),
+        short("agent_path", 200).alias("agent_path"), short("git.branch", 200).alias("git_branch"),
         F.when(commit.rlike("^[0-9a-fA-F]{4,64}$"), commit).alias("git_commit"),
-        stamp(p, "timestamp").alias("timestamp_ms"),
+        F.coalesce(tm.ms_of_number(vx.number(p, "timestamp")), tm.ms_of_text(vx.text(p, "timestamp")))
+        .alias("timestamp_ms"),
         F.lower(vx.text(p, "history_mode")).alias("history_mode"),
-        (base.isNotNull() & ~F.is_variant_null(base)).alias("has_base"),
+        F.coalesce(vx.given(p, "history_base"), F.lit(False)).alias("has_base"),
         vx.text(p, "history_base.thread_id").alias("base_id"),
         vx.whole(p, "history_base.end_ordinal_exclusive").alias("base_end_ordinal"),
         vx.whole(p, "history_base.end_byte_offset").alias("base_end_byte"),
-        vx.given(p, "subagent_history_start_ordinal").alias("has_subagent_start"),
+        F.coalesce(vx.given(p, "subagent_history_start_ordinal"), F.lit(False)).alias("has_subagent_start"),
         vx.whole(p, "subagent_history_start_ordinal").alias("subagent_start"),
     )
 
 
-def project(entries: DataFrame) -> DataFrame:
-    """Ledger rows of admitted entries (map only: nothing is shuffled)."""
-    return add_fields(add_shape(entries))
+def _add_details(rows: DataFrame) -> DataFrame:
+    """Input, output and metadata of a record, shown at full detail only."""
+    src, p = F.col("src"), F.col("p")
+    js = lambda path: vx.json_text(vx.field(src, path))
+    extension = F.col("extension")
+    given_input = F.when(vx.field(src, "arguments").isNotNull(), js("arguments")).otherwise(js("input"))
+    agent = F.to_json(F.struct(
+        F.coalesce("s_agent_path", F.lit("subagent")).alias("agentPath"),
+        F.col("s_thread").alias("agentThreadId"),
+        F.coalesce("s_kind", F.lit("activity")).alias("activity")))
+    spoken = [F.col("s_author").alias("author"), F.col("s_recipient").alias("recipient")]
+    recipients = F.filter(
+        F.transform(vx.array(p, "other_recipients"), lambda r: tx.shorten(vx.string_of(r), 200)),
+        lambda r: r.isNotNull())
+    size = lambda path: F.coalesce(F.size(vx.array(src, path)), F.lit(0))
+    parts = lambda kinds: vx.count_parts(src, "content", kinds)
+    phase = F.to_json(F.struct(F.col("s_phase").alias("phase")))
+    return rows.withColumns({
+        "input": _case(
+            (("user", "item:user_message"), F.col("body")), ("item:hook_prompt", js("fragments")),
+            ("call", given_input), (("shell", "search"), js("action")), ("finder", js("arguments")),
+            (("image", "image_end", "item:image_generation"), _subset(src, "revised_prompt")),
+            ("mcp_end", js("invocation.arguments")), (("patch_end", "item:file_change"), js("changes")),
+            (("search_end", "item:web_search"), _subset(src, "query", "action")),
+            ("item:command_execution", _subset(src, "command", "cwd", "source")),
+            (("item:dynamic_tool_call", "item:mcp_tool_call"), js("arguments")),
+            ("item:collab_agent_tool_call",
+             _subset(src, "prompt", "model", "reasoning_effort", "receiver_thread_ids")),
+            ("item:image_view", _subset(src, "path")),
+            ("item:extension", F.when(extension == "clock.sleep", _subset(src, "durationMs"))
+             .when(extension == "web.search", _subset(src, "query", "action"))
+             .when(extension == "image_gen.generation", _subset(src, "revisedPrompt"))
+             .otherwise(_subset(src, "kind"))),
+        ),
+        "output": _case(
+            (("reasoning", "message", "agent_message", "agent_comm", "checkpoint",
+              "item:agent_message", "item:plan", "item:reasoning"), F.col("body")),
+            ("finder_output", js("tools")), (("image", "mcp_end"), js("result")),
+            ("output", js("output")), ("patch_end", _subset(src, "stdout", "stderr", "status")),
+            (("search_end", "item:web_search"), js("results")),
+            ("image_end", _subset(src, "result", "saved_path", "failure")),
+            (("review", *_REVIEW_ITEMS), _subset(src, "target", "user_facing_hint", "review_output")),
+            ("item:command_execution",
+             _subset(src, "stdout", "stderr", "aggregated_output", "exit_code")),
+            ("item:dynamic_tool_call", _subset(src, "content_items", "error")),
+            ("item:collab_agent_tool_call", js("agents_states")),
+            ("item:image_generation", _subset(src, "result", "saved_path")),
+            ("item:file_change", _subset(src, "stdout", "stderr")),
+            ("item:mcp_tool_call", F.coalesce(js("result"), js("error"))),
+            ("item:extension", F.when(extension == "web.search", js("results"))
+             .when(extension == "image_gen.generation", _subset(src, "result", "savedPath", "failure"))
+             .when(extension != "clock.sleep", F.to_json(src))),
+        ),
+        "metadata": _case(
+            ("user", F.to_json(F.struct(size("images").alias("images"), size("audio").alias("audio")))),
+            ("item:user_message", F.to_json(F.struct(
+                parts(vx.IMAGE_PARTS).alias("images"), parts(vx.AUDIO_PARTS).alias("audio")))),
+            ("reasoning", F.to_json(F.struct(vx.given(src, "encrypted_content").alias("encrypted")))),
+            (("message", "item:agent_message"), phase),
+            (("subagent", "item:sub_agent_activity"), agent),
+            ("agent_message", F.to_json(F.struct(*spoken))),
+            ("agent_comm", F.to_json(F.struct(
+                *spoken, F.slice(recipients, 1, 20).alias("otherRecipients"),
+                F.coalesce(vx.flag(p, "trigger_turn"), F.lit(False)).alias("triggerTurn")))),
+            ((*_CALLS, *_ENDS), F.to_json(F.struct(F.col("type_in").alias("protocolType")))),
+            ("item:extension", F.to_json(F.struct(
+                F.lit("extension").alias("protocolType"), extension.alias("extensionKind")))),
+            (TOOL_ITEMS, F.to_json(F.struct(F.col("item_type").alias("protocolType")))),
+            otherwise=F.lit("{}"),
+        ),
+    })
+
+
+# Columns of a ledger row; what else was read from an entry stays behind.
+LEDGER_COLUMNS = (
+    "shape", "ordinal", "has_ordinal", "role", "legacy_only", "kind", "call", "eid", "ts_ms",
+    "start_ms", "end_ms", "persisted_start", "duration_ms", "ttft_ms", "aborted", "errored",
+    "error_text", "label", "specific", "summary_text", "failed", "authoritative", "given_id",
+    "id_prefix", "number_prefix", "user_text", "warning", "warning_detail", "model", "effort",
+    "collaboration", "in_context", "has_total", *[f"last_{c}" for c in COUNTERS],
+    *[f"cum_{c}" for c in COUNTERS], "context_window", "quota_primary", "quota_secondary", "meta",
+)
+DETAIL_COLUMNS = ("input", "output", "metadata")
+
+
+def project(entries: DataFrame, detail: bool = True) -> DataFrame:
+    """Ledger rows of admitted entries (map only: nothing is shuffled).
+
+    The steps build on each other, so every JSON path is read once per entry.
+    """
+    kept = [c for c in entries.columns if c != "entry"]
+    rows = _read_scalars(add_shape(entries))
+    rows = _add_samples(_add_outcome(_add_texts(_add_roles(rows))))
+    if detail:
+        rows = _add_details(rows)
+    return rows.select(*kept, *LEDGER_COLUMNS, *(DETAIL_COLUMNS if detail else ()))

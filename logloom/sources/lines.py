@@ -15,46 +15,40 @@ MAX_LINE_BYTES = 16 * 1024 * 1024
 REJECTS = ("oversized_jsonl", "malformed_utf8", "malformed_jsonl", "non_object_jsonl")
 
 
-def _existing(spark: SparkSession, roots: list[str]) -> list[str]:
-    """Roots that exist; a missing one simply holds no logs."""
+def _roots(spark: SparkSession, active: str, archived: str | None) -> list[str]:
+    """The roots that exist; a missing one simply holds no logs."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    paths = [(root, to_path(root)) for root in roots]
-    return [root for root, path in paths if path.getFileSystem(conf).exists(path)]
+    roots = [r for r in (active, archived) if r and to_path(r).getFileSystem(conf).exists(to_path(r))]
+    if not roots:
+        raise ValueError("no session logs were found")
+    return roots
 
 
 def list_rollouts(spark: SparkSession, active: str, archived: str | None = None) -> DataFrame:
     """One row per log file: path, stem, file UUID, size, time, archived. Reads no content."""
-    roots = _existing(spark, [r for r in (active, archived) if r])
     files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(roots)
-        if roots else
-        spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.jsonl").load(_roots(spark, active, archived))
     )
+    path, modified = F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")
+    in_archive = F.lit(False) if not archived else path.contains(archived.rstrip("/") + "/")
     return files.select(
-        F.col("path").alias("file"),
-        tx.file_stem(F.col("path")).alias("stem"),
-        tx.rollout_id(tx.file_stem(F.col("path"))).alias("rollout_id"),
-        F.col("length").alias("file_size"),
-        F.unix_micros("modificationTime").alias("modified_us"),
-        F.unix_millis("modificationTime").alias("modified_ms"),
-        _archived(F.col("path"), archived).alias("archived"),
+        path.alias("file"),
+        tx.file_stem(path).alias("stem"),
+        tx.rollout_id(tx.file_stem(path)).alias("rollout_id"),
+        F.col("_metadata.file_size").alias("file_size"),
+        F.unix_micros(modified).alias("modified_us"),
+        F.unix_millis(modified).alias("modified_ms"),
+        in_archive.alias("archived"),
     )
 
 
-def _archived(path, archived):
-    if not archived:
-        return F.lit(False)
-    return path.contains(archived.rstrip("/") + "/")
-
-
 def read_lines(spark: SparkSession, active: str, archived: str | None = None) -> DataFrame:
     """Every line of every log with its file and its position inside the file."""
-    roots = _existing(spark, [r for r in (active, archived) if r])
     lines = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-        .option("lineSep", "\n").text(roots)
+        .option("lineSep", "\n").text(_roots(spark, active, archived))
     )
     return lines.select(
         F.col("_metadata.file_path").alias("file"),
