@@ -258,7 +258,58 @@ def queries() -> dict[str, str]:
         UNION ALL SELECT 'stats.calls_within_records', count(*), count(*) FILTER (tool_calls > records) FROM stats
         UNION ALL SELECT 'stats.span', count(*), count(*) FILTER (first_ms > last_ms) FROM stats)
       SELECT rule, CAST("rows" AS BIGINT) AS "rows", CAST(broken AS BIGINT) AS broken FROM out"""
+    log_records = f"""WITH {RECORDS}
+        SELECT 'user-' || CAST(session AS VARCHAR) AS session, "index", turn, step, kind,
+               replace(event, 'tool ', 'tool.') AS event,
+               CASE WHEN kind = 'tool' THEN replace(event, 'tool ', 'tool.') || ' · ' || status
+                    ELSE 'said ' || CAST(k AS VARCHAR) END AS summary, status, call, started_ms,
+               completed_ms, duration_ms, error
+        FROM records JOIN (SELECT event_id, k FROM e) USING (event_id)"""
+    quarantine = f"""WITH {EVENTS}
+        SELECT 'user-' || CAST(session AS VARCHAR) AS file, seq AS line_no,
+               CASE WHEN k % 8 = 2 THEN 'non_object_jsonl' ELSE 'malformed_jsonl' END AS code
+        FROM e WHERE k % 8 NOT IN (0, 5)"""
     return {
+        "log_records": log_records,
+        "log_records_chunked": log_records,
+        "log_turns": f"""WITH {with_turns}
+            SELECT 'user-' || CAST(session AS VARCHAR) AS session, turn, id, started_ms, completed_ms,
+                   duration_ms, status, CASE WHEN cut_by IS NOT NULL
+                   THEN 'Turn ended without a matching completion event.' END AS error, records, steps
+            FROM turns""",
+        "log_sessions": f"""WITH {TURNS}{STATS}
+            SELECT 'user-' || CAST(session AS VARCHAR) AS id, 'Untitled task' AS title, turns, records,
+                   tool_calls, failed_tools, compactions, first_ms AS started_ms, last_ms AS updated_ms,
+                   false AS archived
+            FROM stats""",
+        "log_warnings": f"""WITH {TURNS},
+            w AS (
+              SELECT session, seq, CASE WHEN role = 'R' AND creates THEN 'unmatched_tool_result'
+                     WHEN split AND role = 'S' THEN 'overlapping_turn_start'
+                     WHEN split THEN 'mismatched_turn_completion' END AS code FROM r)
+            SELECT 'user-' || CAST(session AS VARCHAR) AS session, seq AS line, code FROM w
+            WHERE code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq) <= 100""",
+        "log_quota": f"""WITH {EVENTS}
+            SELECT 'user-' || CAST(session AS VARCHAR) AS session, 'primary' AS "window",
+                   CAST(amount * 2 AS DOUBLE) AS used_percent,
+                   CAST(100 - amount * 2 AS DOUBLE) AS remaining_percent
+            FROM e WHERE role = 'K' AND amount * 2 BETWEEN 0 AND 100 AND k % 7 <> 0
+            QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq DESC) = 1""",
+        "log_record_ids": f"""WITH {TURNS}
+            SELECT 'user-' || CAST(session AS VARCHAR) AS session, count(*) AS records, count(*) AS ids
+            FROM r WHERE creates GROUP BY session""",
+        "quarantine": quarantine,
+        "quarantine_chunked": quarantine,
+        "document_admission": r"""WITH d AS (
+              SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS file, unnest(string_split(text, chr(10))) AS line FROM documents),
+            c AS (
+              SELECT file, regexp_matches(line, '^[ \t\r\v\f]*$') AS blank, coalesce(json_valid(line), false) AS valid,
+                     coalesce(CASE WHEN json_valid(line) THEN json_type(line) END = 'OBJECT', false) AS obj FROM d)
+            SELECT file, count(*) AS lines, count(*) FILTER (NOT blank AND obj) AS good,
+                   CAST(0 AS BIGINT) AS oversized_jsonl, CAST(0 AS BIGINT) AS malformed_utf8,
+                   count(*) FILTER (NOT blank AND NOT valid) AS malformed_jsonl,
+                   count(*) FILTER (NOT blank AND valid AND NOT obj) AS non_object_jsonl
+            FROM c GROUP BY file""",
         "record_ledger": ledger,
         "record_ledger_chunked": ledger,
         "turn_islands": islands,

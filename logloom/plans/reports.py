@@ -11,7 +11,8 @@ from logloom.operators.carry import MAX_ROWS, scan, total
 from logloom.operators.defaults import COUNTERS
 from logloom.operators.sequence import add_owner, role_in, sequence
 from logloom.operators.tools import fold_results, orphan_results, tool_totals
-from logloom.plans import contract, gold, overview
+from logloom.plans import build, contract, gold, overview
+from logloom.sources import derived, lines
 from logloom.sources.tables import conversation_ledger, event_ledger, with_samples
 
 
@@ -392,3 +393,65 @@ def path_redaction(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
     return rows.select("page_id", tx.shown_path(path, "/wiki").alias("path"))
+
+
+# --- logs: the same events as JSON lines, through the whole log pipeline ---------------------
+
+
+def _logs(spark, sf_dir, max_rows=MAX_ROWS) -> build.Logs:
+    raw = derived.event_lines(spark, sf_dir)
+    return build.from_lines(derived.files_of(raw), raw, max_rows=max_rows)
+
+
+def log_records(spark, sf_dir, max_rows=MAX_ROWS):
+    return build.records(_logs(spark, sf_dir, max_rows)).select(
+        "session", "index", "turn", "step", "kind", "event", "summary", "status", "call",
+        "started_ms", "completed_ms", "duration_ms", "error",
+    )
+
+
+def log_turns(spark, sf_dir, max_rows=MAX_ROWS):
+    return build.turns(_logs(spark, sf_dir, max_rows)).select(
+        "session", "turn", "id", "started_ms", "completed_ms", "duration_ms", "status", "error",
+        "records", "steps",
+    )
+
+
+def log_sessions(spark, sf_dir, max_rows=MAX_ROWS):
+    return build.sessions(_logs(spark, sf_dir, max_rows)).select(
+        "id", "title", "turns", "records", "tool_calls", "failed_tools", "compactions",
+        "started_ms", "updated_ms", "archived",
+    )
+
+
+def log_warnings(spark, sf_dir, max_rows=MAX_ROWS):
+    return build.warnings(_logs(spark, sf_dir, max_rows)).select("session", "line", "code")
+
+
+def log_quota(spark, sf_dir, max_rows=MAX_ROWS):
+    return build.quotas(_logs(spark, sf_dir, max_rows)).select(
+        "session", "window", "used_percent", "remaining_percent"
+    )
+
+
+def log_record_ids(spark, sf_dir, max_rows=MAX_ROWS):
+    """Ids of the log's records: unique per session."""
+    return build.records(_logs(spark, sf_dir, max_rows)).groupBy("session").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("id").alias("ids")
+    )
+
+
+def quarantine(spark, sf_dir, max_rows=MAX_ROWS):
+    """Line number and code of every refused line."""
+    admitted = lines.admit(derived.faulty_lines(spark, sf_dir))
+    return lines.quarantine(lines.frame(admitted.drop("entry"), max_rows))
+
+
+def document_admission(spark, sf_dir):
+    """How many lines of each document are blank, good or refused."""
+    admitted = lines.admit(derived.document_lines(spark, sf_dir)).withColumn(
+        "good", F.col("entry").isNotNull())
+    return admitted.groupBy("file").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if("good").alias("good"),
+        *[F.count_if(F.col("reject") == code).alias(code) for code in lines.REJECTS],
+    )
