@@ -21,14 +21,19 @@ def ms_of_number(number: Column) -> Column:
     return _kept(F.bround(F.when(F.abs(number) < SECONDS_BELOW, number * 1000).otherwise(number)))
 
 
+_ISO = (r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?"
+        r"([Zz]|[+-]\d{2}:?\d{2}(:?\d{2})?)?)?$")
+_OFFSET = r"[Zz]$|[T ].*[+-]\d{2}:?\d{2}(:?\d{2})?$"
+
+
 def ms_of_text(text: Column) -> Column:
     """ISO-8601 text; a text without offset is UTC."""
-    iso = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?([Zz]|[+-]\d{2}:?\d{2}(:?\d{2})?)?)?$")
-    zoned = text.rlike(r"([Zz]|[T ].*[+-]\d{2}:?\d{2}(:?\d{2})?)$")
-    stamp = F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))))
-    dated = F.try_to_timestamp(F.concat(text, F.lit("T00:00:00Z")))
-    micros = F.unix_micros(F.when(F.length(text) == 10, dated).otherwise(stamp))
-    return F.when(iso, _kept(F.bround(micros / 1000)))
+    stamp = (
+        F.when(F.length(text) == 10, F.try_to_timestamp(F.concat(text, F.lit("T00:00:00Z"))))
+        .when(text.rlike(_OFFSET), F.try_to_timestamp(text))
+        .otherwise(F.try_to_timestamp(F.concat(text, F.lit("Z"))))
+    )
+    return F.when(text.rlike(_ISO), F.bround(F.unix_micros(stamp) / 1000).cast("long"))
 
 
 def iso_of_ms(ms: Column) -> Column:

@@ -28,6 +28,25 @@ def _is(value: Column, name: str) -> Column:
     return F.coalesce(F.schema_of_variant(value) == name, F.lit(False))
 
 
+def parts_of(value: Column, path: str, *names: str) -> Column:
+    """Struct of the named sub-values, read in one go; null where there is no object."""
+    fields = ", ".join(f"{n}: variant" for n in names)
+    return F.try_variant_get(value, "$" + (f".{path}" if path else ""), f"struct<{fields}>")
+
+
+def as_text(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def as_whole(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+
+
+def as_number(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"),
+                  F.try_variant_get(value, "$", "double"))
+
+
 def is_object(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
@@ -81,7 +100,11 @@ def closed(raw: Column) -> Column:
     The built-in parser ignores what follows a value; the closing digest shows
     whether the text was one whole value.
     """
-    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), F.md5(raw), F.lit('"]')))
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), _digest(raw), F.lit('"]')))
+
+
+def _digest(raw: Column) -> Column:
+    return F.xxhash64(raw).cast("string")
 
 
 def strict_parse(raw: Column) -> Column:
@@ -95,7 +118,7 @@ def opened(raw: Column, wrapped: Column) -> Column:
     Numbers and nesting are checked with string literals blanked out, and only
     where the text has enough digits or brackets to break a limit.
     """
-    whole_text = (F.try_variant_get(wrapped, "$[1]", "string") == F.md5(raw)) & F.try_variant_get(
+    whole_text = (F.try_variant_get(wrapped, "$[1]", "string") == _digest(raw)) & F.try_variant_get(
         wrapped, "$[2]", "variant"
     ).isNull()
     bare = F.regexp_replace(raw, _STRINGS, '""')
@@ -103,16 +126,17 @@ def opened(raw: Column, wrapped: Column) -> Column:
     bad_number = F.exists(numbers, lambda n: F.when(
         n.rlike(r"[.eE]"), F.abs(n.cast("double")) == float("inf")
     ).otherwise(F.length(F.regexp_replace(n, "-", "")) > MAX_DIGITS))
-    brackets = F.regexp_replace(bare, r"[^\[\]{}]++", "")
     deepest = F.aggregate(
-        F.split(brackets, ""),
+        F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), ""),
         F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda at, c: _deeper(at, at["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)),
+        lambda at, c: _deeper(
+            at, at["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)),
         lambda at: at["top"],
     )
-    bad = (raw.rlike(r"\d{200}|[eE]\+?\d{3}") & bad_number) | (
-        (F.length(brackets) > MAX_DEPTH) & (deepest > MAX_DEPTH)
-    )
+    opening = F.length(raw) - F.length(F.translate(raw, "[{", ""))
+    bad = F.when(raw.rlike(r"\d{200}|[eE]\+?\d{3}"), bad_number).otherwise(F.lit(False)) | F.when(
+        (F.length(raw) > 2 * MAX_DEPTH) & (opening > MAX_DEPTH), deepest > MAX_DEPTH
+    ).otherwise(F.lit(False))
     return F.when(whole_text & ~bad, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
@@ -151,10 +175,6 @@ def count_parts(value: Column, path: str, kinds: tuple[str, ...]) -> Column:
     return F.coalesce(F.size(parts), F.lit(0))
 
 
-def string_of(value: Column) -> Column:
-    return F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
-
-
 def reports_error(parsed: Column) -> Column:
     """Failure markers of a parsed tool output: isError, success=false or Err, inside Ok wrappers."""
     levels = []

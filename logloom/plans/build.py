@@ -16,7 +16,7 @@ from logloom.operators.defaults import COUNTERS
 from logloom.operators.sequence import role_in, sequence
 from logloom.plans import gold, overview
 from logloom.plans.projection import DETAIL_COLUMNS, project
-from logloom.session import written
+from logloom.session import split_large_methods, written
 from logloom.sources import lineage, lines
 
 SUPERSEDED = {
@@ -60,7 +60,8 @@ def from_lines(files: DataFrame, raw: DataFrame, detail: str = "summary",
     The parsed lines and the finished ledger are written once each: the file
     table, the history and all gold tables read them from there.
     """
-    rows = written(silver(raw, detail, max_rows), "lines")
+    with split_large_methods(raw.sparkSession):
+        rows = written(silver(raw, detail, max_rows), "lines")
     rollouts = lineage.describe(files, rows)
     errors = rollouts.select(F.col("file").alias("session"), F.lit("").alias("error")).limit(0)
     segments = None

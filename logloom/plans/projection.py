@@ -70,21 +70,26 @@ def _case(*branches: tuple[str | tuple[str, ...], Column], otherwise: Column | N
 
 def add_shape(entries: DataFrame) -> DataFrame:
     """Payload ``p``, its item, and the shape of every admitted entry."""
-    entry, p = F.col("entry"), F.col("p")
-    rows = entries.withColumns({
-        "kind_in": vx.text(entry, "type"), "p": vx.field(entry, "payload"),
-        "__time_n": vx.number(entry, "timestamp"), "__time_t": vx.text(entry, "timestamp"),
-        "ordinal": vx.whole(entry, "ordinal"),
-        "has_ordinal": F.coalesce(vx.field(entry, "ordinal").isNotNull(), F.lit(False)),
-    }).drop("entry")
+    p, head = F.col("p"), F.col("__head")
+    rows = entries.withColumn(
+        "__head", vx.parts_of(F.col("entry"), "", "type", "payload", "timestamp", "ordinal")
+    ).withColumns({
+        "kind_in": vx.as_text(head["type"]), "p": head["payload"],
+        "__time_n": vx.as_number(head["timestamp"]), "__time_t": vx.as_text(head["timestamp"]),
+        "ordinal": vx.as_whole(head["ordinal"]),
+        "has_ordinal": F.coalesce(head["ordinal"].isNotNull(), F.lit(False)),
+    }).drop("entry", "__head")
     rows = rows.withColumns({
         "ts_ms": _stamp("__time"), "type_in": vx.text(p, "type"),
-        "item": F.when(F.col("kind_in") == "event_msg", vx.field(p, "item")),
-        "speaker": F.when(F.col("kind_in") == "response_item", vx.text(p, "role")),
     }).drop("__time_n", "__time_t")
+    is_item = (F.col("kind_in") == "event_msg") & (F.col("type_in") == "item_completed")
     rows = rows.withColumns({
-        "item_type": tx.snake_case(vx.text(F.col("item"), "type")),
-        "has_item": vx.is_object(F.col("item")),
+        "item": F.when(is_item, vx.field(p, "item")),
+        "speaker": F.when(F.col("type_in") == "message", vx.text(p, "role")),
+    })
+    rows = rows.withColumns({
+        "item_type": F.when(is_item, tx.snake_case(vx.text(F.col("item"), "type"))),
+        "has_item": is_item & vx.is_object(F.col("item")),
     })
     item_shape = (
         F.when(~F.col("has_item"), "bad_item")
@@ -99,7 +104,7 @@ def add_shape(entries: DataFrame) -> DataFrame:
     shape = (
         F.when(F.col("kind_in") == "session_meta", "meta")
         .when(F.col("kind_in") == "turn_context", "context")
-        .when((F.col("kind_in") == "event_msg") & (F.col("type_in") == "item_completed"), item_shape)
+        .when(is_item, item_shape)
         .when(F.col("kind_in") == "event_msg", _lookup(EVENTS, F.col("type_in")))
         .when(F.col("kind_in") == "response_item", response)
         .when(F.col("kind_in") == "compacted", "checkpoint")
@@ -115,56 +120,88 @@ def _stamp(name: str) -> Column:
     return F.coalesce(tm.ms_of_number(F.col(name + "_n")), tm.ms_of_text(F.col(name + "_t")))
 
 
-# Scalar fields read from an entry (column name: path, longest shown text). Short texts
-# have white space collapsed; the others are taken as they are.
+_ENDS = ("mcp_end", "patch_end", "search_end", "image_end")
+_CALLS = ("call", "shell", "finder", "search", "image")
+_ITEM_SHAPES = ("item:?", *["item:" + i for i in ITEMS])
+_REVIEW_ITEMS = ("item:entered_review_mode", "item:exited_review_mode")
+_COMPACTIONS = ("compaction", "checkpoint", "compacted", "item:context_compaction")
+_BOUNDS = ("start", "end", "abort")
+_AGENTS = ("subagent", "item:sub_agent_activity")
+_SEARCHES = ("search", "search_end", "item:web_search", "item:extension")
+_TALK = ("agent_message", "agent_comm")
+
+# Scalar fields of an entry: path, longest shown text, and the shapes that use the field.
+# These short texts have white space collapsed.
 _SHORT = {
-    "s_status": ("status", 80), "s_kind": ("kind", 100), "s_phase": ("phase", 80),
-    "s_agent_path": ("agent_path", 200), "s_thread": ("agent_thread_id", 100),
-    "s_action": ("action.type", 80), "s_namespace": ("namespace", 100), "s_name": ("name", 160),
-    "s_tool": ("tool", 160), "s_server": ("server", 100), "s_execution": ("execution", 160),
-    "s_author": ("author", 200), "s_recipient": ("recipient", 200), "s_model": ("model", 200),
-    "s_effort": ("effort", 80), "s_mode": ("collaboration_mode.mode", 80),
-    "s_mode_kind": ("collaboration_mode_kind", 80), "s_call_server": ("invocation.server", 100),
-    "s_call_tool": ("invocation.tool", 160),
+    "s_status": ("status", 80, ("shell", "finder", "finder_output", "search", "image", "patch_end",
+                                "image_end", *TOOL_ITEMS)),
+    "s_kind": ("kind", 100, (*_AGENTS, "item:extension")),
+    "s_phase": ("phase", 80, ("message", "item:agent_message")),
+    "s_agent_path": ("agent_path", 200, _AGENTS), "s_thread": ("agent_thread_id", 100, _AGENTS),
+    "s_action": ("action.type", 80, _SEARCHES),
+    "s_namespace": ("namespace", 100, ("call", "item:dynamic_tool_call")),
+    "s_name": ("name", 160, ("call",)),
+    "s_tool": ("tool", 160, ("item:dynamic_tool_call", "item:collab_agent_tool_call",
+                             "item:mcp_tool_call")),
+    "s_server": ("server", 100, ("item:mcp_tool_call",)),
+    "s_execution": ("execution", 160, ("finder",)),
+    "s_author": ("author", 200, _TALK), "s_recipient": ("recipient", 200, _TALK),
+    "s_model": ("model", 200, ("context", "start")), "s_effort": ("effort", 80, ("context",)),
+    "s_mode": ("collaboration_mode.mode", 80, ("context",)),
+    "s_mode_kind": ("collaboration_mode_kind", 80, ("context", "start")),
+    "s_call_server": ("invocation.server", 100, ("mcp_end",)),
+    "s_call_tool": ("invocation.tool", 160, ("mcp_end",)),
 }
+# Texts taken as they are.
 _TEXTS = {
-    "t_call_id": "call_id", "t_id": "id", "t_event_id": "event_id", "t_item_id": "item_id",
-    "t_message": "message", "t_text": "text", "t_content": "content",
+    "t_call_id": ("call_id", (*_CALLS, "finder_output", "output", *_ENDS)),
+    "t_id": ("id", (*_CALLS, "reasoning", "message", "compaction", *_TALK, *_ITEM_SHAPES)),
+    "t_event_id": ("event_id", ("subagent",)), "t_item_id": ("item_id", ("review",)),
+    "t_message": ("message", ("user", "checkpoint")), "t_text": ("text", ("item:plan",)),
+    "t_content": ("content", ("agent_comm",)),
 }
 _PAYLOAD_TEXTS = {
-    "t_turn": "turn_id", "t_passed_turn": "internal_chat_message_metadata_passthrough.turn_id",
-    "t_reason": "reason", "t_reason_message": "reason.message",
-    "t_error": "error", "t_error_message": "error.message",
-    "t_begun_t": "started_at", "t_ended_t": "completed_at",
+    "t_turn": ("turn_id", (*_BOUNDS, *_ITEM_SHAPES)),
+    "t_passed_turn": ("internal_chat_message_metadata_passthrough.turn_id", ("agent_message",)),
+    "t_reason": ("reason", ("abort",)), "t_reason_message": ("reason.message", ("abort",)),
+    "t_error": ("error", ("end",)), "t_error_message": ("error.message", ("end",)),
+    "t_begun_t": ("started_at", _BOUNDS), "t_ended_t": ("completed_at", _BOUNDS),
 }
 _NUMBERS = {
-    "t_begun_n": "started_at", "t_ended_n": "completed_at", "n_done": "completed_at_ms",
-    "n_begun": "started_at_ms", "n_duration_ms": "duration_ms", "n_ttft": "time_to_first_token_ms",
-    "n_occurred": "occurred_at_ms",
+    "t_begun_n": ("started_at", _BOUNDS), "t_ended_n": ("completed_at", _BOUNDS),
+    "n_done": ("completed_at_ms", _ITEM_SHAPES), "n_begun": ("started_at_ms", _ITEM_SHAPES),
+    "n_duration_ms": ("duration_ms", _BOUNDS), "n_ttft": ("time_to_first_token_ms", _BOUNDS),
+    "n_occurred": ("occurred_at_ms", ("subagent",)),
 }
 
 
 def _read_scalars(rows: DataFrame) -> DataFrame:
-    """Every scalar field as a column of its own, so that each JSON path is read once."""
+    """Every scalar field as a column of its own, read once and only where a shape uses it."""
     p, src = F.col("p"), F.col("src")
+    timed = (*_ENDS, *TOOL_ITEMS)
+    judged = ("end", "mcp_end", "patch_end", "image_end", *TOOL_ITEMS)
     rows = rows.withColumns({
-        **{name: tx.collapse(vx.text(src, path)) for name, (path, _) in _SHORT.items()},
-        **{name: vx.text(src, path) for name, path in _TEXTS.items()},
-        **{name: vx.text(p, path) for name, path in _PAYLOAD_TEXTS.items()},
-        **{name: vx.number(p, path) for name, path in _NUMBERS.items()},
-        "n_seconds": vx.number(src, "duration"), "n_sleep": vx.number(src, "durationMs"),
-        "i_secs": vx.whole(src, "duration.secs"), "i_nanos": vx.whole(src, "duration.nanos"),
-        "has_nanos": vx.field(src, "duration.nanos").isNotNull(),
-        "b_success": vx.flag(src, "success"), "has_error": vx.given(src, "error"),
-        "has_failure": vx.given(src, "failure"),
-        "i_rolled": F.when(F.col("shape") == "rollback", vx.whole(p, "num_turns")),
+        **{name: _case((shapes, tx.collapse(vx.text(src, path))))
+           for name, (path, _, shapes) in _SHORT.items()},
+        **{name: _case((shapes, vx.text(src, path))) for name, (path, shapes) in _TEXTS.items()},
+        **{name: _case((shapes, vx.text(p, path))) for name, (path, shapes) in _PAYLOAD_TEXTS.items()},
+        **{name: _case((shapes, vx.number(p, path))) for name, (path, shapes) in _NUMBERS.items()},
+        "n_seconds": _case((timed, vx.number(src, "duration"))),
+        "n_sleep": _case(("item:extension", vx.number(src, "durationMs"))),
+        "i_secs": _case((timed, vx.whole(src, "duration.secs"))),
+        "i_nanos": _case((timed, vx.whole(src, "duration.nanos"))),
+        "has_nanos": _case((timed, vx.field(src, "duration.nanos").isNotNull())),
+        "b_success": _case((judged, vx.flag(src, "success"))),
+        "has_error": _case((judged, vx.given(src, "error"))),
+        "has_failure": _case((judged, vx.given(src, "failure"))),
+        "i_rolled": _case(("rollback", vx.whole(p, "num_turns"))),
         "__probe": _case(("output", vx.field(p, "output")),
                          (("mcp_end", "item:mcp_tool_call"), vx.field(src, "result"))),
     })
     rows = rows.withColumns({
         **{name: F.when(F.col(name) != "", tx.clip(F.col(name), limit))
-           for name, (_, limit) in _SHORT.items()},
-        "__probe_text": vx.string_of(F.col("__probe")),
+           for name, (_, limit, _s) in _SHORT.items()},
+        "__probe_text": vx.as_text(F.col("__probe")),
         "t_begun": _stamp("t_begun"), "t_ended": _stamp("t_ended"),
     }).withColumn("__closed", vx.closed(F.col("__probe_text")))
     rows = rows.withColumn("__parsed", F.when(
@@ -203,13 +240,6 @@ def _filled(column: str) -> Column:
     return F.when(F.col(column) != "", F.col(column))
 
 
-_ENDS = ("mcp_end", "patch_end", "search_end", "image_end")
-_CALLS = ("call", "shell", "finder", "search", "image")
-_ITEM_SHAPES = ("item:?", *["item:" + i for i in ITEMS])
-_REVIEW_ITEMS = ("item:entered_review_mode", "item:exited_review_mode")
-_COMPACTIONS = ("compaction", "checkpoint", "compacted", "item:context_compaction")
-
-
 def _add_roles(rows: DataFrame) -> DataFrame:
     """Role, kind, label, call id and turn id."""
     finished = F.coalesce(F.col("status").isin(*OPEN_ENDED), F.lit(False))
@@ -408,22 +438,24 @@ def _add_samples(rows: DataFrame) -> DataFrame:
     """Token counters, context window, quota windows and session metadata."""
     p = F.col("p")
     is_tokens = F.col("shape") == "tokens"
+    names = [f"{c}_tokens" for c in COUNTERS]
+    windows = ("primary", "secondary")
+    rows = rows.withColumns({
+        "__last": F.when(is_tokens, vx.parts_of(p, "info.last_token_usage", *names)),
+        "__total": F.when(is_tokens, vx.parts_of(p, "info.total_token_usage", *names)),
+        **{f"__{w}": F.when(is_tokens, vx.parts_of(
+            p, f"rate_limits.{w}", "used_percent", "window_minutes", "resets_at")) for w in windows},
+    })
     rows = rows.withColumns({
-        **{f"last_{c}": F.when(is_tokens, vx.whole(p, f"info.last_token_usage.{c}_tokens"))
-           for c in COUNTERS},
-        **{f"cum_{c}": F.when(is_tokens, vx.whole(p, f"info.total_token_usage.{c}_tokens"))
-           for c in COUNTERS},
+        **{f"last_{c}": vx.as_whole(F.col(f"__last.{c}_tokens")) for c in COUNTERS},
+        **{f"cum_{c}": vx.as_whole(F.col(f"__total.{c}_tokens")) for c in COUNTERS},
         "has_total": F.when(is_tokens, vx.field(p, "info.total_token_usage").isNotNull()),
         "context_window": _case(("tokens", vx.whole(p, "info.model_context_window")),
                                 ("start", vx.whole(p, "model_context_window"))),
-        **{f"q_used_{w}": F.when(is_tokens, vx.number(p, f"rate_limits.{w}.used_percent"))
-           for w in ("primary", "secondary")},
-        **{f"q_minutes_{w}": F.when(is_tokens, vx.whole(p, f"rate_limits.{w}.window_minutes"))
-           for w in ("primary", "secondary")},
-        **{f"q_reset_{w}_n": F.when(is_tokens, vx.number(p, f"rate_limits.{w}.resets_at"))
-           for w in ("primary", "secondary")},
-        **{f"q_reset_{w}_t": F.when(is_tokens, vx.text(p, f"rate_limits.{w}.resets_at"))
-           for w in ("primary", "secondary")},
+        **{f"q_used_{w}": vx.as_number(F.col(f"__{w}.used_percent")) for w in windows},
+        **{f"q_minutes_{w}": vx.as_whole(F.col(f"__{w}.window_minutes")) for w in windows},
+        **{f"q_reset_{w}_n": vx.as_number(F.col(f"__{w}.resets_at")) for w in windows},
+        **{f"q_reset_{w}_t": vx.as_text(F.col(f"__{w}.resets_at")) for w in windows},
         "meta": F.when(F.col("shape") == "meta", _metadata(p)),
     })
     counters = [f"{kind}_{c}" for kind in ("last", "cum") for c in COUNTERS]
@@ -482,7 +514,7 @@ def _add_details(rows: DataFrame) -> DataFrame:
         F.coalesce("s_kind", F.lit("activity")).alias("activity")))
     spoken = [F.col("s_author").alias("author"), F.col("s_recipient").alias("recipient")]
     recipients = F.filter(
-        F.transform(vx.array(p, "other_recipients"), lambda r: tx.shorten(vx.string_of(r), 200)),
+        F.transform(vx.array(p, "other_recipients"), lambda r: tx.shorten(vx.as_text(r), 200)),
         lambda r: r.isNotNull())
     size = lambda path: F.coalesce(F.size(vx.array(src, path)), F.lit(0))
     parts = lambda kinds: vx.count_parts(src, "content", kinds)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def split_large_methods(spark: SparkSession) -> Iterator[None]:
+    """Keep very wide projections out of one generated method while a job runs.
+
+    The JVM does not compile methods above 8,000 bytes of bytecode; beyond that
+    size each operator gets small generated methods of its own instead.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -66,13 +66,13 @@ def admit(lines: DataFrame) -> DataFrame:
     """
     raw = F.col("raw")
     size = F.octet_length(raw) + 1
-    blank = F.trim(F.regexp_replace(raw, r"[\t\n\x0b\f\r]", " ")) == ""
-    fits = (size <= MAX_LINE_BYTES) & ~blank & F.is_valid_utf8(raw)
+    blank = raw.rlike(r"^[ \t\x0b\f\r]*$")
+    fits = (size <= MAX_LINE_BYTES) & F.is_valid_utf8(raw)
     # two steps, so that each line is parsed once
     parsed = lines.withColumns({
         "size": size.cast("long"), "__closed": F.when(fits, vx.closed(raw)),
     }).withColumn("__value", vx.opened(raw, F.col("__closed")))
-    is_object = vx.is_object(F.col("__value"))
+    is_object = raw.rlike(r"^[ \t\r]*\{")
     reject = (
         F.when(size > MAX_LINE_BYTES, "oversized_jsonl")
         .when(blank, None)
