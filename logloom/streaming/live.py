@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logloom.functions import arguments
 from logloom.operators import pages
-from logloom.plans import build, overview
+from logloom.plans import build
 
 class LiveUpdates:
     """Line table, update table and revision table under one folder.
@@ -68,9 +68,11 @@ class LiveUpdates:
             F.struct("chunk", "block").alias("block"), "position", "raw",
         )
         logs = build.from_lines(self._files(history), raw)
-        revisions = overview.revisions(history.groupBy(F.col("file").alias("session"),
-                                                       F.col("chunk").alias("path")).agg(
-            F.lit("").alias("modified"), F.sum(F.octet_length("raw") + 1).alias("size")))
+        # a session can have any number of chunks: its revision is a digest of plain aggregates
+        revisions = history.groupBy(F.col("file").alias("session")).agg(F.sha2(F.concat_ws(
+            "|", F.max("chunk"), F.count(F.lit(1)), F.sum(F.octet_length("raw") + 1),
+            F.bit_xor(F.xxhash64("chunk", "block", "raw")),
+        ), 256).alias("revision"))
         newest = pages.newest_page(build.records(logs), arguments.LIVE_RECORDS)
         self._put("records", newest.join(revisions, "session"), batch_id)
         self._put("turns", build.turns(logs), batch_id)
