@@ -24,7 +24,7 @@ MAX_ROWS = 4_000_000
 
 @dataclass(frozen=True)
 class Running:
-    """A running value: ``how`` is ``sum``, or ``first`` / ``last`` (first or last non-null)."""
+    """A running value: ``how`` is ``sum``, ``max``, or ``first`` / ``last`` (non-null)."""
 
     name: str
     value: Column
@@ -47,6 +47,11 @@ def earliest(name: str, value: Column) -> Running:
     return Running(name, value, "first", False)
 
 
+def highest(name: str, value: Column) -> Running:
+    """Largest value so far, the current row included."""
+    return Running(name, value, "max", False)
+
+
 def is_hot(df: DataFrame, session: Sequence[str], max_rows: int = MAX_ROWS) -> bool:
     """Whether some session has more than ``max_rows`` rows (one column, map-side counts)."""
     counts = df.groupBy(*session).count().filter(F.col("count") > max_rows)
@@ -112,8 +117,8 @@ def scan(
 
 
 def _fold(running: Running, value: Column) -> Column:
-    if running.how == "sum":
-        return F.sum(value)
+    if running.how in ("sum", "max"):
+        return F.sum(value) if running.how == "sum" else F.max(value)
     pick = F.first if running.how == "first" else F.last
     return pick(value, ignorenulls=True)
 
@@ -129,8 +134,8 @@ def _local(running: Running, value: Column, keys: Sequence[str]) -> Column:
 
 def _summary(running: Running, column: str) -> Column:
     value = F.col(column)
-    if running.how == "sum":
-        return F.sum(value).alias(running.name)
+    if running.how in ("sum", "max"):
+        return _fold(running, value).alias(running.name)
     pick = F.min_by if running.how == "first" else F.max_by
     return pick(value, F.when(value.isNotNull(), F.col("seq"))).alias(running.name)
 
@@ -139,4 +144,6 @@ def _combine(running: Running, carried: Column, own: Column) -> Column:
     zero = F.lit(0).cast("long")
     if running.how == "sum":
         return F.coalesce(carried, zero) + F.coalesce(own, zero)
+    if running.how == "max":
+        return F.greatest(carried, own)
     return F.coalesce(carried, own) if running.how == "first" else F.coalesce(own, carried)

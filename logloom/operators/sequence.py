@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.carry import earliest, latest, scan, total
+from logloom.operators.carry import earliest, highest, latest, scan, total
 
 MODEL_ROLES = ("M", "T", "IM")
 RESULT_ROLES = ("R", "IT", "TT")
@@ -55,7 +55,7 @@ def add_turns(rows: DataFrame, compactions: bool = False) -> DataFrame:
     ``turn`` counts the rows that open a turn (``opens``), ``live`` tells whether
     a turn is running, ``opened`` is the seq of the row that opened it, and
     ``split`` marks a row that opens a turn because its turn id differs from the
-    running one. A row may touch a turn without adding a record. With
+    running one; ``seen_ms`` is the latest time so far. A row may touch a turn without adding a record. With
     ``compactions`` the checkpoint/end pairs are resolved first, since an
     unpaired legacy end adds a record and so touches a turn.
     """
@@ -89,7 +89,8 @@ def _open_turns(rows: DataFrame) -> DataFrame:
         "opens", F.col("__touch") & (fresh | F.col("split"))
     )
     rows = scan(
-        rows, total("turn", F.col("opens")), latest("opened", F.when(F.col("opens"), F.col("seq")))
+        rows, total("turn", F.col("opens")), latest("opened", F.when(F.col("opens"), F.col("seq"))),
+        highest("seen_ms", F.col("ts_ms")),
     )
     return rows.withColumn(
         "live", F.coalesce(F.col("opened") > F.coalesce("__c", F.lit(-1)), F.lit(False))

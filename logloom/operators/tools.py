@@ -95,22 +95,22 @@ def orphan_results(rows: DataFrame) -> DataFrame:
     return rows.filter(role_in("R") & F.col("creates"))
 
 
+def logical_calls() -> tuple[Column, Column]:
+    """Aggregates per (session, call): is it a call, and did it fail; each counts once."""
+    failed = role_in(*RESULT_ROLES) & F.coalesce("failed", F.lit(False))
+    return F.bool_or(role_in(*CALL_ROLES)).cast("long"), F.bool_or(failed).cast("long")
+
+
 def tool_totals(rows: DataFrame) -> DataFrame:
     """Logical tool calls and failed calls per session: a call id counts once.
 
-    Rows are counted per (session, call) first, so a hot session is reduced before
+    Rows are reduced per (session, call) first, so a hot session is small before
     it is gathered; a row without a call id is a call of its own.
     """
-    failed = role_in(*RESULT_ROLES) & F.coalesce("failed", F.lit(False))
-    calls = (
-        rows.filter(role_in(*CALL_ROLES))
-        .groupBy("session", "call")
-        .agg(
-            F.when(F.col("call").isNull(), F.count(F.lit(1))).otherwise(1).alias("n"),
-            F.when(F.col("call").isNull(), F.count_if(failed))
-            .otherwise(F.bool_or(failed).cast("long")).alias("f"),
-        )
-    )
-    return calls.groupBy("session").agg(
+    calls, failures = logical_calls()
+    per_call = rows.filter(role_in(*CALL_ROLES)).groupBy(
+        "session", F.coalesce("call", F.concat(F.lit("#"), "seq")).alias("call")
+    ).agg(calls.alias("n"), failures.alias("f"))
+    return per_call.groupBy("session").agg(
         F.sum("n").alias("tool_calls"), F.sum("f").alias("failed_tools")
     )

@@ -16,7 +16,7 @@ from logloom.operators.defaults import COUNTERS
 from logloom.operators.sequence import role_in, sequence
 from logloom.plans import gold, overview
 from logloom.plans.projection import DETAIL_COLUMNS, project
-from logloom.session import split_large_methods, written
+from logloom.session import split_large_methods, spread, written
 from logloom.sources import lineage, lines
 
 SUPERSEDED = {
@@ -41,7 +41,7 @@ def silver(raw: DataFrame, detail: str = "summary", max_rows: int = MAX_ROWS) ->
 
     Input, output and metadata texts are carried along at full detail only.
     """
-    admitted = lines.admit(raw)
+    admitted = lines.admit(spread(raw))
     entries = admitted.withColumn("valid", F.col("entry").isNotNull())
     return lines.frame(project(entries, arguments.detail_level(detail) == "full"), max_rows)
 
@@ -70,7 +70,9 @@ def from_lines(files: DataFrame, raw: DataFrame, detail: str = "summary",
     told, broken = lineage.history(rows, segments, max_rows)
     if broken is not None:
         errors = errors.unionByName(broken)
-    return Logs(written(sequenced(told), "ledger"), rollouts, lines.quarantine(rows), errors)
+    with split_large_methods(raw.sparkSession):
+        ledger = written(sequenced(told), "ledger")
+    return Logs(ledger, rollouts, lines.quarantine(rows), errors)
 
 
 def sequenced(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from logloom.operators.tools import (
     first_where,
     fold_columns,
     last_where,
-    tool_totals,
+    logical_calls,
     with_fold_columns,
     with_status,
 )
@@ -37,7 +37,9 @@ def turns(rows: DataFrame) -> DataFrame:
 
     Everything is one partial aggregate over (session, turn). A turn cut short by
     a row of another turn gets that row's start as its end: the splitting row is
-    counted under its predecessor as well, so no window over turns is needed.
+    counted under its predecessor as well, so no window over turns is needed. A
+    turn still running at the end lasts until the latest time of the session,
+    which its rows carry.
     """
     rows = with_defaults(
         rows, "duration_ms", "error_text", "aborted", "errored", "ttft_ms", "model", "in_context",
@@ -59,12 +61,12 @@ def turns(rows: DataFrame) -> DataFrame:
     overrides = own & F.col("model").isNotNull() & (role_in("S") | F.coalesce("in_context", no))
     accepted = ~cut & F.col("accepted")
 
-    body = rows.filter(F.col("turn") > 0).withColumn("__cut", F.lit(False))
-    cuts = (
-        rows.filter(F.col("split")).withColumn("__cut", F.lit(True))
-        .withColumn("turn", F.col("turn") - 1)
-    )
-    grouped = body.unionByName(cuts).groupBy("session", "turn").agg(
+    itself = F.struct("turn", F.lit(False).alias("cut"))
+    before = F.struct((F.col("turn") - 1).alias("turn"), F.lit(True).alias("cut"))
+    rows = rows.filter(F.col("turn") > 0).withColumn("__at", F.explode(
+        F.when(F.col("split"), F.array(itself, before)).otherwise(F.array(itself))
+    )).withColumns({"turn": F.col("__at.turn"), "__cut": F.col("__at.cut")})
+    grouped = rows.groupBy("session", "turn").agg(
         first_where(F.col("eid"), names).alias("id"),
         F.coalesce(
             last_where(F.col("start_ms"), started),
@@ -85,18 +87,13 @@ def turns(rows: DataFrame) -> DataFrame:
             last_where(F.col("model"), overrides),
             first_where(F.col("context_model"), own & F.col("opens")),
         ).alias("model"),
-        F.max("ts_ms").alias("__last"),
-    )
-    # only the last turn of a session can still run; it lasts until the session's last row
-    span = rows.groupBy("session").agg(
-        F.max("ts_ms").alias("__session_last"), F.max("turn").alias("turn")
+        F.max("seen_ms").alias("__session_last"),
     )
-    joined = grouped.join(span, ["session", "turn"], "left")
     running = ~F.col("__done") & ~F.col("__was_cut")
     end = F.col("__end")
     aborted = F.col("__was_cut") | F.coalesce(end["aborted"], no)
     begun = F.coalesce(end["persisted_start"], F.col("started_ms"), end["ts_ms"])
-    return joined.select(
+    return grouped.select(
         "session", "turn", "id", "started_ms",
         F.when(F.col("__done"), end["end_ms"]).when(F.col("__was_cut"), F.col("__by.start_ms"))
         .alias("completed_ms"),
@@ -149,19 +146,23 @@ def tool_records(rows: DataFrame) -> DataFrame:
 
 
 def session_stats(rows: DataFrame) -> DataFrame:
-    """Totals per session over the whole log, whatever page is shown."""
-    totals = rows.groupBy("session").agg(
-        F.max("turn").alias("turns"),
-        F.count_if("creates").alias("records"),
+    """Totals per session over the whole log, whatever page is shown.
+
+    Rows are reduced per (session, call) first: that counts each call id once and
+    leaves a hot session small before it is gathered.
+    """
+    calls, failures = logical_calls()
+    per_call = rows.withColumn(
+        "call", F.when(role_in(*CALL_ROLES), F.coalesce("call", F.concat(F.lit("#"), "seq")))
+    ).groupBy("session", "call").agg(
+        F.max("turn").alias("turns"), F.count_if("creates").alias("records"),
         F.count_if(F.col("creates") & role_in("P", "CC", "IC")).alias("compactions"),
-        F.min("ts_ms").alias("first_ms"),
-        F.max("ts_ms").alias("last_ms"),
+        F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"),
+        calls.alias("tool_calls"), failures.alias("failed_tools"),
     )
-    zero = F.lit(0).cast("long")
-    return totals.join(tool_totals(rows), "session", "left").select(
-        "session", "turns", "records",
-        F.coalesce("tool_calls", zero).alias("tool_calls"),
-        F.coalesce("failed_tools", zero).alias("failed_tools"),
-        "compactions", "first_ms", "last_ms",
+    return per_call.groupBy("session").agg(
+        F.max("turns").alias("turns"), F.sum("records").alias("records"),
+        F.sum("tool_calls").alias("tool_calls"), F.sum("failed_tools").alias("failed_tools"),
+        F.sum("compactions").alias("compactions"),
+        F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"),
     )
-

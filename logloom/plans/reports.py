@@ -12,6 +12,7 @@ from logloom.operators.defaults import COUNTERS
 from logloom.operators.sequence import add_owner, role_in, sequence
 from logloom.operators.tools import fold_results, orphan_results, tool_totals
 from logloom.plans import build, contract, gold, overview
+from logloom.session import spread
 from logloom.sources import derived, lines
 from logloom.sources.tables import conversation_ledger, event_ledger, with_samples
 
@@ -443,13 +444,13 @@ def log_record_ids(spark, sf_dir, max_rows=MAX_ROWS):
 
 def quarantine(spark, sf_dir, max_rows=MAX_ROWS):
     """Line number and code of every refused line."""
-    admitted = lines.admit(derived.faulty_lines(spark, sf_dir))
+    admitted = lines.admit(spread(derived.faulty_lines(spark, sf_dir)))
     return lines.quarantine(lines.frame(admitted.drop("entry"), max_rows))
 
 
 def document_admission(spark, sf_dir):
     """How many lines of each document are blank, good or refused."""
-    admitted = lines.admit(derived.document_lines(spark, sf_dir)).withColumn(
+    admitted = lines.admit(spread(derived.document_lines(spark, sf_dir))).withColumn(
         "good", F.col("entry").isNotNull())
     return admitted.groupBy("file").agg(
         F.count(F.lit(1)).alias("lines"), F.count_if("good").alias("good"),

@@ -72,3 +72,9 @@ def split_large_methods(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out over all cores where the input has fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
