@@ -270,6 +270,46 @@ def queries() -> dict[str, str]:
                CASE WHEN k % 8 = 2 THEN 'non_object_jsonl' ELSE 'malformed_jsonl' END AS code
         FROM e WHERE k % 8 NOT IN (0, 5)"""
     return {
+        "lineage_history": f"""WITH m AS (
+              SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+                     count(*) OVER (PARTITION BY conv_id) // 2 AS half FROM conversations),
+            ids AS (SELECT DISTINCT c FROM m),
+            parts AS (
+              SELECT c AS conv_id, 2 AS part, n, role, text FROM m
+              UNION ALL
+              SELECT c + 1, 1, n, role, text FROM m
+              WHERE n <= half AND c % 3 <> 2 AND c + 1 IN (SELECT c FROM ids)
+              UNION ALL
+              SELECT c + 2, 0, n, role, text FROM m
+              WHERE n <= half AND c % 3 = 0 AND c + 1 IN (SELECT c FROM ids) AND c + 2 IN (SELECT c FROM ids)),
+            k AS (
+              SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, n) AS event_number,
+                     count(*) FILTER (part < 2) OVER (PARTITION BY conv_id) AS before,
+                     count(*) FILTER (part = 0) OVER (PARTITION BY conv_id) AS oldest,
+                     max(part) FILTER (part < 2) OVER (PARTITION BY conv_id) AS inherits,
+                     min(part) OVER (PARTITION BY conv_id) AS depth FROM parts)
+            SELECT conv_id, event_number,
+                   n + CASE part WHEN 0 THEN 0
+                       WHEN 1 THEN CASE WHEN depth = 0 THEN oldest + 1 ELSE 0 END
+                       ELSE CASE WHEN inherits IS NULL THEN 0 WHEN conv_id % 3 = 2 AND (conv_id - 2) IN (SELECT c FROM ids)
+                            THEN before + 2 ELSE before + 1 END END AS ordinal,
+                   CASE role WHEN 'user' THEN 'IU' WHEN 'assistant' THEN 'IM' ELSE 'X' END AS role,
+                   CASE WHEN role = 'system' THEN NULL
+                        WHEN text = '' THEN CASE role WHEN 'user' THEN 'User message' ELSE 'Assistant' END
+                        ELSE {_shortened('text', 220)} END AS summary
+            FROM k""",
+        "log_documents": f"""WITH {TURNS},
+            n AS (
+              SELECT session, CAST(count(*) FILTER (creates) AS BIGINT) AS records, min(ts_ms) AS a FROM r GROUP BY session)
+            SELECT 'user-' || CAST(session AS VARCHAR) AS session, records, least(records, 50) AS shown,
+                   CASE WHEN records > 0 THEN greatest(records - 49, 1) END AS first_index,
+                   CASE WHEN records > 50 THEN records - 49 END AS next_before, CAST(1 AS BIGINT) AS first_turn,
+                   strftime(make_timestamp(a * 1000), CASE WHEN a % 1000 = 0 THEN '%Y-%m-%dT%H:%M:%SZ' ELSE '%Y-%m-%dT%H:%M:%S.%fZ' END) AS started_at
+            FROM n""",
+        "live_cursor": f"""WITH {TURNS}
+            SELECT session, 'T' || CAST(turn AS VARCHAR) || ' / S' || CAST(coalesce(step, 0) AS VARCHAR) || ' / #' ||
+                   CAST(idx AS VARCHAR) AS cursor
+            FROM r WHERE creates QUALIFY row_number() OVER (PARTITION BY session ORDER BY idx DESC) = 1""",
         "log_records": log_records,
         "log_records_chunked": log_records,
         "log_turns": f"""WITH {with_turns}

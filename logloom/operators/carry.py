@@ -58,13 +58,17 @@ def is_hot(df: DataFrame, session: Sequence[str], max_rows: int = MAX_ROWS) -> b
     return len(counts.head(1)) > 0
 
 
-def ledger(df: DataFrame, order: Sequence[str], max_rows: int = MAX_ROWS) -> DataFrame:
+def ledger(df: DataFrame, order: Sequence[str], max_rows: int = MAX_ROWS,
+           hot: bool | None = None) -> DataFrame:
     """Give every row of a session its order number ``seq``.
 
     Adds ``chunk`` only where a session is too large for one task; the other
     operators take the presence of that column as the sign to work by chunks.
+    ``hot`` is the outcome of :func:`is_hot` where the caller knows it already.
     """
-    if not is_hot(df, ["session"], max_rows):
+    if hot is None:
+        hot = is_hot(df, ["session"], max_rows)
+    if not hot:
         in_session = Window.partitionBy("session").orderBy(*order)
         return df.withColumn("seq", F.row_number().over(in_session).cast("long"))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,7 @@ from logloom.functions import arguments
 from logloom.functions import text as tx
 from logloom.functions import time as tm
 from logloom.operators import pages, quota, usage
-from logloom.operators.carry import MAX_ROWS, scan, total
+from logloom.operators.carry import MAX_ROWS, is_hot, scan, total
 from logloom.operators.defaults import COUNTERS
 from logloom.operators.sequence import role_in, sequence
 from logloom.plans import gold, overview
@@ -43,7 +43,8 @@ def silver(raw: DataFrame, detail: str = "summary", max_rows: int = MAX_ROWS) ->
     """
     admitted = lines.admit(spread(raw))
     entries = admitted.withColumn("valid", F.col("entry").isNotNull())
-    return lines.frame(project(entries, arguments.detail_level(detail) == "full"), max_rows)
+    return lines.frame(
+        project(entries, arguments.detail_level(detail) == "full"), is_hot(raw, ["file"], max_rows))
 
 
 def load(spark: SparkSession, active: str, archived: str | None = None, detail: str = "summary",

@@ -53,10 +53,16 @@ GENERIC_TOOLS = ("tool", "mcp tool")
 ENCRYPTED = "Encrypted reasoning (summary unavailable)"
 
 
+def _quoted(names) -> str:
+    return ", ".join(f"'{name}'" for name in names)
 
-def _lookup(names: dict[str, str], key: Column) -> Column:
-    pairs = [x for name, shape in names.items() for x in (F.lit(name), F.lit(shape))]
-    return F.element_at(F.create_map(*pairs), key)
+
+def _lookup(names: dict[str, str], key: str) -> Column:
+    return F.expr(f"map({_quoted(x for pair in names.items() for x in pair)})[{key}]")
+
+
+def _shaped(*shapes: str) -> Column:
+    return F.expr(f"shape IN ({_quoted(shapes)})")
 
 
 def _case(*branches: tuple[str | tuple[str, ...], Column], otherwise: Column | None = None) -> Column:
@@ -64,7 +70,7 @@ def _case(*branches: tuple[str | tuple[str, ...], Column], otherwise: Column | N
     chain = None
     for shapes, value in branches:
         names = (shapes,) if isinstance(shapes, str) else shapes
-        chain = (F if chain is None else chain).when(F.col("shape").isin(*names), value)
+        chain = (F if chain is None else chain).when(_shaped(*names), value)
     return chain if otherwise is None else chain.otherwise(otherwise)
 
 
@@ -99,13 +105,13 @@ def add_shape(entries: DataFrame) -> DataFrame:
     other_speaker = (F.col("type_in") == "message") & ~F.col("speaker").eqNullSafe("assistant")
     response = F.when(other_speaker, None).when(
         F.col("type_in").isNotNull(),
-        F.coalesce(_lookup(RESPONSES, F.col("type_in")), F.lit("other_response")),
+        F.coalesce(_lookup(RESPONSES, "type_in"), F.lit("other_response")),
     )
     shape = (
         F.when(F.col("kind_in") == "session_meta", "meta")
         .when(F.col("kind_in") == "turn_context", "context")
         .when(is_item, item_shape)
-        .when(F.col("kind_in") == "event_msg", _lookup(EVENTS, F.col("type_in")))
+        .when(F.col("kind_in") == "event_msg", _lookup(EVENTS, "type_in"))
         .when(F.col("kind_in") == "response_item", response)
         .when(F.col("kind_in") == "compacted", "checkpoint")
         .when(F.col("kind_in") == "inter_agent_communication", "agent_comm")
@@ -259,7 +265,7 @@ def _add_roles(rows: DataFrame) -> DataFrame:
     subagent = F.concat(F.lit("Subagent · "), F.coalesce(F.substring("s_kind", 1, 80), F.lit("activity")))
     return rows.withColumns({
         "extension": F.when(F.col("shape") == "item:extension", extension),
-        "legacy_only": F.col("shape").isin(*LEGACY_ONLY),
+        "legacy_only": _shaped(*LEGACY_ONLY),
         "kind": _case(
             (("user", "item:user_message", "item:hook_prompt"), F.lit("user")),
             (("reasoning", "item:reasoning"), F.lit("reasoning")),

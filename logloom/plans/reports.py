@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text as tx
 from logloom.operators import pages, quota, usage
-from logloom.operators.carry import MAX_ROWS, scan, total
+from logloom.operators.carry import MAX_ROWS, is_hot, scan, total
 from logloom.operators.defaults import COUNTERS
-from logloom.operators.sequence import add_owner, role_in, sequence
+from logloom.operators.late import add_late_markers
+from logloom.operators.sequence import add_index, add_owner, role_in, sequence
 from logloom.operators.tools import fold_results, orphan_results, tool_totals
-from logloom.plans import build, contract, gold, overview
+from logloom.plans import build, contract, document, gold, overview
 from logloom.session import spread
 from logloom.sources import derived, lines
 from logloom.sources.tables import conversation_ledger, event_ledger, with_samples
@@ -444,8 +445,9 @@ def log_record_ids(spark, sf_dir, max_rows=MAX_ROWS):
 
 def quarantine(spark, sf_dir, max_rows=MAX_ROWS):
     """Line number and code of every refused line."""
-    admitted = lines.admit(spread(derived.faulty_lines(spark, sf_dir)))
-    return lines.quarantine(lines.frame(admitted.drop("entry"), max_rows))
+    raw = derived.faulty_lines(spark, sf_dir)
+    admitted = lines.admit(spread(raw)).drop("entry")
+    return lines.quarantine(lines.frame(admitted, is_hot(raw, ["file"], max_rows)))
 
 
 def document_admission(spark, sf_dir):
@@ -456,3 +458,39 @@ def document_admission(spark, sf_dir):
         F.count(F.lit(1)).alias("lines"), F.count_if("good").alias("good"),
         *[F.count_if(F.col("reject") == code).alias(code) for code in lines.REJECTS],
     )
+
+
+def lineage_history(spark, sf_dir, max_rows=MAX_ROWS):
+    """Logical history of every conversation, inherited entries first."""
+    raw = derived.inherited_lines(spark, sf_dir, max_rows)
+    logs = build.from_lines(derived.files_of(raw), raw, max_rows=max_rows)
+    return logs.rows.select(
+        F.substring("session", 5, 8).cast("long").alias("conv_id"), "event_number", "ordinal", "role",
+        F.col("summary_text").alias("summary"),
+    )
+
+
+def log_documents(spark, sf_dir, max_rows=MAX_ROWS):
+    """Counts read back from every session's JSON document with a page of 50 records."""
+    docs = document.documents(_logs(spark, sf_dir, max_rows), 50)
+    at = lambda path: F.get_json_object("document", path)
+    return docs.select(
+        "session", at("$.stats.records").cast("long").alias("records"),
+        at("$.stats.visibleRecords").cast("long").alias("shown"),
+        at("$.records[0].index").cast("long").alias("first_index"),
+        at("$.pagination.nextBeforeRecord").cast("long").alias("next_before"),
+        at("$.turns[0].index").cast("long").alias("first_turn"),
+        at("$.session.startedAt").alias("started_at"),
+    )
+
+
+def live_cursor(spark, sf_dir, max_rows=MAX_ROWS):
+    return document.live_cursor(_page_rows(_rows(spark, sf_dir, max_rows)))
+
+
+def late_markers(spark, sf_dir, max_rows=MAX_ROWS):
+    """Results at least eight records after their call, with the marker each one adds."""
+    rows = add_index(add_owner(event_ledger(spark, sf_dir, max_rows)))
+    return add_late_markers(rows, far=8).filter("late").select(
+        "session", "event_id", "call", "marker_index"
+    )

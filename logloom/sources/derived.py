@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions import text as tx
+from logloom.operators.carry import MAX_ROWS, ledger, scan, total
+
 
 def _line(kind: str, payload: Column) -> Column:
     return F.to_json(F.struct(
@@ -69,7 +74,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files_of(raw: DataFrame) -> DataFrame:
     """File table of derived lines."""
     return raw.groupBy("file").agg(F.max("block").alias("modified_us")).select(
-        "file", F.col("file").alias("stem"), F.lit(None).cast("string").alias("rollout_id"),
+        "file", F.col("file").alias("stem"), tx.rollout_id(F.col("file")).alias("rollout_id"),
         F.lit(None).cast("long").alias("file_size"), "modified_us",
         F.floor(F.col("modified_us") / 1000).cast("long").alias("modified_ms"),
         F.lit(False).alias("archived"),
@@ -106,3 +111,63 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("long").alias("file_size"), F.lit(0).cast("long").alias("block"),
         F.posexplode(F.split("text", "\n")).alias("position", "raw"),
     )
+
+
+def _uuid(conv: Column) -> Column:
+    return F.concat(F.lpad(conv.cast("string"), 8, "0"), F.lit("-0000-4000-8000-000000000000"))
+
+
+def inherited_lines(spark: SparkSession, sf_dir: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Conversations as paginated logs that inherit from each other in threes.
+
+    Conversation 3n starts a history, 3n+1 goes on after the first half of 3n, and
+    3n+2 after the first half of what 3n+1 added. A log states where its source is
+    cut in entries and in bytes, so the three groups are built one after the other.
+    """
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.col("conv_id").alias("session"), F.col("turn").alias("place"), "role", "text")
+    talk = scan(ledger(talk, ["place"], max_rows), total("n", F.lit(1)))
+    halves = talk.groupBy("session").agg(F.floor(F.count(F.lit(1)) / 2).cast("long").alias("half"))
+    talk = talk.select("session", "n", "role", "text").join(halves, "session")
+    stated = None
+    parts = []
+    for step in range(3):
+        group = F.pmod(F.col("session"), F.lit(3)) == step
+        convs = halves.filter(group)
+        empty = "base_id string, end_ordinal long, end_byte long"
+        base = stated if stated is not None else spark.createDataFrame([], f"session long, {empty}")
+        convs = convs.join(base, "session", "left").withColumn(
+            "first", F.coalesce(F.col("end_ordinal"), F.lit(0).cast("long")))
+        history = F.when(F.col("base_id").isNotNull(), F.struct(
+            F.col("base_id").alias("thread_id"), F.col("end_ordinal").alias("end_ordinal_exclusive"),
+            F.col("end_byte").alias("end_byte_offset")))
+        heads = convs.select("session", "half", F.lit(0).cast("long").alias("n"), F.to_json(F.struct(
+            F.lit("session_meta").alias("type"), F.col("first").alias("ordinal"),
+            F.struct(_uuid(F.col("session")).alias("id"), F.lit("paginated").alias("history_mode"),
+                     history.alias("history_base")).alias("payload"))).alias("raw"))
+        item = F.struct(
+            F.when(F.col("role") == "user", "UserMessage").otherwise("AgentMessage").alias("type"),
+            F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content"))
+        ordinal = (F.col("first") + F.col("n")).alias("ordinal")
+        line = F.when(F.col("role") == "system", F.to_json(F.struct(
+            F.lit("turn_context").alias("type"), ordinal, F.struct(F.lit("m").alias("model")).alias("payload"),
+        ))).otherwise(F.to_json(F.struct(
+            F.lit("event_msg").alias("type"), ordinal,
+            F.struct(F.lit("item_completed").alias("type"), F.lit("t").alias("turn_id"),
+                     item.alias("item")).alias("payload"))))
+        body = talk.filter(group).join(convs.select("session", "first"), "session").select(
+            "session", "half", "n", line.alias("raw"))
+        group_lines = heads.unionByName(body)
+        parts.append(group_lines)
+        stated = group_lines.groupBy("session").agg(
+            F.min(F.get_json_object("raw", "$.ordinal").cast("long")).alias("first"),
+            F.first("half").alias("half"),
+            F.sum(F.when(F.col("n") <= F.col("half"), F.octet_length("raw") + 1)).alias("end_byte"),
+        ).select(
+            (F.col("session") + 1).alias("session"), _uuid(F.col("session")).alias("base_id"),
+            (F.col("first") + F.col("half") + 1).alias("end_ordinal"), "end_byte")
+    return reduce(DataFrame.unionByName, parts).select(
+        F.concat(F.lit("log-"), _uuid(F.col("session"))).alias("file"),
+        F.lit(None).cast("long").alias("file_size"), F.lit(0).cast("long").alias("block"),
+        F.col("n").alias("position"), "raw",
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text as tx
 from logloom.functions import variant as vx
-from logloom.operators.carry import MAX_ROWS, ledger, scan, total
+from logloom.operators.carry import ledger, scan, total
 
 #: Largest accepted line, its newline included (fixed value: 16 MiB).
 MAX_LINE_BYTES = 16 * 1024 * 1024
@@ -85,13 +85,14 @@ def admit(lines: DataFrame) -> DataFrame:
     ).drop("__value", "__closed", "raw")
 
 
-def frame(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def frame(rows: DataFrame, hot: bool) -> DataFrame:
     """Line number, byte end and count of refused lines so far, per file.
 
-    Call this on narrow rows: only they are shuffled. An unfinished last line
+    Call this on narrow rows: only they are shuffled. ``hot`` says whether some
+    file has more lines than one task should sort (``is_hot`` on the raw lines). An unfinished last line
     reaches past the file size and is left for the next read.
     """
-    rows = ledger(rows.withColumn("session", F.col("file")), ["block", "position"], max_rows)
+    rows = ledger(rows.withColumn("session", F.col("file")), ["block", "position"], hot=hot)
     rows = scan(
         rows, total("line_no", F.lit(1)), total("byte_end", F.col("size")),
         total("rejects", F.col("reject").isNotNull()),
