@@ -304,7 +304,8 @@ def queries() -> dict[str, str]:
             SELECT 'user-' || CAST(session AS VARCHAR) AS session, records, least(records, 50) AS shown,
                    CASE WHEN records > 0 THEN greatest(records - 49, 1) END AS first_index,
                    CASE WHEN records > 50 THEN records - 49 END AS next_before, CAST(1 AS BIGINT) AS first_turn,
-                   strftime(make_timestamp(a * 1000), CASE WHEN a % 1000 = 0 THEN '%Y-%m-%dT%H:%M:%SZ' ELSE '%Y-%m-%dT%H:%M:%S.%fZ' END) AS started_at
+                   CASE WHEN a % 1000 = 0 THEN strftime(make_timestamp(a * 1000), '%Y-%m-%dT%H:%M:%SZ')
+                        ELSE strftime(make_timestamp(a * 1000), '%Y-%m-%dT%H:%M:%S.%fZ') END AS started_at
             FROM n""",
         "live_cursor": f"""WITH {TURNS}
             SELECT session, 'T' || CAST(turn AS VARCHAR) || ' / S' || CAST(coalesce(step, 0) AS VARCHAR) || ' / #' ||

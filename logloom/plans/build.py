@@ -63,7 +63,7 @@ def from_lines(files: DataFrame, raw: DataFrame, detail: str = "summary",
     """
     with split_large_methods(raw.sparkSession):
         rows = written(silver(raw, detail, max_rows), "lines")
-    rollouts = lineage.describe(files, rows)
+    rollouts = written(lineage.describe(files, rows), "rollouts")
     errors = rollouts.select(F.col("file").alias("session"), F.lit("").alias("error")).limit(0)
     segments = None
     if rollouts.filter("paginated or numbered").head(1):

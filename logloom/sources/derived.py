@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text as tx
 from logloom.operators.carry import MAX_ROWS, ledger, scan, total
+from logloom.session import written
 
 
 def _line(kind: str, payload: Column) -> Column:
@@ -128,7 +129,8 @@ def inherited_lines(spark: SparkSession, sf_dir: str, max_rows: int = MAX_ROWS)
         F.col("conv_id").alias("session"), F.col("turn").alias("place"), "role", "text")
     talk = scan(ledger(talk, ["place"], max_rows), total("n", F.lit(1)))
     halves = talk.groupBy("session").agg(F.floor(F.count(F.lit(1)) / 2).cast("long").alias("half"))
-    talk = talk.select("session", "n", "role", "text").join(halves, "session")
+    talk = written(talk.select("session", "n", "role", "text").join(halves, "session"), "talk")
+    halves = talk.filter("n = 1").select("session", "half")
     stated = None
     parts = []
     for step in range(3):
@@ -157,7 +159,7 @@ def inherited_lines(spark: SparkSession, sf_dir: str, max_rows: int = MAX_ROWS)
                      item.alias("item")).alias("payload"))))
         body = talk.filter(group).join(convs.select("session", "first"), "session").select(
             "session", "half", "n", line.alias("raw"))
-        group_lines = heads.unionByName(body)
+        group_lines = written(heads.unionByName(body), f"group{step}")
         parts.append(group_lines)
         stated = group_lines.groupBy("session").agg(
             F.min(F.get_json_object("raw", "$.ordinal").cast("long")).alias("first"),
