@@ -34,6 +34,7 @@ class Logs:
     rollouts: DataFrame
     quarantine: DataFrame
     errors: DataFrame
+    segments: DataFrame | None = None
 
 
 def silver(raw: DataFrame, detail: str = "summary", max_rows: int = MAX_ROWS) -> DataFrame:
@@ -73,7 +74,7 @@ def from_lines(files: DataFrame, raw: DataFrame, detail: str = "summary",
         errors = errors.unionByName(broken)
     with split_large_methods(raw.sparkSession):
         ledger = written(sequenced(told), "ledger")
-    return Logs(ledger, rollouts, lines.quarantine(rows), errors)
+    return Logs(ledger, rollouts, lines.quarantine(rows), errors, segments)
 
 
 def sequenced(rows: DataFrame) -> DataFrame:

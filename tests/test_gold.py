@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from logloom.functions import arguments
 from logloom.operators import pages
 from logloom.operators.late import add_late_markers
 from logloom.operators.sequence import add_index, add_owner
-from logloom.plans import build, document, reports
+from logloom.plans import build, document, overview, reports, store
+from logloom.sources import lines
 from tests.fixtures import LogFolder, two_turns
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +36,24 @@ def test_documents(spark):
     assert "records" not in empty and empty["pagination"]["laterRecords"] == 9
 
 
+def test_saved_tables_and_revisions(spark):
+    folder = LogFolder()
+    path = folder.add("log-two", two_turns(), mtime=1000)
+    logs = build.load(spark, folder.active)
+    store.save(logs, folder.base + "/gold", buckets=4)
+    session = logs.rollouts.head().file
+    page = store.page(spark, folder.base + "/gold", session, 50, before=4, buckets=4)
+    assert [r["index"] for r in page.orderBy("index").collect()] == [1, 2, 3]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(session," in plan
+    first = store.revisions(logs)
+    assert overview.changed_sessions(first, store.revisions(logs)).count() == 0
+    os.utime(path, (2000, 2000))
+    again = lines.list_rollouts(spark, folder.active)
+    later = store.revisions(build.Logs(logs.rows, again, logs.quarantine, logs.errors))
+    assert overview.changed_sessions(later, first).count() == 1
+
+
 def one_pass_markers(rows, far):
     """Record numbers and markers of one session, row by row."""
     count, owner, out = 0, {}, []
