@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import bytebpe, decontaminate, substring
+from logloom.llm import bytebpe, codes, decontaminate, quality_rules, quality_trees, rendering, substring, toxicity, warc
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Token that ends each document in the files of codes.
+END_ID = 2
+
+
+def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to dictionary-compressed archives and read back from them."""
+    pages = table(spark, sf_dir, "pages")
+    read = warc.read_archives(warc.write_archives(pages), pages.schema["page_id"].dataType.simpleString())
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents contain windows of benchmark items, and how much of them."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -33,10 +44,41 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts by boosted trees over their statistics."""
+    return quality_trees.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts by classifiers learned from toxic and unlabelled texts."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of all texts and the verdict of rules with limited false rejections."""
+    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all texts written to files of codes in order of doc_id, read back from them."""
+    return codes.read_files(codes.write_files(table(spark, sf_dir, "documents"), WORD_BPE, END_ID))
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages, laid out."""
+    return rendering.rendered(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_archives": warc_archives,
     "op2_decontamination": decontamination,
     "op3_byte_bpe": byte_bpe,
+    "op4_quality_classifier": quality_classifier,
+    "op6_toxicity": toxicity_classifier,
+    "op7_risk_controlled_rules": risk_controlled_rules,
     "op8_substring_dedup": substring_dedup,
+    "op9_addressable_codes": addressable_codes,
+    "op10_page_text": page_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.texts import U64, distinct, hash_words, map_batches, pack, place_names, unpack, window_hashes
+from logloom.llm.texts import U64, distinct, hash_words, map_batches, mixed, pack, place_names, unpack, window_hashes
 
 WINDOW = 13
 #: Counters of one row of the sketch (as a power of two), rows, and counters of one slice.
@@ -201,36 +201,38 @@ def _candidates(docs: DataFrame, shared, width: int, buckets: int) -> DataFrame:
     return map_batches(docs.select("id", "key", "text"), run, _CANDIDATES)
 
 
-def _grouped_hits(table: pa.Table) -> pa.Table:
-    """The hits of one bucket, packed by document."""
-    known = table.filter(pc.invert(table.column("open")))
-    found = [[unpack(x, kind) for x in known.column(name).to_pylist()] for name, kind in zip(_NAMES[2:], _KINDS[2:], strict=True)]
-    waiting = table.filter(table.column("open"))
-    if waiting.num_rows:
-        columns, late = _settled([np.concatenate([unpack(x, kind) for x in waiting.column(name).to_pylist()])
-                                  for name, kind in zip(_NAMES, _KINDS, strict=True)])
-        for part, column in zip(found, columns[2:], strict=True):
-            part.append(column[late])
-    return _packed_hits(*(np.concatenate(part) for part in found))
+def _blobs(columns: list[np.ndarray], group: np.ndarray, first: str) -> pa.Table:
+    """The columns (id, key, place) packed by ``group``."""
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else [0]
+    spans = list(zip(cuts, cuts[1:], strict=False))
+    return pa.table({first: pa.array(group[cuts[:-1]], pa.int32())} | {
+        name: pa.array([pack(c[order][a:b], kind) for a, b in spans], pa.binary())
+        for name, kind, c in zip(_NAMES[2:], _KINDS[2:], columns, strict=True)})
 
 
-def _packed_hits(ids: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pa.Table:
+def _columns(table: pa.Table, first: int) -> list[np.ndarray]:
+    return [np.concatenate([np.empty(0, kind), *(unpack(x, kind) for x in table.column(name).to_pylist())])
+            for name, kind in zip(_NAMES[first:], _KINDS[first:], strict=True)]
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """The hits of a group of documents, one row for each document."""
+    ids, keys, places = _columns(table, 2)
     order = np.lexsort((places, keys, ids))
-    ids, keys, places = ids[order], keys[order], places[order]
-    new = np.flatnonzero((ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])) + 1 if len(ids) else np.empty(0, int)
-    cuts = [0, *new.tolist(), len(ids)]
-    spans = list(zip(cuts, cuts[1:], strict=False)) if len(ids) else []
-    return pa.table({
-        "id": pa.array([int(ids[a]) for a, _ in spans], pa.int64()),
-        "key": pa.array([int(keys[a]) for a, _ in spans], pa.int32()),
-        "places": pa.array([places[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary())})
+    ids, keys, places = ids[order], keys[order], places[order].astype("<i4")
+    new = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))))
+    cuts = [*new.tolist(), len(ids)]
+    return pa.table({"id": pa.array(ids[new], pa.int64()), "key": pa.array(keys[new], pa.int32()),
+                     "places": pa.array([places[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
 
 def hits(docs: DataFrame, window: int = WINDOW, log2_width: int = LOG2_WIDTH, bucket: int = BUCKET) -> DataFrame:
     """(id, key, places): starts of windows that also start in a document of smaller id.
 
     ``docs`` has id, key and text; the key tells apart texts that share an id. A document
-    has a row for each bucket that found hits in it.
+    with hits has one row.
     """
     texts = docs.where("text is not null and id is not null")
     rows = _merged(_sketches(texts, window, log2_width), log2_width).collect()
@@ -238,8 +240,20 @@ def hits(docs: DataFrame, window: int = WINDOW, log2_width: int = LOG2_WIDTH, bu
     totals = [sum(r.total for r in rows if r.slice // per_row == row) for row in range(DEPTH)]
     shared = docs.sparkSession.sparkContext.broadcast(
         (uuid.uuid4().hex, [(r.slice, r.bits) for r in rows], log2_width))
-    candidates = _candidates(texts, shared, window, max(1, -(-min(totals) // bucket)))
-    return candidates.groupBy("bucket").applyInArrow(_grouped_hits, "id long, key int, places binary")
+    groups = max(1, -(-min(totals) // bucket))
+
+    def late(table: pa.Table) -> pa.Table:
+        """The hits of one bucket, packed by groups of documents."""
+        known, waiting = table.filter(pc.invert(table.column("open"))), table.filter(table.column("open"))
+        columns = _columns(known, 2)
+        if waiting.num_rows:
+            sent, hit = _settled(_columns(waiting, 0))
+            columns = [np.concatenate([a, b[hit]]) for a, b in zip(columns, sent[2:], strict=True)]
+        return _blobs(columns, (mixed(columns[0].view(np.uint64)) % U64(groups)).astype(np.int32), "part")
+
+    found = _candidates(texts, shared, window, groups).groupBy("bucket").applyInArrow(
+        late, "part int, id binary, key binary, place binary")
+    return found.groupBy("part").applyInArrow(_by_document, "id long, key int, places binary")
 
 
 def _with_places(docs: DataFrame, id_col: str, text_col: str, **sizes) -> tuple[DataFrame, int, int]:
@@ -248,15 +262,14 @@ def _with_places(docs: DataFrame, id_col: str, text_col: str, **sizes) -> tuple[
     rows = place_names(docs).withColumns({
         "id": F.col(f"c{at_id}").cast("long"), "key": F.hash(f"c{at_text}")})
     found = hits(rows.select("id", "key", F.col(f"c{at_text}").alias("text")), **sizes)
-    per_doc = found.groupBy("id", "key").agg(F.collect_list("places").alias("places"))
-    return rows.join(per_doc, ["id", "key"], "left"), at_id, at_text
+    return rows.join(found, ["id", "key"], "left"), at_id, at_text
 
 
-def _removed(places: list[bytes] | None, n_words: int, width: int) -> np.ndarray:
+def _removed(places: bytes | None, n_words: int, width: int) -> np.ndarray:
     gone = np.zeros(n_words, bool)
     if places:
         edges = np.zeros(n_words + 1, np.int32)
-        starts = distinct(np.concatenate([np.frombuffer(p, "<i4") for p in places]))
+        starts = distinct(np.frombuffer(places, "<i4"))
         edges[starts] += 1
         np.subtract.at(edges, starts + width, 1)
         gone = np.cumsum(edges[:-1]) > 0
