@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import bytebpe, codes, decontaminate, quality_rules, quality_trees, rendering, substring, toxicity, warc
+from logloom.llm import (
+    bytebpe,
+    codes,
+    decontaminate,
+    jaccard,
+    quality_rules,
+    quality_trees,
+    rendering,
+    substring,
+    toxicity,
+    warc,
+)
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -49,6 +60,11 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected components of texts whose sets of three-word runs are similar."""
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all texts by classifiers learned from toxic and unlabelled texts."""
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -74,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": decontamination,
     "op3_byte_bpe": byte_bpe,
     "op4_quality_classifier": quality_classifier,
+    "op5_jaccard_join": jaccard_join,
     "op6_toxicity": toxicity_classifier,
     "op7_risk_controlled_rules": risk_controlled_rules,
     "op8_substring_dedup": substring_dedup,
