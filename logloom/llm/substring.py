@@ -169,7 +169,9 @@ def _candidates(docs: DataFrame, shared, width: int, buckets: int) -> DataFrame:
 
     def send(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
         columns, known = _settled([np.concatenate(c) for c in zip(*gathered, strict=True)])
-        group = ((columns[0] >> U64(20)) % U64(buckets)).astype(np.int64) * 2 + ~known
+        # Open windows meet by window; known hits are dealt by document, so that no bucket gathers one passage's.
+        deal = np.where(known, mixed(columns[2].view(np.uint64)), columns[0])
+        group = ((deal >> U64(20)) % U64(buckets)).astype(np.int64) * 2 + ~known
         order = np.argsort(group, kind="stable")
         group, columns = group[order], [c[order] for c in columns]
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
