@@ -78,6 +78,11 @@ def snake_case(kind: Column) -> Column:
     return F.when(F.length(kind) <= 200, name).otherwise("")
 
 
+def plain_path(path: Column) -> Column:
+    """A file address without the escapes that Spark's file metadata has."""
+    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.jsonl$", "")
 
@@ -102,7 +107,7 @@ def shown_path(path: Column, home: str) -> Column:
     drive_only = path.rlike(r"^[A-Za-z]:[\\/]+$")
     return (
         F.when(posix == root, F.lit("~"))
-        .when(posix.startswith(root + "/"), shorten(F.concat(F.lit("~"), F.substring(posix, len(root) + 1, 1_000_000)), 500))
+        .when(posix.startswith(root + "/"), shorten(F.concat(F.lit("~"), posix.substr(F.lit(len(root) + 1), F.length(posix))), 500))
         .when(posix == "/", F.lit("<absolute>"))
         .when(posix.startswith("/"), shorten(F.concat(F.lit("<absolute>/"), name), 500))
         .when(drive_only, F.lit("<absolute>"))

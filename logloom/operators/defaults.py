@@ -9,6 +9,7 @@ COUNTERS = ("input", "cached_input", "output", "reasoning_output", "total")
 
 _TYPES = {
     "duration_ms": "long", "authoritative": "boolean", "output": "string",
+    "input": "string", "metadata": "string",
     "error_text": "string", "aborted": "boolean", "errored": "boolean", "ttft_ms": "long",
     "model": "string", "in_context": "boolean", "first_user": "string", "has_total": "boolean",
     "persisted_start": "long", "label": "string", "specific": "boolean",

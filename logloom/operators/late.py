@@ -13,7 +13,7 @@ from logloom.session import materialise
 FAR = 50
 
 
-def add_late_markers(rows: DataFrame, far: int = FAR, max_rounds: int = 10_000) -> DataFrame:
+def add_late_markers(rows: DataFrame, far: int = FAR) -> DataFrame:
     """``late`` marks results that add a marker; ``index`` and ``marker_index`` count markers too.
 
     A marker takes a record number, which moves later records, and becomes the
@@ -24,7 +24,7 @@ def add_late_markers(rows: DataFrame, far: int = FAR, max_rounds: int = 10_000)
     """
     in_call = role_in(*CALL_ROLES) & F.col("call").isNotNull()
     rows = materialise(rows.withColumn("late", F.lit(False)))
-    for _ in range(max_rounds):
+    while True:
         # numbers before this row's own marker, which comes after the row's own record
         counted = scan(
             rows, total("__records", F.col("creates")), total("__late", F.col("late"), before=True),
@@ -46,4 +46,3 @@ def add_late_markers(rows: DataFrame, far: int = FAR, max_rounds: int = 10_000)
         }).drop("__records", "__late", "__number", "__to", "__new")
         if settled:
             return rows
-    raise RuntimeError("late markers did not settle")

@@ -24,7 +24,7 @@ def first_where(value: Column, condition: Column) -> Column:
 
 def with_fold_columns(rows: DataFrame) -> DataFrame:
     return with_defaults(rows, "duration_ms", "authoritative", "output", "label", "specific",
-                         "persisted_start")
+                         "persisted_start", "input", "metadata")
 
 
 def fold_columns() -> list[Column]:
@@ -46,6 +46,7 @@ def fold_columns() -> list[Column]:
     failed = ends & F.coalesce("failed", F.lit(False))
     measured = ends & F.col("duration_ms").isNotNull()
     has_output = ends & F.col("output").isNotNull()
+    protocol, extension = (F.get_json_object("metadata", f"$.{key}") for key in ("protocolType", "extensionKind"))
     message = F.when(strong, END_ERROR).otherwise(RESULT_ERROR)
     return [
         F.count_if(ends).alias("results"),
@@ -58,6 +59,10 @@ def fold_columns() -> list[Column]:
             last_where(F.col("output"), has_output),
         ).alias("result_output"),
         first_where(message, failed).alias("error"),
+        # an end event gives an input where the call had none, and its own protocol
+        first_where(F.col("input"), ends & strong & F.col("input").isNotNull()).alias("late_input"),
+        last_where(protocol, ends & strong & protocol.isNotNull()).alias("late_protocol"),
+        last_where(extension, ends & strong & extension.isNotNull()).alias("late_extension"),
         F.bool_or(failed).alias("failed"),
         # an end event renames the record, but a generic name never replaces a specific one
         last_where(F.col("label"), ends & strong & F.col("specific")).alias("__named"),
@@ -86,7 +91,7 @@ def fold_results(rows: DataFrame) -> DataFrame:
         with_status(folded).withColumnsRenamed({
             "finished_ms": "completed_ms", "took_ms": "duration_ms", "result_output": "output",
             "tool_label": "label", "tool_status": "status",
-        })
+        }).drop("late_input", "late_protocol", "late_extension")
     )
 
 

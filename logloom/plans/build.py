@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from logloom.functions import arguments
 from logloom.functions import text as tx
 from logloom.functions import time as tm
-from logloom.operators import pages, quota, usage
+from logloom.functions.pretty import indented
+from logloom.operators import quota, usage
 from logloom.operators.carry import MAX_ROWS, is_hot, scan, total
 from logloom.operators.defaults import COUNTERS
 from logloom.operators.sequence import role_in, sequence
@@ -139,10 +140,15 @@ def records(logs: Logs, detail: str = "summary") -> DataFrame:
     hidden = F.lit(None).cast("string")
     details = [hidden.alias("input"), hidden.alias("output"), F.lit("{}").alias("metadata")]
     if full:
-        output = F.when(is_tool, F.col("result_output")).otherwise(own["output"])
+        of_tool = F.when(is_tool, F.coalesce(own["input"], F.col("late_input")))
+        result = F.when(is_tool, F.col("result_output"))
+        protocol = F.to_json(F.struct(*[
+            F.coalesce(late, F.get_json_object(own["metadata"], f"$.{key}")).alias(key)
+            for key, late in (("protocolType", F.col("late_protocol")), ("extensionKind", F.col("late_extension")))]))
         details = [
-            tx.bounded(own["input"]).alias("input"), tx.bounded(output).alias("output"),
-            F.coalesce(own["metadata"], F.lit("{}")).alias("metadata"),
+            tx.bounded(F.when(is_tool, indented(of_tool)).otherwise(own["input"])).alias("input"),
+            tx.bounded(F.when(is_tool, indented(result)).otherwise(own["output"])).alias("output"),
+            F.when(is_tool, protocol).otherwise(F.coalesce(own["metadata"], F.lit("{}"))).alias("metadata"),
         ]
     used = usage.attach_samples(logs.rows).withColumnRenamed("owner", "record")
     return grouped.join(used, ["session", "record"], "left").select(
@@ -175,7 +181,7 @@ def turns(logs: Logs, detail: str = "summary") -> DataFrame:
 
 
 def warnings(logs: Logs) -> DataFrame:
-    """First 100 warnings per session, refused lines of its own file included."""
+    """All warnings of every session; refused lines of its own and of inherited files included."""
     rows = logs.rows
     split = F.when(role_in("S"), "overlapping_turn_start").when(
         role_in("C"), "mismatched_turn_completion").otherwise("mismatched_item_turn")
@@ -188,12 +194,18 @@ def warnings(logs: Logs) -> DataFrame:
         "session", (-F.col("depth")).alias("part"), "line_no",
         F.posexplode(codes).alias("nth", "code"), "warning_detail",
     )
-    refused = logs.quarantine.select(
-        F.col("file").alias("session"), F.lit(0).alias("part"), "line_no", F.lit(0).alias("nth"),
+    refused = logs.quarantine.withColumns({"session": F.col("file"), "part": F.lit(0)})
+    if logs.segments is not None:
+        # an inherited file counts up to the byte its heir takes over at
+        parts = logs.segments.select("session", "file", (-F.col("depth")).alias("part"), "end_byte")
+        refused = logs.quarantine.join(parts, "file").where(
+            F.col("end_byte").isNull() | (F.col("begins") < F.col("end_byte")))
+    refused = refused.select(
+        "session", "part", "line_no", F.lit(0).alias("nth"),
         "code", F.lit(None).cast("string").alias("warning_detail"),
     )
     both = of_rows.unionByName(refused).withColumn("seq", F.struct("part", "line_no", "nth"))
-    return pages.first_warnings(both).select(
+    return both.select(
         "session", "seq", "code", F.col("line_no").alias("line"),
         tx.shorten(F.concat_ws(" ", F.regexp_replace("code", "_", " "), F.lit("on line"),
                                F.col("line_no").cast("string"), "warning_detail"), 500).alias("message"),

@@ -9,9 +9,11 @@ from logloom.functions import arguments
 from logloom.functions import time as tm
 from logloom.operators import pages
 from logloom.operators.defaults import COUNTERS
-from logloom.plans import build
+from logloom.plans import build, overview
 
 SCHEMA_VERSION = 1
+#: Sessions listed beside each document (fixed value).
+RECENT = 20
 
 
 def _usage(prefix: str) -> Column:
@@ -29,7 +31,7 @@ def _record() -> Column:
         "index", "id", "turn", "step", "kind", "event", "summary",
         _iso("started_ms").alias("startedAt"), _iso("completed_ms").alias("completedAt"),
         c("duration_ms").alias("durationMs"), "status", c("call").alias("callId"), "input", "output",
-        "error", _usage("used_").alias("usage"), "metadata",
+        "error", _usage("used_").alias("usage"), F.try_parse_json("metadata").alias("metadata"),
     )
 
 
@@ -43,9 +45,22 @@ def _turn() -> Column:
     )
 
 
+def _overview() -> Column:
+    c = F.col
+    return F.struct(
+        "id", "title", "cwd", "model", "effort", _iso("started_ms").alias("startedAt"),
+        _iso("updated_ms").alias("updatedAt"), "turns", c("tool_calls").alias("toolCalls"),
+        _usage("tokens_").alias("tokens"), "archived", c("parent_thread_id").alias("parentThreadId"),
+        c("agent_path").alias("agentPath"))
+
+
+def _by_key(a: Column, b: Column) -> Column:
+    return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+
+
 def _in_order(table: DataFrame, value: Column, key: str, name: str) -> DataFrame:
     """At most a page (1,000) of entries per session as one ordered array."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))), _by_key)
     return table.groupBy("session").agg(F.transform(pairs, lambda x: x["v"]).alias(name))
 
 
@@ -65,7 +80,7 @@ def documents(logs: build.Logs, max_records: int | None = None, before: int | No
         "window", F.struct(
             F.col("used_percent").alias("usedPercent"), F.col("window_minutes").alias("windowMinutes"),
             _iso("resets_ms").alias("resetsAt"))))).alias("rateLimits"))
-    warned = _in_order(build.warnings(logs), F.struct("code", "line", "message"), "seq", "warnings")
+    warned = _in_order(pages.first_warnings(build.warnings(logs)), F.struct("code", "line", "message"), "seq", "warnings")
     joined = about.withColumnRenamed("file", "session")
     for table in (headers, _in_order(page, _record(), "index", "shown_records"),
                   _in_order(turns, _turn(), "turn", "shown_turns"), quotas, warned):
@@ -93,14 +108,23 @@ def documents(logs: build.Logs, max_records: int | None = None, before: int | No
         F.coalesce(F.size("shown_records"), F.lit(0)).alias("visibleRecords"),
         (c("earlier_records") + c("later_records")).alias("omittedRecords"),
         c("tool_calls").alias("toolCalls"), c("failed_tools").alias("failedTools"), "compactions",
-        _usage("tokens_").alias("tokens"), c("context_window").alias("contextWindow"), "rateLimits",
+        _usage("tokens_").alias("tokens"), c("context_window").alias("contextWindow"),
+        F.coalesce("rateLimits", F.create_map().cast(dict(joined.dtypes)["rateLimits"])).alias("rateLimits"),
     )
+    # the recent sessions are the same short list for every document: one row, joined by a constant
+    recent = overview.session_list(build.session_overviews(about), RECENT, include_archived=True)
+    listed = F.array_sort(F.collect_list(F.struct(
+        F.struct((-F.col("modified_ms")).alias("newest"), "archived", "stem").alias("k"), _overview().alias("v"))), _by_key)
+    one = recent.agg(F.transform(listed, lambda x: x["v"]).alias("recent")).withColumn("one", F.lit(1))
+    joined = joined.withColumn("one", F.lit(1)).join(F.broadcast(one), "one")
+    kept = lambda name: F.coalesce(name, F.array().cast(dict(joined.dtypes)[name]))
     return joined.select("session", F.to_json(F.struct(
         F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.lit(detail).alias("detailLevel"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("generatedAt"),
         session.alias("session"), pagination.alias("pagination"), stats.alias("stats"),
-        c("shown_turns").alias("turns"), c("shown_records").alias("records"), "warnings",
-    )).alias("document"))
+        kept("shown_turns").alias("turns"), kept("shown_records").alias("records"),
+        kept("warnings").alias("warnings"), c("recent").alias("recentSessions"),
+    ), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def live_cursor(records: DataFrame) -> DataFrame:

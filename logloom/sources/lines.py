@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from logloom.operators.carry import ledger, scan, total
 #: Largest accepted line, its newline included (fixed value: 16 MiB).
 MAX_LINE_BYTES = 16 * 1024 * 1024
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:/+"
+
 REJECTS = ("oversized_jsonl", "malformed_utf8", "malformed_jsonl", "non_object_jsonl")
 
 
@@ -32,11 +36,14 @@ def list_rollouts(spark: SparkSession, active: str, archived: str | None = None)
         .option("pathGlobFilter", "*.jsonl").load(_roots(spark, active, archived))
     )
     path, modified = F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")
-    in_archive = F.lit(False) if not archived else path.contains(archived.rstrip("/") + "/")
+    in_archive = F.lit(False)
+    if archived:
+        place = F.regexp_replace(tx.plain_path(path), _SCHEME, "/")
+        in_archive = place.startswith(re.sub(_SCHEME, "/", archived).rstrip("/") + "/")
     return files.select(
         path.alias("file"),
-        tx.file_stem(path).alias("stem"),
-        tx.rollout_id(tx.file_stem(path)).alias("rollout_id"),
+        tx.file_stem(tx.plain_path(path)).alias("stem"),
+        tx.rollout_id(tx.file_stem(tx.plain_path(path))).alias("rollout_id"),
         F.col("_metadata.file_size").alias("file_size"),
         F.unix_micros(modified).alias("modified_us"),
         F.unix_millis(modified).alias("modified_ms"),
@@ -102,5 +109,6 @@ def frame(rows: DataFrame, hot: bool) -> DataFrame:
 
 
 def quarantine(rows: DataFrame) -> DataFrame:
-    """Refused lines of framed rows: file, line number, code."""
-    return rows.filter("reject is not null").select("file", "line_no", F.col("reject").alias("code"))
+    """Refused lines of framed rows: file, line number, code, and the byte each begins at."""
+    return rows.filter("reject is not null").select(
+        "file", "line_no", F.col("reject").alias("code"), (F.col("byte_end") - F.col("size")).alias("begins"))

@@ -12,33 +12,37 @@ from logloom.operators.late import add_late_markers
 from logloom.operators.sequence import add_index, add_owner
 from logloom.plans import build, document, overview, reports, store
 from logloom.sources import lines
-from tests.fixtures import LogFolder, two_turns
+from tests.fixtures import LogFolder, kiln
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_documents(spark):
     folder = LogFolder()
-    folder.add("log-two", two_turns())
+    folder.add("kiln", kiln())
     logs = build.load(spark, folder.active, folder.archived)
     (row,) = document.documents(logs, 50).collect()
     doc = json.loads(row.document)
     assert [r["index"] for r in doc["records"]] == list(range(1, 10))
-    assert doc["stats"]["toolCalls"] == 2 and doc["stats"]["rateLimits"]["primary"]["usedPercent"] == 31.5
-    assert [t["status"] for t in doc["turns"]] == ["complete", "aborted"]
-    assert doc["turns"][1]["error"] == "Turn was aborted."
-    assert doc["pagination"]["hasEarlier"] is False
-    assert "secret" not in row.document and "think" not in json.dumps(doc["records"][1].get("output"))
+    assert doc["stats"]["toolCalls"] == 3 and doc["stats"]["rateLimits"]["primary"]["usedPercent"] == 12.25
+    assert [t["status"] for t in doc["turns"]] == ["complete", "aborted", "error"]
+    assert doc["turns"][1]["error"] == "Turn ended without a matching completion event."
+    assert doc["pagination"]["hasEarlier"] is False and doc["warnings"][0]["code"] == "overlapping_turn_start"
+    assert "hidden words" not in row.document and "nowhere.example" not in row.document
+    assert len({tuple(sorted(r)) for r in doc["records"]}) == 1 == len({tuple(sorted(t)) for t in doc["turns"]})
+    first = doc["records"][0]
+    assert {"step", "durationMs", "callId", "output", "error", "usage"} <= set(first) and first["step"] is None
+    assert first["metadata"] == {} and doc["recentSessions"][0]["id"] == "kiln-session"
     (cursor,) = document.live_cursor(build.records(logs)).collect()
-    assert cursor.cursor == "T2 / S1 / #9"
+    assert cursor.cursor == "T3 / S1 / #9"
     (early,) = document.documents(logs, 50, before=1).collect()
     empty = json.loads(early.document)
-    assert "records" not in empty and empty["pagination"]["laterRecords"] == 9
+    assert empty["records"] == [] and empty["pagination"]["laterRecords"] == 9
 
 
 def test_saved_tables_and_revisions(spark):
     folder = LogFolder()
-    path = folder.add("log-two", two_turns(), mtime=1000)
+    path = folder.add("kiln", kiln(), mtime=1000)
     logs = build.load(spark, folder.active)
     store.save(logs, folder.base + "/gold", buckets=4)
     session = logs.rollouts.head().file

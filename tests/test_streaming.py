@@ -13,7 +13,7 @@ from logloom.plans import build, reports
 from logloom.sources.tables import event_ledger
 from logloom.streaming.live import LiveUpdates
 from logloom.streaming.state import live_quota_alerts, running_sessions
-from tests.fixtures import LogFolder, two_turns
+from tests.fixtures import LogFolder, kiln
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,31 +69,31 @@ def test_stream_alerts_equal_batch(spark):
 
 def test_live_update(spark):
     base = tempfile.mkdtemp(prefix="live-")
-    landing = os.path.join(base, "landing", "session-two")
+    landing = os.path.join(base, "landing", "kiln-session")
     os.makedirs(landing)
-    lines = two_turns()
+    lines = kiln()
 
     def land(name, part):
         with open(os.path.join(landing, name), "w") as out:
             out.writelines(json.dumps(x) + "\n" for x in part)
 
     live = LiveUpdates(spark, os.path.join(base, "landing"), os.path.join(base, "tables"), 4)
-    land("000.jsonl", lines[:11])
+    land("000.jsonl", lines[:13])
     live.start(os.path.join(base, "cp"), available_now=True).awaitTermination(300)
     first = live.current("sessions").head()
     assert (first.turns, first.records) == (1, 5)
-    assert live.update("session-two", first.revision).count() == 0
-    land("001.jsonl", lines[11:])
+    assert live.update("kiln-session", first.revision).count() == 0
+    land("001.jsonl", lines[13:])
     live.start(os.path.join(base, "cp"), available_now=True).awaitTermination(300)
     second = live.current("sessions").head()
-    assert (second.turns, second.records, second.tool_calls, second.failed_tools) == (2, 9, 2, 1)
-    assert live.update("session-two", first.revision).count() == 9
-    assert live.update("session-two", second.revision).count() == 0
+    assert (second.turns, second.records, second.tool_calls, second.failed_tools) == (3, 9, 3, 1)
+    assert live.update("kiln-session", first.revision).count() == 9
+    assert live.update("kiln-session", second.revision).count() == 0
     folder = LogFolder()
     folder.add("log", lines)
     batch = build.records(build.load(spark, folder.active))
     want = [r.asDict() for r in batch.drop("session").orderBy("index").collect()]
-    rows = live.update("session-two", None).drop("session", "revision").orderBy("index").collect()
+    rows = live.update("kiln-session", None).drop("session", "revision").orderBy("index").collect()
     assert [r.asDict() for r in rows] == want
 
 
