@@ -269,7 +269,38 @@ def queries() -> dict[str, str]:
         SELECT 'user-' || CAST(session AS VARCHAR) AS file, seq AS line_no,
                CASE WHEN k % 8 = 2 THEN 'non_object_jsonl' ELSE 'malformed_jsonl' END AS code
         FROM e WHERE k % 8 NOT IN (0, 5)"""
+    desk = """m AS (
+          SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)"""
     return {
+        "log_metadata": f"""WITH {desk}
+            SELECT 'desk-' || CAST(c AS VARCHAR) AS id, '~/p' || CAST(c % 5 AS VARCHAR) AS cwd, 'desk' AS originator,
+                   CASE c % 3 WHEN 0 THEN 'cli' WHEN 1 THEN 'subagent' END AS source_kind,
+                   'b' || CAST(c % 4 AS VARCHAR) AS git_branch, lpad(CAST(c AS VARCHAR), 10, 'a') AS git_commit,
+                   CAST(1000 + max(n) FILTER (role = 'assistant') AS BIGINT) AS context_window, count(*) AS records,
+                   count(*) FILTER (role = 'system') AS tool_calls,
+                   count(*) FILTER (role = 'system' AND n % 4 = 0) AS failed_tools
+            FROM m GROUP BY c""",
+        "log_tool_details": f"""WITH {desk}
+            SELECT 'desk-' || CAST(c AS VARCHAR) AS session, n AS "index", 's.t' || CAST(n % 3 AS VARCHAR) AS event,
+                   CASE WHEN n % 4 = 0 THEN 'error' ELSE 'complete' END AS status,
+                   CAST(n * 1000 + 250 AS BIGINT) AS duration_ms,
+                   '{{' || chr(10) || '  "n": ' || CAST(n AS VARCHAR) || chr(10) || '}}' AS input,
+                   CASE WHEN n % 4 = 0 THEN '{{' || chr(10) || '  "Err": "bad"' || chr(10) || '}}'
+                        ELSE '{{' || chr(10) || '  "Ok": {{' || chr(10) || '    "v": ' || CAST(n AS VARCHAR) || chr(10) || '  }}'
+                             || chr(10) || '}}' END AS output,
+                   '{{"protocolType":"mcp_tool_call_end"}}' AS metadata,
+                   CASE WHEN n % 4 = 0 THEN 'Tool completion event reported an error.' END AS error
+            FROM m WHERE role = 'system'""",
+        "log_attachments": f"""WITH {desk}
+            SELECT 'desk-' || CAST(c AS VARCHAR) AS session, n AS "index", CAST(length(text) % 3 AS BIGINT) AS images,
+                   CAST(n % 2 AS BIGINT) AS audio FROM m WHERE role = 'user'""",
+        "log_phases": f"""WITH {desk}
+            SELECT 'desk-' || CAST(c AS VARCHAR) AS session, n AS "index",
+                   CASE WHEN n % 2 = 0 THEN 'Assistant · final' ELSE 'Assistant' END AS event,
+                   CASE WHEN n % 2 = 0 THEN 'final' END AS phase,
+                   CAST(CASE WHEN length(text) <= 12000 THEN length(text)
+                        ELSE 12000 + length('xx… truncated ' || format('{{:,}}', length(text) - 12000) || ' characters') END AS BIGINT) AS chars
+            FROM m WHERE role = 'assistant'""",
         "lineage_history": f"""WITH m AS (
               SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
                      count(*) OVER (PARTITION BY conv_id) // 2 AS half FROM conversations),

@@ -354,9 +354,10 @@ def record_search(spark, sf_dir, max_rows=MAX_ROWS):
     rows = sequence(conversation_ledger(spark, sf_dir, max_rows)).filter("creates")
     records = rows.select(
         "session", "index", "turn", F.when(role_in("U"), "user").otherwise("assistant").alias("kind"),
-        tx.shorten(F.col("text")).alias("summary"),
+        F.when(role_in("U"), "User").otherwise("Assistant").alias("event"),
+        tx.shorten(F.col("text")).alias("summary"), F.lit(None).cast("string").alias("error"),
     )
-    return pages.search_records(records, "The", "kind", "summary")
+    return pages.search_records(records, "The", "event", "summary", "error").drop("event", "error")
 
 
 def kind_filter(spark, sf_dir, max_rows=MAX_ROWS):
@@ -443,11 +444,46 @@ def log_record_ids(spark, sf_dir, max_rows=MAX_ROWS):
     )
 
 
+def _desk(spark, sf_dir) -> build.Logs:
+    raw = derived.desk_lines(spark, sf_dir)
+    return build.from_lines(derived.files_of(raw), raw, "full")
+
+
+def log_metadata(spark, sf_dir):
+    """Allowed metadata, context window and model of every session."""
+    return build.sessions(_desk(spark, sf_dir)).select(
+        "id", "cwd", "originator", "source_kind", "git_branch", "git_commit", "context_window", "records", "tool_calls",
+        "failed_tools",
+    )
+
+
+def log_tool_details(spark, sf_dir):
+    """Tool records at full detail: measured time, input and output laid out as JSON, protocol."""
+    return build.records(_desk(spark, sf_dir), "full").where("kind = 'tool'").select(
+        "session", "index", "event", "status", "duration_ms", "input", "output", "metadata", "error",
+    )
+
+
+def log_attachments(spark, sf_dir):
+    """Attachments that each user message brought."""
+    count = lambda name: F.get_json_object("metadata", f"$.{name}").cast("long")
+    return build.records(_desk(spark, sf_dir), "full").where("kind = 'user'").select(
+        "session", "index", count("images").alias("images"), count("audio").alias("audio"),
+    )
+
+
+def log_phases(spark, sf_dir):
+    """Label and phase of each model message."""
+    return build.records(_desk(spark, sf_dir), "full").where("kind = 'assistant'").select(
+        "session", "index", "event", F.get_json_object("metadata", "$.phase").alias("phase"), F.length("output").alias("chars"),
+    )
+
+
 def quarantine(spark, sf_dir, max_rows=MAX_ROWS):
     """Line number and code of every refused line."""
     raw = derived.faulty_lines(spark, sf_dir)
     admitted = lines.admit(spread(raw)).drop("entry")
-    return lines.quarantine(lines.frame(admitted, is_hot(raw, ["file"], max_rows)))
+    return lines.quarantine(lines.frame(admitted, is_hot(raw, ["file"], max_rows))).select("file", "line_no", "code")
 
 
 def document_admission(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as tx
@@ -83,17 +83,17 @@ def files_of(raw: DataFrame) -> DataFrame:
 
 
 def faulty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The props text of every event, damaged in a way its k decides; good where k%8=0."""
+    """The props text of every event, damaged in a way its k decides; good where k%8=0, blank where k%8=5."""
     k = F.get_json_object("props", "$.k").cast("long")
     raw = (
         F.when(k % 8 == 0, F.col("props"))
         .when(k % 8 == 1, F.concat(F.col("props"), F.lit(" x")))
         .when(k % 8 == 2, F.concat(F.lit("["), "props", F.lit("]")))
-        .when(k % 8 == 3, F.lit('{"a": 1, "a": 2}'))
-        .when(k % 8 == 4, F.lit('{"a": NaN}'))
+        .when(k % 8 == 3, F.concat(F.lit('{"a": '), "props", F.lit(', "a": 2}')))
+        .when(k % 8 == 4, F.concat(F.lit('{"p": '), "props", F.lit(', "a": NaN}')))
         .when(k % 8 == 5, F.lit("  "))
-        .when(k % 8 == 6, F.lit('{"a": 1e400}'))
-        .otherwise(F.concat(F.lit('{"a": '), F.repeat(F.lit("7"), 257), F.lit("}")))
+        .when(k % 8 == 6, F.concat(F.lit('{"p": '), "props", F.lit(', "a": 1e400}')))
+        .otherwise(F.concat(F.lit('{"p": '), "props", F.lit(', "a": '), F.repeat(F.lit("7"), 257), F.lit("}")))
     )
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("file"),
@@ -114,6 +114,45 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def desk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as logs with metadata, attachments, measured tool ends and a context window.
+
+    User rows carry attachments, assistant rows a phase and a token sample behind them, and a
+    system row is the end of a tool call that gave its duration, arguments and result.
+    """
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    c, n, text = F.col("conv_id"), F.col("n"), F.col("text")
+    talk = talk.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
+    word = lambda prefix, number: F.concat(F.lit(prefix), number.cast("string"))
+    event = lambda *fields: F.to_json(F.struct(
+        F.lit("event_msg").alias("type"), F.struct(*fields).alias("payload")))
+    user = event(
+        F.lit("user_message").alias("type"), text.alias("message"),
+        F.array_repeat(F.lit("i"), (F.length("text") % 3).cast("int")).alias("images"),
+        F.array_repeat(F.lit("a"), (n % 2).cast("int")).alias("audio"))
+    said = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(
+        F.lit("message").alias("type"), F.lit("assistant").alias("role"), F.when(n % 2 == 0, "final").alias("phase"),
+        F.array(F.struct(F.lit("output_text").alias("type"), text.alias("text"))).alias("content")).alias("payload")))
+    result = F.struct(F.when(n % 4 != 0, F.struct(n.alias("v"))).alias("Ok"), F.when(n % 4 == 0, "bad").alias("Err"))
+    ended = event(
+        F.lit("mcp_tool_call_end").alias("type"), word("c", n).alias("call_id"),
+        F.struct(n.alias("secs"), F.lit(250_000_000).alias("nanos")).alias("duration"),
+        F.struct(F.lit("s").alias("server"), word("t", n % 3).alias("tool"), F.struct(n.alias("n")).alias("arguments"))
+        .alias("invocation"), result.alias("result"))
+    sample = event(F.lit("token_count").alias("type"), F.struct((n + 1000).alias("model_context_window")).alias("info"))
+    rows = talk.select("conv_id", (n * 10).alias("position"), F.when(F.col("role") == "user", user).when(
+        F.col("role") == "assistant", said).otherwise(ended).alias("raw"))
+    samples = talk.where("role = 'assistant'").select("conv_id", (n * 10 + 1).alias("position"), sample.alias("raw"))
+    source = F.when(c % 3 == 0, F.lit('"CLI"')).when(c % 3 == 1, F.lit('{"subagent": {"depth": 1}}')).otherwise(F.lit('"nowhere"'))
+    heads = talk.select("conv_id").distinct().select("conv_id", F.lit(0).cast("long").alias("position"), F.concat(
+        F.lit('{"type": "session_meta", "payload": {"id": "desk-'), c.cast("string"), F.lit('", "originator": "desk", "cwd": "/root/p'),
+        (c % 5).cast("string"), F.lit('", "instructions": "hidden", "source": '), source, F.lit(', "git": {"branch": "b'),
+        (c % 4).cast("string"), F.lit('", "repository_url": "hidden", "commit_hash": "'), F.lpad(c.cast("string"), 10, "a"), F.lit('"}}}')).alias("raw"))
+    return rows.unionByName(samples).unionByName(heads).select(
+        word("desk-", c).alias("file"), F.lit(None).cast("long").alias("file_size"),
+        F.lit(0).cast("long").alias("block"), "position", "raw")
+
+
 def _uuid(conv: Column) -> Column:
     return F.concat(F.lpad(conv.cast("string"), 8, "0"), F.lit("-0000-4000-8000-000000000000"))
 
