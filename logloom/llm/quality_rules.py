@@ -3,8 +3,10 @@
 The statistics of a text are DataFrame expressions. For each rule a fixed list of cutoffs is
 tried on a labelled holdout, apart for each stratum: a cutoff is safe when the number of good
 documents it rejects is so low that a rate above the limit would show it, or less, with a
-probability of at most ``DELTA`` divided by all tests that are made (exact binomial tail,
-Bonferroni). The strictest safe cutoff is taken; where none is safe the rule stays unused.
+probability of at most ``DELTA`` divided by the number of strata and rules (exact binomial tail,
+Bonferroni). The cutoffs of one rule are nested, so they are tested in a fixed sequence from
+the loosest on, each at that same level, until one fails: a stricter cutoff rejects all that a
+looser one does. The strictest safe cutoff is taken; where none is safe the rule stays unused.
 The limit of a stratum is shared among the rules, so with confidence 1 - DELTA no stratum
 rejects more than ``LIMIT`` of its good documents by these rules.
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from logloom.session import written
 
 #: Good documents that the rules of a stratum may reject, and the chance that they reject more.
-LIMIT, DELTA = 0.02, 0.05
+LIMIT, DELTA = 0.03, 0.05
 #: Fixed base rule: least words, most repeated words in a hundred, words of a window.
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 #: Cutoffs tried for each rule, strictest first; a statistic above the cutoff rejects.
@@ -129,9 +131,10 @@ def thresholds(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
         "tried_rule string, place int, cutoff double")
     tests = counts.join(tried, F.col("rule") == F.col("tried_rule")).groupBy("stratum", "rule", "place", "cutoff").agg(
         F.sum("n").alias("good"), F.sum(F.when(F.col("passed") > F.col("place"), F.col("n")).otherwise(0)).alias("rejected"))
-    made = max(1, counts.select("stratum").distinct().count()) * sum(map(len, CUTOFFS.values()))
+    made = max(1, counts.select("stratum").distinct().count()) * len(CUTOFFS)
     tail = binomial_tail(F.col("rejected"), F.col("good"), limit / len(CUTOFFS))
     safe = tests.where((F.col("rejected") <= F.col("good") * (limit / len(CUTOFFS))) & (tail <= delta / made))
+    # rejections only grow with strictness, so every cutoff looser than a safe one is safe as well
     best = F.min_by(F.struct("cutoff", "good", "rejected"), "place")
     return safe.groupBy("stratum", "rule").agg(best.alias("b")).select("stratum", "rule", "b.*")
 

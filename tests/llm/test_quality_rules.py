@@ -57,7 +57,7 @@ def test_cutoffs_are_safe_and_strict(spark):
     assert chosen["en", "symbol_share"].cutoff == 0.01 and chosen["en", "symbol_share"].rejected == 0
     good = {r[0] for r in rows if r[0] < 10_000}
     kept = {r.doc_id: r.kept for r in quality_rules.judged(docs, labels).collect()}
-    assert sum(not kept[i] for i in good) <= 0.02 * len(good)
+    assert sum(not kept[i] for i in good) <= 0.03 * len(good)
     assert not any(kept[r[0]] for r in rows if r[0] >= 10_000)
 
 
