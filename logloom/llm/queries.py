@@ -19,6 +19,7 @@ from logloom.llm import (
     toxicity,
     warc,
 )
+from logloom.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -97,5 +98,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_addressable_codes": addressable_codes,
     "op10_page_text": page_text,
 }
-
-ORACLE_SQL: dict[str, str] = {}
