@@ -269,6 +269,15 @@ def queries() -> dict[str, str]:
         SELECT 'user-' || CAST(session AS VARCHAR) AS file, seq AS line_no,
                CASE WHEN k % 8 = 2 THEN 'non_object_jsonl' ELSE 'malformed_jsonl' END AS code
         FROM e WHERE k % 8 NOT IN (0, 5)"""
+    documents = f"""WITH {TURNS},
+            n AS (
+              SELECT session, CAST(count(*) FILTER (creates) AS BIGINT) AS records, min(ts_ms) AS a FROM r GROUP BY session)
+            SELECT 'user-' || CAST(session AS VARCHAR) AS session, records, least(records, 50) AS shown,
+                   CASE WHEN records > 0 THEN greatest(records - 49, 1) END AS first_index,
+                   CASE WHEN records > 50 THEN records - 49 END AS next_before, CAST(1 AS BIGINT) AS first_turn,
+                   CASE WHEN a % 1000 = 0 THEN strftime(make_timestamp(a * 1000), '%Y-%m-%dT%H:%M:%SZ')
+                        ELSE strftime(make_timestamp(a * 1000), '%Y-%m-%dT%H:%M:%S.%fZ') END AS started_at
+            FROM n"""
     desk = """m AS (
           SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)"""
     return {
@@ -329,15 +338,10 @@ def queries() -> dict[str, str]:
                         WHEN text = '' THEN CASE role WHEN 'user' THEN 'User message' ELSE 'Assistant' END
                         ELSE {_shortened('text', 220)} END AS summary
             FROM k""",
-        "log_documents": f"""WITH {TURNS},
-            n AS (
-              SELECT session, CAST(count(*) FILTER (creates) AS BIGINT) AS records, min(ts_ms) AS a FROM r GROUP BY session)
-            SELECT 'user-' || CAST(session AS VARCHAR) AS session, records, least(records, 50) AS shown,
-                   CASE WHEN records > 0 THEN greatest(records - 49, 1) END AS first_index,
-                   CASE WHEN records > 50 THEN records - 49 END AS next_before, CAST(1 AS BIGINT) AS first_turn,
-                   CASE WHEN a % 1000 = 0 THEN strftime(make_timestamp(a * 1000), '%Y-%m-%dT%H:%M:%SZ')
-                        ELSE strftime(make_timestamp(a * 1000), '%Y-%m-%dT%H:%M:%S.%fZ') END AS started_at
-            FROM n""",
+        "log_documents": documents,
+        "trajectory_page": documents + """
+            WHERE session = (SELECT user_id FROM events GROUP BY user_id
+                             ORDER BY floor(max(epoch_us(ts)) / 1000) DESC, 'user-' || CAST(user_id AS VARCHAR) LIMIT 1)""",
         "live_cursor": f"""WITH {TURNS}
             SELECT session, 'T' || CAST(turn AS VARCHAR) || ' / S' || CAST(coalesce(step, 0) AS VARCHAR) || ' / #' ||
                    CAST(idx AS VARCHAR) AS cursor

@@ -1,67 +1,66 @@
-"""Checks of the public call arguments."""
+"""What callers may ask for: numbers within their spans, short texts, known words."""
 
 from __future__ import annotations
 
+import re
+
 # Page and list sizes, argument lengths.
 MIN_RECORDS, MAX_RECORDS, DEFAULT_RECORDS, LIVE_RECORDS = 50, 1000, 500, 50
 MAX_LIST, DEFAULT_LIST = 100, 20
 MAX_QUERY, MAX_SELECTOR = 500, 240
+MAX_CURSOR = 2**53 - 1
 
+_DIGEST = re.compile("[0-9a-f]{64}")
+_PATH_SIGNS = frozenset("/\\")
 
-def _whole(name: str, value: object) -> int:
-    if isinstance(value, bool) or not isinstance(value, int):
-        raise ValueError(f"{name} must be an integer")
-    return value
 
+def _need(holds: bool, wanted: str) -> None:
+    if not holds:
+        raise ValueError(f"not accepted: {wanted}")
 
-def page_size(value: int | None) -> int:
+
+def _number(value: int | None, low: int, high: int, otherwise: int | None) -> int | None:
+    """``value`` within [low, high], or ``otherwise`` where none was given; truth values are no numbers."""
     if value is None:
-        return DEFAULT_RECORDS
-    if not MIN_RECORDS <= _whole("max_records", value) <= MAX_RECORDS:
-        raise ValueError(f"max_records must be between {MIN_RECORDS} and {MAX_RECORDS}")
+        return otherwise
+    _need(type(value) is int and low <= value <= high, f"a whole number from {low} to {high}")
     return value
 
 
+def _short(value: str | None, most: int) -> str:
+    text = "" if value is None else value
+    _need(len(text) <= most, f"a text of {most} characters or fewer")
+    return text.strip()
+
+
+def page_size(value: int | None) -> int:
+    return _number(value, MIN_RECORDS, MAX_RECORDS, DEFAULT_RECORDS)
+
+
 def list_limit(value: int | None) -> int:
-    if value is None:
-        return DEFAULT_LIST
-    if not 1 <= _whole("limit", value) <= MAX_LIST:
-        raise ValueError(f"limit must be between 1 and {MAX_LIST}")
-    return value
+    return _number(value, 1, MAX_LIST, DEFAULT_LIST)
 
 
 def cursor(value: int | None) -> int | None:
-    if value is not None and not 1 <= _whole("before_record", value) <= 2**53 - 1:
-        raise ValueError("before_record must be a positive integer")
-    return value
+    return _number(value, 1, MAX_CURSOR, None)
 
 
 def query_text(value: str | None) -> str:
-    text = value or ""
-    if len(text) > MAX_QUERY:
-        raise ValueError(f"query must have at most {MAX_QUERY} characters")
-    return text.strip().casefold()
+    return _short(value, MAX_QUERY).casefold()
 
 
 def selector(value: str | None) -> str | None:
-    """Trimmed session selector; null stands for the newest session."""
-    requested = (value or "").strip()
-    if not requested or requested == "latest":
-        return None
-    if len(requested) > MAX_SELECTOR:
-        raise ValueError(f"session selector must have at most {MAX_SELECTOR} characters")
-    if "/" in requested or "\\" in requested:
-        raise ValueError("session selector must be an identifier, not a path")
-    return requested
+    """Trimmed name of a session; none, blank and ``latest`` stand for the newest one."""
+    name = _short(None if value is None else value.strip(), MAX_SELECTOR)
+    _need(_PATH_SIGNS.isdisjoint(name), "a session's name, without folders")
+    return None if name in ("", "latest") else name
 
 
 def detail_level(value: str) -> str:
-    if value not in ("summary", "full"):
-        raise ValueError("detail level must be 'summary' or 'full'")
+    _need(value in ("summary", "full"), "summary or full")
     return value
 
 
 def revision(value: str | None) -> str | None:
-    if value is not None and (len(value) != 64 or set(value) - set("0123456789abcdef")):
-        raise ValueError("revision must be a lowercase SHA-256 digest")
+    _need(value is None or _DIGEST.fullmatch(value) is not None, "a digest of 64 lower-case hexadecimal signs")
     return value

@@ -20,10 +20,12 @@ from logloom.plans.projection import DETAIL_COLUMNS, project
 from logloom.session import split_large_methods, spread, written
 from logloom.sources import lineage, lines
 
+# Texts of turns that another turn cut short.
 SUPERSEDED = {
     "S": "Turn was superseded by another persisted start event.",
     "C": "Turn was superseded by a completion for another persisted turn.",
 }
+ABORTED, FAILED = "Turn was aborted.", "Turn completed with an error."
 BY_ITEM = "Turn was superseded by an item from another persisted turn."
 
 
@@ -174,8 +176,8 @@ def turns(logs: Logs, detail: str = "summary") -> DataFrame:
     error = (
         F.when(F.col("cut_by").isNotNull(), F.coalesce(cut, F.lit(BY_ITEM)) if full
                else F.lit("Turn ended without a matching completion event."))
-        .when(F.col("status") == "aborted", F.coalesce(text, F.lit("Turn was aborted.")))
-        .when(F.col("status") == "error", F.coalesce(text, F.lit("Turn completed with an error.")))
+        .when(F.col("status") == "aborted", F.coalesce(text, F.lit(ABORTED)))
+        .when(F.col("status") == "error", F.coalesce(text, F.lit(FAILED)))
     )
     return table.select(*[c for c in table.columns if c != "error_text"], error.alias("error"))
 

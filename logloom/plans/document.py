@@ -10,6 +10,7 @@ from logloom.functions import time as tm
 from logloom.operators import pages
 from logloom.operators.defaults import COUNTERS
 from logloom.plans import build, overview
+from logloom.session import written
 
 SCHEMA_VERSION = 1
 #: Sessions listed beside each document (fixed value).
@@ -71,16 +72,24 @@ def documents(logs: build.Logs, max_records: int | None = None, before: int | No
     Records are cut to the page and turns to 1,000 before anything is gathered,
     so a document is bounded whatever the size of its session.
     """
+    about = written(build.sessions(logs, home), "sessions")
+    return assemble(about, build.session_overviews(about), build.records(logs, detail), build.turns(logs, detail),
+                    build.quotas(logs), build.warnings(logs), max_records, before, detail)
+
+
+def assemble(about: DataFrame, overviews: DataFrame, records: DataFrame, turns: DataFrame, quotas: DataFrame,
+             warnings: DataFrame, max_records: int | None = None, before: int | None = None,
+             detail: str = "summary", include_archived: bool = True) -> DataFrame:
+    """(session, document) from gold tables: of the sessions ``about``, beside the newest of ``overviews``."""
     arguments.cursor(before)
-    about = build.sessions(logs, home)
-    page = pages.newest_page(build.records(logs, detail), max_records, before)
-    turns = pages.retained_turns(build.turns(logs, detail), page)
+    page = pages.newest_page(records, max_records, before)
+    turns = pages.retained_turns(turns, page)
     headers = pages.page_headers(page, about.withColumnRenamed("file", "session"))
-    quotas = build.quotas(logs).groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct(
+    quotas = quotas.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct(
         "window", F.struct(
             F.col("used_percent").alias("usedPercent"), F.col("window_minutes").alias("windowMinutes"),
             _iso("resets_ms").alias("resetsAt"))))).alias("rateLimits"))
-    warned = _in_order(pages.first_warnings(build.warnings(logs)), F.struct("code", "line", "message"), "seq", "warnings")
+    warned = _in_order(pages.first_warnings(warnings), F.struct("code", "line", "message"), "seq", "warnings")
     joined = about.withColumnRenamed("file", "session")
     for table in (headers, _in_order(page, _record(), "index", "shown_records"),
                   _in_order(turns, _turn(), "turn", "shown_turns"), quotas, warned):
@@ -112,7 +121,7 @@ def documents(logs: build.Logs, max_records: int | None = None, before: int | No
         F.coalesce("rateLimits", F.create_map().cast(dict(joined.dtypes)["rateLimits"])).alias("rateLimits"),
     )
     # the recent sessions are the same short list for every document: one row, joined by a constant
-    recent = overview.session_list(build.session_overviews(about), RECENT, include_archived=True)
+    recent = overview.session_list(overviews, RECENT, include_archived=include_archived)
     listed = F.array_sort(F.collect_list(F.struct(
         F.struct((-F.col("modified_ms")).alias("newest"), "archived", "stem").alias("k"), _overview().alias("v"))), _by_key)
     one = recent.agg(F.transform(listed, lambda x: x["v"]).alias("recent")).withColumn("one", F.lit(1))

@@ -43,12 +43,14 @@ def session_list(
     return rows.orderBy(*recency()).limit(limit)
 
 
-def resolve(overviews: DataFrame, *selectors: str | None) -> DataFrame:
+def resolve(overviews: DataFrame, *selectors: str | None, include_archived: bool = True) -> DataFrame:
     """The file each selector stands for, or ``not_found`` / ``ambiguous``.
 
     An exact stem, file UUID or session id wins in recency order; otherwise a
     prefix must lead to a single file, counting the newest file of every identity.
     """
+    if not include_archived:
+        overviews = overviews.filter(~F.col("archived"))
     parts = []
     for given in selectors:
         wanted = arguments.selector(given)

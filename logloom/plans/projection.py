@@ -50,6 +50,7 @@ OUTPUT_FAILED = ("failed", "incomplete", "error")
 PATCH_FAILED = ("failed", "declined", "error")
 GENERIC_TOOLS = ("tool", "mcp tool")
 
+# Fixed value: shown for reasoning without a readable summary.
 ENCRYPTED = "Encrypted reasoning (summary unavailable)"
 
 

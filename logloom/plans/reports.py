@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from logloom.operators.defaults import COUNTERS
 from logloom.operators.late import add_late_markers
 from logloom.operators.sequence import add_index, add_owner, role_in, sequence
 from logloom.operators.tools import fold_results, orphan_results, tool_totals
-from logloom.plans import build, contract, document, gold, overview
-from logloom.session import spread
+from logloom.plans import build, contract, document, gold, overview, store
+from logloom.session import checkpoint_dir, spread
 from logloom.sources import derived, lines
 from logloom.sources.tables import conversation_ledger, event_ledger, with_samples
 
@@ -508,7 +510,17 @@ def lineage_history(spark, sf_dir, max_rows=MAX_ROWS):
 
 def log_documents(spark, sf_dir, max_rows=MAX_ROWS):
     """Counts read back from every session's JSON document with a page of 50 records."""
-    docs = document.documents(_logs(spark, sf_dir, max_rows), 50)
+    return _counts_of(document.documents(_logs(spark, sf_dir, max_rows), 50))
+
+
+def trajectory_page(spark, sf_dir):
+    """The newest session by the one-session call over saved tables."""
+    folder = f"{checkpoint_dir(spark)}/gold-{uuid.uuid4().hex}"
+    store.save(_logs(spark, sf_dir), folder, buckets=8)
+    return _counts_of(store.trajectory(spark, folder, "latest", 50, buckets=8))
+
+
+def _counts_of(docs):
     at = lambda path: F.get_json_object("document", path)
     return docs.select(
         "session", at("$.stats.records").cast("long").alias("records"),

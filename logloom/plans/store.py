@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import arguments
 from logloom.operators import pages
-from logloom.plans import build, overview
+from logloom.plans import build, document, overview
 
 
 def bucket_of(session: Column, buckets: int) -> Column:
@@ -42,6 +42,34 @@ def page(spark: SparkSession, folder: str, session: str, size: int | None = None
     return pages.newest_page(records.drop("bucket"), size, arguments.cursor(before))
 
 
+def trajectory(spark: SparkSession, folder: str, selector: str | None = None, max_records: int | None = None,
+               before: int | None = None, include_archived: bool = True, detail: str = "summary",
+               buckets: int = 256) -> DataFrame:
+    """(session, document) of the one session that ``selector`` stands for, from saved tables.
+
+    Raises ``LookupError`` where no session, or more than one, is meant. Every table is read
+    from one bucket folder; the selector and the recent sessions read the session table.
+    """
+    sessions = spark.read.parquet(f"{folder}/sessions").drop("bucket").withColumnRenamed("session", "file")
+    overviews = build.session_overviews(sessions)
+    (found,) = overview.resolve(overviews, selector, include_archived=include_archived).collect()
+    if found.outcome != "found":
+        raise LookupError(f"session {found.outcome.replace('_', ' ')}")
+    chosen = overviews.filter(F.col("stem") == found.stem)
+    if not include_archived:
+        chosen = chosen.filter(~F.col("archived"))
+    session = chosen.orderBy(*overview.recency()).head().file
+    digest = spark.range(1).select(bucket_of(F.lit(session), buckets)).head()[0]
+
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(f"{folder}/{name}").filter(
+            (F.col("bucket") == digest) & (F.col("session") == session)).drop("bucket")
+
+    return document.assemble(
+        table("sessions").withColumnRenamed("session", "file"), overviews, table("records"), table("turns"),
+        table("quotas"), table("warnings"), max_records, before, arguments.detail_level(detail), include_archived)
+
+
 def revisions(logs: build.Logs) -> DataFrame:
     """Digest per session over path, time and size of every file behind it."""
     files = logs.rollouts.select(

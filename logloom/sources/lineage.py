@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text as tx
 from logloom.operators.carry import MAX_ROWS, latest, ledger, scan, total
-from logloom.session import materialise
+from logloom.session import written
 
 #: Longest chain of files behind one session (fixed value).
 MAX_SEGMENTS = 1024
@@ -46,75 +44,77 @@ def _error(*rules: tuple[Column, str]) -> Column:
 def resolve(rollouts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(segments, errors) of every session; a session is named by its own file.
 
-    The chain of every session is followed one file per round, all sessions at
-    once; each round is a join on the file UUID and is written down, so rounds
-    do not pile up. A broken chain gives an error row instead of stopping the job.
+    What can be wrong with a file or with the source it names is found once per file. The
+    chains of all sessions are then followed at once by doubling: a round knows the file
+    2**k steps up from every file, so the longest chain takes eleven rounds. Only file
+    names and depths go through the rounds; each is written down. A broken chain gives an
+    error row, the one nearest to the session, instead of stopping the job.
     """
     plain = rollouts.filter(~F.col("paginated"))
     bound = F.lit(None).cast("long")
-    segments = [plain.filter(~F.col("numbered")).select(
+    own = plain.filter(~F.col("numbered")).select(
         F.col("file").alias("session"), "file", F.lit(0).alias("depth"),
         F.lit(False).alias("paginated"), F.lit(0).cast("long").alias("start_ordinal"),
         bound.alias("end_ordinal"), bound.alias("end_byte"), bound.alias("subagent_start"),
-    )]
-    errors = [plain.filter("numbered").select(
-        F.col("file").alias("session"), F.lit("paginated_without_metadata").alias("error")
-    )]
-
-    named = rollouts.filter(F.col("rollout_id").isNotNull())
-    index = named.groupBy(F.col("rollout_id").alias("base_id")).agg(
-        F.count(F.lit(1)).alias("files"), F.min("file").alias("base_file")
-    )
-    about = rollouts.select("file", "rollout_id", "paginated", "meta")
-    walk = rollouts.filter("paginated").select(
-        F.col("file").alias("session"), "file", bound.alias("end_ordinal"), bound.alias("end_byte"),
-        F.array().cast("array<string>").alias("seen"),
     )
-    for depth in range(MAX_SEGMENTS + 1):
-        meta = F.col("meta")
-        here = walk.join(about, "file")
-        base = F.lower(meta["base_id"])
-        checked = here.withColumn("error", _error(
-            (F.lit(depth >= MAX_SEGMENTS), "lineage_too_long"),
-            (~F.col("paginated"), "different_history_mode"),
-            (F.col("rollout_id").isNull(), "no_rollout_id_in_name"),
-            (~tx.is_uuid(meta["raw_id"]) | (F.lower(meta["raw_id"]) != F.col("rollout_id")),
-             "identity_differs_from_name"),
-            (F.array_contains("seen", F.col("rollout_id")), "lineage_cycle"),
-            (meta["has_base"] & ~tx.is_uuid(meta["base_id"]), "invalid_base_id"),
-            (meta["has_base"] & ~F.coalesce(meta["base_end_ordinal"] > 0, F.lit(False)),
-             "invalid_ordinal_boundary"),
-            (meta["has_base"] & ~F.coalesce(meta["base_end_byte"] > 0, F.lit(False)),
-             "invalid_byte_boundary"),
-            (meta["has_subagent_start"] & ~F.coalesce(meta["subagent_start"] > 0, F.lit(False)),
-             "invalid_subagent_boundary"),
-        ))
-        looked_up = materialise(
-            checked.withColumn("base_id", F.when(F.col("error").isNull() & meta["has_base"], base))
-            .join(index, "base_id", "left")
-            .withColumn("error", F.coalesce("error", _error(
-                (F.col("base_id").isNotNull() & F.col("files").isNull(), "source_not_found"),
-                (F.col("files") > 1, "source_ambiguous"),
-            )))
-        )
-        errors.append(looked_up.filter("error is not null").select("session", "error"))
-        good = looked_up.filter("error is null")
-        segments.append(good.select(
-            "session", "file", F.lit(depth).alias("depth"), F.lit(True).alias("paginated"),
-            F.coalesce(F.col("meta.base_end_ordinal") + 1, F.lit(1)).cast("long").alias("start_ordinal"),
-            "end_ordinal", "end_byte", F.col("meta.subagent_start").alias("subagent_start"),
-        ))
-        walk = good.filter(F.col("base_id").isNotNull()).select(
-            "session", F.col("base_file").alias("file"),
-            F.col("meta.base_end_ordinal").alias("end_ordinal"),
-            F.col("meta.base_end_byte").alias("end_byte"),
-            F.array_append("seen", F.col("rollout_id")).alias("seen"),
-        )
-        if not walk.head(1):
+    unnamed = plain.filter("numbered").select(
+        F.col("file").alias("session"), F.lit("paginated_without_metadata").alias("error"))
+    files = written(_sources(rollouts), "sources")
+
+    chain = rollouts.filter("paginated").select(F.col("file").alias("session"), "file", F.lit(0).alias("depth"))
+    hops = files.filter("base_file is not null").select("file", F.col("base_file").alias("up"))
+    step = 1
+    while step <= MAX_SEGMENTS:
+        further = written(chain.join(hops, "file").select(
+            "session", F.col("up").alias("file"), (F.col("depth") + step).alias("depth")), "chain")
+        if not further.head(1):
             break
-    failed = reduce(DataFrame.unionByName, errors)
-    chained = reduce(DataFrame.unionByName, segments)
-    return chained.join(failed.select("session"), "session", "left_anti"), failed
+        chain = written(chain.unionByName(further), "chain")
+        hops = written(hops.join(hops.toDF("up", "next"), "up").select("file", F.col("next").alias("up")), "hops")
+        step *= 2
+
+    from_child = Window.partitionBy("session").orderBy("depth")
+    again = F.row_number().over(Window.partitionBy("session", "rollout_id").orderBy("depth")) > 1
+    linked = chain.join(files, "file").select(
+        "session", "file", "depth", F.lit(True).alias("paginated"),
+        F.coalesce(F.col("base_end_ordinal") + 1, F.lit(1)).cast("long").alias("start_ordinal"),
+        F.lag("base_end_ordinal").over(from_child).alias("end_ordinal"),
+        F.lag("base_end_byte").over(from_child).alias("end_byte"), "subagent_start",
+        _error((F.col("depth") >= MAX_SEGMENTS, "lineage_too_long"), (again, "lineage_cycle"),
+               (F.col("error").isNotNull(), F.col("error"))).alias("error"),
+    )
+    broken = linked.filter("error is not null").groupBy("session").agg(F.min_by("error", "depth").alias("error"))
+    whole = linked.drop("error").join(broken.select("session"), "session", "left_anti")
+    return own.unionByName(whole), unnamed.unionByName(broken)
+
+
+def _sources(rollouts: DataFrame) -> DataFrame:
+    """Per file: what is wrong with it, or the file it inherits from and up to where."""
+    index = rollouts.filter(F.col("rollout_id").isNotNull()).groupBy(F.col("rollout_id").alias("base_id")).agg(
+        F.count(F.lit(1)).alias("files"), F.min("file").alias("base_file"))
+    meta = F.col("meta")
+    checked = rollouts.withColumn("error", _error(
+        (~F.col("paginated"), "different_history_mode"),
+        (F.col("rollout_id").isNull(), "no_rollout_id_in_name"),
+        (~tx.is_uuid(meta["raw_id"]) | (F.lower(meta["raw_id"]) != F.col("rollout_id")),
+         "identity_differs_from_name"),
+        (meta["has_base"] & ~tx.is_uuid(meta["base_id"]), "invalid_base_id"),
+        (meta["has_base"] & ~F.coalesce(meta["base_end_ordinal"] > 0, F.lit(False)),
+         "invalid_ordinal_boundary"),
+        (meta["has_base"] & ~F.coalesce(meta["base_end_byte"] > 0, F.lit(False)),
+         "invalid_byte_boundary"),
+        (meta["has_subagent_start"] & ~F.coalesce(meta["subagent_start"] > 0, F.lit(False)),
+         "invalid_subagent_boundary"),
+    )).withColumn("base_id", F.when(F.col("error").isNull() & meta["has_base"], F.lower(meta["base_id"])))
+    found = checked.join(index, "base_id", "left").withColumn("error", F.coalesce("error", _error(
+        (F.col("base_id").isNotNull() & F.col("files").isNull(), "source_not_found"),
+        (F.col("files") > 1, "source_ambiguous"),
+    )))
+    return found.select(
+        "file", "rollout_id", "error", F.when(F.col("error").isNull(), F.col("base_file")).alias("base_file"),
+        meta["base_end_ordinal"].alias("base_end_ordinal"), meta["base_end_byte"].alias("base_end_byte"),
+        meta["subagent_start"].alias("subagent_start"),
+    )
 
 
 def history(

@@ -50,6 +50,10 @@ def test_saved_tables_and_revisions(spark):
     assert [r["index"] for r in page.orderBy("index").collect()] == [1, 2, 3]
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(session," in plan
+    (shown,) = store.trajectory(spark, folder.base + "/gold", "kiln", 50, buckets=4).collect()
+    assert json.loads(shown.document)["stats"]["records"] == 9 and shown.session == session
+    with pytest.raises(LookupError):
+        store.trajectory(spark, folder.base + "/gold", "loom", 50, buckets=4)
     first = store.revisions(logs)
     assert overview.changed_sessions(first, store.revisions(logs)).count() == 0
     os.utime(path, (2000, 2000))

@@ -9,7 +9,7 @@ from logloom.functions import text as tx
 from logloom.functions import time as tm
 from logloom.functions import variant as vx
 from logloom.plans import build
-from logloom.sources import lines
+from logloom.sources import lineage, lines
 from tests.fixtures import LogFolder, at, entry, event, meta, response
 
 UUIDS = [f"0000000{n}-0000-4000-8000-000000000000" for n in range(9)]
@@ -253,3 +253,61 @@ def test_rollouts_read_no_content(spark):
     folder.add("one", [meta("x")])
     plan = lines.list_rollouts(spark, folder.active)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
+
+
+def test_an_heir_has_the_warnings_of_what_it_inherits(spark):
+    folder = LogFolder()
+    first, second, third, fourth = numbered(0, paged(1), message("a"), message("b"), message("c"))
+    lines_of = [first, b"{broken\n", second, third, b"{later\n", fourth]
+    end = size_of([first, second, third]) + len(b"{broken\n")
+    folder.add(f"base-{UUIDS[1]}", lines_of)
+    base = {"thread_id": UUIDS[1], "end_ordinal_exclusive": 3, "end_byte_offset": end}
+    folder.add(f"heir-{UUIDS[2]}", numbered(3, paged(2, history_base=base), message("d")))
+    logs = build.load(spark, folder.active)
+    assert logs.errors.count() == 0
+    found = sorted((r.session.rsplit("/", 1)[1][:4], r.line, r.code) for r in build.warnings(logs).collect())
+    assert found == [("base", 2, "malformed_jsonl"), ("base", 5, "malformed_jsonl"), ("heir", 2, "malformed_jsonl")]
+
+
+META = ("raw_id string, has_base boolean, base_id string, base_end_ordinal long, base_end_byte long, "
+        "has_subagent_start boolean, subagent_start long")
+
+
+def chain_of(spark, length, loop=False):
+    """Files that each inherit from the one before; ``loop`` lets the first inherit from the last."""
+    name = lambda n: f"{n:08d}-0000-4000-8000-000000000000"
+    rows = [(f"f{n}", name(n), True, True, (name(n), n > 0 or loop, name((n - 1) % length), n + 1, 10 * n + 1, False, None))
+            for n in range(length)]
+    return spark.createDataFrame(rows, f"file string, rollout_id string, paginated boolean, numbered boolean, meta struct<{META}>")
+
+
+def test_long_chains(spark):
+    segments, errors = lineage.resolve(chain_of(spark, 1025))
+    assert [(r.session, r.error) for r in errors.collect()] == [("f1024", "lineage_too_long")]
+    longest = {r.depth: (r.file, r.start_ordinal, r.end_ordinal) for r in segments.where("session = 'f1023'").collect()}
+    assert len(longest) == 1024
+    assert longest[0] == ("f1023", 1025, None) and longest[1] == ("f1022", 1024, 1024) and longest[1023] == ("f0", 2, 2)
+    assert segments.count() == 1024 * 1025 // 2
+
+
+def test_loops(spark):
+    segments, errors = lineage.resolve(chain_of(spark, 5, loop=True))
+    assert segments.count() == 0
+    assert {(r.session, r.error) for r in errors.collect()} == {(f"f{n}", "lineage_cycle") for n in range(5)}
+
+
+def test_numbered_entries_need_metadata(spark):
+    folder = LogFolder()
+    folder.add("plain", [{**message("x"), "ordinal": 0}])
+    folder.add("fine", [event("user_message", at(1), message="hi")])
+    logs = build.load(spark, folder.active)
+    assert [(r.session.rsplit("/", 1)[1], r.error) for r in logs.errors.collect()] == [("plain.jsonl", "paginated_without_metadata")]
+
+
+def test_names_and_archive(spark):
+    folder = LogFolder()
+    folder.add("a b+c%", [meta("x")])
+    folder.add("archived", [meta("y")])
+    folder.add("old", [meta("z")], archived=True)
+    files = {r.stem: r.archived for r in lines.list_rollouts(spark, folder.active, folder.archived).collect()}
+    assert files == {"a b+c%": False, "archived": False, "old": True}
