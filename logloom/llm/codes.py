@@ -12,7 +12,9 @@ place of its first id among all ids is a running sum over the table of files.
 
 Words are encoded once per worker by the tokenizers library and remembered, in bounded
 number: the tokenizer drops white space and never looks across it, so the ids of a text are
-those of its words.
+those of its words. Of a word of letters with ASCII punctuation behind it, which is most words,
+letters and punctuation are encoded apart, as the tokenizer's own split has them; the letters in
+lower case go to its merges directly, since its other steps leave such letters as they are.
 
 Defined results: null and the empty text have the end id only; null ids come first; equal ids
 stand side by side, ordered by their text; strings of special tokens in a text are ordinary
@@ -21,9 +23,12 @@ text; an empty table gives no files; texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,10 @@ KNOWN_WORDS = 1_000_000
 MAGIC, BLOCK = b"DACIDS01", 512
 
 
+#: Letters that every step but lower case leaves as they are, and ASCII punctuation that is no apostrophe.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+
+
 class Words:
     """Ids of white-space separated words by a tokenizer that drops white space."""
 
@@ -51,25 +60,52 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_str(definition)
+        self.whole.encode_special_tokens = True
+        steps = json.loads(definition) | {"normalizer": None, "added_tokens": []}
+        steps["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.letters = Tokenizer.from_str(json.dumps(steps))
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
         self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        # parts of words: number 0 is the empty part
+        self.parts: dict[str, int] = {"": 0}
+        self.part_flat, self.part_starts = np.empty(0, np.uint32), np.zeros(2, np.int64)
+
+    def _learn_parts(self, tokenizer, parts: list[str]) -> None:
+        ids, sizes = [], np.zeros(len(parts), np.int64)
+        for at in range(0, len(parts), 20_000):
+            some = parts[at:at + 20_000]
+            found = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+            sizes[at:at + len(some)] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(some))
+        self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts)), strict=True))
+        self.part_starts = np.concatenate([self.part_starts, self.part_starts[-1] + np.cumsum(sizes)])
+        self.part_flat = np.concatenate([self.part_flat, *ids])
 
     def learn(self, words: list[bytes]) -> None:
-        ids, sizes = [], np.zeros(len(words), np.int64)
-        for at in range(0, len(words), 20_000):
-            part = [w.decode("utf-8", "surrogatepass") for w in words[at:at + 20_000]]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(found.ids, np.uint32))
-            of = np.array([-1 if n is None else n for n in found.word_ids], np.int64)
-            sizes[at:at + len(part)] = np.bincount(of, minlength=len(part))
+        """Add words that are not known yet, each once."""
+        split, letters, others = [], set(), set()
+        for word in words:
+            text = word.decode("utf-8", "surrogatepass")
+            found = _PLAIN(text)
+            if found:
+                base, tail = found[1].lower(), found[2]
+                letters.add(base)
+            else:
+                base, tail = text, ""
+                others.add(base)
+            others.add(tail)
+            split += (base, tail)
+        self._learn_parts(self.letters, [x for x in letters if x not in self.parts])
+        self._learn_parts(self.whole, [x for x in others if x not in self.parts])
+        numbers = np.fromiter(map(self.parts.__getitem__, split), np.int64, len(split))
+        tokens, sizes = ragged(self.part_flat, self.part_starts, numbers)
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, *ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes.reshape(-1, 2).sum(1))])
+        self.flat = np.concatenate([self.flat, tokens])
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of each text, with ``end`` after them."""
@@ -167,6 +203,14 @@ class Codes:
     def document(self, number: int) -> np.ndarray:
         return self.ids(int(self.begins[number]), int(self.begins[number + 1]))
 
+    def runs(self, ids: int = 1 << 16) -> Iterator[tuple[int, int]]:
+        """Documents [first, stop) in runs of about that many ids."""
+        first = 0
+        while first < len(self.doc_ids):
+            stop = max(first + 1, int(np.searchsorted(self.begins, self.begins[first] + ids, side="right")) - 1)
+            yield first, stop
+            first = stop
+
     def ids(self, start: int, stop: int) -> np.ndarray:
         return read_ids(self.levels, start, stop)
 
@@ -226,12 +270,16 @@ def read_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes = Codes(store.read_file(path))
-                sums = [zlib.crc32(codes.document(n).astype("<u4").tobytes()) for n in range(len(codes.doc_ids))]
+                codes, sums = Codes(store.read_file(path)), []
+                for first, stop in codes.runs():
+                    begins = codes.begins[first:stop + 1] - codes.begins[first]
+                    ids = codes.ids(int(codes.begins[first]), int(codes.begins[stop])).astype("<u4")
+                    sums += [zlib.crc32(ids[a:b]) for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(codes.doc_ids, pa.int64()), pa.array(codes.begins[:-1] + start, pa.int64()),
                      pa.array(np.diff(codes.begins), pa.int64()), pa.array(sums, pa.int64())],
                     names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return map_batches(files.select("path", "start").repartition("path"), run,
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_batches(files.select("path", "start").repartition(spread, "path"), run,
                        f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
