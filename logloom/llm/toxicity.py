@@ -60,52 +60,63 @@ class Classifier:
         return float(np.mean(1 / (1 + np.exp(-margins))))
 
 
-def _rows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(t) for t in texts], np.int64)
-    return np.concatenate([*(np.array(t, np.int64) for t in texts), np.empty(0, np.int64)]).astype(np.int64), sizes
+class Texts:
+    """Texts as ragged rows of word numbers."""
 
+    def __init__(self, rows: list[np.ndarray]):
+        self.flat = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
+        self.sizes = np.array([len(r) for r in rows], np.int64)
 
-def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, vocabulary: int = VOCABULARY,
-        least_texts: int = LEAST_TEXTS, classifiers: int = CLASSIFIERS, steps: int = STEPS) -> Classifier:
-    """Fit the classifiers to the non-negative risk."""
+    def of(self) -> np.ndarray:
+        """The text that each number stands in."""
+        return np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+
+
+def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float, **settings) -> Classifier:
+    """Fit the classifiers to the non-negative risk of texts given as sets of words."""
+    words = sorted(set().union(*positive, *unlabelled))
+    known = {w: i for i, w in enumerate(words)}
+    rows = [Texts([np.array(sorted(known[w] for w in t), np.int32) for t in texts]) for texts in (positive, unlabelled)]
+    return fit_rows(words, *rows, prior, **settings)
+
+
+def fit_rows(words: list[bytes], positive: Texts, unlabelled: Texts, prior: float, vocabulary: int = VOCABULARY,
+             least_texts: int = LEAST_TEXTS, classifiers: int = CLASSIFIERS, steps: int = STEPS) -> Classifier:
+    """Fit the classifiers; the numbers of the texts are places in ``words``."""
     prior = float(np.clip(prior, 1e-3, 0.9))
     rest = np.full(classifiers, np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
+    n_pos, n_all = len(positive.sizes), len(positive.sizes) + len(unlabelled.sizes)
+    if not n_pos or n_pos == n_all:
         return Classifier([], np.zeros((classifiers, 0)), rest)
-    counts: dict[bytes, int] = {}
-    inside: dict[bytes, int] = {}
-    for texts, into in ((positive, inside), (unlabelled, counts)):
-        for text in texts:
-            for word in text:
-                into[word] = into.get(word, 0) + 1
     # Words are ranked by how far their share among positives is from that among the others.
-    often = [w for w in {*counts, *inside} if counts.get(w, 0) + inside.get(w, 0) >= least_texts]
-    p = np.array([inside.get(w, 0) for w in often]) / len(positive)
-    u = np.array([counts.get(w, 0) for w in often]) / len(unlabelled)
-    far = np.abs(p - u) / np.sqrt((p * (1 - p)) / len(positive) + (u * (1 - u)) / len(unlabelled) + 1e-9)
-    words = [w for f, w in sorted(zip((-far).tolist(), often, strict=True))[:vocabulary] if -f >= DIFFERENCE]
-    known = {w: i for i, w in enumerate(words)}
-    sets = [[known[w] for w in known.keys() & text] for text in [*positive, *unlabelled]]
-    flat, sizes = _rows(sets)
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    n_pos, total, width = len(positive), len(sets), len(words)
-
-    def pick(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = sizes[rows]
-        ends = np.cumsum(size)
-        places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[rows] - (ends - size), size)
-        return flat[places], np.repeat(np.arange(len(rows)), size)
+    counts = [np.bincount(t.flat, minlength=len(words)) for t in (positive, unlabelled)]
+    p, u = counts[0] / n_pos, counts[1] / (n_all - n_pos)
+    far = np.abs(p - u) / np.sqrt(p * (1 - p) / n_pos + u * (1 - u) / (n_all - n_pos) + 1e-9)
+    far[counts[0] + counts[1] < least_texts] = 0
+    chosen = np.argsort(-far, kind="stable")[:vocabulary]
+    chosen = chosen[far[chosen] >= DIFFERENCE]
+    place = np.full(len(words), -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    words, width = [words[i] for i in chosen.tolist()], len(chosen)
+    sides = []
+    for texts, offset in ((positive, 0), (unlabelled, n_pos)):
+        numbers = place[texts.flat]
+        sides.append((numbers[numbers >= 0], texts.of()[numbers >= 0] + offset))
+    every_col, every_of = (np.concatenate(x) for x in zip(*sides, strict=True))
 
     all_weights, all_bias = np.zeros((classifiers, width)), rest.copy()
     for number in range(classifiers):
         rng = np.random.default_rng([SEED, number])
-        some = n_pos + np.flatnonzero(rng.random(total - n_pos) < SHARE)
-        rows = np.concatenate([np.arange(n_pos), some if len(some) else np.arange(n_pos, total)])
-        cols, of = pick(rows)
+        seen = rng.random(n_all) < SHARE
+        seen[:n_pos] = True
+        if seen.sum() == n_pos:
+            seen[:] = True
+        inside = seen[every_of]
+        cols, of, rows = every_col[inside], (np.cumsum(seen) - 1)[every_of[inside]], int(seen.sum())
         weights, bias = rng.normal(0, 0.01, width), rest[number]
-        first, second, n_rest = np.zeros(width + 1), np.zeros(width + 1), len(rows) - n_pos
+        first, second, n_rest = np.zeros(width + 1), np.zeros(width + 1), rows - n_pos
         for step in range(1, steps + 1):
-            margin = np.bincount(of, weights[cols], len(rows)) + bias
+            margin = np.bincount(of, weights[cols], rows) + bias
             chance = 1 / (1 + np.exp(-margin))
             clean = np.logaddexp(0, margin)  # the loss of the answer "clean"
             slope = np.concatenate([-prior * chance[:n_pos] / n_pos, chance[n_pos:] / n_rest])
@@ -123,8 +134,8 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float,
 
 
 def _sample(docs: DataFrame, labels: DataFrame, held_out: str, id_col: str, text_col: str, label_col: str,
-            positives: int, unlabelled: int) -> tuple[list[set[bytes]], list[set[bytes]], float]:
-    """The words of the sampled texts, and the share of toxic rows among the labelled ones."""
+            positives: int, unlabelled: int) -> tuple[list[bytes], Texts, Texts, float]:
+    """Words, sampled texts as their numbers, and the share of toxic rows among the labelled ones."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(
         F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).where(f"not ({held_out})")
     share = known.agg(F.avg("label")).first()[0]
@@ -147,19 +158,26 @@ def _sample(docs: DataFrame, labels: DataFrame, held_out: str, id_col: str, text
     # Only words that several sampled texts share can enter the vocabulary; the others stay behind.
     shared = sample.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("texts")).where(
         F.col("texts") >= LEAST_TEXTS).orderBy(F.desc("texts"), "word").limit(16 * VOCABULARY).select("word")
-    pairs = sample.select("id", "toxic", F.explode_outer("words").alias("word")).join(F.broadcast(shared), "word", "left_semi")
-    texts = pairs.groupBy("id", "toxic").agg(F.collect_set("word").alias("words"))
-    every = chosen.join(texts.drop("toxic"), "id", "left").orderBy("id").toLocalIterator()
-    found: tuple[list, list] = ([], [])
-    one: dict[bytes, bytes] = {}
-    for row in every:
-        found[not row.toxic].append({one.setdefault(w, w) for w in map(bytes, row.words or [])})
-    return found[0], found[1], PRIOR if share is None else share
+    words = sorted(bytes(r.word) for r in shared.collect())
+    given = docs.sparkSession.sparkContext.broadcast(words)
+
+    def number(batches):
+        known = {w: i for i, w in enumerate(given.value)}
+        for batch in batches:
+            rows = [np.array([known[w] for w in text if w in known], "<i4").tobytes() for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())],
+                                             names=["id", "toxic", "numbers"])
+
+    found: dict = {}
+    for row in map_batches(sample, number, f"id {kind}, toxic boolean, numbers binary").collect():
+        found.setdefault((row.toxic, row.id), []).append(np.frombuffer(row.numbers, "<i4"))
+    texts = [Texts([np.unique(np.concatenate(found[key])) for key in sorted(found) if key[0] is toxic]) for toxic in (True, False)]
+    return words, texts[0], texts[1], PRIOR if share is None else share
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
-    return fit(*_sample(docs, labels, held_out, id_col, text_col, label_col, positives, unlabelled))
+    return fit_rows(*_sample(docs, labels, held_out, id_col, text_col, label_col, positives, unlabelled))
 
 
 #: Rows that labels are not learned from: one third, by a checksum of the id.
