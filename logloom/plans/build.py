@@ -29,6 +29,10 @@ ABORTED, FAILED = "Turn was aborted.", "Turn completed with an error."
 BY_ITEM = "Turn was superseded by an item from another persisted turn."
 
 
+#: Bytes that a line of a long file has at least on average, for the choice of plan only.
+LINE_BYTES = 256
+
+
 @dataclass(frozen=True)
 class Logs:
     """Ledger rows of all sessions and what was found out about their files."""
@@ -40,15 +44,20 @@ class Logs:
     segments: DataFrame | None = None
 
 
-def silver(raw: DataFrame, detail: str = "summary", max_rows: int = MAX_ROWS) -> DataFrame:
-    """Framed, projected lines. Parsing comes first, so raw text is never shuffled.
+def silver(raw: DataFrame, detail: str = "summary", max_rows: int = MAX_ROWS,
+           files: DataFrame | None = None) -> DataFrame:
+    """Framed, projected lines. Parsing comes first, so what is shuffled is narrow.
 
-    Input, output and metadata texts are carried along at full detail only.
+    Input, output and metadata texts are carried along at full detail only. Whether some
+    file is too long for one task is told by the sizes in the file table, where it has
+    any; only lines without files are counted.
     """
+    largest = None if files is None else files.agg(F.max("file_size")).first()[0]
+    hot = is_hot(raw, ["file"], max_rows) if largest is None else largest > max_rows * LINE_BYTES
     admitted = lines.admit(spread(raw))
     entries = admitted.withColumn("valid", F.col("entry").isNotNull())
     return lines.frame(
-        project(entries, arguments.detail_level(detail) == "full"), is_hot(raw, ["file"], max_rows))
+        project(entries, arguments.detail_level(detail) == "full"), hot)
 
 
 def load(spark: SparkSession, active: str, archived: str | None = None, detail: str = "summary",
@@ -66,7 +75,7 @@ def from_lines(files: DataFrame, raw: DataFrame, detail: str = "summary",
     table, the history and all gold tables read them from there.
     """
     with split_large_methods(raw.sparkSession):
-        rows = written(silver(raw, detail, max_rows), "lines")
+        rows = written(silver(raw, detail, max_rows, files), "lines")
     rollouts = written(lineage.describe(files, rows), "rollouts")
     errors = rollouts.select(F.col("file").alias("session"), F.lit("").alias("error")).limit(0)
     segments = None

@@ -513,6 +513,14 @@ def log_documents(spark, sf_dir, max_rows=MAX_ROWS):
     return _counts_of(document.documents(_logs(spark, sf_dir, max_rows), 50))
 
 
+def log_contract(spark, sf_dir):
+    """Rules that rows of the gold tables and members of every document keep, with the rows that break them."""
+    logs = _logs(spark, sf_dir)
+    return contract.gold_report(
+        records=build.records(logs), turns=build.turns(logs), sessions=build.sessions(logs), quotas=build.quotas(logs),
+        warnings=build.warnings(logs), documents=document.documents(logs, 50))
+
+
 def trajectory_page(spark, sf_dir):
     """The newest session by the one-session call over saved tables."""
     folder = f"{checkpoint_dir(spark)}/gold-{uuid.uuid4().hex}"

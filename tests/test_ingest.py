@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions import text as tx
 from logloom.functions import time as tm
 from logloom.functions import variant as vx
+from logloom.functions.pretty import indented
 from logloom.plans import build
 from logloom.sources import lineage, lines
 from tests.fixtures import LogFolder, at, entry, event, meta, response
@@ -311,3 +312,13 @@ def test_names_and_archive(spark):
     folder.add("old", [meta("z")], archived=True)
     files = {r.stem: r.archived for r in lines.list_rollouts(spark, folder.active, folder.archived).collect()}
     assert files == {"a b+c%": False, "archived": False, "old": True}
+
+
+def test_indented_json(spark):
+    cases = {
+        '{"b": 1, "a": [1, {"c": null}]}': '{\n  "b": 1,\n  "a": [\n    1,\n    {\n      "c": null\n    }\n  ]\n}',
+        "plain": "plain", '{"a": 1, "a": 2}': '{"a": 1, "a": 2}', "NaN": "NaN", "[]": "[]", '"é"': '"é"', "": "",
+        "9" * 257: "9" * 257, "[" * 300 + "]" * 300: "[" * 300 + "]" * 300, "12": "12",
+    }
+    got = column(spark, [*cases, None], indented)
+    assert got == [*cases.values(), None]
