@@ -14,16 +14,18 @@ a signature, whatever tokens are frequent, and a shared passage alone rarely mak
 Groups. Documents that share signatures are put into groups around the smallest document they share
 one with; a group holds a bounded number of members and tokens. The token-group matrix has a row for
 each group: its members and the union of their tokens. Groups are first opened against
-themselves and their leader, which links most near copies. What is left are pairs of groups
-that share a signature and are not connected yet: for each query of the smaller group the
-overlap with the other group's union bounds the overlap with any member, and only groups that
-some query's bound reaches are opened, for those queries.
+themselves and their leader, which links most near copies. Documents are then grouped anew by
+what they are connected with, and what is left are pairs of groups that share a signature and
+are not connected as a whole: for each query of the smaller group the overlap with the other
+group's union bounds the overlap with any member, and only groups that some query's bound
+reaches are opened, for those queries.
 
 Hot groups. Equal sets are one class with one representative. A task sends a signature once for
 each stretch of texts, with its smallest document; the further ones it saw go out dealt by
-document. Minimum and maximum per signature are partial aggregates. Groups of one connected
-component are never compared, so a very large cluster of near copies costs rows in
-proportion to its members. No candidate is dropped.
+document. Minimum and maximum per signature are partial aggregates. Full groups of one connected
+component are never compared, so a very large cluster of linked copies costs rows in
+proportion to its members; a large cluster that is alike but not linked is compared group by
+group, and neither its pairs of documents nor their links are written out. No candidate is dropped.
 
 Sets meet by 64-bit token hashes and 128-bit set digests. Defined results: null and wordless texts
 have the empty set and are linked with nothing, themselves excepted; rows of null id count their
@@ -50,9 +52,9 @@ from logloom.session import written
 #: Words of a token, and the similarity as a fraction.
 WORDS, OVER, UNDER = 3, 9, 10
 #: Signatures a task gathers before it sends them, and that meet in one bucket.
-GATHER, BUCKET = 1 << 21, 1 << 21
+GATHER, BUCKET = 1 << 20, 1 << 20
 #: Members and tokens of one group.
-MEMBERS, TOKENS = 64, 1 << 17
+MEMBERS, TOKENS = 32, 1 << 16
 #: Bits of the filter by which the second pass over the texts leaves out documents without candidates.
 FILTER_BITS = 1 << 25
 
@@ -177,10 +179,9 @@ def _shared(passed: DataFrame) -> DataFrame:
         signs, owners = signs[order], owners[order]
         same = signs[1:] == signs[:-1]
         again = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        return pa.table({"a": pa.array([pack(signs[again], "<u8")], pa.binary()),
-                         "b": pa.array([pack(owners[again], "<i8")], pa.binary())})
+        return pa.table({"sign": pa.array(signs[again].view(np.int64), pa.int64()), "id": pa.array(owners[again], pa.int64())})
 
-    met = passed.where("kind = 1").select("bucket", "a", "b").groupBy("bucket").applyInArrow(meet, "a binary, b binary")
+    met = passed.where("kind = 1").select("bucket", "a", "b").groupBy("bucket").applyInArrow(meet, "sign long, id long")
 
     def run(batches):
         for batch in batches:
@@ -188,7 +189,7 @@ def _shared(passed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(unpack(a, "<i8"), pa.int64()), pa.array(unpack(b, "<i8"), pa.int64())],
                                                  names=["sign", "id"])
 
-    return map_batches(met.unionByName(passed.where("kind = 2").select("a", "b")), run, "sign long, id long")
+    return met.unionByName(map_batches(passed.where("kind = 2").select("a", "b"), run, "sign long, id long"))
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -330,10 +331,13 @@ def _edges(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def _own_links(table: pa.Table) -> pa.Table:
+def within(row: Row) -> list[tuple[int, int]]:
     """Links inside one group."""
-    row = Row(table.column("id").to_pylist(), table.column("tokens").to_pylist())
-    return _edges([(int(row.ids[a]), int(row.ids[b])) for a, b in _forest(linked(row, row), same=True)])
+    return [(int(row.ids[a]), int(row.ids[b])) for a, b in _forest(linked(row, row), same=True)]
+
+
+def _own_links(table: pa.Table) -> pa.Table:
+    return _edges(within(Row(table.column("id").to_pylist(), table.column("tokens").to_pylist())))
 
 
 def _matrix_row(table: pa.Table) -> pa.Table:
@@ -356,10 +360,6 @@ def _grouped(members: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     return members.join(totals.select(*by, parts.alias("parts")), by).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
 
 
-def _name(*columns: str) -> F.Column:
-    return F.concat_ws("/", *columns)
-
-
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, size) of every row, (id, rep) of every id and the links (a, b) that connect what is connected.
 
@@ -385,27 +385,33 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Each group against itself and its leader.
     homes = written(_grouped(around, sizes, ["leader"]).select("id", "leader", "part"), "groups")
     inside = homes.unionByName(homes.select(F.col("leader").alias("id"), "leader", "part").distinct()).distinct()
-    own = inside.join(tokens, "id").groupBy("leader", "part").applyInArrow(
-        lambda table: _own_links(table), _EDGES)
+    own = inside.join(tokens, "id").groupBy("leader", "part").applyInArrow(_own_links, _EDGES)
     own = written(own, "links")
 
-    # Groups that share a signature and are not connected yet.
+    # Groups that share a signature and are not connected yet. A label that fills a group by itself
+    # has groups of its own, which need not be compared with each other; what is left of a
+    # leader's documents shares groups, which are compared with themselves as well.
     labels = components(own)
     labelled = homes.select("id", "leader").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    pure = _grouped(labelled, sizes, ["leader", "label"]).select("id", "label", _name("leader", "label", "part").alias("name"))
-    pure = written(pure, "pure")
-    met = blocks.select("sign", "id").join(pure, "id").groupBy("sign", "label", "name").agg(F.count("*").alias("n"))
+    alike = labelled.groupBy("leader", "label").agg(F.count("*").alias("alike"))
+    labelled = labelled.join(alike, ["leader", "label"]).select(
+        "id", "leader", F.when(F.col("alike") >= MEMBERS, F.col("label")).alias("label"))
+    named = _grouped(labelled.withColumn("kind", F.coalesce(F.col("label").cast("string"), F.lit("rest"))), sizes, ["leader", "kind"])
+    named = written(named.select("id", "label", F.concat_ws("/", "leader", "kind", "part").alias("name")), "named")
+    met = blocks.select("sign", "id").join(named, "id").groupBy("sign", "label", "name").agg(F.count("*").alias("n"))
     met = written(met, "met")
-    mixed_signs = met.groupBy("sign").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("sign")
-    met = met.join(mixed_signs, "sign")
-    most = met.groupBy("sign", "label").agg(F.sum("n").alias("n")).groupBy("sign").agg(
+    # Of one signature, all groups but those of its most frequent label are compared with all others.
+    most = met.where("label is not null").groupBy("sign", "label").agg(F.sum("n").alias("n")).groupBy("sign").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"))
-    rest = met.join(most, "sign").where("label <> main").select("sign", "label", "name")
-    pairs = rest.toDF("sign", "l1", "one").join(met.select("sign", "label", "name").toDF("sign", "l2", "two"), "sign").where("l1 <> l2")
-    pairs = pairs.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct()
-    pairs = written(pairs, "pairs")
+    rest = met.join(most, "sign", "left").where("label is null or label <> main").select("sign", "label", "name")
+    every = met.join(most, "sign", "left").select("sign", "label", "name", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
+    pairs = rest.toDF("sign", "l1", "one").join(every.toDF("sign", "l2", "two", "main"), "sign").where(
+        "(main or one < two) and (l1 is null or l2 is null or l1 <> l2)")
+    pairs = pairs.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"))
+    itself = met.where("label is null and n > 1").select(F.col("name").alias("one"), F.col("name").alias("two"))
+    pairs = written(pairs.unionByName(itself).distinct(), "pairs")
     used = pairs.select(F.col("one").alias("name")).union(pairs.select("two")).distinct()
-    matrix = pure.join(used, "name").join(tokens, "id").groupBy("name").applyInArrow(
+    matrix = named.join(used, "name").join(tokens, "id").groupBy("name").applyInArrow(
         _matrix_row, "name string, ids binary, sizes binary, tokens binary")
     matrix = written(matrix, "matrix")
 
@@ -415,7 +421,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                 left, right = _row(*row[:3]), _row(*row[3:])
                 if len(left.ids) > len(right.ids):
                     left, right = right, left
-                yield from _edges(opened(left, right)).to_batches()
+                yield from _edges(within(left) if row[0] == row[3] else opened(left, right)).to_batches()
 
     sides = [matrix.toDF(side, *(f"{c}_{side}" for c in matrix.columns[1:])) for side in ("one", "two")]
     across = map_batches(pairs.join(sides[0], "one").join(sides[1], "two").drop("one", "two"), compare, _EDGES)
