@@ -49,55 +49,48 @@ def test_linked_sets_share_a_signature(size, seed):
         assert set(jaccard.signatures(base).tolist()) & set(jaccard.signatures(other).tolist())
 
 
-def test_equal_to_brute_force(spark):
-    docs = documents(spark, rows=240).withColumnRenamed("source", "component_id")
-    want, pairs = brute(docs.collect())
-    assert pairs > 200 and len({w[2] for w in want}) > 60
-    assert rows_of(jaccard.joined(docs)) == want
-
-
-def near(spark, changes, rows=150, words=120, seed=5):
-    """One cluster of texts with a few words changed each, dealt with similarities around the limit."""
-    rng = random.Random(seed)
+def near(first, changes, rows=90, words=120):
+    """One cluster of texts with a few words changed each, with similarities around the limit."""
+    rng = random.Random(first)
     base = sentence(rng, words, 10**6).split()
-    texts = []
-    for _ in range(rows):
+    out = []
+    for i in range(rows):
         text = list(base)
         for _ in range(rng.randint(0, changes)):
             text[rng.randrange(len(text))] = f"z{rng.randrange(10**6)}"
-        texts.append(" ".join(text))
-    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-
-
-def test_clusters_around_the_limit(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "GATHER", 300)
-    monkeypatch.setattr(jaccard, "BUCKET", 200)
-    monkeypatch.setattr(jaccard, "MEMBERS", 4)
-    for changes in (2, 4, 8):
-        docs = near(spark, changes)
-        want, pairs = brute(docs.collect())
-        assert pairs
-        assert rows_of(jaccard.joined(docs)) == want
-
-
-def test_a_chain_of_links_is_one_component(spark):
-    rng = random.Random(8)
-    words = sentence(rng, 200, 10**6).split()
-    texts = []
-    for i in range(12):  # each differs from the one before by three words only
-        words[i * 3 * 4:i * 3 * 4 + 3] = [f"c{i}a", f"c{i}b", f"c{i}c"]
-        texts.append(" ".join(words))
-    docs = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    want, _ = brute(docs.collect())
-    assert {w[2] for w in want} == {89}
-    assert rows_of(jaccard.joined(docs)) == want
+        out.append((first + i, " ".join(text)))
+    return out
+
 
+def chain(first):
+    """Each text differs from the one before by three words only, the last from the first by far more."""
+    words, out = sentence(random.Random(first), 200, 10**6).split(), []
+    for i in range(12):
+        words[i * 12:i * 12 + 3] = [f"c{i}a", f"c{i}b", f"c{i}c"]
+        out.append((first - i, " ".join(words)))
+    return out
 
-def test_different_texts_of_one_id(spark):
+
+def everything(spark):
     rng = random.Random(9)
     a, b = sentence(rng, 40, 10**6), sentence(rng, 60, 10**6)
-    docs = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b), (3, b), (4, a)], "doc_id long, text string")
-    assert rows_of(jaccard.joined(docs)) == brute(docs.collect())[0]
+    rows = near(1000, 2) + near(2000, 4) + near(3000, 8) + chain(4100)
+    rows += [(5001, a), (5002, b), (5002, a), (5003, b), (5003, b), (5004, a)]  # different texts of one id
+    more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    return documents(spark, rows=200).unionByName(more).repartition(4).withColumnRenamed("source", "component_id")
+
+
+def test_equal_to_brute_force(spark, monkeypatch):
+    docs = everything(spark)
+    want, pairs = brute(docs.collect())
+    labels = {w[0]: w[2] for w in want}
+    assert pairs > 2000 and {labels[4100 - i] for i in range(12)} == {4089}
+    assert 3 < len({labels[i] for i in range(2000, 2090)}) < 90
+    assert rows_of(jaccard.joined(docs)) == want
+    # stretches, buckets and groups of a few rows
+    for name, size in (("GATHER", 300), ("BUCKET", 200), ("MEMBERS", 4)):
+        monkeypatch.setattr(jaccard, name, size)
+    assert rows_of(jaccard.joined(docs)) == want
 
 
 def test_bounds_open_only_groups_that_can_hold_a_link():
