@@ -293,6 +293,25 @@ def queries() -> dict[str, str]:
     desk = """m AS (
           SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)"""
     found = {
+        # the log row by row: records so far, and the record that each of the ten call ids points to
+        "late_markers": f"""WITH RECURSIVE {EVENTS},
+            step AS (
+              SELECT session, event_id, seq, call, role, CAST(k % 10 AS INTEGER) + 1 AS slot, role IN ('T', 'R') AS tool FROM e),
+            run AS (
+              SELECT DISTINCT session, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, list_transform(range(10), lambda x: CAST(0 AS BIGINT)) AS own,
+                     false AS late, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS call
+              FROM step
+              UNION ALL
+              SELECT session, seq, n + CAST(creates OR late AS BIGINT),
+                     CASE WHEN tool AND (creates OR late)
+                          THEN list_transform(own, lambda x, i: CASE WHEN i = slot THEN n + 1 ELSE x END) ELSE own END,
+                     late, event_id, call
+              FROM (
+                SELECT s.session, s.seq, s.event_id, s.call, s.slot, s.tool, r.n, r.own,
+                       s.role IN ('M', 'T') OR (s.role = 'R' AND r.own[s.slot] = 0) AS creates,
+                       s.role = 'R' AND r.own[s.slot] > 0 AND r.n - r.own[s.slot] >= 8 AS late
+                FROM run r JOIN step s ON s.session = r.session AND s.seq = r.seq + 1))
+            SELECT session, event_id, call, n AS marker_index FROM run WHERE late""",
         "log_metadata": f"""WITH {desk}
             SELECT 'desk-' || CAST(c AS VARCHAR) AS id, '~/p' || CAST(c % 5 AS VARCHAR) AS cwd, 'desk' AS originator,
                    CASE c % 3 WHEN 0 THEN 'cli' WHEN 1 THEN 'subagent' END AS source_kind,
