@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.texts import MEMO_ENTRIES, distinct, map_batches
+from logloom.llm.texts import MEMO_ENTRIES, distinct, kept, map_batches
 
 #: Characters of a text that are split into words at a time.
 STRETCH = 1 << 20
@@ -223,15 +223,9 @@ def ragged(flat: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[n
     return flat[np.arange(total) + np.repeat(begin - (ends - sizes), sizes)], sizes
 
 
-_REPLAYS: dict[str, Replay] = {}
-
-
 def _replay(shared) -> Replay:
     name, ranks = shared.value
-    if name not in _REPLAYS:
-        _REPLAYS.clear()
-        _REPLAYS[name] = Replay(ranks)
-    return _REPLAYS[name]
+    return kept(("ranks", name), lambda: Replay(ranks))
 
 
 def slices(texts: list[str], limit: int = 4 << 20) -> Iterator[slice]:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm import store
 from logloom.llm.bytebpe import ragged, slices
-from logloom.llm.texts import map_batches
+from logloom.llm.texts import kept, map_batches
 from logloom.session import written
 
 #: Ids of one file; a document longer than that has a file of its own.
@@ -215,15 +215,8 @@ class Codes:
         return read_ids(self.levels, start, stop)
 
 
-_WORDS: dict[int, Words] = {}
-
-
 def _words(shared) -> Words:
-    name = zlib.crc32(shared.value.encode())
-    if name not in _WORDS:
-        _WORDS.clear()
-        _WORDS[name] = Words(shared.value)
-    return _WORDS[name]
+    return kept(("words", zlib.crc32(shared.value.encode())), lambda: Words(shared.value))
 
 
 def write_files(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.texts import map_batches
+from logloom.llm.texts import kept, map_batches
 
 #: Words of a window, and hit words in a hundred words that make a text contaminated.
 WINDOW = 13
@@ -160,16 +160,10 @@ def _broadcast(docs: DataFrame, items: DataFrame, item_id: str, item_text: str,
     return shared or [context.broadcast(("none", []))]
 
 
-_BUILT: dict[tuple, Automaton] = {}
-
-
 def _built(shared, window: int) -> Automaton:
     """The automaton of a broadcast block, built once per Python worker."""
-    key = (shared.value[0], window)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton([(i, words_of(t)) for i, t in shared.value[1]], window)
-    return _BUILT[key]
+    name, block = shared.value
+    return kept(("items", name, window), lambda: Automaton([(i, words_of(t)) for i, t in block], window))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",

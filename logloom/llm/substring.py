@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.texts import U64, distinct, hash_words, map_batches, mixed, pack, place_names, unpack, window_hashes
+from logloom.llm.texts import U64, distinct, hash_words, kept, map_batches, mixed, pack, place_names, unpack, window_hashes
 
 WINDOW = 13
 #: Counters of one row of the sketch (as a power of two), rows, and counters of one slice.
@@ -140,15 +140,9 @@ class Estimate:
         return found
 
 
-_ESTIMATES: dict[str, Estimate] = {}
-
-
 def _estimate(shared) -> Estimate:
     name, rows, log2_width = shared.value
-    if name not in _ESTIMATES:
-        _ESTIMATES.clear()
-        _ESTIMATES[name] = Estimate(rows, log2_width)
-    return _ESTIMATES[name]
+    return kept(("sketch", name), lambda: Estimate(rows, log2_width))
 
 
 _KINDS = ("<u8", "<u4", "<i8", "<i4", "<i4")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,6 +13,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from logloom.llm import store
 from logloom.session import checkpoint_dir
 
 #: Bytes of texts that one Arrow batch holds, beyond its first row.
@@ -29,13 +30,12 @@ def ship(spark: SparkSession) -> None:
     context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
     if not root.is_dir() or hasattr(context, "_logloom_shipped"):
         return
-    folder = tempfile.TemporaryDirectory()  # the driver serves the file from here while it runs
-    archive = Path(folder.name, f"{root.name}-{context.applicationId}.zip")
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for source in sorted(root.rglob("*.py")):
             out.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    context._logloom_shipped = folder
+    context._logloom_shipped = store.write_file(store.new_folder(spark, "code"), f"{root.name}.zip", archive.getvalue())
+    context.addPyFile(context._logloom_shipped)
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
@@ -45,7 +45,12 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     checkpoint_dir(spark)
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()  # workers wait for their next task with it
+
+    return df.mapInArrow(run, schema)
 
 
 class WordHashes(dict):
@@ -65,6 +70,18 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker needs for all its tasks of one operator, made once; another operator's goes."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _HASHES.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose every output bit depends on every input bit."""
     with np.errstate(over="ignore"):
