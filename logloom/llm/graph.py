@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from logloom.session import written
 
 
+def _smallest(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, m): the smallest value of each key, by partial aggregates.
+
+    They are grouped by the complement of the key, so that a join on the key deals both sides
+    out anew and adaptive execution can split a key of very many rows.
+    """
+    by = F.bitwise_not(key).alias("other")
+    return rows.groupBy(by).agg(F.min(value).alias("m")).select(F.bitwise_not("other").alias(key), "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every node of the edges (a, b): the smallest node it is connected with.
 
@@ -26,10 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = shape
         near = now.union(now.select("b", "a")).toDF("u", "v")
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = near.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = _smallest(near.toDF("u", "v"), "u", "v")
+        large = near.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
         large = large.where("a <> b").distinct()
-        first = large.groupBy("a").agg(F.min("b").alias("m"))
+        first = _smallest(large, "a", "b")
         small = large.join(first, "a").select("b", "m").union(first.select("a", "m")).where("b <> m")
         now = written(small.distinct().toDF("a", "b"), "edges")
     roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("label"))

@@ -370,7 +370,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     passed = written(_passed(docs, max(1, math.ceil(size / 20 / BUCKET))), "signatures")
     sets = _sets(passed)
     one = sets.groupBy("id").agg(F.max(F.struct("size", "high", "low")).alias("s")).select("id", "s.*")
-    owners = one.groupBy("high", "low").agg(F.min("id").alias("rep"))
+    owners = written(one.groupBy("high", "low").agg(F.min("id").alias("rep")), "owners")  # the join can be split
     one = one.join(owners, ["high", "low"])
     one = written(one.select("id", "size", "high", F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")), "sets")
     # Members of shared signatures, as representatives; signatures of one set only are no blocks.

@@ -53,7 +53,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                         F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     large = rows.where(F.octet_length("html") >= min_revisit)
     owners = large.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies"))
-    owners = owners.where("copies > 1 and owner is not null").select("digest", "owner")
+    owners = written(owners.where("copies > 1 and owner is not null").select("digest", "owner"), "owners")
     return rows.join(owners, "digest", "left").select(
         "page_id", "url", "html", "digest",
         F.when(F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")).alias("refers_to"))
