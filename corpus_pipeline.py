@@ -19,12 +19,16 @@ from logloom.llm.queries import RANK_FILE, table
 from logloom.session import checkpoint_dir
 
 
+#: Near copies share four fifths of their runs of five words.
+NEAR_COPY = jaccard.Likeness(words=5, over=4, under=5)
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, like=NEAR_COPY)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """N-gram Jaccard self-join with a token-group matrix.
 
-The set of a document holds its distinct runs of three words (a shorter text is one run). Two
-documents are linked when their sets' Jaccard similarity reaches 9/10; the result is the smallest id
-each document is linked with, directly or over others.
-
-Blocks. Sets of sizes a <= b can be linked only if b <= a * 10/9, and then differ in at most a/9
-tokens. Sizes are cut into classes so that linked sets lie in one class or in neighbours. For each
-class a set is cut by token hash into d + 2 parts, d being the most tokens that may differ:
-two linked sets agree in two parts at least. The hash of a part that is not empty is a
-signature; empty parts count only for sets with two of them or more. So every linked pair shares
-a signature, whatever tokens are frequent, and a shared passage alone rarely makes one.
+The set of a document holds its distinct runs of ``words`` words (a shorter text is one run). Two
+documents are linked when their sets' Jaccard similarity reaches ``over / under``; the result is the
+smallest id each document is linked with, directly or over others. Three words and 9/10 are the defaults.
+
+Blocks. With the similarity p/q, sets of sizes a <= b can be linked only if b <= a * q/p, and then differ
+in at most a * (q-p)/p tokens. Sizes are cut into classes so that linked sets lie in one class or in
+neighbours. For each class a set is cut by token hash into d + 2 parts, d being the most tokens that may
+differ, and some more where d + 2 parts would often be empty: two linked sets agree in two parts at
+least. The hash of a part that is not empty is a signature. A set with so many empty parts that
+it may agree with a linked one in these only has each pair of them as a signature as well. So every
+linked pair shares a signature, whatever tokens are frequent, and a shared passage alone rarely makes one.
 
 Groups. Documents that share signatures are put into groups around the smallest document they share
 one with; a group holds a bounded number of members and tokens. The token-group matrix has a row for
@@ -36,8 +37,10 @@ have its component; an empty table gives an empty table; texts are whole. Ids ar
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +52,16 @@ from logloom.llm.graph import components
 from logloom.llm.texts import U64, distinct, hash_words, map_batches, mixed, pack, unpack, window_hashes
 from logloom.session import written
 
-#: Words of a token, and the similarity as a fraction.
-WORDS, OVER, UNDER = 3, 9, 10
+
+class Likeness(NamedTuple):
+    """Words of a token, and the similarity as a fraction."""
+
+    words: int = 3
+    over: int = 9
+    under: int = 10
+
+
+LIKENESS = Likeness()
 #: Signatures a task gathers before it sends them, and that meet in one bucket.
 GATHER, BUCKET = 1 << 20, 1 << 20
 #: Members and tokens of one group.
@@ -59,53 +70,62 @@ MEMBERS, TOKENS = 32, 1 << 16
 FILTER_BITS = 1 << 25
 
 
-def tokens_of(text: str | None) -> np.ndarray:
+def tokens_of(text: str | None, width: int = LIKENESS.words) -> np.ndarray:
     """The sorted distinct token hashes of a text."""
     words = hash_words((text or "").encode("utf-8", "surrogatepass").lower().split())
-    return distinct(window_hashes(words, min(WORDS, len(words)) or WORDS, len(words) if len(words) < WORDS else 0))
+    return distinct(window_hashes(words, min(width, len(words)) or width, len(words) if len(words) < width else 0))
 
 
-def _classes(limit: int) -> list[tuple[int, int, int]]:
-    """(smallest size, largest size, most tokens in which a set of the class differs from a larger one)."""
-    out, low = [], 1
+@functools.cache
+def _classes(over: int, under: int, limit: int = 1 << 40) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Smallest sizes of the classes, and per class its largest size, the most tokens in which a set of it
+    differs from a larger one, and the number of parts."""
+    lows, out, low = [], [], 1
+    spare = 1.5 * math.exp(-over / (under - over))  # more parts than are expected empty
     while low <= limit:
-        high = low * UNDER // OVER
-        out.append((low, high, high // OVER))
+        high = low * under // over
+        most = high * (under - over) // over
+        lows.append(low)
+        out.append((high, most, most + 2 + int(spare * most)))
         low = high + 1
-    return out
+    return np.array(lows), out
 
 
-_SIZES = _classes(1 << 40)
-_LOWS = np.array([low for low, _, _ in _SIZES])
-
-
-def signatures(tokens: np.ndarray) -> np.ndarray:
+def signatures(tokens: np.ndarray, like: Likeness = LIKENESS) -> np.ndarray:
     """The signatures of a set: those of its own size class, and of the class below it."""
-    if len(tokens) < OVER:
+    over, under, size = like.over, like.under, len(tokens)
+    if size * (under - over) < over:
         return np.empty(0, np.uint64)  # linked only with equal sets
-    own = int(np.searchsorted(_LOWS, len(tokens), side="right")) - 1
+    lows, classes = _classes(over, under)
+    own = int(np.searchsorted(lows, size, side="right")) - 1
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(tokens + U64(0x632BE59BD9B4E019)))))
     found = []
-    for number in (own - 1, own):
-        most = _SIZES[number][2]
+    for number in range(max(own - 1, 0), own + 1):
+        high, most, parts = classes[number]
         if not most:
             continue
-        parts = most + 2
         cuts = (np.arange(1, parts, dtype=np.uint64) << U64(32)) // U64(parts) << U64(32)
-        edges = np.concatenate(([0], np.searchsorted(tokens, cuts), [len(tokens)]))
-        sizes = np.diff(edges)
+        edges = np.concatenate(([0], np.searchsorted(tokens, cuts), [size]))
         with np.errstate(over="ignore"):
-            value = mixed(np.diff(sums[edges])) + mixed(np.arange(parts, dtype=np.uint64) + U64(number << 32))
-        empty = sizes == 0
-        found.append(mixed(value if empty.sum() > 1 else value[~empty]))
+            names = mixed(np.arange(parts, dtype=np.uint64) + U64(number << 32))
+            value = mixed(np.diff(sums[edges])) + names
+        empty = np.diff(edges) == 0
+        found.append(mixed(value[~empty]))
+        # the most tokens in which this set differs from one it meets in this class
+        differ = size * (under - over) // over if number == own else (size + high) * (under - over) // (over + under)
+        if empty.sum() >= parts - min(most, differ):
+            names = names[empty]
+            one, two = np.triu_indices(len(names), 1)
+            with np.errstate(over="ignore"):
+                found.append(mixed(mixed(names[one] + U64(1)) + names[two]))
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
 _PASS = "kind int, bucket int, a binary, b binary, c binary, d binary"
 
 
-def _passed(docs: DataFrame, buckets: int) -> DataFrame:
+def _passed(docs: DataFrame, buckets: int, like: Likeness) -> DataFrame:
     """One pass over the texts: sets (id, size, digest) as kind 0, open signatures as 1, further members as 2."""
 
     def rows(kinds: list[int], numbers: list[int], columns: list[list]) -> pa.RecordBatch:
@@ -136,10 +156,10 @@ def _passed(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             sets = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = tokens_of(text.as_py())
+                tokens = tokens_of(text.as_py(), like.words)
                 digest = _digest(tokens)
                 sets.append((i, len(tokens), *digest))
-                signs = signatures(tokens) if digest not in seen else tokens[:0]
+                signs = signatures(tokens, like) if digest not in seen else tokens[:0]
                 if len(signs):
                     seen.add(digest)
                     found.append(signs)
@@ -224,7 +244,7 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _tokens(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _tokens(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, tokens) of the documents ``ids`` (id, high): a second pass over the texts, which the filter shortens."""
     shared = docs.sparkSession.sparkContext.broadcast(pack(_filter(ids.select("id")), "u1"))
 
@@ -235,7 +255,7 @@ def _tokens(docs: DataFrame, ids: DataFrame) -> DataFrame:
             place = mixed(names.view(np.uint64)) % U64(FILTER_BITS)
             may = bits[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8) & 1
             some = np.flatnonzero(may)
-            found = [tokens_of(batch.column(1)[i].as_py()) for i in some.tolist()]
+            found = [tokens_of(batch.column(1)[i].as_py(), width) for i in some.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names[some], pa.int64()), pa.array([_digest(t)[0] for t in found], pa.int64()),
                  pa.array([t.tobytes() for t in found], pa.binary())], names=["id", "high", "tokens"])
@@ -289,19 +309,19 @@ def overlaps(left: Row, right: Row, width: int = 1 << 14) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def linked(left: Row, right: Row) -> np.ndarray:
+def linked(left: Row, right: Row, like: Likeness = LIKENESS) -> np.ndarray:
     """Which members of ``left`` and ``right`` are linked."""
     shared = overlaps(left, right)
-    return UNDER * shared >= OVER * (left.sizes[:, None] + right.sizes[None, :] - shared)
+    return like.under * shared >= like.over * (left.sizes[:, None] + right.sizes[None, :] - shared)
 
 
-def opened(left: Row, right: Row) -> list[tuple[int, int]]:
+def opened(left: Row, right: Row, like: Likeness = LIKENESS) -> list[tuple[int, int]]:
     """Links between two groups: only queries whose bound allows one are compared with the members."""
-    wanted = right.bound(left) * UNDER >= OVER * left.sizes
+    wanted = right.bound(left) * like.under >= like.over * left.sizes
     if not wanted.any():
         return []
     left = left.some(wanted)
-    return [(int(left.ids[a]), int(right.ids[b])) for a, b in _forest(linked(left, right))]
+    return [(int(left.ids[a]), int(right.ids[b])) for a, b in _forest(linked(left, right, like))]
 
 
 def _forest(links: np.ndarray, same: bool = False) -> list[tuple[int, int]]:
@@ -331,13 +351,9 @@ def _edges(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def within(row: Row) -> list[tuple[int, int]]:
+def within(row: Row, like: Likeness) -> list[tuple[int, int]]:
     """Links inside one group."""
-    return [(int(row.ids[a]), int(row.ids[b])) for a, b in _forest(linked(row, row), same=True)]
-
-
-def _own_links(table: pa.Table) -> pa.Table:
-    return _edges(within(Row(table.column("id").to_pylist(), table.column("tokens").to_pylist())))
+    return [(int(row.ids[a]), int(row.ids[b])) for a, b in _forest(linked(row, row, like), same=True)]
 
 
 def _matrix_row(table: pa.Table) -> pa.Table:
@@ -360,14 +376,17 @@ def _grouped(members: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     return members.join(totals.select(*by, parts.alias("parts")), by).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, size) of every row, (id, rep) of every id and the links (a, b) that connect what is connected.
 
     ``docs`` has id (long) and text. The representative of a document is the smallest id with
     an equal set; links are between representatives.
     """
+    if not (like.words > 0 and 0 < like.over < like.under):
+        raise ValueError(f"no width and similarity between 0 and 1: {like}")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passed = written(_passed(docs, max(1, math.ceil(size / 20 / BUCKET))), "signatures")
+    buckets = max(1, math.ceil(size * (like.under - like.over) / (2 * like.under) / BUCKET))
+    passed = written(_passed(docs, buckets, like), "signatures")
     sets = _sets(passed)
     one = sets.groupBy("id").agg(F.max(F.struct("size", "high", "low")).alias("s")).select("id", "s.*")
     owners = written(one.groupBy("high", "low").agg(F.min("id").alias("rep")), "owners")  # the join can be split
@@ -379,13 +398,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     blocks = written(members.join(spans.select("sign", "leader"), "sign"), "blocks")
     sizes = one.where("id = rep").select("id", "size", "high")
     around = blocks.groupBy("id").agg(F.min("leader").alias("leader"))
-    tokens = written(_tokens(docs, sizes.join(around, "id", "left_semi").select("id", "high")), "tokens")
+    tokens = written(_tokens(docs, sizes.join(around, "id", "left_semi").select("id", "high"), like.words), "tokens")
     sizes = sizes.select("id", "size")
 
     # Each group against itself and its leader.
     homes = written(_grouped(around, sizes, ["leader"]).select("id", "leader", "part"), "groups")
     inside = homes.unionByName(homes.select(F.col("leader").alias("id"), "leader", "part").distinct()).distinct()
-    own = inside.join(tokens, "id").groupBy("leader", "part").applyInArrow(_own_links, _EDGES)
+
+    def own_links(table: pa.Table) -> pa.Table:
+        return _edges(within(Row(table.column("id").to_pylist(), table.column("tokens").to_pylist()), like))
+
+    own = inside.join(tokens, "id").groupBy("leader", "part").applyInArrow(own_links, _EDGES)
     own = written(own, "links")
 
     # Groups that share a signature and are not connected yet. A label that fills a group by itself
@@ -421,17 +444,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                 left, right = _row(*row[:3]), _row(*row[3:])
                 if len(left.ids) > len(right.ids):
                     left, right = right, left
-                yield from _edges(within(left) if row[0] == row[3] else opened(left, right)).to_batches()
+                yield from _edges(within(left, like) if row[0] == row[3] else opened(left, right, like)).to_batches()
 
     sides = [matrix.toDF(side, *(f"{c}_{side}" for c in matrix.columns[1:])) for side in ("one", "two")]
     across = map_batches(pairs.join(sides[0], "one").join(sides[1], "two").drop("one", "two"), compare, _EDGES)
     return sets.select("id", "size"), one.select("id", "rep"), own.unionByName(across)
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = LIKENESS) -> DataFrame:
     """Per row of ``docs``: id, n_shingles and component_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets, one, found = links(rows)
+    sets, one, found = links(rows, like)
     labels = components(found).withColumnRenamed("id", "rep")
     per_id = one.join(labels, "rep", "left").select("id", F.coalesce("label", "rep").alias("component_id"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -439,7 +462,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def count(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(tokens_of(t.as_py())) for t in batch.column(0)], pa.int64())], names=["size"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens_of(t.as_py(), like.words)) for t in batch.column(0)], pa.int64())], names=["size"])
 
     nameless = map_batches(rows.where("id is null").select("text"), count, "size long").select(
         F.lit(None).cast("long").alias("id"), "size", F.lit(None).cast("long").alias("component_id"))
@@ -447,12 +470,12 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.col("id").cast(kind).alias(id_col), F.col("size").alias("n_shingles"), F.col("component_id").cast(kind))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = LIKENESS) -> DataFrame:
     """The rows of ``docs``, all columns kept, but one document of each component: the one of smallest id.
 
     Rows of null id and of empty sets are all kept.
     """
-    found = joined(docs, id_col, text_col)
+    found = joined(docs, id_col, text_col, like)
     lost = found.where(F.col(id_col).isNotNull() & (F.col("component_id") < F.col(id_col))).select(
         F.col(id_col).alias("__lost")).distinct()
     return docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")

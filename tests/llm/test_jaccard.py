@@ -49,6 +49,28 @@ def test_linked_sets_share_a_signature(size, seed):
         assert set(jaccard.signatures(base).tolist()) & set(jaccard.signatures(other).tolist())
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.integers(4, 3000), st.integers(0, 10**6), st.sampled_from([(4, 5), (9, 10), (3, 5), (1, 2), (9, 13)]))
+def test_linked_sets_share_a_signature_at_any_similarity(size, seed, fraction):
+    over, under = fraction
+    like, rng = jaccard.Likeness(5, over, under), np.random.default_rng(seed)
+    base = np.unique(rng.integers(0, 2**64, size, np.uint64, endpoint=False))
+    differ = int(len(base) * (under - over) // over * rng.choice([1, 1, rng.random()]))
+    gone = int(differ * rng.choice([0, 0.5, 1, rng.random()]))
+    other = np.unique(np.concatenate([rng.permutation(base)[gone:], rng.integers(0, 2**64, differ - gone, np.uint64)]))
+    shared = len(np.intersect1d(base, other))
+    if under * shared >= over * (len(base) + len(other) - shared) and not len(base) == len(other) == shared:
+        assert set(jaccard.signatures(base, like).tolist()) & set(jaccard.signatures(other, like).tolist())
+
+
+def test_sets_without_common_tokens_share_no_signature():
+    rng, seen = np.random.default_rng(5), set()
+    for size in [*range(40, 60), *range(1000, 1300, 10), 20_000, 24_990, 25_000]:
+        signs = set(jaccard.signatures(np.unique(rng.integers(0, 2**64, size, np.uint64)), jaccard.Likeness(5, 4, 5)).tolist())
+        assert not signs & seen
+        seen |= signs
+
+
 def near(first, changes, rows=90, words=120):
     """One cluster of texts with a few words changed each, with similarities around the limit."""
     rng = random.Random(first)

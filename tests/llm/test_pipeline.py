@@ -6,6 +6,7 @@ import random
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from logloom.llm import bytebpe, toxicity
 from logloom.llm.queries import RANK_FILE
@@ -72,3 +73,38 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", SCHEMA), ("labels", LABELS), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def runs(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
+def test_near_copies_share_four_fifths_of_their_runs_of_five_words(spark, tmp_path):
+    rng = random.Random(4)
+    hundred, fifty = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(50)]
+    rows = [(1, " ".join(hundred)), (2, " ".join(["x" if i in (30, 60) else w for i, w in enumerate(hundred)])),
+            (3, " ".join(fifty)), (4, " ".join(["x" if i == 25 else w for i, w in enumerate(fifty)]))]
+    for first, words in ((100, 12), (200, 30), (300, 60), (400, 140), (500, 400)):
+        rows += [(first + i, t) for i, t in test_jaccard.near(0, words // 15 + 1, 40, words)]
+    rows += [(900 + i, sentence(rng, rng.randint(1, 12), 3)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).unionByName(
+        documents(spark, seed=5).withColumn("doc_id", F.col("doc_id") + 2000)).repartition(3)
+    before = docs.collect()
+    label, sets = {}, {}
+    for r in before:
+        if r.doc_id is not None and len(runs(r.text)) >= len(sets.get(r.doc_id, ())):
+            sets[r.doc_id] = runs(r.text)
+    ids, links = sorted(sets), {}
+    for a in ids:
+        links[a] = [b for b in ids if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for start in ids:
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            if at not in label:
+                label[at] = start
+                todo += links[at]
+    assert label[2] == 1 and label[4] == 3
+    want = sorted((tuple(r) for r in before if r.doc_id is None or label[r.doc_id] == r.doc_id), key=repr)
+    assert rows_of(corpus_pipeline.without_near_copies(spark, docs, str(tmp_path))) == want
