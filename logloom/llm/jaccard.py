@@ -22,8 +22,8 @@ group's union bounds the overlap with any member, and only groups that some quer
 reaches are opened, for those queries.
 
 Hot groups. Equal sets are one class with one representative. A task sends a signature once for
-each stretch of texts, with its smallest document; the further ones it saw go out dealt by
-document. Minimum and maximum per signature are partial aggregates. Full groups of one connected
+each stretch of texts, with one set; where it saw several, all of them go out as well, dealt by
+set. Minimum and maximum per signature are partial aggregates. Full groups of one connected
 component are never compared, so a very large cluster of linked copies costs rows in
 proportion to its members; a large cluster that is alike but not linked is compared group by
 group, and neither its pairs of documents nor their links are written out. No candidate is dropped.
@@ -126,7 +126,10 @@ _PASS = "kind int, bucket int, a binary, b binary, c binary, d binary"
 
 
 def _passed(docs: DataFrame, buckets: int, like: Likeness) -> DataFrame:
-    """One pass over the texts: sets (id, size, digest) as kind 0, open signatures as 1, further members as 2."""
+    """One pass over the texts: sets (id, size, digest) as kind 0, open signatures as 1, further members as 2.
+
+    Signatures go with the first half of their set's digest, as a set stands for any document that has it.
+    """
 
     def rows(kinds: list[int], numbers: list[int], columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -138,7 +141,7 @@ def _passed(docs: DataFrame, buckets: int, like: Likeness) -> DataFrame:
         order = np.lexsort((owners, signs))
         signs, owners = signs[order], owners[order]
         new = np.concatenate(([True], signs[1:] != signs[:-1]))
-        again = ~new | np.concatenate((~new[1:], [False]))  # signatures that several documents here share
+        again = ~new | np.concatenate((~new[1:], [False]))  # signatures that several sets here share
         for number, some, deal in ((1, new, signs), (2, again, mixed(owners.view(np.uint64)))):
             group = (deal[some] >> U64(20)) % U64(buckets)
             order = np.argsort(group, kind="stable")
@@ -163,7 +166,7 @@ def _passed(docs: DataFrame, buckets: int, like: Likeness) -> DataFrame:
                 if len(signs):
                     seen.add(digest)
                     found.append(signs)
-                    owners.append(np.full(len(signs), i, np.int64))
+                    owners.append(np.full(len(signs), digest[0], np.int64))
                     size += len(signs)
                 if size >= GATHER:
                     yield from send(found, owners)
@@ -190,7 +193,7 @@ def _sets(passed: DataFrame) -> DataFrame:
 
 
 def _shared(passed: DataFrame) -> DataFrame:
-    """(sign, id): the documents of signatures that occur more than once."""
+    """(sign, high): the sets of signatures that occur more than once."""
 
     def meet(table: pa.Table) -> pa.Table:
         signs = np.concatenate([unpack(x, "<u8") for x in table.column("a").to_pylist()])
@@ -199,17 +202,17 @@ def _shared(passed: DataFrame) -> DataFrame:
         signs, owners = signs[order], owners[order]
         same = signs[1:] == signs[:-1]
         again = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        return pa.table({"sign": pa.array(signs[again].view(np.int64), pa.int64()), "id": pa.array(owners[again], pa.int64())})
+        return pa.table({"sign": pa.array(signs[again].view(np.int64), pa.int64()), "high": pa.array(owners[again], pa.int64())})
 
-    met = passed.where("kind = 1").select("bucket", "a", "b").groupBy("bucket").applyInArrow(meet, "sign long, id long")
+    met = passed.where("kind = 1").select("bucket", "a", "b").groupBy("bucket").applyInArrow(meet, "sign long, high long")
 
     def run(batches):
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(unpack(a, "<i8"), pa.int64()), pa.array(unpack(b, "<i8"), pa.int64())],
-                                                 names=["sign", "id"])
+                                                 names=["sign", "high"])
 
-    return met.unionByName(map_batches(passed.where("kind = 2").select("a", "b"), run, "sign long, id long"))
+    return met.unionByName(map_batches(passed.where("kind = 2").select("a", "b"), run, "sign long, high long"))
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -393,7 +396,8 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
     one = one.join(owners, ["high", "low"])
     one = written(one.select("id", "size", "high", F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")), "sets")
     # Members of shared signatures, as representatives; signatures of one set only are no blocks.
-    members = _shared(passed).join(one.select("id", "rep"), "id").select("sign", F.col("rep").alias("id")).distinct()
+    # A set that stands for no id has no representative.
+    members = _shared(passed).distinct().join(owners.select("high", F.col("rep").alias("id")), "high").select("sign", "id")
     spans = members.groupBy("sign").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     blocks = written(members.join(spans.select("sign", "leader"), "sign"), "blocks")
     sizes = one.where("id = rep").select("id", "size", "high")

@@ -115,6 +115,17 @@ def test_equal_to_brute_force(spark, monkeypatch):
     assert rows_of(jaccard.joined(docs)) == want
 
 
+def test_sets_of_repeated_ids_stand_for_other_ids(spark):
+    rng = random.Random(31)
+    small, large = sentence(rng, 100, 10**6), sentence(rng, 150, 10**6)
+    close = " ".join(["x", *small.split()[1:]])
+    rows = [(10, small), (10, large), (20, small), (30, close), (40, large + " y")]  # in one stretch, in this order
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).coalesce(1)
+    want, _ = brute(docs.collect())
+    assert {(w[0], w[2]) for w in want} == {(10, 10), (20, 20), (30, 20), (40, 10)}
+    assert rows_of(jaccard.joined(docs)) == want
+
+
 def test_bounds_open_only_groups_that_can_hold_a_link():
     rng = np.random.default_rng(1)
     draw = lambda n: np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
