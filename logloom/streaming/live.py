@@ -73,8 +73,10 @@ class LiveUpdates:
             "|", F.max("chunk"), F.count(F.lit(1)), F.sum(F.octet_length("raw") + 1),
             F.bit_xor(F.xxhash64("chunk", "block", "raw")),
         ), 256).alias("revision"))
-        newest = pages.newest_page(build.records(logs), arguments.LIVE_RECORDS)
-        self._put("records", newest.join(revisions, "session"), batch_id)
+        records = build.records(logs)
+        self._put("records", records.join(revisions, "session"), batch_id)
+        newest = pages.newest_page(records, arguments.LIVE_RECORDS)
+        self._put("live_records", newest.join(revisions, "session"), batch_id)
         self._put("turns", build.turns(logs), batch_id)
         self._put("sessions", build.sessions(logs).withColumnRenamed("file", "session")
                   .join(revisions, "session"), batch_id)
@@ -98,5 +100,5 @@ class LiveUpdates:
     def update(self, session: str, revision: str | None) -> DataFrame:
         """The session's live records, none when the caller's revision is still the current one."""
         known = arguments.revision(revision)
-        rows = self.current("records").filter(F.col("session") == session)
+        rows = self.current("live_records").filter(F.col("session") == session)
         return rows.filter(F.col("revision") != known) if known else rows

@@ -13,7 +13,7 @@ from logloom.plans import build, reports
 from logloom.sources.tables import event_ledger
 from logloom.streaming.live import LiveUpdates
 from logloom.streaming.state import live_quota_alerts, running_sessions
-from tests.fixtures import LogFolder, kiln
+from tests.fixtures import LogFolder, at, kiln, response
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,6 +97,21 @@ def test_live_update(spark):
     assert [r.asDict() for r in rows] == want
 
 
+def test_live_update_keeps_all_records(spark):
+    base = tempfile.mkdtemp(prefix="live-")
+    landing = os.path.join(base, "landing", "kiln-session")
+    os.makedirs(landing)
+    more = [response("message", at(60 + i), id=f"m-{i}", role="assistant", content=[{"type": "output_text", "text": f"Step {i}"}])
+            for i in range(60)]
+    with open(os.path.join(landing, "000.jsonl"), "w") as out:
+        out.writelines(json.dumps(x) + "\n" for x in kiln()[:-1] + more)
+    live = LiveUpdates(spark, os.path.join(base, "landing"), os.path.join(base, "tables"), 4)
+    live.start(os.path.join(base, "cp"), available_now=True).awaitTermination(300)
+    every = sorted(r["index"] for r in live.current("records").collect())
+    assert len(every) == 69
+    assert sorted(r["index"] for r in live.update("kiln-session", None).collect()) == every[-50:]
+
+
 def test_unknown_revision_is_refused(spark):
     with pytest.raises(ValueError):
         LiveUpdates(spark, "/nowhere", "/nowhere").update("s", "XYZ")
