@@ -15,6 +15,7 @@ from logloom.llm import (
     quality_rules,
     quality_trees,
     rendering,
+    simhash,
     substring,
     toxicity,
     warc,
@@ -86,6 +87,11 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.rendered(table(spark, sf_dir, "pages"))
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts, and how many are near."""
+    return simhash.compared(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": warc_archives,
     "op2_decontamination": decontamination,
@@ -97,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup,
     "op9_addressable_codes": addressable_codes,
     "op10_page_text": page_text,
+    "op13_simhash": document_fingerprints,
 }
