@@ -12,6 +12,7 @@ from logloom.llm import (
     codes,
     decontaminate,
     jaccard,
+    lexical,
     quality_rules,
     quality_trees,
     rendering,
@@ -87,6 +88,11 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.rendered(table(spark, sf_dir, "pages"))
 
 
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest-scoring documents of every benchmark item."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and how many are near."""
     return simhash.compared(table(spark, sf_dir, "documents"))
@@ -103,5 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup,
     "op9_addressable_codes": addressable_codes,
     "op10_page_text": page_text,
+    "op12_lexical_search": lexical_search,
     "op13_simhash": document_fingerprints,
 }

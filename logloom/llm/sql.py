@@ -123,10 +123,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM lost) AS kept
 FROM s"""
 
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+m AS (SELECT doc_id, r, 75 + (25 * len(w) * n) // l AS m FROM d, s WHERE len(w) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, text, term, count(*) AS times
+      FROM (SELECT item_id, text, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+v AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM f, s),
+found AS (
+  SELECT item_id, text, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS score
+  FROM q JOIN v USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank,
+       doc_id, CAST(score AS BIGINT) AS score
+FROM found JOIN m USING (r) QUALIFY rank <= 20"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_archives": WARC,
     "op2_decontamination": DECONTAMINATION,
     "op5_jaccard_join": JACCARD,
     "op7_risk_controlled_rules": RULES,
     "op8_substring_dedup": SUBSTRING,
+    "op12_lexical_search": LEXICAL,
 }
