@@ -16,6 +16,7 @@ from logloom.llm import (
     quality_rules,
     quality_trees,
     rendering,
+    repair,
     simhash,
     substring,
     toxicity,
@@ -88,6 +89,11 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.rendered(table(spark, sf_dir, "pages"))
 
 
+def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations and their cheapest repair."""
+    return repair.audited(table(spark, sf_dir, "conversations"))
+
+
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest-scoring documents of every benchmark item."""
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup,
     "op9_addressable_codes": addressable_codes,
     "op10_page_text": page_text,
+    "op11_structure_repair": structure_repair,
     "op12_lexical_search": lexical_search,
     "op13_simhash": document_fingerprints,
 }

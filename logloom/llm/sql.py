@@ -141,11 +141,60 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY scor
        doc_id, CAST(score AS BIGINT) AS score
 FROM found JOIN m USING (r) QUALIFY rank <= 20"""
 
+REPAIR = rf"""
+WITH RECURSIVE b AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+x AS (
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT),
+                            lambda c, v: list_reduce([xor(c, v)] || range(8), lambda a, n: xor(a >> 1, 3988292384 * (a & 1)))),
+                4294967295) % 20 AS kind FROM b),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text
+  FROM x, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM o),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+dp AS (  -- cheapest (cost, audit, output) with nothing, system, user or assistant written last
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS s0, {{'c': 1000000000::BIGINT, 'a': '', 'o': ''}} AS s1,
+         {{'c': 5::BIGINT, 'a': 'I', 'o': 'user:'}} AS s2, {{'c': 10::BIGINT, 'a': 'II', 'o': 'user:' || chr(10) || 'assistant:'}} AS s3 FROM c
+  UNION ALL
+  SELECT conv_id, i, s0, s1, t2 AS s2, least(t3, {{'c': t2.c + 5, 'a': t2.a || 'I', 'o': t2.o || chr(10) || 'assistant:'}}) AS s3
+  FROM (
+    SELECT conv_id, i, r0 AS s0, r1 AS s1, r3 AS t3, least(r0, r1, r3) AS w,
+           least(r2, {{'c': w.c + 5, 'a': w.a || 'I', 'o': w.o || CASE w.o WHEN '' THEN '' ELSE chr(10) END || 'user:'}}) AS t2
+    FROM (
+      SELECT p.conv_id, f.i, CASE WHEN fault IN ('b', 'd') THEN 1000000000 WHEN fault = 't' THEN 5 ELSE 0 END AS more,
+             least(s0, s1, s3) AS v, CASE v.o WHEN '' THEN '' ELSE chr(10) END AS nl,
+             {{'c': s0.c + 2, 'a': s0.a || 'D', 'o': s0.o}} AS r0,
+             least({{'c': s1.c + 2, 'a': s1.a || 'D', 'o': s1.o}},
+                   {{'c': s0.c + more + CASE role[1] WHEN 's' THEN 0 ELSE 1000000000 END, 'a': s0.a || 'K', 'o': role || ':' || text}}) AS r1,
+             least({{'c': s2.c + 2, 'a': s2.a || 'D', 'o': s2.o}},
+                   {{'c': v.c + 1 + more, 'a': v.a || 'R', 'o': v.o || nl || 'user:' || text}},
+                   {{'c': v.c + more + CASE role[1] WHEN 'u' THEN 0 ELSE 1000000000 END, 'a': v.a || 'K', 'o': v.o || nl || role || ':' || text}}) AS r2,
+             least({{'c': s3.c + 2, 'a': s3.a || 'D', 'o': s3.o}},
+                   {{'c': s2.c + 1 + more, 'a': s2.a || 'R', 'o': s2.o || chr(10) || 'assistant:' || text}},
+                   {{'c': s2.c + more + CASE role[1] WHEN 'a' THEN 0 ELSE 1000000000 END, 'a': s2.a || 'K', 'o': s2.o || chr(10) || role || ':' || text}}) AS r3
+      FROM dp p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1))),
+e AS (SELECT c.*, least(s0, s3) AS best FROM c JOIN dp ON dp.conv_id IS NOT DISTINCT FROM c.conv_id AND dp.i = c.n)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(best.o, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM g.conv_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_archives": WARC,
     "op2_decontamination": DECONTAMINATION,
     "op5_jaccard_join": JACCARD,
     "op7_risk_controlled_rules": RULES,
     "op8_substring_dedup": SUBSTRING,
+    "op11_structure_repair": REPAIR,
     "op12_lexical_search": LEXICAL,
 }
