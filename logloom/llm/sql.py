@@ -166,23 +166,27 @@ dp AS (  -- cheapest (cost, audit, output) with nothing, system, user or assista
   SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS s0, {{'c': 1000000000::BIGINT, 'a': '', 'o': ''}} AS s1,
          {{'c': 5::BIGINT, 'a': 'I', 'o': 'user:'}} AS s2, {{'c': 10::BIGINT, 'a': 'II', 'o': 'user:' || chr(10) || 'assistant:'}} AS s3 FROM c
   UNION ALL
-  SELECT conv_id, i, s0, s1, t2 AS s2, least(t3, {{'c': t2.c + 5, 'a': t2.a || 'I', 'o': t2.o || chr(10) || 'assistant:'}}) AS s3
+  SELECT conv_id, i, r0 AS s0, r1 AS s1, t2 AS s2, least(r3, {{'c': t2.c + 5, 'a': t2.a || 'I', 'o': t2.o || chr(10) || 'assistant:'}}) AS s3
   FROM (
-    SELECT conv_id, i, r0 AS s0, r1 AS s1, r3 AS t3, least(r0, r1, r3) AS w,
+    SELECT conv_id, i, r0, r1, r3,
            least(r2, {{'c': w.c + 5, 'a': w.a || 'I', 'o': w.o || CASE w.o WHEN '' THEN '' ELSE chr(10) END || 'user:'}}) AS t2
     FROM (
-      SELECT p.conv_id, f.i, CASE WHEN fault IN ('b', 'd') THEN 1000000000 WHEN fault = 't' THEN 5 ELSE 0 END AS more,
-             least(s0, s1, s3) AS v, CASE v.o WHEN '' THEN '' ELSE chr(10) END AS nl,
-             {{'c': s0.c + 2, 'a': s0.a || 'D', 'o': s0.o}} AS r0,
-             least({{'c': s1.c + 2, 'a': s1.a || 'D', 'o': s1.o}},
-                   {{'c': s0.c + more + CASE role[1] WHEN 's' THEN 0 ELSE 1000000000 END, 'a': s0.a || 'K', 'o': role || ':' || text}}) AS r1,
-             least({{'c': s2.c + 2, 'a': s2.a || 'D', 'o': s2.o}},
-                   {{'c': v.c + 1 + more, 'a': v.a || 'R', 'o': v.o || nl || 'user:' || text}},
-                   {{'c': v.c + more + CASE role[1] WHEN 'u' THEN 0 ELSE 1000000000 END, 'a': v.a || 'K', 'o': v.o || nl || role || ':' || text}}) AS r2,
-             least({{'c': s3.c + 2, 'a': s3.a || 'D', 'o': s3.o}},
-                   {{'c': s2.c + 1 + more, 'a': s2.a || 'R', 'o': s2.o || chr(10) || 'assistant:' || text}},
-                   {{'c': s2.c + more + CASE role[1] WHEN 'a' THEN 0 ELSE 1000000000 END, 'a': s2.a || 'K', 'o': s2.o || chr(10) || role || ':' || text}}) AS r3
-      FROM dp p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1))),
+      SELECT *, least(r0, r1, r3) AS w FROM (
+        SELECT conv_id, i,
+               {{'c': s0.c + 2, 'a': s0.a || 'D', 'o': s0.o}} AS r0,
+               least({{'c': s1.c + 2, 'a': s1.a || 'D', 'o': s1.o}},
+                     {{'c': s0.c + more + CASE role[1] WHEN 's' THEN 0 ELSE 1000000000 END, 'a': s0.a || 'K', 'o': role || ':' || text}}) AS r1,
+               least({{'c': s2.c + 2, 'a': s2.a || 'D', 'o': s2.o}},
+                     {{'c': v.c + 1 + more, 'a': v.a || 'R', 'o': v.o || nl || 'user:' || text}},
+                     {{'c': v.c + more + CASE role[1] WHEN 'u' THEN 0 ELSE 1000000000 END, 'a': v.a || 'K', 'o': v.o || nl || role || ':' || text}}) AS r2,
+               least({{'c': s3.c + 2, 'a': s3.a || 'D', 'o': s3.o}},
+                     {{'c': s2.c + 1 + more, 'a': s2.a || 'R', 'o': s2.o || chr(10) || 'assistant:' || text}},
+                     {{'c': s2.c + more + CASE role[1] WHEN 'a' THEN 0 ELSE 1000000000 END, 'a': s2.a || 'K', 'o': s2.o || chr(10) || role || ':' || text}}) AS r3
+        FROM (
+          SELECT *, CASE v.o WHEN '' THEN '' ELSE chr(10) END AS nl FROM (
+            SELECT p.conv_id, f.i, s0, s1, s2, s3, role, text, least(s0, s1, s3) AS v,
+                   CASE WHEN fault IN ('b', 'd') THEN 1000000000 WHEN fault = 't' THEN 5 ELSE 0 END AS more
+            FROM dp p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1)))))),
 e AS (SELECT c.*, least(s0, s3) AS best FROM c JOIN dp ON dp.conv_id IS NOT DISTINCT FROM c.conv_id AND dp.i = c.n)
 SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
        coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
