@@ -131,12 +131,15 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def training_sample(rows: DataFrame, labels: DataFrame, held_out: str, id_col: str = "doc_id", label_col: str = "quality",
                     sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``sample_rows`` labelled rows outside the held-out part, chosen by a hash of their id."""
+    """(id, label, stats) of at most ``sample_rows`` labelled ids outside the held-out part, chosen by a hash of the id.
+
+    Of several rows of an id the one whose statistics have the largest hash is taken.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(
         F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     known = known.where(f"not ({held_out})")
     chosen = known.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample_rows)
-    return rows.join(chosen, "id").dropDuplicates(["id"])
+    return rows.join(chosen, "id").groupBy("id", "label").agg(F.max_by("stats", F.xxhash64("stats")).alias("stats"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
