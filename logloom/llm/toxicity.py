@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; everything else that is sampled is unlabelled, not
-clean. The classifiers minimise the class-prior-corrected risk
+Confirmed toxic texts are the positives. The unlabelled texts are a sample of all texts, whatever is known
+of them, so that the class prior, the share of toxic rows among the labelled ones, holds for it. The classifiers minimise the class-prior-corrected risk
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
@@ -11,12 +11,13 @@ estimated on the whole sample at every step, as small batches make its clean par
 chance. Each classifier is linear over the words of a text (present or not); the score is the
 mean chance of several classifiers, each fitted to another part of the unlabelled texts.
 
-The fit runs on the driver from a bounded sample: at most ``POSITIVES`` toxic texts,
-``UNLABELLED`` other texts and ``VOCABULARY`` words, chosen by a hash of the id and by the number of
-sampled texts they occur in. Which texts are sampled is decided on ids alone; only that bounded
-list of ids is broadcast. Every text is scored whole.
+The fit runs on the driver from a bounded sample: at most ``POSITIVES`` toxic and ``UNLABELLED`` texts of different
+ids, chosen by a hash of the id, as numbers of at most ``VOCABULARY`` words, those whose shares among
+the two samples differ by most standard errors, counted by an aggregate. Which texts are sampled is decided on ids
+alone; only that bounded list of ids is broadcast. Every text is scored whole.
 
-Defined results: null is the empty text and gets a score too; labels of a document that
+Defined results: null is the empty text and gets a score too; of several texts of a sampled id the one whose words have
+the largest hash is learned from; labels of a document that
 disagree count as toxic; null ids and labels are not learned from; without positives or
 without unlabelled texts every score is the prior; repeated rows get equal scores; an empty
 table gives an empty table.
@@ -80,6 +81,18 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float,
     return fit_rows(words, *rows, prior, **settings)
 
 
+def risk_slope(margin: np.ndarray, n_pos: int, prior: float) -> np.ndarray:
+    """By how much the risk grows with each margin, positives first; away from the clean part where that is negative."""
+    n_rest = len(margin) - n_pos
+    chance = 1 / (1 + np.exp(-margin))
+    clean = np.logaddexp(0, margin)  # the loss of the answer "clean"
+    slope = np.concatenate([-prior * chance[:n_pos] / n_pos, chance[n_pos:] / n_rest])
+    if clean[n_pos:].mean() - prior * clean[:n_pos].mean() < 0:
+        return -slope
+    slope[:n_pos] += prior * (chance[:n_pos] - 1) / n_pos
+    return slope
+
+
 def fit_rows(words: list[bytes], positive: Texts, unlabelled: Texts, prior: float, vocabulary: int = VOCABULARY,
              least_texts: int = LEAST_TEXTS, classifiers: int = CLASSIFIERS, steps: int = STEPS) -> Classifier:
     """Fit the classifiers; the numbers of the texts are places in ``words``."""
@@ -114,16 +127,9 @@ def fit_rows(words: list[bytes], positive: Texts, unlabelled: Texts, prior: floa
         inside = seen[every_of]
         cols, of, rows = every_col[inside], (np.cumsum(seen) - 1)[every_of[inside]], int(seen.sum())
         weights, bias = rng.normal(0, 0.01, width), rest[number]
-        first, second, n_rest = np.zeros(width + 1), np.zeros(width + 1), rows - n_pos
+        first, second = np.zeros(width + 1), np.zeros(width + 1)
         for step in range(1, steps + 1):
-            margin = np.bincount(of, weights[cols], rows) + bias
-            chance = 1 / (1 + np.exp(-margin))
-            clean = np.logaddexp(0, margin)  # the loss of the answer "clean"
-            slope = np.concatenate([-prior * chance[:n_pos] / n_pos, chance[n_pos:] / n_rest])
-            if clean[n_pos:].mean() - prior * clean[:n_pos].mean() >= 0:
-                slope[:n_pos] += prior * (chance[:n_pos] - 1) / n_pos
-            else:
-                slope = -slope
+            slope = risk_slope(np.bincount(of, weights[cols], rows) + bias, n_pos, prior)
             gradient = np.append(np.bincount(cols, slope[of], width), slope.sum())
             first = 0.9 * first + 0.1 * gradient
             second = 0.999 * second + 0.001 * gradient**2
@@ -141,8 +147,8 @@ def _sample(docs: DataFrame, labels: DataFrame, held_out: str, id_col: str, text
     share = known.agg(F.avg("label")).first()[0]
     toxic, order = known.where("label = 1").select("id"), F.xxhash64("id", F.lit(SEED))
     some = toxic.orderBy(order, "id").limit(positives).withColumn("toxic", F.lit(True))
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").where(f"not ({held_out})")
-    others = ids.orderBy(order, "id").limit(unlabelled).distinct().join(toxic, "id", "left_anti")
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").where(f"not ({held_out})").distinct()
+    others = ids.orderBy(order, "id").limit(unlabelled)
     chosen = some.unionByName(others.withColumn("toxic", F.lit(False)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
@@ -153,12 +159,15 @@ def _sample(docs: DataFrame, labels: DataFrame, held_out: str, id_col: str, text
                                              names=["id", "toxic", "words"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    sample = written(map_batches(rows.select("id", "text", "toxic"), run, f"id {kind}, toxic boolean, words array<binary>"),
-                     "toxicity")
-    # Only words that several sampled texts share can enter the vocabulary; the others stay behind.
-    shared = sample.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("texts")).where(
-        F.col("texts") >= LEAST_TEXTS).orderBy(F.desc("texts"), "word").limit(16 * VOCABULARY).select("word")
-    words = sorted(bytes(r.word) for r in shared.collect())
+    sample = map_batches(rows.select("id", "text", "toxic"), run, f"id {kind}, toxic boolean, words array<binary>")
+    sample = written(sample.groupBy("id", "toxic").agg(F.max_by("words", F.xxhash64("words")).alias("words")), "toxicity")
+    many = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    p, u = (F.count_if(F.col("toxic") == side) / F.lit(many.get(side, 1)) for side in (True, False))
+    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(p.alias("p"), u.alias("u"), F.count("*").alias("texts"))
+    spread = sum(F.col(c) * (1 - F.col(c)) / many.get(side, 1) for c, side in (("p", True), ("u", False)))
+    far = (F.abs(F.col("p") - F.col("u")) / F.sqrt(spread + 1e-9)).alias("far")
+    words = counts.where(F.col("texts") >= LEAST_TEXTS).select("word", far).where(F.col("far") >= DIFFERENCE)
+    words = sorted(bytes(r.word) for r in words.orderBy(F.desc("far"), "word").limit(VOCABULARY).collect())
     given = docs.sparkSession.sparkContext.broadcast(words)
 
     def number(batches):
@@ -168,10 +177,8 @@ def _sample(docs: DataFrame, labels: DataFrame, held_out: str, id_col: str, text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())],
                                              names=["id", "toxic", "numbers"])
 
-    found: dict = {}
-    for row in map_batches(sample, number, f"id {kind}, toxic boolean, numbers binary").collect():
-        found.setdefault((row.toxic, row.id), []).append(np.frombuffer(row.numbers, "<i4"))
-    texts = [Texts([np.unique(np.concatenate(found[key])) for key in sorted(found) if key[0] is toxic]) for toxic in (True, False)]
+    found = sorted(map_batches(sample, number, f"id {kind}, toxic boolean, numbers binary").collect(), key=lambda r: r.id)
+    texts = [Texts([np.frombuffer(r.numbers, "<i4") for r in found if r.toxic is side]) for side in (True, False)]
     return words, texts[0], texts[1], PRIOR if share is None else share
 
 
