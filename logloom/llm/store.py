@@ -10,10 +10,22 @@ from pyspark.sql import SparkSession
 from logloom.session import checkpoint_dir
 
 
+def address(spark: SparkSession, folder: str) -> str:
+    """The whole address of a folder: one without a scheme lies in the cluster's default file system, as for Spark's own writers."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    if not path.isAbsolute():
+        raise ValueError(f"name an absolute folder or an address in spark.checkpoint.dir, not {folder}")
+    if path.toUri().getScheme() is None:
+        path = path.makeQualified(hadoop.FileSystem.getDefaultUri(context._jsc.hadoopConfiguration()), hadoop.Path("/"))
+    whole = path.toString()
+    return whole if "://" in whole else whole.replace(":", "://", 1)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """The address of a new folder below the one named by ``spark.checkpoint.dir``."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base if '://' in base else 'file://' + base}/{name}-{uuid.uuid4().hex}"
+    return f"{address(spark, checkpoint_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_file(folder: str, name: str, data: bytes) -> str:
