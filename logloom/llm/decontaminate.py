@@ -3,10 +3,12 @@
 The normalised words of a block of items go into one automaton. The words of a training
 text are streamed through it and the longest match ending at each word is tracked, so
 any occurrence of an item window is seen wherever it starts. A text is contaminated
-when the words inside such occurrences reach the coverage limit.
+when the words inside such occurrences reach the coverage limit. ``without_contaminated`` leaves such texts out,
+``without_spans`` cuts the spans inside occurrences out of texts, where a span is too long or the text is contaminated.
 
-The items are a given, small table but may be of any size: they are cut into blocks of at
-most ``block_bytes`` of text; each block is broadcast and makes one pass over the texts.
+The items may be a table of any size: they are dealt into blocks of about ``block_bytes`` of text, tasks
+build an automaton of each and write it to the shared folder, and the one pass over the texts matches
+each batch of texts with one automaton after the other. Only their addresses reach the driver. Building them runs a job.
 
 Defined results: a null or wordless text has no words and is never contaminated; null items
 and items without words match nothing; an item id of null has
@@ -17,21 +19,24 @@ leaves every text clean; a text of any length is read whole.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm import store
 from logloom.llm.texts import kept, map_batches
 
 #: Words of a window, and hit words in a hundred words that make a text contaminated.
 WINDOW = 13
 COVERAGE_PERCENT = 5
+#: A span of more words than this is cut out of any text.
+SPAN_WORDS = 20
 #: Bytes of item texts in one automaton.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 # A-Z become a-z; every other ASCII byte that is no letter or digit separates words.
 _NORMAL = bytes(
@@ -137,33 +142,35 @@ class Automaton:
         return hit, found, longest
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """Item rows in blocks of bounded text size, fetched one partition at a time."""
-    block, size = [], 0
+def _automata(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list[str]:
+    """The addresses of the automata of all blocks of items, which tasks build and write."""
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t"))
-    for row in rows.where("t is not null").toLocalIterator():
-        block.append((row.i, row.t))
-        size += len(row.t.encode("utf-8", "surrogatepass"))
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def _broadcast(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list:
-    """A broadcast of (name, items) per block, an empty one where there are no items."""
-    context, shared = docs.sparkSession.sparkContext, []
-    for block in _blocks(items, item_id, item_text, block_bytes):
-        name = hashlib.sha256(repr(block).encode("utf-8", "surrogatepass")).hexdigest()
-        shared.append(context.broadcast((name, block)))
-    return shared or [context.broadcast(("none", []))]
-
-
-def _built(shared, window: int) -> Automaton:
-    """The automaton of a broadcast block, built once per Python worker."""
-    name, block = shared.value
-    return kept(("items", name, window), lambda: Automaton([(i, words_of(t)) for i, t in block], window))
+    rows = rows.where("t is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks, folder = max(1, -(-size // block_bytes)), store.new_folder(items.sparkSession, "items")
+
+    def build(table: pa.Table) -> pa.Table:
+        pairs = zip(table.column("i").to_pylist(), table.column("t").to_pylist(), strict=True)
+        automaton = Automaton([(i, words_of(t)) for i, t in pairs], window)
+        return pa.table({"address": [store.write_file(folder, "automaton", pickle.dumps(automaton))]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))).groupBy("block")
+    return sorted(r.address for r in dealt.applyInArrow(build, "address string").collect())
+
+
+def _matched(texts: pa.Array, addresses: list[str]) -> list[tuple[np.ndarray, set[str], int]]:
+    """For each text which words are hit, the ids of the items found and the longest match, over all automata."""
+    found = [(np.zeros(0, bool), set(), 0)] * len(texts)
+    for address in addresses:
+        automaton = kept(("items", address), lambda at=address: pickle.loads(store.read_file(at)))
+        for number, text in enumerate(texts):
+            hit, items, longest = automaton.match(words_of(text.as_py()))
+            before = found[number]
+            found[number] = (hit | before[0] if len(before[0]) else hit, before[1] | {automaton.ids[i] for i in items},
+                             max(longest, before[2]))
+    if not addresses:
+        found = [(np.zeros(len(words_of(t.as_py())), bool), set(), 0) for t in texts]
+    return found
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -174,11 +181,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ``hits`` lists the word spans [start, end) inside occurrences of item windows, ``items``
     the item ids found, sorted as text.
     """
-    passes = _broadcast(docs, items, item_id, item_text, block_bytes)
+    addresses = _automata(items, item_id, item_text, window, block_bytes)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if len(passes) == 1:
-        return _judged(narrow, passes[0], window, coverage_percent, id_col)
-    return _many(narrow, passes, window, coverage_percent, id_col)
+
+    def judge(batches):
+        for batch in batches:
+            rows = [_row(*found, coverage_percent) for found in _matched(batch.column(1), addresses)]
+            yield _batch(batch.column(0), rows, id_col)
+
+    kind = narrow.schema["id"].dataType.simpleString()
+    return map_batches(narrow, judge, f"`{id_col}` {kind}, {_SCHEMA}")
 
 
 _SCHEMA = ("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
@@ -194,7 +206,7 @@ def _spans(hit: np.ndarray) -> list[dict]:
 def _row(hit: np.ndarray, items: set[str], longest: int, percent: int) -> tuple:
     names, n_hit = sorted(items), int(hit.sum())
     digest = hashlib.sha256(",".join(names).encode("utf-8", "surrogatepass")).hexdigest()
-    return (len(hit), n_hit, len(names), digest, n_hit > 0 and 100 * n_hit >= percent * len(hit), longest,
+    return (len(hit), n_hit, len(names), digest, _contaminated(hit, percent), longest,
             _spans(hit), names)
 
 
@@ -206,69 +218,49 @@ def _batch(ids: pa.Array, rows: list[tuple], id_col: str) -> pa.RecordBatch:
         [ids, *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, *names])
 
 
-def _judged(narrow: DataFrame, shared, window: int, percent: int, id_col: str) -> DataFrame:
-    def judge(batches):
-        for batch in batches:
-            automaton, rows = _built(shared, window), []
-            for text in batch.column(1):
-                hit, found, longest = automaton.match(words_of(text.as_py()))
-                rows.append(_row(hit, {automaton.ids[i] for i in found}, longest, percent))
-            yield _batch(batch.column(0), rows, id_col)
-
-    kind = narrow.schema["id"].dataType.simpleString()
-    return map_batches(narrow, judge, f"`{id_col}` {kind}, {_SCHEMA}")
-
-
-def _many(narrow: DataFrame, passes: list, window: int, percent: int, id_col: str) -> DataFrame:
-    """One pass per block; the spans of a text are merged by a hash of its row."""
-    keyed = narrow.withColumn("key", F.struct("id", F.xxhash64("text"), F.sha1("text")))
-    parts = None
-    for shared in passes:
-        part = _judged(keyed.select(F.col("key").alias("id"), "text").where("text is not null").dropDuplicates(["id"]),
-                       shared, window, percent, "key").where("n_hit > 0").select("key", "hits", "items", "longest")
-        parts = part if parts is None else parts.unionByName(part)
-    merged = parts.groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("hits"),
-                                      F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-                                      F.max("longest").alias("longest"))
-    joined = keyed.join(merged, keyed["key"].eqNullSafe(merged["key"]), "left").select(
-        keyed["id"], keyed["text"], "hits", "items", "longest")
-
-    def settle(batches):
-        for batch in batches:
-            rows = []
-            for text, hits, items, longest in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                hit = np.zeros(len(words_of(text)), bool)
-                for span in hits or []:
-                    hit[span["start"]:span["stop"]] = True
-                rows.append(_row(hit, set(items or []), longest or 0, percent))
-            yield _batch(batch.column(0), rows, id_col)
-
-    kind = narrow.schema["id"].dataType.simpleString()
-    return map_batches(joined, settle, f"`{id_col}` {kind}, {_SCHEMA}")
+def _contaminated(hit: np.ndarray, percent: int) -> bool:
+    n_hit = int(hit.sum())
+    return n_hit > 0 and 100 * n_hit >= percent * len(hit)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
                          item_text: str = "text", window: int = WINDOW,
                          coverage_percent: int = COVERAGE_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose text is not contaminated."""
-    passes = _broadcast(docs, items, item_id, item_text, block_bytes)
-    place = docs.columns.index(text_col)
-    if len(passes) > 1:
-        packed = docs.select(F.struct("*").alias("id"), F.col(text_col).alias("text"))
-        return _many(packed, passes, window, coverage_percent, "id").where("not contaminated").select("id.*")
+    addresses, place = _automata(items, item_id, item_text, window, block_bytes), docs.columns.index(text_col)
 
     def clean(batches):
         for batch in batches:
-            automaton, keep = _built(passes[0], window), []
-            for text in batch.column(place):
-                hit = automaton.match(words_of(text.as_py()))[0]
-                n_hit = int(hit.sum())
-                keep.append(not n_hit or 100 * n_hit < coverage_percent * len(hit))
+            keep = [not _contaminated(hit, coverage_percent) for hit, _, _ in _matched(batch.column(place), addresses)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return map_batches(docs, clean, docs.schema)
 
 
+def without_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
+                  item_text: str = "text", window: int = WINDOW, span_words: int = SPAN_WORDS,
+                  coverage_percent: int = COVERAGE_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns kept, their texts without spans that exceed a limit.
+
+    A span is a longest run of words inside occurrences of item windows. One of more than ``span_words`` words
+    is cut out of any text, and all spans are cut out of a contaminated text, with what stands between their
+    words. Texts without such spans, nulls included, stay as they are.
+    """
+    addresses, place = _automata(items, item_id, item_text, window, block_bytes), docs.columns.index(text_col)
+
+    def clean(batches):
+        for batch in batches:
+            column, texts = batch.column(place), batch.column(place).to_pylist()
+            for number, (hit, _, _) in enumerate(_matched(column, addresses)):
+                every = _contaminated(hit, coverage_percent)
+                spans = [s for s in _spans(hit) if every or s["stop"] - s["start"] > span_words]
+                if spans:
+                    texts[number] = cut(texts[number], spans)
+            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, column.type))
+
+    return map_batches(docs, clean, docs.schema)
+
+
 def cut(text: str, spans: list[dict]) -> str:
     """The text without the words of ``spans`` and what stands between them."""
     places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]

@@ -71,6 +71,40 @@ def test_clean_rows_keep_all_columns(spark):
         assert rows_of(kept) == clean
 
 
+def uncovered(text, items, most):
+    """The text without its spans of more than ``most`` words, or without any span if a twentieth of its words is hit."""
+    places, have, hit = [m.span() for m in WORD.finditer(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))], words(text), set()
+    for item in items:
+        size = min(13, len(words(item.text)))
+        windows = {tuple(words(item.text)[i:i + size]) for i in range(len(words(item.text)) - size + 1)} if size else ()
+        for start in range(len(have) - size + 1):
+            if tuple(have[start:start + size]) in windows:
+                hit |= set(range(start, start + size))
+    gone, at = "", 0
+    runs = [(i, next(j for j in range(i, len(have) + 1) if j not in hit)) for i in sorted(hit) if i - 1 not in hit]
+    for a, b in runs:
+        if b - a > most or 20 * len(hit) >= len(have):
+            gone, at = gone + text[at:places[a][0]], places[b - 1][1]
+    return gone + text[at:] if at else text
+
+
+def test_spans_over_the_limits_are_cut(spark):
+    docs, items = tables(spark)
+    rng = random.Random(8)
+    item = " ".join(f"q{rng.randrange(10**9)}" for _ in range(60))
+    more = [(7000 + n, f"{sentence(rng, 600, 10**6)}. {' '.join(item.split()[:n])}, {sentence(rng, 600, 10**6)}!", "en", "s", 1) for n in (12, 13, 20, 21, 50)]
+    docs = docs.unionByName(spark.createDataFrame(more, SCHEMA)).withColumnRenamed("lang", "hits")
+    items = items.unionByName(spark.createDataFrame([(90, item, "q")], ITEMS))
+    for most, size in ((20, 1 << 20), (20, 700), (0, 1 << 20), (10_000, 1 << 20)):
+        cleaned = decontaminate.without_spans(docs, items, span_words=most, block_bytes=size)
+        assert cleaned.schema == docs.schema
+        rows = items.collect()
+        want = sorted(((r.doc_id, uncovered(r.text, rows, most), *r[2:]) for r in docs.collect()), key=repr)
+        assert rows_of(cleaned) == want
+        changed = {a[0] for a, b in zip(want, rows_of(docs), strict=True) if a[1] != b[1]}
+        assert {7000 + n in changed for n in (21, 50)} == {most < 10_000} and 7012 not in changed and (7020 in changed) == (most == 0)
+
+
 def test_empty_tables(spark):
     docs, items = tables(spark)
     none = spark.createDataFrame([], SCHEMA)
