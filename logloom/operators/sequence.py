@@ -4,7 +4,7 @@ Roles of a ledger row (column ``role``):
     S start, C completion, M model message, T tool call, TT tool end, R tool
     output, IM / IU / IT completed model / other / tool item, U other record,
     A agent message, P compaction checkpoint, CC / IC compaction end (legacy /
-    item), K token sample, X no record.
+    item), K token sample, L marker of a late result, X no record.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ def add_owner(rows: DataFrame) -> DataFrame:
     """``owner``: seq of the record a call row belongs to; ``creates``: the row adds a record.
 
     ``owner_start`` is the start time of that record. A result belongs to the latest tool call with its call id, else to the first
-    row that carried the id. A tool call adds a record every time.
+    row that carried the id. A tool call adds a record every time, and so does a marker, which then stands for its call id.
     """
-    in_call = role_in(*CALL_ROLES) & F.col("call").isNotNull()
+    in_call = role_in(*CALL_ROLES, "L") & F.col("call").isNotNull()
     rows = scan(
         rows,
-        latest("__called", F.when(in_call & role_in("T"), F.struct("seq", "start_ms"))),
+        latest("__called", F.when(in_call & role_in("T", "L"), F.struct("seq", "start_ms"))),
         earliest("__first", F.when(in_call, F.struct("seq", "start_ms"))),
         by=("session", "call"), contiguous=False,
     )
@@ -44,7 +44,7 @@ def add_owner(rows: DataFrame) -> DataFrame:
         {"owner": known["seq"], "owner_start": known["start_ms"]}
     ).withColumn(
         "creates",
-        role_in("M", "IM", "IU", "U", "A", "P")
+        role_in("M", "IM", "IU", "U", "A", "P", "L")
         | (role_in(*CALL_ROLES) & (F.col("owner") == F.col("seq"))),
     ).drop("__called", "__first")
 
@@ -60,7 +60,7 @@ def add_turns(rows: DataFrame, compactions: bool = False) -> DataFrame:
     unpaired legacy end adds a record and so touches a turn.
     """
     if compactions:
-        rows = _pair_compactions(rows)
+        rows = pair_compactions(rows)
     return _open_turns(rows)
 
 
@@ -97,7 +97,7 @@ def _open_turns(rows: DataFrame) -> DataFrame:
     ).drop("__touch", "__c", "__id", "__any", "__touched", "__named")
 
 
-def _pair_compactions(rows: DataFrame) -> DataFrame:
+def pair_compactions(rows: DataFrame) -> DataFrame:
     """``paired``: seq of the checkpoint a compaction end completes (same turn only)."""
     before = rows.columns
     trial = _open_turns(rows)

@@ -14,6 +14,7 @@ from logloom.functions.pretty import indented
 from logloom.operators import quota, usage
 from logloom.operators.carry import MAX_ROWS, is_hot, scan, total
 from logloom.operators.defaults import COUNTERS
+from logloom.operators.late import FAR, with_markers
 from logloom.operators.sequence import role_in, sequence
 from logloom.plans import gold, overview
 from logloom.plans.projection import DETAIL_COLUMNS, project
@@ -61,18 +62,19 @@ def silver(raw: DataFrame, detail: str = "summary", max_rows: int = MAX_ROWS,
 
 
 def load(spark: SparkSession, active: str, archived: str | None = None, detail: str = "summary",
-         max_rows: int = MAX_ROWS) -> Logs:
+         max_rows: int = MAX_ROWS, far: int = FAR) -> Logs:
     """Read, check and sequence every session of the two roots."""
     files = lines.list_rollouts(spark, active, archived)
-    return from_lines(files, lines.read_lines(spark, active, archived), detail, max_rows)
+    return from_lines(files, lines.read_lines(spark, active, archived), detail, max_rows, far)
 
 
 def from_lines(files: DataFrame, raw: DataFrame, detail: str = "summary",
-               max_rows: int = MAX_ROWS) -> Logs:
+               max_rows: int = MAX_ROWS, far: int = FAR) -> Logs:
     """Ledger of given lines (file, file_size, block, position, raw).
 
     The parsed lines and the finished ledger are written once each: the file
-    table, the history and all gold tables read them from there.
+    table, the history and all gold tables read them from there. A result ``far`` records or more behind
+    its call's record adds a marker.
     """
     with split_large_methods(raw.sparkSession):
         rows = written(silver(raw, detail, max_rows, files), "lines")
@@ -85,12 +87,12 @@ def from_lines(files: DataFrame, raw: DataFrame, detail: str = "summary",
     if broken is not None:
         errors = errors.unionByName(broken)
     with split_large_methods(raw.sparkSession):
-        ledger = written(sequenced(told), "ledger")
+        ledger = written(sequenced(told, far), "ledger")
     return Logs(ledger, rollouts, lines.quarantine(rows), errors, segments)
 
 
-def sequenced(rows: DataFrame) -> DataFrame:
-    """Roles as the history mode has them, call and record ids, turns, steps, samples, models."""
+def sequenced(rows: DataFrame, far: int = FAR) -> DataFrame:
+    """Roles as the history mode has them, call and record ids, late markers, turns, steps, samples, models."""
     skipped = F.col("paginated") & F.col("legacy_only")
     number = F.col("event_number").cast("string")
     call = (
@@ -112,7 +114,11 @@ def sequenced(rows: DataFrame) -> DataFrame:
     ).otherwise(F.concat("number_prefix", number)))).drop(
         "given_id", "id_prefix", "number_prefix", "legacy_only"
     )
-    return gold.add_model(usage.add_samples(sequence(rows, compactions=True)))
+    rows = sequence(with_markers(rows, far), compactions=True)
+    if "late_of" in rows.columns:
+        marker = tx.identifier(F.concat_ws("-", F.lit("tool-result"), "call", "index"))
+        rows = rows.withColumn("record_id", F.when(role_in("L"), marker).otherwise(F.col("record_id")))
+    return gold.add_model(usage.add_samples(rows))
 
 
 def unique_ids(rows: DataFrame) -> DataFrame:

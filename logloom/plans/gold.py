@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.carry import latest, scan
 from logloom.operators.defaults import COUNTERS, with_defaults
 from logloom.operators.sequence import CALL_ROLES, ITEM_ROLES, role_in
 from logloom.operators.tools import (
+    RESULT_ERROR,
     first_where,
     fold_columns,
     last_where,
@@ -114,26 +115,74 @@ def folded_records(rows: DataFrame, *fields: str) -> DataFrame:
 
     The results of a call and the end of a compaction carry the seq of the record
     they finish, so a single aggregate on (session, record) does it; nothing is
-    joined and every part combines before the shuffle.
+    joined and every part combines before the shuffle. The result of a late marker
+    finishes two records: the row of the marker stands for it in the earlier one.
     """
     if "paired" not in rows.columns:
         rows = rows.withColumn("paired", F.lit(None).cast("long"))
     own = F.col("creates") & F.coalesce(F.col("owner") == F.col("seq"), F.lit(True))
     key = F.coalesce("owner", "paired", F.when(F.col("creates"), F.col("seq")))
     paired = F.col("paired").isNotNull()
+    late = "late_of" in rows.columns
+    rows = with_fold_columns(rows).withColumns({"record": key, "__own": own})
+    if late:
+        rows = _marker_results(rows)
     grouped = (
-        with_fold_columns(rows).withColumn("record", key).filter(F.col("record").isNotNull())
+        rows.filter(F.col("record").isNotNull())
         .groupBy("session", "record")
         .agg(
             F.max_by(F.struct("seq", "role", "turn", "step", "index", "call", "start_ms", "end_ms",
-                              "persisted_start", *fields),
-                     F.when(own, F.col("seq"))).alias("own"),
+                              "persisted_start", *(("late_root", "late_role") if late else ()), *fields),
+                     F.when(F.col("__own"), F.col("seq"))).alias("own"),
             *fold_columns(),
             last_where(F.struct("role", "start_ms", "end_ms", "persisted_start", *fields), paired)
             .alias("pair"),
         )
     )
-    return with_status(grouped)
+    return with_status(_marker_fields(grouped, fields) if late else grouped)
+
+
+def _marker_results(rows: DataFrame) -> DataFrame:
+    """Marker rows twice: as the marker's record, and as the result of the record before it."""
+    part = lambda record, copy: F.struct(record.alias("record"), F.lit(copy).alias("copy"))
+    marker = F.col("role") == "L"
+    rows = rows.withColumn("__part", F.explode(F.when(marker, F.array(
+        part(F.col("seq"), False), part(F.col("late_of"), True))).otherwise(F.array(part(F.col("record"), False)))))
+    copy, own = F.col("__part.copy"), marker & ~F.col("__part.copy")
+    none = {c: F.when(~own, F.col(c)) for c in ("label", "specific", "input", "output", "metadata")}
+    return rows.withColumns(none | {
+        "record": F.col("__part.record"), "__own": F.col("__own") & ~copy,
+        "role": F.when(copy, F.col("late_role")).otherwise(F.col("role")),
+        "owner": F.when(copy, F.col("late_of")).otherwise(F.col("owner")),
+        "owner_start": F.when(copy, F.col("late_start")).otherwise(F.col("owner_start")),
+    }).drop("__part")
+
+
+def _marker_fields(grouped: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Markers with the label, step, input, metadata and failure that their call id had come to.
+
+    The records of a call id from one call to the next are a run, in which each takes over from the one before; a plain
+    output takes over a failure as well, an end event does not.
+    """
+    run = Window.partitionBy("session", F.coalesce("own.late_root", "record")).orderBy("record")
+    so_far = lambda value: F.last(value, ignorenulls=True).over(run)
+    given = lambda value: F.first(value, ignorenulls=True).over(run)
+    marker, taken = F.col("own.role") == "L", {}
+    for name in ("__named", "__any", "late_protocol", "late_extension"):
+        taken[name] = F.when(marker, so_far(F.col(name))).otherwise(F.col(name))
+    taken["__own"] = F.when(marker, F.first("__own").over(run)).otherwise(F.col("__own"))
+    own = F.col("own").withField("step", F.when(marker, F.first("own.step").over(run)).otherwise(F.col("own.step")))
+    for name, value in (("input", given(F.coalesce("own.input", "late_input"))), ("metadata", given(F.col("own.metadata")))):
+        if name in fields:
+            own = own.withField(name, F.when(marker, value).otherwise(F.col(f"own.{name}")))
+    anew = F.sum(F.when(marker & (F.col("own.late_role") == "R"), 0).otherwise(1)).over(run)
+    grouped = grouped.withColumns(taken | {"own": own, "__anew": anew})
+    since = Window.partitionBy("session", F.coalesce("own.late_root", "record"), "__anew").orderBy("record")
+    failed = F.coalesce(F.max("failed").over(since.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    return grouped.withColumn("__before", failed).withColumns({
+        "failed": F.col("failed") | F.col("__before"),
+        "error": F.when(F.col("__before"), RESULT_ERROR).otherwise(F.col("error")),
+    }).drop("__anew", "__before")
 
 
 def tool_records(rows: DataFrame) -> DataFrame:
