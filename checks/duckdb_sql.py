@@ -149,6 +149,45 @@ sums AS (
          CAST(sum(last_total) AS BIGINT) AS used_total
   FROM u WHERE accepted GROUP BY session, turn)"""
 
+# Results eight records or more behind the record of their call id add a marker (role L) before them.
+LATE = """,
+step AS (
+  SELECT session, seq, role, k, CAST(k % 10 AS INTEGER) + 1 AS slot, role IN ('T', 'R') AS tool FROM e),
+run AS (
+  SELECT DISTINCT session, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, list_transform(range(10), lambda x: CAST(0 AS BIGINT)) AS own,
+         list_transform(range(10), lambda x: CAST(0 AS BIGINT)) AS place, list_transform(range(10), lambda x: CAST(0 AS BIGINT)) AS root,
+         false AS late, CAST(NULL AS BIGINT) AS late_of, CAST(NULL AS BIGINT) AS late_root FROM step
+  UNION ALL
+  SELECT session, seq, n + CAST(creates OR late AS BIGINT),
+         CASE WHEN tool AND (creates OR late) THEN list_transform(own, lambda x, i: CASE WHEN i = slot THEN n + 1 ELSE x END) ELSE own END,
+         CASE WHEN tool AND (creates OR late) THEN list_transform(place, lambda x, i: CASE WHEN i = slot THEN 2 * seq - CAST(late AS BIGINT) ELSE x END) ELSE place END,
+         CASE WHEN tool AND creates THEN list_transform(root, lambda x, i: CASE WHEN i = slot THEN 2 * seq ELSE x END) ELSE root END,
+         late, CASE WHEN late THEN place[slot] END, CASE WHEN late THEN root[slot] END
+  FROM (
+    SELECT s.session, s.seq, s.slot, s.tool, r.n, r.own, r.place, r.root,
+           s.role IN ('M', 'T') OR (s.role = 'R' AND r.own[s.slot] = 0) AS creates,
+           s.role = 'R' AND r.own[s.slot] > 0 AND r.n - r.own[s.slot] >= 8 AS late
+    FROM run r JOIN step s ON s.session = r.session AND s.seq = r.seq + 1)),
+e2 AS (
+  SELECT * EXCLUDE (seq), 2 * seq AS seq, CAST(NULL AS BIGINT) AS late_of, CAST(NULL AS BIGINT) AS late_root FROM e
+  UNION ALL BY NAME
+  SELECT e.* EXCLUDE (seq, role), 2 * e.seq - 1 AS seq, 'L' AS role, late_of, late_root FROM e JOIN run USING (session, seq) WHERE late)"""
+LATE_TURNS = EVENTS + LATE + TURNS[len(EVENTS):].replace("FROM e)", "FROM e2)").replace("role = 'T' THEN seq", "role IN ('T', 'L') THEN seq")
+LATE_RECORDS = LATE_TURNS + """,
+fr AS (
+  SELECT session, owner, role, ts_ms, failed AND role <> 'L' AS failed FROM r WHERE role IN ('T', 'R', 'L')
+  UNION ALL SELECT session, late_of, 'R', ts_ms, failed FROM r WHERE role = 'L'),
+fold AS (
+  SELECT session, owner, count(*) FILTER (role = 'R') AS results, min(ts_ms) AS started_ms,
+         max(CASE WHEN role = 'R' THEN ts_ms END) AS completed_ms, coalesce(bool_or(failed), false) AS failed
+  FROM fr GROUP BY session, owner),
+whole AS (
+  SELECT r.session, idx, turn, CASE r.role WHEN 'M' THEN 'assistant' ELSE 'tool' END AS kind, r.role, r.call, r.k, ts_ms, f.completed_ms,
+         f.started_ms, results, first_value(r.role) OVER w AS first_role, first_value(step) OVER w AS step,
+         coalesce(bool_or(f.failed) OVER w, false) AS failed
+  FROM r LEFT JOIN fold f ON f.session = r.session AND f.owner = r.seq WHERE creates
+  WINDOW w AS (PARTITION BY r.session, coalesce(late_root, seq) ORDER BY seq))"""
+
 STATS = """,
 stats AS (
   SELECT r.session, CAST(max(turn) AS BIGINT) AS turns, CAST(count(*) FILTER (creates) AS BIGINT) AS records,
@@ -379,6 +418,16 @@ def queries() -> dict[str, str]:
             FROM r WHERE creates QUALIFY row_number() OVER (PARTITION BY session ORDER BY idx DESC) = 1""",
         "log_records": log_records,
         "log_records_chunked": log_records,
+        "log_late_records": f"""WITH RECURSIVE {LATE_RECORDS}
+            SELECT 'user-' || CAST(session AS VARCHAR) AS session, idx AS "index", turn, step, kind,
+                   CASE first_role WHEN 'M' THEN 'Assistant' WHEN 'T' THEN 'tool.' || call ELSE 'Tool result' END AS event, call,
+                   CASE WHEN failed THEN 'error' WHEN kind = 'assistant' OR results > 0 THEN 'complete' ELSE 'running' END AS status,
+                   ts_ms AS started_ms, CASE kind WHEN 'tool' THEN completed_ms ELSE ts_ms END AS completed_ms,
+                   CASE kind WHEN 'tool' THEN completed_ms - started_ms END AS duration_ms,
+                   CASE WHEN failed THEN 'Tool result reported an error.' END AS error
+            FROM whole""",
+        "log_late_turns": f"""WITH RECURSIVE {LATE_TURNS}{TURN_TABLE}
+            SELECT 'user-' || CAST(session AS VARCHAR) AS session, turn, started_ms, completed_ms, status, records, steps FROM turns""",
         "log_turns": f"""WITH {with_turns}
             SELECT 'user-' || CAST(session AS VARCHAR) AS session, turn, id, started_ms, completed_ms,
                    duration_ms, status, CASE WHEN cut_by IS NOT NULL

@@ -422,6 +422,23 @@ def log_turns(spark, sf_dir, max_rows=MAX_ROWS):
     )
 
 
+def _late_logs(spark, sf_dir) -> build.Logs:
+    raw = derived.event_lines(spark, sf_dir)
+    return build.from_lines(derived.files_of(raw), raw, far=8)
+
+
+def log_late_records(spark, sf_dir):
+    """Records of the logs where a result eight records behind its call adds a marker."""
+    return build.records(_late_logs(spark, sf_dir)).select(
+        "session", "index", "turn", "step", "kind", "event", "call", "status", "started_ms", "completed_ms", "duration_ms", "error")
+
+
+def log_late_turns(spark, sf_dir):
+    """Turns of the same logs: markers are records of them and can open one."""
+    return build.turns(_late_logs(spark, sf_dir)).select(
+        "session", "turn", "started_ms", "completed_ms", "status", "records", "steps")
+
+
 def log_sessions(spark, sf_dir, max_rows=MAX_ROWS):
     return build.sessions(_logs(spark, sf_dir, max_rows)).select(
         "id", "title", "turns", "records", "tool_calls", "failed_tools", "compactions",
