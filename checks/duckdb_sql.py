@@ -244,8 +244,31 @@ CONTRACT = {
     "sessions": ("session", "id title counts failed_within_calls span tokens context_window"),
     "quotas": ("quota", "used remaining window"),
     "warnings": ("warning", "code line message"),
-    "documents": ("document", "members session pagination stats records[0] turns[0]"),
 }
+# Members of the document's parts; [] stands for the elements of a list.
+_TOKENS = "input_tokens cached_input_tokens output_tokens reasoning_output_tokens total_tokens"
+PARTS = {
+    "document": "schemaVersion detailLevel generatedAt session pagination stats turns records warnings recentSessions",
+    "document.session": "id title cwd model effort originator sourceKind startedAt updatedAt archived parentThreadId agentPath git",
+    "document.session.git": "branch commit_hash",
+    "document.pagination": "firstRecord lastRecord earlierRecords laterRecords hasEarlier hasLater nextBeforeRecord",
+    "document.stats": ("turns visibleTurns omittedTurns records visibleRecords omittedRecords toolCalls failedTools compactions "
+                       "tokens contextWindow rateLimits"),
+    "document.stats.tokens": _TOKENS, "document.stats.rateLimits": "primary secondary",
+    "document.stats.rateLimits.primary": "usedPercent windowMinutes resetsAt",
+    "document.stats.rateLimits.secondary": "usedPercent windowMinutes resetsAt",
+    "document.turns[]": ("index id startedAt completedAt durationMs timeToFirstTokenMs status error records steps modelCalls usage "
+                         "model"),
+    "document.turns[].usage": _TOKENS,
+    "document.records[]": ("index id turn step kind event summary startedAt completedAt durationMs status callId input output error "
+                           "usage metadata"),
+    "document.records[].usage": _TOKENS, "document.warnings[]": "code line message",
+    "document.recentSessions[]": ("id title cwd model effort collaborationMode startedAt updatedAt turns toolCalls tokens archived "
+                                  "parentThreadId agentPath git"),
+    "document.recentSessions[].tokens": _TOKENS, "document.recentSessions[].git": "branch commit_hash",
+}
+FORMAT = ["document", *(part for part in PARTS if part.endswith("[]")),
+          *(f"{part}.{name}" for part, names in PARTS.items() for name in names.split())]
 
 
 def queries() -> dict[str, str]:
@@ -418,6 +441,20 @@ def queries() -> dict[str, str]:
             FROM r WHERE creates QUALIFY row_number() OVER (PARTITION BY session ORDER BY idx DESC) = 1""",
         "log_records": log_records,
         "log_records_chunked": log_records,
+        "contract_breaches": f"""WITH {TURNS},
+            page AS (SELECT session, role FROM r WHERE creates QUALIFY row_number() OVER (PARTITION BY session ORDER BY idx DESC) <= 50),
+            n AS (SELECT session, max(turn) AS turns FROM r GROUP BY session),
+            m AS (SELECT n.*, (SELECT count(*) FROM page WHERE page.session = n.session AND role = 'M') AS said FROM n),
+            b AS (
+              SELECT CASE session % 9 WHEN 1 THEN 'document' WHEN 2 THEN 'document.schemaVersion'
+                       WHEN 3 THEN 'document.pagination.nextBeforeRecord' WHEN 4 THEN 'document.records[].kind'
+                       WHEN 5 THEN 'document.turns[].timeToFirstTokenMs' WHEN 6 THEN 'document.session.archived'
+                       WHEN 7 THEN 'document' WHEN 8 THEN 'document.records[].event' END AS rule,
+                     CASE WHEN session % 9 IN (4, 8) THEN said WHEN session % 9 = 5 THEN turns ELSE 1 END AS broken FROM m
+              UNION ALL
+              SELECT 'document.recentSessions[].archived', least(20, (SELECT count(*) FROM m)) FROM m WHERE session % 9 = 6)
+            SELECT rule, (SELECT count(*) FROM m) AS "rows", CAST(sum(broken) AS BIGINT) AS broken FROM b
+            WHERE rule IS NOT NULL GROUP BY rule HAVING sum(broken) > 0""",
         "log_late_records": f"""WITH RECURSIVE {LATE_RECORDS}
             SELECT 'user-' || CAST(session AS VARCHAR) AS session, idx AS "index", turn, step, kind,
                    CASE first_role WHEN 'M' THEN 'Assistant' WHEN 'T' THEN 'tool.' || call ELSE 'Tool result' END AS event, call,
@@ -618,8 +655,9 @@ def queries() -> dict[str, str]:
                    ELSE posix END AS path FROM c""",
     }
     sources = {"records": "log_records", "turns": "log_turns", "sessions": "log_sessions", "quotas": "log_quota",
-               "warnings": "log_warnings", "documents": "log_documents"}
+               "warnings": "log_warnings"}
     counted = [f"SELECT '{rule}' AS rule, (SELECT count(*) FROM ({found[sources[table]]})) AS \"rows\""
                for table, (part, rules) in CONTRACT.items() for rule in (f"{part}.{name}" for name in rules.split())]
+    counted += [f"SELECT '{rule}' AS rule, (SELECT count(*) FROM ({found['log_documents']})) AS \"rows\"" for rule in FORMAT]
     found["log_contract"] = "SELECT *, CAST(0 AS BIGINT) AS broken FROM (" + " UNION ALL ".join(counted) + ")"
     return found

@@ -17,9 +17,24 @@ SCHEMA_VERSION = 1
 RECENT = 20
 
 
+def _given(**members: Column) -> Column:
+    """An object of the members that are not null, itself null without any."""
+    pairs = F.map_filter(F.create_map(*[x for name, value in members.items() for x in (F.lit(name), value)]),
+                         lambda _, value: value.isNotNull())
+    return F.when(F.size(pairs) > 0, pairs)
+
+
 def _usage(prefix: str) -> Column:
-    used = F.struct(*[F.col(f"{prefix}{c}").alias(f"{c}_tokens") for c in COUNTERS])
-    return F.when(F.coalesce(*[F.col(f"{prefix}{c}") for c in COUNTERS]).isNotNull(), used)
+    return _given(**{f"{c}_tokens": F.col(f"{prefix}{c}") for c in COUNTERS})
+
+
+def _git() -> Column:
+    return _given(branch=F.col("git_branch"), commit_hash=F.col("git_commit"))
+
+
+def _json(*members: Column | str) -> Column:
+    """An object as text, members that are null included."""
+    return F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
 
 
 def _iso(column: str) -> Column:
@@ -49,10 +64,10 @@ def _turn() -> Column:
 def _overview() -> Column:
     c = F.col
     return F.struct(
-        "id", "title", "cwd", "model", "effort", _iso("started_ms").alias("startedAt"),
-        _iso("updated_ms").alias("updatedAt"), "turns", c("tool_calls").alias("toolCalls"),
-        _usage("tokens_").alias("tokens"), "archived", c("parent_thread_id").alias("parentThreadId"),
-        c("agent_path").alias("agentPath"))
+        "id", "title", "cwd", "model", "effort", c("collaboration").alias("collaborationMode"),
+        _iso("started_ms").alias("startedAt"), _iso("updated_ms").alias("updatedAt"), "turns",
+        c("tool_calls").alias("toolCalls"), _usage("tokens_").alias("tokens"), "archived",
+        c("parent_thread_id").alias("parentThreadId"), c("agent_path").alias("agentPath"), _git().alias("git"))
 
 
 def _by_key(a: Column, b: Column) -> Column:
@@ -95,13 +110,11 @@ def assemble(about: DataFrame, overviews: DataFrame, records: DataFrame, turns:
                   _in_order(turns, _turn(), "turn", "shown_turns"), quotas, warned):
         joined = joined.join(table.drop("records"), "session", "left")
     c = F.col
-    git = F.when(F.coalesce("git_branch", "git_commit").isNotNull(),
-                 F.struct(c("git_branch").alias("branch"), c("git_commit").alias("commit_hash")))
     session = F.struct(
         "id", "title", "cwd", "model", "effort", "originator", c("source_kind").alias("sourceKind"),
         _iso("started_ms").alias("startedAt"), _iso("updated_ms").alias("updatedAt"), "archived",
         c("parent_thread_id").alias("parentThreadId"), c("agent_path").alias("agentPath"),
-        git.alias("git"),
+        _git().alias("git"),
     )
     pagination = F.struct(
         c("first_record").alias("firstRecord"), c("last_record").alias("lastRecord"),
@@ -111,15 +124,15 @@ def assemble(about: DataFrame, overviews: DataFrame, records: DataFrame, turns:
     )
     shown = F.coalesce(F.size("shown_turns"), F.lit(0))
     cut = c("turns") > shown
-    stats = F.struct(
-        "turns", F.when(cut, shown).alias("visibleTurns"),
-        F.when(cut, c("turns") - shown).alias("omittedTurns"), "records",
-        F.coalesce(F.size("shown_records"), F.lit(0)).alias("visibleRecords"),
+    counted = [
+        "turns", "records", F.coalesce(F.size("shown_records"), F.lit(0)).alias("visibleRecords"),
         (c("earlier_records") + c("later_records")).alias("omittedRecords"),
         c("tool_calls").alias("toolCalls"), c("failed_tools").alias("failedTools"), "compactions",
-        _usage("tokens_").alias("tokens"), c("context_window").alias("contextWindow"),
-        F.coalesce("rateLimits", F.create_map().cast(dict(joined.dtypes)["rateLimits"])).alias("rateLimits"),
-    )
+        _usage("tokens_").alias("tokens"), c("context_window").alias("contextWindow"), "rateLimits",
+    ]
+    # two members are there only where turns are left out
+    of_turns = [shown.alias("visibleTurns"), (c("turns") - shown).alias("omittedTurns")]
+    stats = F.parse_json(F.when(cut, _json(*counted, *of_turns)).otherwise(_json(*counted)))
     # the recent sessions are the same short list for every document: one row, joined by a constant
     recent = overview.session_list(overviews, RECENT, include_archived=include_archived)
     listed = F.array_sort(F.collect_list(F.struct(
@@ -127,13 +140,13 @@ def assemble(about: DataFrame, overviews: DataFrame, records: DataFrame, turns:
     one = recent.agg(F.transform(listed, lambda x: x["v"]).alias("recent")).withColumn("one", F.lit(1))
     joined = joined.withColumn("one", F.lit(1)).join(F.broadcast(one), "one")
     kept = lambda name: F.coalesce(name, F.array().cast(dict(joined.dtypes)[name]))
-    return joined.select("session", F.to_json(F.struct(
+    return joined.select("session", _json(
         F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.lit(detail).alias("detailLevel"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("generatedAt"),
         session.alias("session"), pagination.alias("pagination"), stats.alias("stats"),
         kept("shown_turns").alias("turns"), kept("shown_records").alias("records"),
         kept("warnings").alias("warnings"), c("recent").alias("recentSessions"),
-    ), {"ignoreNullFields": "false"}).alias("document"))
+    ).alias("document"))
 
 
 def live_cursor(records: DataFrame) -> DataFrame:

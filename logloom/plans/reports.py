@@ -538,6 +538,20 @@ def log_contract(spark, sf_dir):
         warnings=build.warnings(logs), documents=document.documents(logs, 50))
 
 
+def contract_breaches(spark, sf_dir):
+    """Breaches that were planted in documents: which part of one is damaged hangs on its session's number."""
+    docs = document.documents(_logs(spark, sf_dir), 50)
+    kind = F.substring("session", 6, 20).cast("long") % 9
+    damaged = F.col("document")
+    for number, pattern, value in (
+        (1, r'^\{', '{"extra":null,'), (2, r'"schemaVersion":1', '"schemaVersion":"1"'), (3, r',"nextBeforeRecord":[^}]*', ""),
+        (4, r'"kind":"assistant"', '"kind":"guest"'), (5, r'"timeToFirstTokenMs":null', '"timeToFirstTokenMs":-1'),
+        (6, r'"archived":false', '"archived":null'), (7, r"\}$", ""), (8, r'"event":"Assistant"', '"event":""'),
+    ):
+        damaged = F.when(kind == number, F.regexp_replace("document", pattern, value)).otherwise(damaged)
+    return contract.document_report(docs.select(damaged.alias("document"))).where("broken > 0")
+
+
 def trajectory_page(spark, sf_dir):
     """The newest session by the one-session call over saved tables."""
     folder = f"{checkpoint_dir(spark)}/gold-{uuid.uuid4().hex}"
