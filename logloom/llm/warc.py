@@ -217,5 +217,7 @@ def read_archives(archives: DataFrame, id_type: str = "bigint", payloads: bool =
             [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
-    read = map_batches(archives.select("path").repartition("path"), run, schema + ", payload binary" * payloads)
+    # a number of partitions, as a table of paths is so small that adaptive execution would leave it to one task
+    spread = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = map_batches(archives.select("path").repartition(spread, "path"), run, schema + ", payload binary" * payloads)
     return read.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})

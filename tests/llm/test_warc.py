@@ -62,6 +62,14 @@ def test_files_are_plain_zstandard_frames(spark):
     assert len(data) < alone
 
 
+def test_archives_are_read_by_several_tasks(spark):
+    _, df = pages(spark)
+    archives = warc.write_archives(df, archive_bytes=5_000)
+    assert archives.count() > 20
+    tasks = warc.read_archives(archives).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_files_of_lost_attempts_are_not_read(spark):
     _, df = pages(spark)
     archives = warc.write_archives(df)
