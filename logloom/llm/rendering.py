@@ -2,8 +2,9 @@
 
 A page becomes a tree first: void and raw-text elements, implied end tags (p, li, dt, dd, option, cells and
 rows), implied rows, misnested formatting, text between the rows of a table moved before it. Hidden
-parts (head, scripts, styles, templates, the hidden attribute, display:none, visibility:hidden,
-closed details) are left out. The rest is rendered in one walk: white space collapses except in
+parts (head, scripts, styles, templates, the hidden attribute, display:none, closed details, descriptions and
+definitions of drawings, annotations of formulas) are left out, and text of visibility:hidden, save what is visible again inside.
+Texts of drawings and formulas are inline text; fields show their value, other than ticks, files, passwords, colours and ranges. The rest is rendered in one walk: white space collapses except in
 preformatted text, blocks start lines, paragraphs and headings are set off by an empty line, list items
 carry bullets or numbers and are indented, and the cells of a table stand in columns.
 
@@ -41,7 +42,9 @@ VOID = _names("area base br col embed hr img input link meta source track wbr")
 RAW = _names("script style xmp iframe noembed noframes noscript")
 ESCAPABLE = _names("title textarea")
 FORMATTING = _names("a b big code em font i nobr s small strike strong tt u")
-HIDDEN = _names("head script style template noscript noembed noframes iframe datalist audio video canvas object title svg math")
+HIDDEN = _names("head script style template noscript noembed noframes iframe datalist audio video canvas object title desc defs symbol metadata annotation annotation-xml")
+#: Types of input whose value is not shown as text.
+NO_TEXT = _names("hidden checkbox radio file password image color range")
 SPACED = _names("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr")
 BLOCK = SPACED | _names("address article aside body center details dialog dir div dd dt figcaption footer form header hgroup "
                         "html legend li listing main menu nav option optgroup search section summary caption tr")
@@ -67,15 +70,16 @@ ENDS_PARAGRAPH = BLOCK - _names("html body caption tr option optgroup legend")
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 _ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+""")
 _TAG_END = re.compile(r"[\s/]*+>")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDING = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "name")
+    __slots__ = ("attributes", "children", "name", "visible")
 
     def __init__(self, name: str, attributes: dict[str, str]):
-        self.name, self.attributes, self.children = name, attributes, []
+        self.name, self.attributes, self.children, self.visible = name, attributes, [], True
 
 
 class Builder:
@@ -237,8 +241,6 @@ def hidden(node: Node, parent: Node | None) -> bool:
     """Whether a browser would not show the element."""
     if node.name in HIDDEN or "hidden" in node.attributes:
         return True
-    if node.name == "input" and node.attributes.get("type", "").lower() == "hidden":
-        return True
     if node.name == "dialog" and "open" not in node.attributes:
         return True
     if parent is not None and parent.name == "details" and "open" not in parent.attributes and node.name != "summary":
@@ -247,6 +249,12 @@ def hidden(node: Node, parent: Node | None) -> bool:
     return bool(style and _HIDING.search(style))
 
 
+def _visible(node: Node, parent: Node | None) -> bool:
+    """Whether an element's own text is seen: as its style says last, else as its parent's."""
+    said = _VISIBILITY.findall(node.attributes.get("style") or "")
+    return said[-1].lower() == "visible" if said else parent is None or parent.visible
+
+
 def width(text: str) -> int:
     """Columns that a text takes: two for wide signs, none for marks."""
     if text.isascii():
@@ -397,7 +405,7 @@ def render(page: str | None) -> str | None:
     while walk:
         node, parent, leaving = walk.pop()
         if isinstance(node, str):
-            if parent.name == "details" and "open" not in parent.attributes:
+            if not parent.visible or parent.name == "details" and "open" not in parent.attributes:
                 continue
             (out.exact if pre else out.flow)(node)
             continue
@@ -405,14 +413,16 @@ def render(page: str | None) -> str | None:
         if not leaving:
             if hidden(node, parent):
                 continue
+            node.visible = _visible(node, parent)
             if name == "br":
                 out.break_line(keep=True)
                 continue
             if name == "hr":
-                out.whole(["---"], 1)
+                if node.visible:
+                    out.whole(["---"], 1)
                 continue
             if name == "input":
-                if node.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number"):
+                if node.visible and node.attributes.get("type", "").strip().lower() not in NO_TEXT:
                     out.flow(f" {node.attributes.get('value', '')} ")
                 continue
             if name in VOID:
@@ -446,7 +456,7 @@ def render(page: str | None) -> str | None:
                 if lists:
                     lists[-1][1] += lists[-1][2]
                 out.indent.append(" " * len(mark))
-                out.marker = mark
+                out.marker = mark if node.visible else ""
             elif name in ("dd", "blockquote"):
                 out.block(int(name == "blockquote"))
                 out.indent.append("    " if name == "dd" else "> ")

@@ -28,6 +28,11 @@ CASES = {
     "<pre>\n a\n   b </pre>c": " a\n   b\n\nc",
     "x<script>a</p></script>y<style>p{}</style><!-- c > --><template>t</template>z": "xyz",
     "<p hidden>a</p><p style='color:red; display : NONE'>b</p><p style='visibility:hidden'>c</p>d": "d",
+    "a<div style='visibility:hidden'>b<span style='visibility: visible'>c<i>d</i></span>e<hr><input value=f></div>g": "a\ncd\ng",
+    "<ul><li>a<li style='visibility:collapse'>b</ul>": "- a",
+    "x <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation encoding=t>a=2</annotation></math> y": "x a=2 y",
+    "<svg><title>t</title><desc>d</desc><defs><text>n</text></defs><text x=1>label</text><path d='M0'/></svg> y": "label y",
+    "<input type=date value=2024-01-02><input type=new value=v><input type=checkbox value=on><input type=PASSWORD value=s>": "2024-01-02 v",
     "<details><summary>s</summary>not</details><details open><summary>t</summary>yes</details>": "s\nt\nyes",
     "&lt;b&gt; &amp;amp; &nbsp;&eacute;": "<b> &amp;  é",
     "<dl><dt>t<dd>d<dt>u<dd>v</dl>": "t\n    d\nu\n    v",
