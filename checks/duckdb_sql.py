@@ -455,6 +455,31 @@ def queries() -> dict[str, str]:
               SELECT 'document.recentSessions[].archived', least(20, (SELECT count(*) FROM m)) FROM m WHERE session % 9 = 6)
             SELECT rule, (SELECT count(*) FROM m) AS "rows", CAST(sum(broken) AS BIGINT) AS broken FROM b
             WHERE rule IS NOT NULL GROUP BY rule HAVING sum(broken) > 0""",
+        "log_compactions": f"""WITH RECURSIVE {EVENTS},
+            x AS (SELECT session, seq, CASE event_type WHEN 'signup' THEN 'C' WHEN 'purchase' THEN 'P' WHEN 'click' THEN 'E' ELSE 'M' END AS kind FROM e),
+            run AS (
+              SELECT DISTINCT session, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS turn, false AS live, CAST(0 AS BIGINT) AS pending,
+                     CAST(0 AS BIGINT) AS records, CAST(0 AS BIGINT) AS compactions FROM x
+              UNION ALL
+              SELECT session, seq, turn + CAST(NOT paired AND NOT live AS BIGINT), CASE WHEN kind = 'C' THEN false WHEN paired THEN live ELSE true END,
+                     CASE kind WHEN 'P' THEN turn + CAST(NOT live AS BIGINT) WHEN 'E' THEN 0 ELSE pending END,
+                     records + CAST(kind <> 'C' AND NOT paired AS BIGINT), compactions + CAST(kind IN ('P', 'E') AND NOT paired AS BIGINT)
+              FROM (SELECT x.session, x.seq, kind, turn, live, pending, records, compactions, kind = 'E' AND pending > 0 AND pending = turn AS paired
+                    FROM run JOIN x ON x.session = run.session AND x.seq = run.seq + 1))
+            SELECT 'user-' || CAST(session AS VARCHAR) AS id, arg_max(turn, seq) AS turns, arg_max(records, seq) AS records,
+                   arg_max(compactions, seq) AS compactions FROM run GROUP BY session""",
+        "log_tool_names": f"""WITH {OWNED},
+            n AS (
+              SELECT *, CASE WHEN role = 'T' THEN CASE WHEN k % 2 = 0 THEN 'tool' ELSE 'find' END
+                             ELSE CASE k % 3 WHEN 0 THEN 'MCP tool' WHEN 1 THEN 's.t' || CAST(k % 2 AS VARCHAR) ELSE 'u' || CAST(k % 2 AS VARCHAR) END
+                        END AS label FROM o WHERE role IN ('T', 'R')),
+            g AS (
+              SELECT session, owner, min(call) AS call, count(*) FILTER (role = 'R') AS ends, arg_min(label, seq) AS own,
+                     arg_max(label, seq) FILTER (role = 'R') AS last_any, arg_max(label, seq) FILTER (role = 'R' AND label <> 'MCP tool') AS last_named
+              FROM n GROUP BY session, owner)
+            SELECT 'user-' || CAST(session AS VARCHAR) AS session, row_number() OVER (PARTITION BY session ORDER BY owner) AS "index",
+                   coalesce(last_named, CASE WHEN own IN ('tool', 'MCP tool') THEN last_any END, own) AS event, call,
+                   CASE WHEN ends > 0 THEN 'complete' ELSE 'running' END AS status FROM g""",
         "log_late_records": f"""WITH RECURSIVE {LATE_RECORDS}
             SELECT 'user-' || CAST(session AS VARCHAR) AS session, idx AS "index", turn, step, kind,
                    CASE first_role WHEN 'M' THEN 'Assistant' WHEN 'T' THEN 'tool.' || call ELSE 'Tool result' END AS event, call,

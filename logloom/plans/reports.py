@@ -422,6 +422,18 @@ def log_turns(spark, sf_dir, max_rows=MAX_ROWS):
     )
 
 
+def log_compactions(spark, sf_dir):
+    """Compactions, records and turns of logs with checkpoints, of which some are followed by their end."""
+    raw = derived.compaction_lines(spark, sf_dir)
+    return build.sessions(build.from_lines(derived.files_of(raw), raw)).select("id", "turns", "records", "compactions")
+
+
+def log_tool_names(spark, sf_dir):
+    """Tool records whose ends rename them, a generic name never over a specific one."""
+    raw = derived.renaming_lines(spark, sf_dir)
+    return build.records(build.from_lines(derived.files_of(raw), raw)).select("session", "index", "event", "call", "status")
+
+
 def _late_logs(spark, sf_dir) -> build.Logs:
     raw = derived.event_lines(spark, sf_dir)
     return build.from_lines(derived.files_of(raw), raw, far=8)

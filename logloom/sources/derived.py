@@ -72,6 +72,41 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _events(spark: SparkSession, sf_dir: str, raw: Column) -> DataFrame:
+    """The events as log lines, a user's events in one log; ``raw`` is the line over ts, event_type and k."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return events.select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("file"), F.lit(None).cast("long").alias("file_size"),
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', cast(ts AS TIMESTAMP_NTZ))").alias("block"),
+        F.col("event_id").alias("position"), raw.alias("raw"))
+
+
+def compaction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages, completed turns, and compactions: a purchase is a checkpoint, a click the end of one."""
+    kind = lambda name: F.lit(name).alias("type")
+    said = F.array(F.struct(F.lit("output_text").alias("type"), F.lit("said").alias("text"))).alias("content")
+    return _events(spark, sf_dir, (
+        F.when(F.col("event_type") == "signup", _line("event_msg", F.struct(kind("task_complete"))))
+        .when(F.col("event_type") == "purchase", _line("compacted", F.struct(F.lit("less").alias("message"))))
+        .when(F.col("event_type") == "click", _line("event_msg", F.struct(kind("context_compacted"))))
+        .otherwise(_line("response_item", F.struct(kind("message"), F.lit("assistant").alias("role"), said)))))
+
+
+def renaming_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as calls of a generic or a specific name, errors as ends that name the tool or its server, or neither."""
+    k = F.col("k")
+    call, number = (k % 10).cast("string").alias("call_id"), (k % 2).cast("string")
+    invocation = F.struct(F.when(k % 3 == 1, "s").alias("server"),
+                          F.when(k % 3 != 0, F.concat(F.when(k % 3 == 1, "t").otherwise("u"), number)).alias("tool"))
+    return _events(spark, sf_dir, (
+        F.when(F.col("event_type") == "click", _line("response_item", F.struct(
+            F.lit("function_call").alias("type"), call, F.when(k % 2 == 0, "tool").otherwise("find").alias("name"))))
+        .when(F.col("event_type") == "error", _line("event_msg", F.struct(
+            F.lit("mcp_tool_call_end").alias("type"), call, invocation.alias("invocation"))))
+        .otherwise(_line("event_msg", F.struct(F.lit("thread_settings").alias("type"))))))
+
+
 def files_of(raw: DataFrame) -> DataFrame:
     """File table of derived lines."""
     return raw.groupBy("file").agg(F.max("block").alias("modified_us")).select(
