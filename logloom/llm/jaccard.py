@@ -22,8 +22,7 @@ group's union bounds the overlap with any member, and only groups that some quer
 reaches are opened, for those queries.
 
 Hot groups. Equal sets are one class with one representative. A task sends a signature once for
-each stretch of texts, with one set; where it saw several, all of them go out as well, dealt by
-set. Minimum and maximum per signature are partial aggregates. Full groups of one connected
+each stretch of texts, with one set; where it saw several, all of them go out as well. Minimum and maximum per signature are partial aggregates. Full groups of one connected
 component are never compared, so a very large cluster of linked copies costs rows in
 proportion to its members; a large cluster that is alike but not linked is compared group by
 group, and neither its pairs of documents nor their links are written out. No candidate is dropped.
@@ -39,18 +38,20 @@ from __future__ import annotations
 
 import functools
 import math
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.graph import components
 from logloom.llm.texts import U64, distinct, hash_words, map_batches, mixed, pack, unpack, window_hashes
-from logloom.session import written
+from logloom.session import forget, written
 
 
 class Likeness(NamedTuple):
@@ -62,8 +63,8 @@ class Likeness(NamedTuple):
 
 
 LIKENESS = Likeness()
-#: Signatures a task gathers before it sends them, and that meet in one bucket.
-GATHER, BUCKET = 1 << 20, 1 << 20
+#: Signatures a task gathers before it sends them, in pieces, and that meet in one bucket.
+GATHER, PIECES, BUCKET = 1 << 20, 16, 1 << 19
 #: Members and tokens of one group.
 MEMBERS, TOKENS = 32, 1 << 16
 #: Bits of the filter by which the second pass over the texts leaves out documents without candidates.
@@ -122,39 +123,65 @@ def signatures(tokens: np.ndarray, like: Likeness = LIKENESS) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-_PASS = "kind int, bucket int, a binary, b binary, c binary, d binary"
+_PASS = "kind int, bucket int, first long, a binary, b binary, c binary, d binary"
+
+
+_HEAD = struct.Struct("<BBQ")
+
+
+def _coded(signs: np.ndarray, owners: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+    """Ascending signs as distances, set numbers as distances from the least, each in as few bytes as fit, and a head."""
+    first, least = int(owners.min()), signs[0]
+    steps, places = np.diff(signs, prepend=least), (owners - first).astype(np.uint64)
+    wide, deep = 8 if steps.max() >> U64(32) else 4, 2 if places.max() < 1 << 16 else 8
+    return first, steps.astype(f"<u{wide}").tobytes(), places.astype(f"<u{deep}").tobytes(), _HEAD.pack(wide, deep, int(least))
+
+
+def _decoded(first: int, steps: bytes, places: bytes, head: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide, deep, least = _HEAD.unpack(head)
+    signs = np.cumsum(np.frombuffer(steps, f"<u{wide}"), dtype=np.uint64) + U64(least)
+    return signs, first + np.frombuffer(places, f"<u{deep}").astype(np.int64)
 
 
 def _passed(docs: DataFrame, buckets: int, like: Likeness) -> DataFrame:
     """One pass over the texts: sets (id, size, digest) as kind 0, open signatures as 1, further members as 2.
 
-    Signatures go with the first half of their set's digest, as a set stands for any document that has it.
+    Sets are numbered; signatures go with the number of one of the documents that have the set, and
+    stand for any that has. A signature is cut to its upper 48 bits, sorted and dealt by ranges.
     """
+    names = [c.split()[0] for c in _PASS.split(", ")]
 
-    def rows(kinds: list[int], numbers: list[int], columns: list[list]) -> pa.RecordBatch:
+    def rows(kind: int, entries: list[tuple]) -> pa.RecordBatch:
+        """Rows of (bucket, first, a, b, c, d)."""
+        numbers, firsts, *columns = zip(*entries, strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(kinds, pa.int32()), pa.array(numbers, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
-            names=["kind", "bucket", "a", "b", "c", "d"])
-
-    def send(found: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        signs, owners = np.concatenate(found), np.concatenate(ids)
-        order = np.lexsort((owners, signs))
-        signs, owners = signs[order], owners[order]
-        new = np.concatenate(([True], signs[1:] != signs[:-1]))
-        again = ~new | np.concatenate((~new[1:], [False]))  # signatures that several sets here share
-        for number, some, deal in ((1, new, signs), (2, again, mixed(owners.view(np.uint64)))):
-            group = (deal[some] >> U64(20)) % U64(buckets)
-            order = np.argsort(group, kind="stable")
-            group, s, o = group[order].astype(np.int64), signs[some][order], owners[some][order]
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-            spans = [(x, y) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
-            if spans:
-                yield rows([number] * len(spans), [int(group[x]) for x, _ in spans],
-                           [[pack(s[x:y], "<u8") for x, y in spans], [pack(o[x:y], "<i8") for x, y in spans],
-                            [None] * len(spans), [None] * len(spans)])
+            [pa.array([kind] * len(entries), pa.int32()), pa.array(numbers, pa.int32()), pa.array(firsts, pa.int64()),
+             *(pa.array(c, pa.binary()) for c in columns)], names=names)
+
+    def send(found: list[np.ndarray], numbers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every, of = np.concatenate(found) >> U64(16), np.concatenate(numbers)
+        found.clear()
+        numbers.clear()
+        bucket = (every >> U64(16)) * U64(buckets) >> U64(32)
+        piece = bucket % U64(PIECES)
+        for number in range(PIECES):  # what is sorted and copied is a piece at a time
+            some = piece == U64(number)
+            if not some.any():
+                continue
+            signs, owners, where = every[some], of[some], bucket[some]
+            order = np.lexsort((owners, signs))
+            signs, owners, where = signs[order], owners[order], where[order]
+            new = np.concatenate(([True], signs[1:] != signs[:-1]))
+            again = ~new | np.concatenate((~new[1:], [False]))  # signatures that several sets here share
+            if again.any():
+                yield rows(2, [(0, *_coded(signs[again], owners[again]), None)])
+            signs, owners, where = signs[new], owners[new], where[new].astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
+            yield rows(1, [(int(where[x]), *_coded(signs[x:y], owners[x:y]), None) for x, y in zip(cuts, cuts[1:], strict=False)])
 
     def run(batches):
-        found, owners, size = [], [], 0
+        number = TaskContext.get().partitionId() << 33
+        found, numbers, size = [], [], 0
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             sets = []
@@ -166,53 +193,60 @@ def _passed(docs: DataFrame, buckets: int, like: Likeness) -> DataFrame:
                 if len(signs):
                     seen.add(digest)
                     found.append(signs)
-                    owners.append(np.full(len(signs), digest[0], np.int64))
+                    numbers.append(np.full(len(signs), number + len(sets) - 1))
                     size += len(signs)
                 if size >= GATHER:
-                    yield from send(found, owners)
-                    found, owners, size = [], [], 0
+                    yield from send(found, numbers)
+                    size = 0
                     seen.clear()
             if sets:
-                yield rows([0], [0], [[np.array(c, "<i8").tobytes()] for c in zip(*sets, strict=True)])
+                yield rows(0, [(0, number, *(np.array(c, "<i8").tobytes() for c in zip(*sets, strict=True)))])
+                number += len(sets)
         if size:
-            yield from send(found, owners)
+            yield from send(found, numbers)
 
     return map_batches(docs.where("id is not null").select("id", "text"), run, _PASS)
 
 
 def _sets(passed: DataFrame) -> DataFrame:
-    """(id, size, high, low) of every document."""
+    """(number, id, size, high, low) of every document."""
 
     def run(batches):
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8"), pa.int64()) for x in row],
-                                                 names=["id", "size", "high", "low"])
+            for first, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns = [np.frombuffer(x, "<i8") for x in row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.int64()) for x in (np.arange(first, first + len(columns[0])), *columns)],
+                    names=["number", "id", "size", "high", "low"])
 
-    return map_batches(passed.where("kind = 0").select("a", "b", "c", "d"), run, "id long, size long, high long, low long")
+    return map_batches(passed.where("kind = 0").select("first", "a", "b", "c", "d"), run,
+                       "number long, id long, size long, high long, low long")
 
 
 def _shared(passed: DataFrame) -> DataFrame:
-    """(sign, high): the sets of signatures that occur more than once."""
+    """(sign, number): the sets of signatures that occur more than once."""
+
+    def pairs(signs: np.ndarray, numbers: np.ndarray) -> list[pa.Array]:
+        return [pa.array(signs.view(np.int64), pa.int64()), pa.array(numbers, pa.int64())]
 
     def meet(table: pa.Table) -> pa.Table:
-        signs = np.concatenate([unpack(x, "<u8") for x in table.column("a").to_pylist()])
-        owners = np.concatenate([unpack(x, "<i8") for x in table.column("b").to_pylist()])
+        found = [_decoded(*x) for x in zip(*(table.column(c).to_pylist() for c in ("first", "a", "b", "c")), strict=True)]
+        signs, numbers = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(signs, kind="stable")
-        signs, owners = signs[order], owners[order]
+        signs, numbers = signs[order], numbers[order]
         same = signs[1:] == signs[:-1]
         again = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        return pa.table({"sign": pa.array(signs[again].view(np.int64), pa.int64()), "high": pa.array(owners[again], pa.int64())})
+        return pa.table(pairs(signs[again], numbers[again]), names=["sign", "number"])
 
-    met = passed.where("kind = 1").select("bucket", "a", "b").groupBy("bucket").applyInArrow(meet, "sign long, high long")
+    schema = "sign long, number long"
+    met = passed.where("kind = 1").select("bucket", "first", "a", "b", "c").groupBy("bucket").applyInArrow(meet, schema)
 
     def run(batches):
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(a, "<i8"), pa.int64()), pa.array(unpack(b, "<i8"), pa.int64())],
-                                                 names=["sign", "high"])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays(pairs(*_decoded(*row)), names=["sign", "number"])
 
-    return met.unionByName(map_batches(passed.where("kind = 2").select("a", "b"), run, "sign long, high long"))
+    return met.unionByName(map_batches(passed.where("kind = 2").select("first", "a", "b", "c"), run, schema))
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -264,17 +298,17 @@ def _tokens(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                  pa.array([t.tobytes() for t in found], pa.binary())], names=["id", "high", "tokens"])
 
     rows = map_batches(docs.where("id is not null").select("id", "text"), run, "id long, high long, tokens binary")
-    # equal rows of one id have equal sets: one of them is enough
-    return rows.join(ids, ["id", "high"]).groupBy("id").agg(F.first("tokens").alias("tokens"))
+    # equal rows of one id have equal sets: one of them is enough; grouped by the keys of the join, without another shuffle
+    return rows.join(ids, ["id", "high"]).groupBy("id", "high").agg(F.first("tokens").alias("tokens")).drop("high")
 
 
 class Row:
     """A row of the token-group matrix: members, their tokens and the union of these."""
 
-    def __init__(self, ids: list[int], tokens: list[bytes]):
+    def __init__(self, ids: list[int], tokens: list[np.ndarray]):
         order = sorted(range(len(ids)), key=ids.__getitem__)
         self.ids = np.array([ids[i] for i in order], np.int64)
-        parts = [np.frombuffer(tokens[i], "<u8") for i in order]
+        parts = [tokens[i] for i in order]
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
         self.tokens = np.concatenate([*parts, np.empty(0, np.uint64)])
@@ -359,24 +393,38 @@ def within(row: Row, like: Likeness) -> list[tuple[int, int]]:
     return [(int(row.ids[a]), int(row.ids[b])) for a, b in _forest(linked(row, row, like), same=True)]
 
 
+def _tokens_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(t, "<u8") for t in column.to_pylist()]
+
+
 def _matrix_row(table: pa.Table) -> pa.Table:
-    """One group as a row: ids, sizes and tokens, packed."""
-    ids, tokens = table.column("id").to_pylist(), table.column("tokens").to_pylist()
-    return pa.table({"name": table.column("name")[:1], "ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
-                     "sizes": pa.array([np.array([len(t) // 8 for t in tokens], "<i8").tobytes()], pa.binary()),
-                     "tokens": pa.array([b"".join(tokens)], pa.binary())})
+    """One group as a row: ids, the union of their tokens, and the members' tokens as bits over the union.
+
+    Members are mostly near copies, so that a row takes little more than the tokens of one of them.
+    """
+    parts = _tokens_of(table.column("tokens"))
+    union = distinct(np.concatenate(parts))
+    bits = np.zeros((len(parts), len(union)), bool)
+    for row, part in zip(bits, parts, strict=True):
+        row[np.searchsorted(union, part)] = True
+    return pa.table({"name": table.column("name")[:1], "itself": table.column("itself")[:1], "ids": pa.array([np.array(table.column("id").to_pylist(), "<i8").tobytes()], pa.binary()),
+                     "tokens": pa.array([union.tobytes()], pa.binary()), "bits": pa.array([pack(np.packbits(bits, 1), "u1")], pa.binary())})
 
 
-def _row(ids: bytes, sizes: bytes, tokens: bytes) -> Row:
-    cuts = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, "<i8")))) * 8
-    return Row(np.frombuffer(ids, "<i8").tolist(), [tokens[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)])
+def _row(ids: bytes, tokens: bytes, bits: bytes) -> Row:
+    ids, union = np.frombuffer(ids, "<i8").tolist(), np.frombuffer(tokens, "<u8")
+    members = np.unpackbits(unpack(bits, "u1").reshape(len(ids), -1), 1, len(union)).view(bool)
+    return Row(ids, [union[row] for row in members])
 
 
 def _grouped(members: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
-    """``members`` with a column ``part`` that cuts what shares ``by`` into groups of bounded size."""
+    """``members`` with a column ``part`` that cuts what shares ``by`` into groups of bounded size.
+
+    The totals are a written table, so that the join on ``by`` deals both sides out and a key of very many rows is split.
+    """
     totals = members.join(sizes, "id").groupBy(*by).agg(F.count("*").alias("n"), F.sum("size").alias("t"))
     parts = F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("t") / TOKENS))
-    return members.join(totals.select(*by, parts.alias("parts")), by).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    return members.join(written(totals.select(*by, parts.alias("parts")), "totals"), by).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
 
 
 def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -390,14 +438,16 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size * (like.under - like.over) / (2 * like.under) / BUCKET))
     passed = written(_passed(docs, buckets, like), "signatures")
-    sets = _sets(passed)
+    sets = written(_sets(passed), "sets")
     one = sets.groupBy("id").agg(F.max(F.struct("size", "high", "low")).alias("s")).select("id", "s.*")
     owners = written(one.groupBy("high", "low").agg(F.min("id").alias("rep")), "owners")  # the join can be split
     one = one.join(owners, ["high", "low"])
+    named = sets.select("number", "high", "low").join(owners, ["high", "low"]).select("number", F.col("rep").alias("id"))
     one = written(one.select("id", "size", "high", F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")), "sets")
     # Members of shared signatures, as representatives; signatures of one set only are no blocks.
     # A set that stands for no id has no representative.
-    members = _shared(passed).distinct().join(owners.select("high", F.col("rep").alias("id")), "high").select("sign", "id")
+    members = written(_shared(passed).join(named, "number").select("sign", "id").distinct(), "members")
+    forget(passed)
     spans = members.groupBy("sign").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     blocks = written(members.join(spans.select("sign", "leader"), "sign"), "blocks")
     sizes = one.where("id = rep").select("id", "size", "high")
@@ -410,23 +460,26 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
     inside = homes.unionByName(homes.select(F.col("leader").alias("id"), "leader", "part").distinct()).distinct()
 
     def own_links(table: pa.Table) -> pa.Table:
-        return _edges(within(Row(table.column("id").to_pylist(), table.column("tokens").to_pylist()), like))
+        return _edges(within(Row(table.column("id").to_pylist(), _tokens_of(table.column("tokens"))), like))
 
     own = inside.join(tokens, "id").groupBy("leader", "part").applyInArrow(own_links, _EDGES)
     own = written(own, "links")
+    forget()
 
     # Groups that share a signature and are not connected yet. A label that fills a group by itself
     # has groups of its own, which need not be compared with each other; what is left of a
     # leader's documents shares groups, which are compared with themselves as well.
     labels = components(own)
     labelled = homes.select("id", "leader").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    alike = labelled.groupBy("leader", "label").agg(F.count("*").alias("alike"))
+    labelled = written(labelled, "labelled")
+    alike = written(labelled.groupBy("leader", "label").agg(F.count("*").alias("alike")), "alike")
     labelled = labelled.join(alike, ["leader", "label"]).select(
         "id", "leader", F.when(F.col("alike") >= MEMBERS, F.col("label")).alias("label"))
     named = _grouped(labelled.withColumn("kind", F.coalesce(F.col("label").cast("string"), F.lit("rest"))), sizes, ["leader", "kind"])
     named = written(named.select("id", "label", F.concat_ws("/", "leader", "kind", "part").alias("name")), "named")
     met = blocks.select("sign", "id").join(named, "id").groupBy("sign", "label", "name").agg(F.count("*").alias("n"))
     met = written(met, "met")
+    forget(blocks, members)
     # Of one signature, all groups but those of its most frequent label are compared with all others.
     most = met.where("label is not null").groupBy("sign", "label").agg(F.sum("n").alias("n")).groupBy("sign").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"))
@@ -435,12 +488,20 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
     pairs = rest.toDF("sign", "l1", "one").join(every.toDF("sign", "l2", "two", "main"), "sign").where(
         "(main or one < two) and (l1 is null or l2 is null or l1 <> l2)")
     pairs = pairs.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"))
-    itself = met.where("label is null and n > 1").select(F.col("name").alias("one"), F.col("name").alias("two"))
-    pairs = written(pairs.unionByName(itself).distinct(), "pairs")
-    used = pairs.select(F.col("one").alias("name")).union(pairs.select("two")).distinct()
-    matrix = named.join(used, "name").join(tokens, "id").groupBy("name").applyInArrow(
-        _matrix_row, "name string, ids binary, sizes binary, tokens binary")
+    pairs = written(pairs.distinct(), "pairs")
+    # groups that are compared with themselves need no join, and of two groups the one with fewer tokens goes to the other
+    itself = met.where("label is null and n > 1").select("name", F.lit(True).alias("itself"))
+    used = pairs.select(F.col("one").alias("name")).union(pairs.select("two")).select("name", F.lit(False).alias("itself")).union(itself)
+    used = used.groupBy("name").agg(F.max("itself").alias("itself"))
+    matrix = named.join(used, "name").join(tokens, "id").groupBy("name", "itself").applyInArrow(
+        _matrix_row, "name string, itself boolean, ids binary, tokens binary, bits binary")
     matrix = written(matrix, "matrix")
+    forget(tokens)
+
+    def alone(batches):
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _edges(within(_row(*row), like)).to_batches()
 
     def compare(batches):
         for batch in batches:
@@ -448,11 +509,18 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
                 left, right = _row(*row[:3]), _row(*row[3:])
                 if len(left.ids) > len(right.ids):
                     left, right = right, left
-                yield from _edges(within(left, like) if row[0] == row[3] else opened(left, right, like)).to_batches()
-
-    sides = [matrix.toDF(side, *(f"{c}_{side}" for c in matrix.columns[1:])) for side in ("one", "two")]
+                yield from _edges(opened(left, right, like)).to_batches()
+
+    inner = map_batches(matrix.where("itself").select("ids", "tokens", "bits"), alone, _EDGES)
+    size = matrix.select("name", F.length("tokens").alias("size"))
+    pairs = pairs.join(size.toDF("one", "size1"), "one").join(size.toDF("two", "size2"), "two")
+    first = F.col("size1") <= F.col("size2")
+    pairs = pairs.select(F.when(first, F.col("one")).otherwise(F.col("two")).alias("one"),
+                         F.when(first, F.col("two")).otherwise(F.col("one")).alias("two"))
+    sides = [matrix.select("name", "ids", "tokens", "bits").toDF(side, *(f"{c}_{side}" for c in ("ids", "tokens", "bits")))
+             for side in ("one", "two")]
     across = map_batches(pairs.join(sides[0], "one").join(sides[1], "two").drop("one", "two"), compare, _EDGES)
-    return sets.select("id", "size"), one.select("id", "rep"), own.unionByName(across)
+    return sets.select("id", "size"), one.select("id", "rep"), own.unionByName(inner).unionByName(across)
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = LIKENESS) -> DataFrame:

@@ -17,9 +17,9 @@ from logloom.llm import store
 from logloom.session import checkpoint_dir
 
 #: Bytes of texts that one Arrow batch holds, beyond its first row.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 #: Entries a word memo holds before it starts anew; speed only, never results.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 1 << 17
 
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)

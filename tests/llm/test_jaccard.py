@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -10,13 +11,13 @@ from logloom.llm import graph, jaccard
 from tests.llm.texts import SCHEMA, documents, rows_of, sentence
 
 
-def shingles(text):
+def shingles(text, width=3):
     words = (text or "").encode().lower().split()
-    return {tuple(words[i:i + 3]) for i in range(len(words) - 2)} if len(words) >= 3 else {tuple(words)} if words else set()
+    return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set()
 
 
-def brute(rows):
-    sets = [(r.doc_id, shingles(r.text)) for r in rows]
+def brute(rows, like=jaccard.LIKENESS):
+    sets = [(r.doc_id, shingles(r.text, like.words)) for r in rows]
     best = {}
     for i, s in sets:
         if i is not None and (i not in best or len(s) > len(best[i])):
@@ -25,7 +26,7 @@ def brute(rows):
     ids = sorted(best)
     changed = True
     pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1:]
-             if best[a] and 100 * len(best[a] & best[b]) >= 90 * len(best[a] | best[b])]
+             if best[a] and like.under * len(best[a] & best[b]) >= like.over * len(best[a] | best[b])]
     while changed:
         changed = False
         for a, b in pairs:
@@ -130,7 +131,7 @@ def test_bounds_open_only_groups_that_can_hold_a_link():
     rng = np.random.default_rng(1)
     draw = lambda n: np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False))
     base = draw(100)
-    rows = [jaccard.Row(list(range(k, k + 3)), [np.union1d(base[i:90 + i], draw(extra)).tobytes() for i in range(3)])
+    rows = [jaccard.Row(list(range(k, k + 3)), [np.union1d(base[i:90 + i], draw(extra)) for i in range(3)])
             for k, extra in ((0, 1), (10, 1), (20, 80))]
     for left in rows:
         for right in rows:
@@ -171,3 +172,19 @@ def test_one_document_of_each_group_stays(spark):
 
 def test_empty_table(spark):
     assert jaccard.joined(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_matrix_rows_and_signatures_come_back_from_their_codes():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**64, 900, np.uint64)
+    sets = [np.unique(rng.choice(base, size)) for size in (1, 7, 300, 800)] + [np.unique(rng.integers(0, 2**64, 50, np.uint64))]
+    coded = jaccard._matrix_row(pa.table({"name": ["g"] * 5, "itself": [False] * 5, "id": [9, 3, 7, 1, 5], "tokens": [s.tobytes() for s in sets]}))
+    row = jaccard._row(*(coded.column(c)[0].as_py() for c in ("ids", "tokens", "bits")))
+    want = jaccard.Row([9, 3, 7, 1, 5], sets)
+    assert all((getattr(row, f) == getattr(want, f)).all() for f in ("ids", "sizes", "starts", "tokens", "union"))
+    for high, spread, count in ((1 << 48, 70_000, 3000), (1 << 20, 5, 40), (1 << 48, 1, 1)):
+        signs = np.sort(rng.integers(0, high, count).astype(np.uint64))
+        numbers = (7 << 33) + rng.integers(0, spread, count)
+        first, *rest = jaccard._coded(signs, numbers)
+        back = jaccard._decoded(first, *rest)
+        assert (back[0] == signs).all() and (back[1] == numbers).all()

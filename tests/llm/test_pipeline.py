@@ -8,7 +8,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from logloom.llm import bytebpe, toxicity
+from logloom.llm import bytebpe, jaccard, toxicity
 from logloom.llm.queries import RANK_FILE
 from tests.llm import test_decontaminate, test_jaccard, test_substring
 from tests.llm.test_classifiers import LABELS
@@ -49,7 +49,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
             want = [tuple(r) for r in before if r.doc_id not in bad]
             assert sum(i in bad for i in range(1000, 1400, 5)) > 70 and not any(i in bad for i in range(1000, 1400) if i % 5)
         elif number == 1:
-            lost = {w[0] for w in test_jaccard.brute(before)[0] if w[0] is not None and w[2] != w[0]}
+            lost = {w[0] for w in test_jaccard.brute(before, corpus_pipeline.NEAR_COPY)[0] if w[0] is not None and w[2] != w[0]}
             want = [tuple(r) for r in before if r.doc_id not in lost]
             assert lost
         elif number == 2:
@@ -75,11 +75,6 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
-def runs(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
-
-
 def test_near_copies_share_four_fifths_of_their_runs_of_five_words(spark, tmp_path):
     rng = random.Random(4)
     hundred, fifty = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(50)]
@@ -91,20 +86,7 @@ def test_near_copies_share_four_fifths_of_their_runs_of_five_words(spark, tmp_pa
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).unionByName(
         documents(spark, seed=5).withColumn("doc_id", F.col("doc_id") + 2000)).repartition(3)
     before = docs.collect()
-    label, sets = {}, {}
-    for r in before:
-        if r.doc_id is not None and len(runs(r.text)) >= len(sets.get(r.doc_id, ())):
-            sets[r.doc_id] = runs(r.text)
-    ids, links = sorted(sets), {}
-    for a in ids:
-        links[a] = [b for b in ids if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    for start in ids:
-        todo = [start]
-        while todo:
-            at = todo.pop()
-            if at not in label:
-                label[at] = start
-                todo += links[at]
+    label = {w[0]: w[2] for w in test_jaccard.brute(before, jaccard.Likeness(5, 4, 5))[0]}
     assert label[2] == 1 and label[4] == 3
     want = sorted((tuple(r) for r in before if r.doc_id is None or label[r.doc_id] == r.doc_id), key=repr)
     assert rows_of(corpus_pipeline.without_near_copies(spark, docs, str(tmp_path))) == want
