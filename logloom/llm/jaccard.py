@@ -321,12 +321,8 @@ class Row:
         return np.diff(np.concatenate(([0], np.cumsum(inside)))[queries.starts])
 
     def some(self, wanted: np.ndarray) -> Row:
-        part = object.__new__(Row)
-        part.ids, part.sizes = self.ids[wanted], self.sizes[wanted]
-        part.starts = np.concatenate(([0], np.cumsum(part.sizes)))
-        part.tokens = np.concatenate([*(self.tokens[self.starts[i]:self.starts[i + 1]] for i in np.flatnonzero(wanted)),
-                                      np.empty(0, np.uint64)])
-        return part
+        kept = np.flatnonzero(wanted).tolist()
+        return Row(self.ids[kept].tolist(), [self.tokens[self.starts[i]:self.starts[i + 1]] for i in kept])
 
 
 def overlaps(left: Row, right: Row, width: int = 1 << 14) -> np.ndarray:
@@ -402,13 +398,16 @@ def _matrix_row(table: pa.Table) -> pa.Table:
 
     Members are mostly near copies, so that a row takes little more than the tokens of one of them.
     """
-    parts = _tokens_of(table.column("tokens"))
-    union = distinct(np.concatenate(parts))
-    bits = np.zeros((len(parts), len(union)), bool)
-    for row, part in zip(bits, parts, strict=True):
-        row[np.searchsorted(union, part)] = True
-    return pa.table({"name": table.column("name")[:1], "itself": table.column("itself")[:1], "ids": pa.array([np.array(table.column("id").to_pylist(), "<i8").tobytes()], pa.binary()),
-                     "tokens": pa.array([union.tobytes()], pa.binary()), "bits": pa.array([pack(np.packbits(bits, 1), "u1")], pa.binary())})
+    coded = _coded_row(Row(table.column("id").to_pylist(), _tokens_of(table.column("tokens"))))
+    return pa.table([table.column("name")[:1], table.column("itself")[:1], *(pa.array([c], pa.binary()) for c in coded)],
+                    names=["name", "itself", "ids", "tokens", "bits"])
+
+
+def _coded_row(row: Row) -> tuple[bytes, bytes, bytes]:
+    """A row as ids, union and bits, members in order of id."""
+    bits = np.zeros((len(row.ids), len(row.union)), bool)
+    bits[np.repeat(np.arange(len(row.ids)), row.sizes), np.searchsorted(row.union, row.tokens)] = True
+    return row.ids.astype("<i8").tobytes(), row.union.astype("<u8").tobytes(), pack(np.packbits(bits, 1), "u1")
 
 
 def _row(ids: bytes, tokens: bytes, bits: bytes) -> Row:
@@ -477,18 +476,24 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
         "id", "leader", F.when(F.col("alike") >= MEMBERS, F.col("label")).alias("label"))
     named = _grouped(labelled.withColumn("kind", F.coalesce(F.col("label").cast("string"), F.lit("rest"))), sizes, ["leader", "kind"])
     named = written(named.select("id", "label", F.concat_ws("/", "leader", "kind", "part").alias("name")), "named")
-    met = blocks.select("sign", "id").join(named, "id").groupBy("sign", "label", "name").agg(F.count("*").alias("n"))
+    met = blocks.select("sign", "id").join(named, "id").groupBy("sign", "label", "name").agg(
+        F.count("*").alias("n"), F.collect_list("id").alias("ids"))  # of a group, which is bounded
     met = written(met, "met")
     forget(blocks, members)
     # Of one signature, all groups but those of its most frequent label are compared with all others.
     most = met.where("label is not null").groupBy("sign", "label").agg(F.sum("n").alias("n")).groupBy("sign").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"))
-    rest = met.join(most, "sign", "left").where("label is null or label <> main").select("sign", "label", "name")
-    every = met.join(most, "sign", "left").select("sign", "label", "name", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
-    pairs = rest.toDF("sign", "l1", "one").join(every.toDF("sign", "l2", "two", "main"), "sign").where(
+    rest = met.join(most, "sign", "left").where("label is null or label <> main").select("sign", "label", "name", "ids")
+    every = met.join(most, "sign", "left").select("sign", "label", "name", "ids", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
+    pairs = rest.toDF("sign", "l1", "one", "ids1").join(every.toDF("sign", "l2", "two", "ids2", "main"), "sign").where(
         "(main or one < two) and (l1 is null or l2 is null or l1 <> l2)")
-    pairs = pairs.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"))
-    pairs = written(pairs.distinct(), "pairs")
+    # of two groups only the members that share a signature with the other one can be linked across
+    turn = F.col("one") > F.col("two")
+    sides = [F.struct(F.col(g).alias("name"), F.col(i).alias("ids")) for g, i in (("one", "ids1"), ("two", "ids2"))]
+    pairs = pairs.select(F.when(turn, sides[1]).otherwise(sides[0]).alias("a"), F.when(turn, sides[0]).otherwise(sides[1]).alias("b"))
+    pairs = pairs.groupBy(F.col("a.name").alias("one"), F.col("b.name").alias("two")).agg(
+        *[F.array_distinct(F.flatten(F.collect_set(x))).alias(n) for x, n in (("a.ids", "ids1"), ("b.ids", "ids2"))])
+    pairs = written(pairs, "pairs")
     # groups that are compared with themselves need no join, and of two groups the one with fewer tokens goes to the other
     itself = met.where("label is null and n > 1").select("name", F.lit(True).alias("itself"))
     used = pairs.select(F.col("one").alias("name")).union(pairs.select("two")).select("name", F.lit(False).alias("itself")).union(itself)
@@ -503,10 +508,20 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield from _edges(within(_row(*row), like)).to_batches()
 
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for wanted, *row in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                part = _row(*row)
+                rows.append(_coded_row(part.some(np.isin(part.ids, wanted))))
+            columns = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)] or [pa.array([], pa.binary())] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["two", "ids2", "ids", "tokens", "bits"])
+
     def compare(batches):
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for wanted, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 left, right = _row(*row[:3]), _row(*row[3:])
+                right = right.some(np.isin(right.ids, wanted))
                 if len(left.ids) > len(right.ids):
                     left, right = right, left
                 yield from _edges(opened(left, right, like)).to_batches()
@@ -515,11 +530,14 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
     size = matrix.select("name", F.length("tokens").alias("size"))
     pairs = pairs.join(size.toDF("one", "size1"), "one").join(size.toDF("two", "size2"), "two")
     first = F.col("size1") <= F.col("size2")
-    pairs = pairs.select(F.when(first, F.col("one")).otherwise(F.col("two")).alias("one"),
-                         F.when(first, F.col("two")).otherwise(F.col("one")).alias("two"))
-    sides = [matrix.select("name", "ids", "tokens", "bits").toDF(side, *(f"{c}_{side}" for c in ("ids", "tokens", "bits")))
-             for side in ("one", "two")]
-    across = map_batches(pairs.join(sides[0], "one").join(sides[1], "two").drop("one", "two"), compare, _EDGES)
+    one_of = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    pairs = pairs.select(one_of("one", "two").alias("one"), one_of("two", "one").alias("two"),
+                         one_of("ids1", "ids2").alias("ids1"), one_of("ids2", "ids1").alias("ids2"))
+    coded = matrix.select("name", "ids", "tokens", "bits")
+    half = pairs.join(coded.withColumnRenamed("name", "one"), "one").select("two", "ids2", "ids1", "ids", "tokens", "bits")
+    half = map_batches(half, cut, "two string, ids2 array<long>, ids binary, tokens binary, bits binary")
+    both = half.join(coded.toDF("two", "ids_two", "tokens_two", "bits_two"), "two").drop("two")
+    across = map_batches(both, compare, _EDGES)
     return sets.select("id", "size"), one.select("id", "rep"), own.unionByName(inner).unionByName(across)
 
 
