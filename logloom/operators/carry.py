@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.session import materialise
@@ -21,6 +21,12 @@ from logloom.session import materialise
 #: Largest number of narrow ledger rows one task sorts as a single window group.
 MAX_ROWS = 4_000_000
 
+#: Rows of a ledger dealt to one task, so that what a task sorts does not grow with the ledger.
+TASK_ROWS = 100_000
+
+#: Rows below which it is not worth another task.
+FEW_ROWS = 5_000
+
 
 @dataclass(frozen=True)
 class Running:
@@ -52,26 +58,42 @@ def highest(name: str, value: Column) -> Running:
     return Running(name, value, "max", False)
 
 
-def is_hot(df: DataFrame, session: Sequence[str], max_rows: int = MAX_ROWS) -> bool:
-    """Whether some session has more than ``max_rows`` rows (one column, map-side counts)."""
-    counts = df.groupBy(*session).count().filter(F.col("count") > max_rows)
-    return len(counts.head(1)) > 0
+def measured(df: DataFrame, session: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest session, and of all (one column, map-side counts)."""
+    counts = df.groupBy(*session).count()
+    largest, rows = counts.agg(F.max("count"), F.sum("count")).first()
+    return largest or 0, rows or 0
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Number of tasks for a ledger of so many rows: it grows with them, and few rows make few tasks."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, -(-rows // TASK_ROWS), min(cores, -(-rows // FEW_ROWS)))
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of so many rows by ``keys``, over a number of tasks that adaptive execution leaves as it is.
+
+    It would join partitions by their bytes in the shuffle, where rows of a log are a fiftieth of what they are
+    in a sort. Windows and aggregates over the keys and more columns shuffle nothing after this.
+    """
+    return df.repartition(tasks_for(df.sparkSession, rows), *keys)
 
 
 def ledger(df: DataFrame, order: Sequence[str], max_rows: int = MAX_ROWS,
-           hot: bool | None = None) -> DataFrame:
+           size: tuple[int, int] | None = None) -> DataFrame:
     """Give every row of a session its order number ``seq``.
 
     Adds ``chunk`` only where a session is too large for one task; the other
     operators take the presence of that column as the sign to work by chunks.
-    ``hot`` is the outcome of :func:`is_hot` where the caller knows it already.
+    ``size`` is the outcome of :func:`measured` where the caller knows it already.
     """
-    if hot is None:
-        hot = is_hot(df, ["session"], max_rows)
-    if not hot:
+    largest, rows = measured(df, ["session"]) if size is None else size
+    if largest <= max_rows:
         in_session = Window.partitionBy("session").orderBy(*order)
-        return df.withColumn("seq", F.row_number().over(in_session).cast("long"))
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return dealt(df, rows, "session").withColumn("seq", F.row_number().over(in_session).cast("long"))
+    partitions = max(
+        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks_for(df.sparkSession, rows))
     ranged = (
         df.repartitionByRange(partitions, "session", *order)
         .sortWithinPartitions("session", *order)

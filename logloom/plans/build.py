@@ -12,7 +12,7 @@ from logloom.functions import text as tx
 from logloom.functions import time as tm
 from logloom.functions.pretty import indented
 from logloom.operators import quota, usage
-from logloom.operators.carry import MAX_ROWS, is_hot, scan, total
+from logloom.operators.carry import MAX_ROWS, dealt, measured, scan, total
 from logloom.operators.defaults import COUNTERS
 from logloom.operators.late import FAR, with_markers
 from logloom.operators.sequence import role_in, sequence
@@ -53,12 +53,12 @@ def silver(raw: DataFrame, detail: str = "summary", max_rows: int = MAX_ROWS,
     file is too long for one task is told by the sizes in the file table, where it has
     any; only lines without files are counted.
     """
-    largest = None if files is None else files.agg(F.max("file_size")).first()[0]
-    hot = is_hot(raw, ["file"], max_rows) if largest is None else largest > max_rows * LINE_BYTES
+    largest, size = (None, None) if files is None else files.agg(F.max("file_size"), F.sum("file_size")).first()
+    rows = measured(raw, ["file"]) if largest is None else (-(-largest // LINE_BYTES), -(-size // LINE_BYTES))
     admitted = lines.admit(spread(raw))
     entries = admitted.withColumn("valid", F.col("entry").isNotNull())
     return lines.frame(
-        project(entries, arguments.detail_level(detail) == "full"), hot)
+        project(entries, arguments.detail_level(detail) == "full"), max_rows, rows)
 
 
 def load(spark: SparkSession, active: str, archived: str | None = None, detail: str = "summary",
@@ -88,6 +88,8 @@ def from_lines(files: DataFrame, raw: DataFrame, detail: str = "summary",
         errors = errors.unionByName(broken)
     with split_large_methods(raw.sparkSession):
         ledger = written(sequenced(told, far), "ledger")
+    if "chunk" not in ledger.columns:
+        ledger = dealt(ledger, ledger.count(), "session")
     return Logs(ledger, rollouts, lines.quarantine(rows), errors, segments)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text as tx
 from logloom.operators import pages, quota, usage
-from logloom.operators.carry import MAX_ROWS, is_hot, scan, total
+from logloom.operators.carry import MAX_ROWS, measured, scan, total
 from logloom.operators.defaults import COUNTERS
 from logloom.operators.late import add_late_markers
 from logloom.operators.sequence import add_index, add_owner, role_in, sequence
@@ -514,7 +514,7 @@ def quarantine(spark, sf_dir, max_rows=MAX_ROWS):
     """Line number and code of every refused line."""
     raw = derived.faulty_lines(spark, sf_dir)
     admitted = lines.admit(spread(raw)).drop("entry")
-    return lines.quarantine(lines.frame(admitted, is_hot(raw, ["file"], max_rows))).select("file", "line_no", "code")
+    return lines.quarantine(lines.frame(admitted, max_rows, measured(raw, ["file"]))).select("file", "line_no", "code")
 
 
 def document_admission(spark, sf_dir):

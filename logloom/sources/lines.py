@@ -92,14 +92,14 @@ def admit(lines: DataFrame) -> DataFrame:
     ).drop("__value", "__closed", "raw")
 
 
-def frame(rows: DataFrame, hot: bool) -> DataFrame:
+def frame(rows: DataFrame, max_rows: int, size: tuple[int, int]) -> DataFrame:
     """Line number, byte end and count of refused lines so far, per file.
 
-    Call this on narrow rows: only they are shuffled. ``hot`` says whether some
-    file has more lines than one task should sort (``is_hot`` on the raw lines). An unfinished last line
-    reaches past the file size and is left for the next read.
+    Call this on narrow rows: only they are shuffled. ``size`` is the number of lines of the
+    largest file and of all (``measured`` on the raw lines); one task sorts at most ``max_rows`` of a file. An
+    unfinished last line reaches past the file size and is left for the next read.
     """
-    rows = ledger(rows.withColumn("session", F.col("file")), ["block", "position"], hot=hot)
+    rows = ledger(rows.withColumn("session", F.col("file")), ["block", "position"], max_rows, size)
     rows = scan(
         rows, total("line_no", F.lit(1)), total("byte_end", F.col("size")),
         total("rejects", F.col("reject").isNotNull()),
