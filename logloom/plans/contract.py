@@ -49,6 +49,21 @@ def session_rules() -> dict[str, Column]:
 
 # Bounds of the output format.
 MAX_ID, MAX_DETAIL, MAX_MESSAGE, MAX_SAFE = 240, 12_100, 500, 2**53 - 1
+# Members that every document and its parts must have.
+REQUIRED = {
+    "$": ("schemaVersion", "detailLevel", "generatedAt", "session", "pagination", "stats", "turns", "records", "warnings",
+          "recentSessions"),
+    "$.session": ("id", "title", "cwd", "model", "effort", "originator", "sourceKind", "startedAt", "updatedAt", "archived",
+                  "parentThreadId", "agentPath", "git"),
+    "$.pagination": ("firstRecord", "lastRecord", "earlierRecords", "laterRecords", "hasEarlier", "hasLater",
+                     "nextBeforeRecord"),
+    "$.stats": ("turns", "records", "visibleRecords", "omittedRecords", "toolCalls", "failedTools", "compactions", "tokens",
+                "contextWindow", "rateLimits"),
+    "$.records[0]": ("index", "id", "turn", "step", "kind", "event", "summary", "startedAt", "completedAt", "durationMs",
+                     "status", "callId", "input", "output", "error", "usage", "metadata"),
+    "$.turns[0]": ("index", "id", "startedAt", "completedAt", "durationMs", "timeToFirstTokenMs", "status", "error",
+                   "records", "steps", "modelCalls", "usage", "model"),
+}
 
 
 def _optional(rule: Column) -> Column:
@@ -100,19 +115,39 @@ def gold_rules() -> dict[str, dict[str, Column]]:
     }
 
 
+def required_rules() -> dict[str, Column]:
+    """Rules that the document and its parts have all their members, those that the format lets be missing included."""
+    return {f"document.{path.strip('$.') or 'members'}": _has(path, names) for path, names in REQUIRED.items()}
+
+
+def _has(path: str, names: tuple[str, ...]) -> Column:
+    """Whether the part has all members; a part that a document does not have breaks nothing."""
+    keys = F.json_object_keys(F.get_json_object("document", path))
+    return _optional(F.size(F.array_except(F.array(*[F.lit(n) for n in names]), keys)) == 0)
+
+
 def gold_report(documents: DataFrame | None = None, **tables: DataFrame) -> DataFrame:
     """The report over saved tables and documents."""
     rules = gold_rules()
     reports = [check(table, rules[name]) for name, table in tables.items()]
-    return reduce(DataFrame.unionByName, reports + ([] if documents is None else [document_report(documents)]))
+    if documents is not None:
+        reports.append(document_report(documents, required_rules()))
+    return reduce(DataFrame.unionByName, reports)
+
 
+def document_report(documents: DataFrame, required: dict[str, Column] | None = None) -> DataFrame:
+    """(rule, rows, broken) for every rule of the document format: documents seen, and breaches found in any part of them.
 
-def document_report(documents: DataFrame) -> DataFrame:
-    """(rule, rows, broken) for every rule of the document format: documents seen, and breaches found in any part of them."""
-    found = documents.select(fmt.breaches(F.try_parse_json("document")).alias("broken"))
+    ``required`` are rules about whole documents; one that has the name of a rule of the format adds to its breaches.
+    """
+    required = required or {}
+    broken = fmt.breaches(F.try_parse_json("document"))
+    if required:
+        broken = F.concat(broken, F.array_compact(F.array(*[F.when(~rule, F.lit(name)) for name, rule in required.items()])))
+    found = documents.select(broken.alias("broken"))
     seen = found.agg(F.count("*").alias("rows"))
     broken = found.select(F.explode("broken").alias("rule")).groupBy("rule").agg(F.count("*").alias("broken"))
-    every = seen.select("rows", F.explode(F.array(*map(F.lit, fmt.rules()))).alias("rule"))
+    every = seen.select("rows", F.explode(F.array(*map(F.lit, dict.fromkeys([*required, *fmt.rules()])))).alias("rule"))
     return every.join(broken, "rule", "left").select("rule", "rows", F.coalesce("broken", F.lit(0).cast("long")).alias("broken"))
 
 

@@ -1,9 +1,9 @@
-"""What one task gets does not grow with a ledger."""
+"""What one task gets does not grow with a ledger, and the contract report has all its rules."""
 
 from pyspark.sql import functions as F
 
 from logloom.operators import carry
-from logloom.plans import build
+from logloom.plans import build, contract
 from logloom.sources import derived
 
 
@@ -29,3 +29,11 @@ def test_gold_tables_of_logs_read_dealt_rows(spark, monkeypatch):
     logs = build.from_lines(derived.files_of(raw), raw)
     assert logs.rows.rdd.getNumPartitions() == 6
     assert build.sessions(logs).count() == 6 and build.records(logs).count() == 24
+
+
+def test_a_document_without_members_breaks_the_report(spark):
+    docs = spark.createDataFrame(
+        [('{"schemaVersion":1,"session":{"id":"a"},"records":[{"index":1}],"turns":[]}',)], "document string")
+    broken = {r.rule: (r.rows, r.broken) for r in contract.gold_report(docs).collect()}
+    assert broken["document.members"] == broken["document.records[0]"] == (1, 1)
+    assert broken["document.session"] == (1, 1) and broken["document.turns[0]"] == (1, 0)
