@@ -10,7 +10,7 @@ row, and the summary of all earlier chunks is added back.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -104,6 +104,25 @@ def ledger(df: DataFrame, order: Sequence[str], max_rows: int = MAX_ROWS,
     return materialise(ranged)
 
 
+def apart(rows: DataFrame, *read: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Ledger rows for many scans: the columns these read, and a function that gives the scanned rows the others back.
+
+    Every window copies its rows column by column, in generated methods too long for the JVM to compile well when there
+    are many columns. So the others go along as one struct. A scan by chunks writes its rows, so there they stay
+    behind and are joined on ``seq``, which is unique over all sessions of such a ledger.
+    """
+    near = [c for c in rows.columns if c in (*read, "session", "seq", "chunk")]
+    others = [c for c in rows.columns if c not in near]
+    if not others:
+        return rows, lambda scanned: scanned
+    if "chunk" not in rows.columns:
+        packed = rows.select(*near, F.struct(*others).alias("__others"))
+        return packed, lambda scanned: scanned.select(*[c for c in scanned.columns if c != "__others"], "__others.*")
+    count = rows.count()
+    behind = dealt(rows.select("seq", *others), count, "seq")
+    return rows.select(*near), lambda scanned: dealt(scanned, count, "seq").join(behind, "seq")
+
+
 def scan(
     df: DataFrame, *running: Running, by: Sequence[str] = ("session",), contiguous: bool = True
 ) -> DataFrame:

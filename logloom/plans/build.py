@@ -12,7 +12,7 @@ from logloom.functions import text as tx
 from logloom.functions import time as tm
 from logloom.functions.pretty import indented
 from logloom.operators import quota, usage
-from logloom.operators.carry import MAX_ROWS, dealt, measured, scan, total
+from logloom.operators.carry import MAX_ROWS, apart, dealt, measured, scan, total
 from logloom.operators.defaults import COUNTERS
 from logloom.operators.late import FAR, with_markers
 from logloom.operators.sequence import role_in, sequence
@@ -30,6 +30,10 @@ ABORTED, FAILED = "Turn was aborted.", "Turn completed with an error."
 BY_ITEM = "Turn was superseded by an item from another persisted turn."
 
 
+#: Columns that the scans of a ledger read.
+_SCANNED = ("role", "call", "eid", "start_ms", "end_ms", "ts_ms", "has_total", "model", "in_context",
+            *[f"last_{c}" for c in COUNTERS], *[f"cum_{c}" for c in COUNTERS])
+
 #: Bytes that a line of a long file has at least on average, for the choice of plan only.
 LINE_BYTES = 256
 
@@ -116,11 +120,12 @@ def sequenced(rows: DataFrame, far: int = FAR) -> DataFrame:
     ).otherwise(F.concat("number_prefix", number)))).drop(
         "given_id", "id_prefix", "number_prefix", "legacy_only"
     )
-    rows = sequence(with_markers(rows, far), compactions=True)
+    rows, whole = apart(with_markers(rows, far), *_SCANNED)
+    rows = whole(gold.add_model(usage.add_samples(sequence(rows, compactions=True))))
     if "late_of" in rows.columns:
         marker = tx.identifier(F.concat_ws("-", F.lit("tool-result"), "call", "index"))
         rows = rows.withColumn("record_id", F.when(role_in("L"), marker).otherwise(F.col("record_id")))
-    return gold.add_model(usage.add_samples(rows))
+    return rows
 
 
 def unique_ids(rows: DataFrame) -> DataFrame:

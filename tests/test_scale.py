@@ -1,8 +1,10 @@
 """What one task gets does not grow with a ledger, and the contract report has all its rules."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import carry
+from logloom.operators.sequence import sequence
 from logloom.plans import build, contract
 from logloom.sources import derived
 
@@ -37,3 +39,27 @@ def test_a_document_without_members_breaks_the_report(spark):
     broken = {r.rule: (r.rows, r.broken) for r in contract.gold_report(docs).collect()}
     assert broken["document.members"] == broken["document.records[0]"] == (1, 1)
     assert broken["document.session"] == (1, 1) and broken["document.turns[0]"] == (1, 0)
+
+
+@pytest.mark.parametrize("chunked", [False, True])
+def test_scans_carry_few_columns_and_give_all_back(spark, chunked):
+    wide = spark.range(50).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("session"), F.col("id").alias("seq"), F.lit("M").alias("role"),
+        *[F.when(F.col("id") % 2 == 0, F.col("id") + n).alias(f"field{n}") for n in range(40)])
+    if chunked:
+        wide = wide.withColumn("chunk", F.floor(F.col("seq") / 7).cast("int"))
+    near, whole = carry.apart(wide, "role")
+    assert len(near.columns) == 4 and "field7" not in near.columns
+    back = whole(carry.scan(near, carry.total("n", F.lit(1))))
+    assert sorted(back.columns) == sorted([*wide.columns, "n"])
+    before = carry.scan(wide, carry.total("n", F.lit(1))).select(*back.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, before.collect()))
+
+
+def test_the_ledger_of_logs_is_scanned_in_few_columns(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(build, "sequence", lambda rows, **k: seen.append(rows.columns) or sequence(rows, **k))
+    line = '{"type": "response_item", "payload": {"type": "message", "role": "assistant", "content": []}}'
+    raw = spark.createDataFrame([("f", None, 0, 0, line)], "file string, file_size long, block long, position long, raw string")
+    logs = build.from_lines(derived.files_of(raw), raw)
+    assert len(seen[0]) < 25 and {"summary_text", "quota_primary", "record_id", "owner"} <= set(logs.rows.columns)
