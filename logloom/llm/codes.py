@@ -53,6 +53,18 @@ MAGIC, BLOCK = b"DACIDS01", 512
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 
 
+class Numbers(dict):
+    """Numbers of words in the order they come; ``new`` has those whose ids are not learned yet."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Words:
     """Ids of white-space separated words by a tokenizer that drops white space."""
 
@@ -68,7 +80,7 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbers()
         self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
         # parts of words: number 0 is the empty part
         self.parts: dict[str, int] = {"": 0}
@@ -85,8 +97,11 @@ class Words:
         self.part_starts = np.concatenate([self.part_starts, self.part_starts[-1] + np.cumsum(sizes)])
         self.part_flat = np.concatenate([self.part_flat, *ids])
 
-    def learn(self, words: list[bytes]) -> None:
-        """Add words that are not known yet, each once."""
+    def learn(self) -> None:
+        """Add the ids of the new words."""
+        words, self.index.new = self.index.new, []
+        if not words:
+            return
         split, letters, others = [], set(), set()
         for word in words:
             text = word.decode("utf-8", "surrogatepass")
@@ -103,7 +118,6 @@ class Words:
         self._learn_parts(self.whole, [x for x in others if x not in self.parts])
         numbers = np.fromiter(map(self.parts.__getitem__, split), np.int64, len(split))
         tokens, sizes = ragged(self.part_flat, self.part_starts, numbers)
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes.reshape(-1, 2).sum(1))])
         self.flat = np.concatenate([self.flat, tokens])
 
@@ -111,14 +125,12 @@ class Words:
         """The ids of each text, with ``end`` after them."""
         if len(self.index) > KNOWN_WORDS:
             self.forget()
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        self.learn([w for w in set().union(*split) if w not in self.index])
-        known = self.index.__getitem__
-        out = []
-        for words in split:
-            numbers = np.fromiter(map(known, words), np.int64, len(words))
-            out.append(np.append(ragged(self.flat, self.starts, numbers)[0], np.uint32(end)))
-        return out
+        number, numbers = self.index.__getitem__, []
+        for text in texts:
+            words = text.encode("utf-8", "surrogatepass").split()
+            numbers.append(np.fromiter(map(number, words), np.int64, len(words)))
+        self.learn()
+        return [np.append(ragged(self.flat, self.starts, some)[0], np.uint32(end)) for some in numbers]
 
 
 class Level:

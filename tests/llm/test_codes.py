@@ -62,3 +62,12 @@ def test_files_hold_all_documents_in_order(spark):
 def test_empty_table(spark):
     files = codes.write_files(spark.createDataFrame([], SCHEMA), WORD_BPE, 2)
     assert codes.read_files(files).collect() == []
+
+
+def test_words_are_numbered_in_one_pass_and_learned_once():
+    words = codes.Words(open(WORD_BPE, encoding="utf-8").read())
+    texts = ["new words, new words", "words again", ""]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in words.encode(texts, 2)] == want
+        assert len(words.index) == len(words.starts) - 1 == 4 and words.index.new == []
