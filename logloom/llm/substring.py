@@ -31,7 +31,6 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,11 +150,13 @@ _CANDIDATES = "bucket int, open boolean, " + ", ".join(f"{name} binary" for name
 
 
 def _settled(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Rows sorted by window and document, and which of them a smaller document precedes."""
+    """The given columns, sorted in place by window and document, and which rows a smaller document precedes."""
     order = np.lexsort((columns[2], columns[1], columns[0]))
-    w, v, ids, keys, places = (c[order] for c in columns)
+    for at in range(len(columns)):
+        columns[at] = columns[at][order]  # one by one, so that few are held twice
+    w, v, ids = columns[:3]
     new = np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])))
-    return [w, v, ids, keys, places], ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return columns, ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
 def _candidates(docs: DataFrame, shared, width: int, buckets: int) -> DataFrame:
@@ -203,14 +204,22 @@ def _blobs(columns: list[np.ndarray], group: np.ndarray, first: str) -> pa.Table
     group = group[order]
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else [0]
     spans = list(zip(cuts, cuts[1:], strict=False))
-    return pa.table({first: pa.array(group[cuts[:-1]], pa.int32())} | {
-        name: pa.array([pack(c[order][a:b], kind) for a, b in spans], pa.binary())
-        for name, kind, c in zip(_NAMES[2:], _KINDS[2:], columns, strict=True)})
+    blobs = {first: pa.array(group[cuts[:-1]], pa.int32())}
+    for at, (name, kind) in enumerate(zip(_NAMES[2:], _KINDS[2:], strict=True)):
+        columns[at] = columns[at][order]
+        blobs[name] = pa.array([pack(columns[at][a:b], kind) for a, b in spans], pa.binary())
+    return pa.table(blobs)
 
 
-def _columns(table: pa.Table, first: int) -> list[np.ndarray]:
-    return [np.concatenate([np.empty(0, kind), *(unpack(x, kind) for x in table.column(name).to_pylist())])
-            for name, kind in zip(_NAMES[first:], _KINDS[first:], strict=True)]
+def _columns(table: pa.Table, first: int, rows: np.ndarray | None = None) -> list[np.ndarray]:
+    """The columns from ``first`` on, unpacked; of those rows only where they are given."""
+    rows = range(table.num_rows) if rows is None else rows.tolist()
+
+    def column(name: str, kind: str) -> np.ndarray:
+        blobs = table.column(name)
+        return np.concatenate([np.empty(0, kind), *(unpack(blobs[at].as_py(), kind) for at in rows)])
+
+    return [column(name, kind) for name, kind in zip(_NAMES[first:], _KINDS[first:], strict=True)]
 
 
 def _by_document(table: pa.Table) -> pa.Table:
@@ -240,11 +249,13 @@ def hits(docs: DataFrame, window: int = WINDOW, log2_width: int = LOG2_WIDTH, bu
 
     def late(table: pa.Table) -> pa.Table:
         """The hits of one bucket, packed by groups of documents."""
-        known, waiting = table.filter(pc.invert(table.column("open"))), table.filter(table.column("open"))
-        columns = _columns(known, 2)
-        if waiting.num_rows:
-            sent, hit = _settled(_columns(waiting, 0))
-            columns = [np.concatenate([a, b[hit]]) for a, b in zip(columns, sent[2:], strict=True)]
+        kept(("grouping",), lambda: None)  # the sketch has no reader any more, so its memory goes
+        waits = table.column("open").to_numpy()
+        columns = _columns(table, 2, np.flatnonzero(~waits))
+        if waits.any():
+            sent, hit = _settled(_columns(table, 0, np.flatnonzero(waits)))
+            del sent[:2]
+            columns = [np.concatenate([a, sent.pop(0)[hit]]) for a in columns]
         return _blobs(columns, (mixed(columns[0].view(np.uint64)) % U64(groups)).astype(np.int32), "part")
 
     found = _candidates(texts, shared, window, groups).groupBy("bucket").applyInArrow(

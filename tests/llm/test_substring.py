@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from logloom.llm import substring
@@ -66,3 +68,18 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert substring.digests(none, log2_width=20).collect() == []
     assert substring.deduplicated(spark.createDataFrame([(1, None)], "doc_id long, text string"), log2_width=20).count() == 1
+
+
+def test_columns_of_some_rows_are_unpacked():
+    values = [np.array([1, 2], "<i8"), np.array([3], "<i8"), np.empty(0, "<i8")]
+    blobs = {"id": [substring.pack(v, "<i8") for v in values], "key": [substring.pack(v, "<i4") for v in values],
+             "place": [substring.pack(v, "<i4") for v in values]}
+    table = pa.table({name: pa.array([None] * 3 if name in "wv" else blobs[name], pa.binary()) for name in substring._NAMES})
+    assert [c.tolist() for c in substring._columns(table, 2, np.array([2, 0]))] == [[1, 2]] * 3
+    assert [c.tolist() for c in substring._columns(table, 2)] == [[1, 2, 3]] * 3
+
+
+def test_settled_sorts_the_columns_it_is_given():
+    columns = [np.array(c) for c in ([5, 4, 5], [0, 0, 0], [9, 1, 3], [1, 1, 1], [7, 8, 6])]
+    sent, hit = substring._settled(columns)
+    assert sent is columns and sent[2].tolist() == [1, 3, 9] and hit.tolist() == [False, False, True]
