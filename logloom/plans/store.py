@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import arguments
 from logloom.operators import pages
+from logloom.operators.carry import tasks_for
 from logloom.plans import build, document, overview
 
 
@@ -18,8 +19,10 @@ def save(logs: build.Logs, folder: str, detail: str = "summary", buckets: int =
     """Write records, turns, sessions, quotas, warnings and errors below ``folder``.
 
     Rows are range-partitioned by bucket, session and number: files hold one run of
-    a session each, and a session of any size spreads over as many files as it needs.
+    a session each, and a session of any size spreads over as many files as it needs. The number of
+    tasks follows the rows of the ledger, as no table has many more.
     """
+    tasks = tasks_for(logs.rows.sparkSession, logs.rows.count())
     sessions = build.sessions(logs).withColumnRenamed("file", "session")
     tables = {
         "records": (build.records(logs, detail), "index"), "turns": (build.turns(logs, detail), "turn"),
@@ -29,7 +32,7 @@ def save(logs: build.Logs, folder: str, detail: str = "summary", buckets: int =
     for name, (table, key) in tables.items():
         keyed = table.withColumn("bucket", bucket_of(F.col("session"), buckets))
         order = ["bucket", "session", key]
-        keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(
+        keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).write.mode(
             "overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import carry
 from logloom.operators.sequence import sequence
-from logloom.plans import build, contract
+from logloom.plans import build, contract, store
 from logloom.sources import derived
 
 
@@ -63,3 +63,13 @@ def test_the_ledger_of_logs_is_scanned_in_few_columns(spark, monkeypatch):
     raw = spark.createDataFrame([("f", None, 0, 0, line)], "file string, file_size long, block long, position long, raw string")
     logs = build.from_lines(derived.files_of(raw), raw)
     assert len(seen[0]) < 25 and {"summary_text", "quota_primary", "record_id", "owner"} <= set(logs.rows.columns)
+
+
+def test_saved_tables_take_tasks_by_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(carry, "TASK_ROWS", 4)
+    line = '{"type": "response_item", "payload": {"type": "message", "role": "assistant", "content": []}}'
+    raw = spark.createDataFrame(
+        [(f"f{n % 6}", None, 0, n, line) for n in range(24)], "file string, file_size long, block long, position long, raw string")
+    store.save(build.from_lines(derived.files_of(raw), raw), str(tmp_path), buckets=1)
+    assert len(list(tmp_path.glob("records/bucket=0/*.parquet"))) >= 5
+    assert spark.read.parquet(f"{tmp_path}/records").count() == 24
