@@ -11,6 +11,9 @@ differ, and some more where d + 2 parts would often be empty: two linked sets ag
 least. The hash of a part that is not empty is a signature. A set with so many empty parts that
 it may agree with a linked one in these only has each pair of them as a signature as well. So every
 linked pair shares a signature, whatever tokens are frequent, and a shared passage alone rarely makes one.
+Smaller sets of a class, which differ in fewer tokens, agree in more parts: a set that must share n signatures
+of a class drops the n - 1 most frequent of them, the same order for all. The rarest one that a linked pair
+shares stays in both, and a set with fewer than n signatures that others have drops out.
 
 Groups. Documents that share signatures are put into groups around the smallest document they share
 one with; a group holds a bounded number of members and tokens. The token-group matrix has a row for
@@ -19,7 +22,7 @@ themselves and their leader, which links most near copies. Documents are then gr
 what they are connected with, and what is left are pairs of groups that share a signature and
 are not connected as a whole: for each query of the smaller group the overlap with the other
 group's union bounds the overlap with any member, and only groups that some query's bound
-reaches are opened, for those queries.
+reaches are opened, for those queries. Of a signature, groups whose members are all connected already are not compared.
 
 Hot groups. Equal sets are one class with one representative. A task sends a signature once for
 each stretch of texts, with one set; where it saw several, all of them go out as well. Minimum and maximum per signature are partial aggregates. Full groups of one connected
@@ -46,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.graph import components
@@ -94,9 +97,18 @@ def _classes(over: int, under: int, limit: int = 1 << 40) -> tuple[np.ndarray, l
 
 def signatures(tokens: np.ndarray, like: Likeness = LIKENESS) -> np.ndarray:
     """The signatures of a set: those of its own size class, and of the class below it."""
+    return _signatures(tokens, like)[0]
+
+
+def _signatures(tokens: np.ndarray, like: Likeness) -> tuple[np.ndarray, int]:
+    """The signatures of a set, and how many of them it shares at least with any set it is linked with.
+
+    Bit 16 of a signature is that of its class being odd. The number for the odd class is 32 bits above that for the even one.
+    """
     over, under, size = like.over, like.under, len(tokens)
+    needs = [1, 1]
     if size * (under - over) < over:
-        return np.empty(0, np.uint64)  # linked only with equal sets
+        return np.empty(0, np.uint64), needs[0] | needs[1] << 32  # linked only with equal sets
     lows, classes = _classes(over, under)
     own = int(np.searchsorted(lows, size, side="right")) - 1
     with np.errstate(over="ignore"):
@@ -112,18 +124,23 @@ def signatures(tokens: np.ndarray, like: Likeness = LIKENESS) -> np.ndarray:
             names = mixed(np.arange(parts, dtype=np.uint64) + U64(number << 32))
             value = mixed(np.diff(sums[edges])) + names
         empty = np.diff(edges) == 0
-        found.append(mixed(value[~empty]))
+        parity, found_here = number & 1, [mixed(value[~empty])]
         # the most tokens in which this set differs from one it meets in this class
         differ = size * (under - over) // over if number == own else (size + high) * (under - over) // (over + under)
+        needs[parity] = max(1, parts - min(most, differ) - int(empty.sum()))
         if empty.sum() >= parts - min(most, differ):
             names = names[empty]
             one, two = np.triu_indices(len(names), 1)
             with np.errstate(over="ignore"):
-                found.append(mixed(mixed(names[one] + U64(1)) + names[two]))
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+                found_here.append(mixed(mixed(names[one] + U64(1)) + names[two]))
+        found.append(np.concatenate(found_here) & ~_ODD | _ODD * U64(parity))
+    return np.concatenate(found) if found else np.empty(0, np.uint64), needs[0] | needs[1] << 32
 
 
-_PASS = "kind int, bucket int, first long, a binary, b binary, c binary, d binary"
+#: The bit of a signature that tells its class from the neighbours'; the lowest of those that are kept.
+_ODD = U64(1 << 16)
+
+_PASS = "kind int, bucket int, first long, a binary, b binary, c binary, d binary, e binary"
 
 
 _HEAD = struct.Struct("<BBQ")
@@ -144,7 +161,7 @@ def _decoded(first: int, steps: bytes, places: bytes, head: bytes) -> tuple[np.n
 
 
 def _passed(docs: DataFrame, buckets: int, like: Likeness) -> DataFrame:
-    """One pass over the texts: sets (id, size, digest) as kind 0, open signatures as 1, further members as 2.
+    """One pass over the texts: sets (id, size, digest, needs) as kind 0, open signatures as 1, further members as 2.
 
     Sets are numbered; signatures go with the number of one of the documents that have the set, and
     stand for any that has. A signature is cut to its upper 48 bits, sorted and dealt by ranges.
@@ -152,7 +169,7 @@ def _passed(docs: DataFrame, buckets: int, like: Likeness) -> DataFrame:
     names = [c.split()[0] for c in _PASS.split(", ")]
 
     def rows(kind: int, entries: list[tuple]) -> pa.RecordBatch:
-        """Rows of (bucket, first, a, b, c, d)."""
+        """Rows of (bucket, first, a, b, c, d, e)."""
         numbers, firsts, *columns = zip(*entries, strict=True)
         return pa.RecordBatch.from_arrays(
             [pa.array([kind] * len(entries), pa.int32()), pa.array(numbers, pa.int32()), pa.array(firsts, pa.int64()),
@@ -174,24 +191,25 @@ def _passed(docs: DataFrame, buckets: int, like: Likeness) -> DataFrame:
             new = np.concatenate(([True], signs[1:] != signs[:-1]))
             again = ~new | np.concatenate((~new[1:], [False]))  # signatures that several sets here share
             if again.any():
-                yield rows(2, [(0, *_coded(signs[again], owners[again]), None)])
+                yield rows(2, [(0, *_coded(signs[again], owners[again]), None, None)])
             signs, owners, where = signs[new], owners[new], where[new].astype(np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
-            yield rows(1, [(int(where[x]), *_coded(signs[x:y], owners[x:y]), None) for x, y in zip(cuts, cuts[1:], strict=False)])
+            yield rows(1, [(int(where[x]), *_coded(signs[x:y], owners[x:y]), None, None) for x, y in zip(cuts, cuts[1:], strict=False)])
 
     def run(batches):
         number = TaskContext.get().partitionId() << 33
         found, numbers, size = [], [], 0
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             sets = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = tokens_of(text.as_py(), like.words)
                 digest = _digest(tokens)
-                sets.append((i, len(tokens), *digest))
-                signs = signatures(tokens, like) if digest not in seen else tokens[:0]
+                signs = tokens[:0]
+                if digest not in seen:
+                    signs, seen[digest] = _signatures(tokens, like)
+                sets.append((i, len(tokens), *digest, seen[digest]))
                 if len(signs):
-                    seen.add(digest)
                     found.append(signs)
                     numbers.append(np.full(len(signs), number + len(sets) - 1))
                     size += len(signs)
@@ -209,7 +227,7 @@ def _passed(docs: DataFrame, buckets: int, like: Likeness) -> DataFrame:
 
 
 def _sets(passed: DataFrame) -> DataFrame:
-    """(number, id, size, high, low) of every document."""
+    """(number, id, size, high, low, needs) of every document."""
 
     def run(batches):
         for batch in batches:
@@ -217,10 +235,10 @@ def _sets(passed: DataFrame) -> DataFrame:
                 columns = [np.frombuffer(x, "<i8") for x in row]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, pa.int64()) for x in (np.arange(first, first + len(columns[0])), *columns)],
-                    names=["number", "id", "size", "high", "low"])
+                    names=["number", "id", "size", "high", "low", "needs"])
 
-    return map_batches(passed.where("kind = 0").select("first", "a", "b", "c", "d"), run,
-                       "number long, id long, size long, high long, low long")
+    return map_batches(passed.where("kind = 0").select("first", "a", "b", "c", "d", "e"), run,
+                       "number long, id long, size long, high long, low long, needs long")
 
 
 def _shared(passed: DataFrame) -> DataFrame:
@@ -399,8 +417,9 @@ def _matrix_row(table: pa.Table) -> pa.Table:
     Members are mostly near copies, so that a row takes little more than the tokens of one of them.
     """
     coded = _coded_row(Row(table.column("id").to_pylist(), _tokens_of(table.column("tokens"))))
-    return pa.table([table.column("name")[:1], table.column("itself")[:1], *(pa.array([c], pa.binary()) for c in coded)],
-                    names=["name", "itself", "ids", "tokens", "bits"])
+    kept = [c for c in table.column_names if c not in ("id", "tokens")]
+    return pa.table([*(table.column(c)[:1] for c in kept), *(pa.array([c], pa.binary()) for c in coded)],
+                    names=[*kept, "ids", "tokens", "bits"])
 
 
 def _coded_row(row: Row) -> tuple[bytes, bytes, bytes]:
@@ -426,6 +445,34 @@ def _grouped(members: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     return members.join(written(totals.select(*by, parts.alias("parts")), "totals"), by).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
 
 
+def _rarest(members: DataFrame, needs: DataFrame) -> DataFrame:
+    """``members`` (sign, id) without the most frequent signatures, those one less than the set shares with any it is linked with.
+
+    ``needs`` has id and needs. Signatures of one set only are not shared and go first.
+    """
+    counted = members.groupBy("sign").agg(F.count("*").alias("n")).where("n > 1")
+    odd = F.col("sign").bitwiseAND(F.lit(1))
+    rows = members.join(counted, "sign").join(needs, "id").select(
+        "sign", "id", "n", odd.alias("odd"),
+        F.when(odd == 1, F.shiftright("needs", 32)).otherwise(F.col("needs").bitwiseAND(F.lit((1 << 32) - 1))).alias("need"))
+    by = Window.partitionBy("id", "odd").orderBy(F.desc("n"), F.desc("sign"))
+    return rows.withColumn("at", F.row_number().over(by)).where("at >= need").select("sign", "id")
+
+
+def _together(met: DataFrame) -> DataFrame:
+    """Signatures around one document taken as one (sign -1) where this makes fewer pairs of groups.
+
+    Groups that share many of them then meet once; what is compared holds all that shares one of the signatures.
+    """
+    apart = met.groupBy("around", "sign").agg(F.count("*").alias("g")).groupBy("around").agg(F.sum(F.col("g") * F.col("g")).alias("apart"))
+    groups = met.select("around", "name").distinct().groupBy("around").agg(F.count("*").alias("g"))
+    fewer = apart.join(groups, "around").where("g * g < apart").select("around", F.lit(-1).cast("long").alias("as"))
+    rows = met.join(fewer, "around", "left").withColumn("sign", F.coalesce("as", "sign"))
+    return rows.groupBy("around", "sign", "label", "name").agg(
+        F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"), F.min("low").alias("low"), F.max("high").alias("high")
+    ).withColumn("n", F.size("ids").cast("long"))
+
+
 def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, size) of every row, (id, rep) of every id and the links (a, b) that connect what is connected.
 
@@ -438,21 +485,24 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
     buckets = max(1, math.ceil(size * (like.under - like.over) / (2 * like.under) / BUCKET))
     passed = written(_passed(docs, buckets, like), "signatures")
     sets = written(_sets(passed), "sets")
-    one = sets.groupBy("id").agg(F.max(F.struct("size", "high", "low")).alias("s")).select("id", "s.*")
+    one = sets.groupBy("id").agg(F.max(F.struct("size", "high", "low", "needs")).alias("s")).select("id", "s.*")
     owners = written(one.groupBy("high", "low").agg(F.min("id").alias("rep")), "owners")  # the join can be split
     one = one.join(owners, ["high", "low"])
     named = sets.select("number", "high", "low").join(owners, ["high", "low"]).select("number", F.col("rep").alias("id"))
-    one = written(one.select("id", "size", "high", F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")), "sets")
+    one = written(one.select("id", "size", "high", "needs", F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")), "sets")
     # Members of shared signatures, as representatives; signatures of one set only are no blocks.
     # A set that stands for no id has no representative.
     members = written(_shared(passed).join(named, "number").select("sign", "id").distinct(), "members")
     forget(passed)
+    every, members = members, written(_rarest(members, one.where("id = rep").select("id", "needs")), "members")
+    forget(every)
     spans = members.groupBy("sign").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     blocks = written(members.join(spans.select("sign", "leader"), "sign"), "blocks")
     sizes = one.where("id = rep").select("id", "size", "high")
     around = blocks.groupBy("id").agg(F.min("leader").alias("leader"))
     tokens = written(_tokens(docs, sizes.join(around, "id", "left_semi").select("id", "high"), like.words), "tokens")
     sizes = sizes.select("id", "size")
+    forget()
 
     # Each group against itself and its leader.
     homes = written(_grouped(around, sizes, ["leader"]).select("id", "leader", "part"), "groups")
@@ -469,24 +519,33 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
     # has groups of its own, which need not be compared with each other; what is left of a
     # leader's documents shares groups, which are compared with themselves as well.
     labels = components(own)
-    labelled = homes.select("id", "leader").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = homes.select("id", "leader").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))  # the component so far
     labelled = written(labelled, "labelled")
     alike = written(labelled.groupBy("leader", "label").agg(F.count("*").alias("alike")), "alike")
     labelled = labelled.join(alike, ["leader", "label"]).select(
-        "id", "leader", F.when(F.col("alike") >= MEMBERS, F.col("label")).alias("label"))
+        "id", "leader", F.col("label").alias("linked"), F.when(F.col("alike") >= MEMBERS, F.col("label")).alias("label"))
     named = _grouped(labelled.withColumn("kind", F.coalesce(F.col("label").cast("string"), F.lit("rest"))), sizes, ["leader", "kind"])
-    named = written(named.select("id", "label", F.concat_ws("/", "leader", "kind", "part").alias("name")), "named")
-    met = blocks.select("sign", "id").join(named, "id").groupBy("sign", "label", "name").agg(
-        F.count("*").alias("n"), F.collect_list("id").alias("ids"))  # of a group, which is bounded
+    named = written(named.select("id", "label", "linked", F.concat_ws("/", "leader", "kind", "part").alias("name")), "named")
+    met = blocks.select("sign", F.col("leader").alias("around"), "id").join(named, "id").groupBy("sign", "around", "label", "name").agg(
+        F.count("*").alias("n"), F.collect_list("id").alias("ids"),  # of a group, which is bounded
+        F.min("linked").alias("low"), F.max("linked").alias("high"))
     met = written(met, "met")
     forget(blocks, members)
+    # what shares a signature and is all connected needs no comparison
+    open_ = met.groupBy("sign").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("sign")
+    met = met.join(open_, "sign", "left_semi")
+    itself = met.where("label is null and low < high").select("name", F.lit(True).alias("itself"), F.lit(False).alias("paired"))
+    met = written(_together(met), "met")
     # Of one signature, all groups but those of its most frequent label are compared with all others.
-    most = met.where("label is not null").groupBy("sign", "label").agg(F.sum("n").alias("n")).groupBy("sign").agg(
+    key = ["around", "sign"]
+    most = met.where("label is not null").groupBy(*key, "label").agg(F.sum("n").alias("n")).groupBy(*key).agg(
         F.max_by("label", F.struct("n", "label")).alias("main"))
-    rest = met.join(most, "sign", "left").where("label is null or label <> main").select("sign", "label", "name", "ids")
-    every = met.join(most, "sign", "left").select("sign", "label", "name", "ids", F.coalesce(F.col("label") == F.col("main"), F.lit(False)))
-    pairs = rest.toDF("sign", "l1", "one", "ids1").join(every.toDF("sign", "l2", "two", "ids2", "main"), "sign").where(
-        "(main or one < two) and (l1 is null or l2 is null or l1 <> l2)")
+    every = met.join(most, key, "left").select(
+        *key, "label", "name", "ids", "low", "high", F.coalesce(F.col("label") == F.col("main"), F.lit(False)).alias("main"))
+    rest = every.where("not main").drop("main")
+    pairs = rest.toDF(*key, "l1", "one", "ids1", "low1", "high1").join(
+        every.toDF(*key, "l2", "two", "ids2", "low2", "high2", "main"), key).where(
+        "(main or one < two) and (l1 is null or l2 is null or l1 <> l2) and least(low1, low2) < greatest(high1, high2)")
     # of two groups only the members that share a signature with the other one can be linked across
     turn = F.col("one") > F.col("two")
     sides = [F.struct(F.col(g).alias("name"), F.col(i).alias("ids")) for g, i in (("one", "ids1"), ("two", "ids2"))]
@@ -495,11 +554,11 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
         *[F.array_distinct(F.flatten(F.collect_set(x))).alias(n) for x, n in (("a.ids", "ids1"), ("b.ids", "ids2"))])
     pairs = written(pairs, "pairs")
     # groups that are compared with themselves need no join, and of two groups the one with fewer tokens goes to the other
-    itself = met.where("label is null and n > 1").select("name", F.lit(True).alias("itself"))
-    used = pairs.select(F.col("one").alias("name")).union(pairs.select("two")).select("name", F.lit(False).alias("itself")).union(itself)
-    used = used.groupBy("name").agg(F.max("itself").alias("itself"))
-    matrix = named.join(used, "name").join(tokens, "id").groupBy("name", "itself").applyInArrow(
-        _matrix_row, "name string, itself boolean, ids binary, tokens binary, bits binary")
+    used = pairs.select(F.col("one").alias("name")).union(pairs.select("two")).select(
+        "name", F.lit(False).alias("itself"), F.lit(True).alias("paired")).union(itself)
+    used = used.groupBy("name").agg(F.max("itself").alias("itself"), F.max("paired").alias("paired"))
+    matrix = named.select("id", "name").join(used, "name").join(tokens, "id").groupBy("name", "itself", "paired").applyInArrow(
+        _matrix_row, "name string, itself boolean, paired boolean, ids binary, tokens binary, bits binary")
     matrix = written(matrix, "matrix")
     forget(tokens)
 
@@ -527,6 +586,7 @@ def links(docs: DataFrame, like: Likeness = LIKENESS) -> tuple[DataFrame, DataFr
                 yield from _edges(opened(left, right, like)).to_batches()
 
     inner = map_batches(matrix.where("itself").select("ids", "tokens", "bits"), alone, _EDGES)
+    matrix = matrix.where("paired")
     size = matrix.select("name", F.length("tokens").alias("size"))
     pairs = pairs.join(size.toDF("one", "size1"), "one").join(size.toDF("two", "size2"), "two")
     first = F.col("size1") <= F.col("size2")

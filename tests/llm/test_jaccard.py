@@ -188,3 +188,32 @@ def test_matrix_rows_and_signatures_come_back_from_their_codes():
         first, *rest = jaccard._coded(signs, numbers)
         back = jaccard._decoded(first, *rest)
         assert (back[0] == signs).all() and (back[1] == numbers).all()
+
+
+def test_rarest_signatures_that_a_linked_pair_must_share_are_enough():
+    like, rng = jaccard.Likeness(5, 4, 5), np.random.default_rng(3)
+    for size in (40, 300, 331, 2000):
+        base = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        for gone in range(0, len(base) // 5 + 1, max(1, size // 40)):
+            sets = base, base[gone:]
+            (one, need), (two, other) = (jaccard._signatures(x, like) for x in sets)
+            shared = set(one.tolist()) & set(two.tolist())
+            count = [sum(x >> 16 & 1 == odd for x in shared) for odd in (0, 1)]
+            few = [max(n >> 32 * odd & 0xffffffff for n in (need, other)) for odd in (0, 1)]
+            assert not gone or any(c >= f for c, f in zip(count, few, strict=True))  # in the class where they meet
+
+
+def test_the_most_frequent_signatures_are_dropped(spark):
+    members = spark.createDataFrame([(2, i) for i in (1, 2, 3, 4)] + [(4, 1), (4, 2), (6, 1), (6, 2), (3, 1), (3, 4), (5, 1)], "sign long, id long")
+    needs = spark.createDataFrame([(1, 3 | 1 << 32), (2, 2 | 1 << 32), (3, 2 | 1 << 32), (4, 1 | 2 << 32)], "id long, needs long")
+    got = {tuple(r) for r in jaccard._rarest(members, needs).collect()}
+    assert got == {(4, 1), (3, 1), (6, 2), (4, 2), (2, 4)}
+
+
+def test_groups_that_share_many_signatures_meet_once(spark):
+    met = [(s, 1, None, n, [10 * k], k, k) for s in range(40) for k, n in enumerate("abcde")]  # five groups share forty signatures
+    met += [(100 + s, 2, None, f"{s}{n}", [s], s, s) for s in range(30) for n in "xy"]  # many groups, each sharing one
+    rows = spark.createDataFrame(met, "sign long, around long, label long, name string, ids array<long>, low long, high long")
+    got = jaccard._together(rows).collect()
+    assert sorted((r.sign, r.name, r.ids) for r in got if r.around == 1) == [(-1, n, [10 * k]) for k, n in enumerate("abcde")]
+    assert sorted((r.sign, r.name) for r in got if r.around == 2) == sorted((m[0], m[3]) for m in met if m[1] == 2)
