@@ -1,5 +1,7 @@
 """What one task gets does not grow with a ledger, and the contract report has all its rules."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,16 @@ def test_saved_tables_take_tasks_by_rows(spark, monkeypatch, tmp_path):
     store.save(build.from_lines(derived.files_of(raw), raw), str(tmp_path), buckets=1)
     assert len(list(tmp_path.glob("records/bucket=0/*.parquet"))) >= 5
     assert spark.read.parquet(f"{tmp_path}/records").count() == 24
+
+
+def test_gold_tables_read_the_ledger_in_tasks_that_grow_with_its_rows(spark, monkeypatch):
+    line = '{"type": "response_item", "payload": {"type": "message", "role": "assistant", "content": []}}'
+    raw = spark.createDataFrame(
+        [(f"f{n % 6}", None, 0, n, line) for n in range(24)], "file string, file_size long, block long, position long, raw string")
+    for rows, tasks in ((12, "2"), (4, "6")):
+        monkeypatch.setattr(carry, "TASK_ROWS", rows)
+        logs = build.from_lines(derived.files_of(raw), raw)
+        for table in (build.records, build.turns, build.sessions, build.warnings):
+            plan = table(logs)._jdf.queryExecution().executedPlan().toString()
+            dealt = set(re.findall(r"hashpartitioning\(session#\d+, (\d+)\), REPARTITION_BY_NUM", plan))
+            assert dealt == {tasks}, table.__name__
