@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import carry
 from logloom.operators.sequence import sequence
-from logloom.plans import build, contract, store
+from logloom.plans import build, contract, document, store
 from logloom.sources import derived
 
 
@@ -84,7 +84,7 @@ def test_gold_tables_read_the_ledger_in_tasks_that_grow_with_its_rows(spark, mon
     for rows, tasks in ((12, "2"), (4, "6")):
         monkeypatch.setattr(carry, "TASK_ROWS", rows)
         logs = build.from_lines(derived.files_of(raw), raw)
-        for table in (build.records, build.turns, build.sessions, build.warnings):
+        for table in (build.records, build.turns, build.sessions, build.warnings, document.documents):
             plan = table(logs)._jdf.queryExecution().executedPlan().toString()
             dealt = set(re.findall(r"hashpartitioning\(session#\d+, (\d+)\), REPARTITION_BY_NUM", plan))
             assert dealt == {tasks}, table.__name__
