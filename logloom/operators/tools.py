@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.defaults import with_defaults
@@ -119,3 +119,27 @@ def tool_totals(rows: DataFrame) -> DataFrame:
     return per_call.groupBy("session").agg(
         F.sum("n").alias("tool_calls"), F.sum("f").alias("failed_tools")
     )
+
+
+def tool_latencies(calls: DataFrame) -> DataFrame:
+    """Finished calls per tool, with the exact time that half of them do not exceed; unmeasured calls are left out.
+
+    Calls of one tool that took equally long are counted first, map-side too. What one task then sorts is a
+    tool's different times, which may spill; no task holds them in a buffer of an aggregate.
+    """
+    times = calls.filter("duration_ms is not null").groupBy("call", "duration_ms").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("f")
+    )
+    faster = Window.partitionBy("call").orderBy("duration_ms")
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    ranked = times.withColumns({
+        "__upto": F.sum("n").over(faster.rowsBetween(first, 0)),
+        "__all": F.sum("n").over(faster.rowsBetween(first, last)),
+    })
+    return ranked.groupBy("call").agg(
+        F.sum("n").alias("calls"),
+        F.sum("f").alias("failed"),
+        F.sum(F.col("n") * F.col("duration_ms")).alias("total_ms"),
+        F.max("duration_ms").alias("max_ms"),
+        F.min(F.when(F.col("__upto") * 2 >= F.col("__all"), F.col("duration_ms"))).alias("median_ms"),
+    )

@@ -13,7 +13,7 @@ from logloom.operators.carry import MAX_ROWS, measured, scan, total
 from logloom.operators.defaults import COUNTERS
 from logloom.operators.late import add_late_markers
 from logloom.operators.sequence import add_index, add_owner, role_in, sequence
-from logloom.operators.tools import fold_results, orphan_results, tool_totals
+from logloom.operators.tools import fold_results, orphan_results, tool_latencies, tool_totals
 from logloom.plans import build, contract, document, gold, overview, store
 from logloom.session import checkpoint_dir, spread
 from logloom.sources import derived, lines
@@ -129,17 +129,11 @@ def tool_call_totals(spark, sf_dir, max_rows=MAX_ROWS):
 
 
 def tool_latency(spark, sf_dir, max_rows=MAX_ROWS):
-    """Slowest tools first: finished calls per tool; unmeasured calls are left out."""
-    done = fold_results(add_owner(event_ledger(spark, sf_dir, max_rows))).filter(
-        "duration_ms is not null"
-    )
-    return done.groupBy(F.concat(F.lit("tool "), "call").alias("event")).agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.count_if("failed").alias("failed"),
-        F.sum("duration_ms").alias("total_ms"),
-        F.max("duration_ms").alias("max_ms"),
-        F.percentile_approx("duration_ms", 0.5, 10_000).alias("median_ms"),
-    )
+    """Slowest tools first, by their median: finished calls per tool; unmeasured calls are left out."""
+    done = fold_results(add_owner(event_ledger(spark, sf_dir, max_rows)))
+    return tool_latencies(done).select(
+        F.concat(F.lit("tool "), "call").alias("event"), "calls", "failed", "total_ms", "max_ms", "median_ms"
+    ).orderBy(F.desc("median_ms"), F.desc("max_ms"), "event")
 
 
 def turn_tool_time(spark, sf_dir, max_rows=MAX_ROWS):
